@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from platewise.llm import langid, media
+from platewise.llm import langid, media, neardup, packing, substrings
 from platewise.llm.common import table
 
 
@@ -16,5 +16,17 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_media_columns, op4_language_id)}
-ORACLES: dict[str, str] = {}
+def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
+def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.components(table(spark, sf_dir, "documents"), shingle=2)
+
+
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.digest(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op3_media_columns, op4_language_id, op5_best_fit_packing, op8_minhash_near_dedup, op10_substring_dedup)}
+ORACLES: dict[str, str] = {"op8_minhash_near_dedup": neardup.ORACLE_SQL, "op10_substring_dedup": substrings.ORACLE_SQL}
