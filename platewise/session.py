@@ -15,6 +15,7 @@ def get_session(app: str = "platewise", cores: str | None = None) -> SparkSessio
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.ansi.enabled", "true")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
     )
     if "spark.master" not in os.environ.get("PYSPARK_SUBMIT_ARGS", ""):
         builder = builder.master(f"local[{cores or os.environ.get('BENCH_CPUS', '8')}]").config("spark.sql.shuffle.partitions", cores or "8").config("spark.driver.memory", "8g")
