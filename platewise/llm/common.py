@@ -12,6 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 _OWN_SCRATCH: list[str] = []
 
@@ -38,20 +39,17 @@ def saved(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-ARROW = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string(), "binary": pa.binary(), "double": pa.float64(), "float": pa.float32(), "boolean": pa.bool_(), "array<bigint>": pa.list_(pa.int64()), "array<float>": pa.list_(pa.float32()), "array<int>": pa.list_(pa.int32())}
-
-
 def map_rows(df: DataFrame, schema: str, make: Callable[[], Callable[[dict[str, list]], dict[str, Iterable] | None]], binary: tuple[str, ...] = (), finish: bool = False) -> DataFrame:
     """mapInArrow with lists. make() runs once in each task and returns a function from a batch's columns to output columns.
     Text columns named in binary arrive as UTF-8 bytes. With finish, the function is called once more with None at the end."""
-    fields = T._parse_datatype_string(schema) if hasattr(T, "_parse_datatype_string") else T.StructType.fromDDL(schema)
-    names, kinds = [f.name for f in fields], [f.dataType.simpleString() for f in fields]
+    fields = T.StructType.fromDDL(schema)
+    names, kinds = [f.name for f in fields], [to_arrow_type(f.dataType) for f in fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = make()
 
         def out(columns):
-            arrays = [columns[n] if isinstance(columns[n], pa.Array) else pa.array(columns[n], ARROW[k]) for n, k in zip(names, kinds, strict=True)]
+            arrays = [columns[n] if isinstance(columns[n], pa.Array) else pa.array(columns[n], k) for n, k in zip(names, kinds, strict=True)]
             return pa.RecordBatch.from_arrays(arrays, names)
 
         for batch in batches:
@@ -66,6 +64,39 @@ def map_rows(df: DataFrame, schema: str, make: Callable[[], Callable[[dict[str,
     return df.mapInArrow(run, fields)
 
 
+_TABLES = np.random.default_rng(20_061)
+_SPACE = np.zeros(256, bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
+_VALUE = np.where(_SPACE, np.uint64(0), _TABLES.integers(0, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1))
+_WEIGHT, _WEIGHTS = (_TABLES.integers(0, 2**63, 4096, dtype=np.uint64) * np.uint64(2) + np.uint64(1) for _ in range(2))
+
+
+def word_starts(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of a text, and where its words begin; words are runs of other bytes than ASCII white space."""
+    b = np.frombuffer(text, np.uint8)
+    space = _SPACE[b]
+    begins = ~space
+    begins[1:] &= space[:-1]
+    return b, np.flatnonzero(begins)
+
+
+def segment_hashes(values: np.ndarray, place: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Sums of value times a random odd weight for its place in the segment, for segments that begin at starts (the first at 0)."""
+    weight = _WEIGHT[place & 4095]
+    if len(place) and place.max() > 4095:
+        weight = weight * _WEIGHTS[place >> 12 & 4095]
+    return mix(np.add.reduceat(values * weight, starts))
+
+
+def word_hashes(text: bytes) -> np.ndarray:
+    """64-bit hashes of the words of a text, in order."""
+    b, starts = word_starts(text)
+    if not len(starts):
+        return np.empty(0, np.uint64)
+    place = np.arange(starts[0], len(b)) - np.repeat(starts, np.diff(starts, append=len(b)))
+    return segment_hashes(_VALUE[b[starts[0] :]], place, starts - starts[0])
+
+
 class WordHashes(dict):
     """64-bit hashes of words as bytes, remembered for a bounded number of words."""
 

@@ -92,17 +92,17 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang") -> LanguageMo
     return LanguageModel(languages, np.log(counts / counts.sum(axis=0)).astype(np.float32), np.log((documents + 1) / (documents + 1).sum()))
 
 
-def predict(docs: DataFrame, model: LanguageModel, keep: list[str], text: str = "text") -> DataFrame:
-    """The columns named in keep, then lang_pred and score."""
+def predict(docs: DataFrame, model: LanguageModel, keep: list[str], text: str = "text", names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """The columns named in keep, then the language and its probability."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    schema = ", ".join(f"`{n}` {t}" for n, t in docs.select(*keep).dtypes) + ", lang_pred string, score double"
+    schema = ", ".join(f"`{n}` {t}" for n, t in docs.select(*keep).dtypes) + f", `{names[0]}` string, `{names[1]}` double"
 
     def make():
         model = shared.value
 
         def work(batch):
             found = [model.score(x) for x in batch["text "]]
-            return {k: batch[k] for k in keep} | {"lang_pred": [a for a, _ in found], "score": [b for _, b in found]}
+            return {k: batch[k] for k in keep} | {names[0]: [a for a, _ in found], names[1]: [b for _, b in found]}
 
         return work
 
@@ -123,5 +123,5 @@ def identify(docs: DataFrame) -> DataFrame:
 def accepted(docs: DataFrame, least: float = 0.5) -> DataFrame:
     """The rows of docs, all columns, whose language is known with probability least or more. Learned from all rows that have a language."""
     model = train(docs)
-    kept = [c for c in docs.columns]
-    return predict(docs, model, kept).where((F.col("lang_pred") != "und") & (F.col("score") >= least)).select(*kept)
+    found = predict(docs, model, docs.columns, names=("lang ", "score "))
+    return found.where((F.col("lang ") != "und") & (F.col("score ") >= least)).select(*docs.columns)

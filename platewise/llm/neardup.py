@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from platewise.llm.common import WordHashes, as_long, bloom, map_rows, mix, rolled, saved
+from platewise.llm.common import as_long, bloom, map_rows, mix, rolled, saved, word_hashes
 
 BANDS, ROWS = 30, 5
 BITS = 1024
@@ -35,11 +35,11 @@ _A = _RNG.integers(1, 2**63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.
 _B = _RNG.integers(0, 2**63, BANDS * ROWS, dtype=np.uint64)
 
 
-def shingle_set(words: list[bytes], k: int, hashes: WordHashes) -> np.ndarray:
-    """Sorted 64-bit hashes of the distinct shingles."""
-    if not words:
-        return np.empty(0, np.uint64)
-    return np.unique(rolled(hashes.of(words), min(k, len(words))))
+def shingle_set(text: bytes, k: int) -> np.ndarray:
+    """Sorted 64-bit hashes of the distinct shingles. Shingles of fewer words than k hash apart from those of k."""
+    h = word_hashes(text.lower())
+    n = min(k, len(h))
+    return np.unique(mix(rolled(h, n) + np.uint64(n)) if n else h)
 
 
 def samples(shingles: np.ndarray) -> np.ndarray:
@@ -71,13 +71,12 @@ def sketch(docs: DataFrame, shingle: int, text: str = "text") -> DataFrame:
     """doc_id, n_shingles, set1 and set2 (the set's hash; null for an empty set), bands, odd."""
 
     def make():
-        hashes = WordHashes()
         bands_of = np.arange(1, BANDS + 1, dtype=np.uint64)
 
         def work(batch):
             out = {k: [] for k in ("doc_id", "n_shingles", "set1", "set2", "bands", "odd")}
             for doc, raw in zip(batch["doc_id"], batch["text "], strict=True):
-                s = shingle_set((raw or b"").lower().split(), shingle, hashes)
+                s = shingle_set(raw or b"", shingle)
                 row = doc, len(s), None, None, None, None
                 if len(s):
                     key = xxhash.xxh128_intdigest(s.tobytes())
@@ -104,15 +103,13 @@ def full_sets(docs: DataFrame, ids: DataFrame, shingle: int, text: str = "text")
     shared = docs.sparkSession.sparkContext.broadcast(bloom(ids, "id"))
 
     def make():
-        hashes = WordHashes()
-
         def work(batch):
             ids, sets = [], []
             known = [i for i, d in enumerate(batch["id"]) if d is not None]
             among = shared.value.has(np.array([batch["id"][i] for i in known], np.int64).view(np.uint64))
             for i, wanted in zip(known, among, strict=True):
                 if wanted and (raw := batch["text "][i]):
-                    s = shingle_set(raw.lower().split(), shingle, hashes)
+                    s = shingle_set(raw, shingle)
                     if len(s):
                         ids.append(batch["id"][i])
                         sets.append(as_long(s))

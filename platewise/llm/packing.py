@@ -33,32 +33,44 @@ def vocabulary(name: str = VOCABULARY) -> str:
     return public_tokenizers.path(name)
 
 
-class Tokens(dict):
-    """Ids of chunks without ASCII white space, remembered for a bounded number of chunks. This tokenizer drops white space
+class Tokens:
+    """Ids of chunks without ASCII white space, remembered in two generations of bounded size. This tokenizer drops white space
     and never merges across it, so a text's ids are its chunks' ids in order."""
 
-    LIMIT = 200_000
+    LIMIT = 300_000
+    #: One for each vocabulary in a worker, kept from task to task.
+    KEPT: dict[str, Tokens] = {}
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer, self.young, self.old = Tokenizer.from_file(path), {}, {}
 
-    def __missing__(self, chunk: bytes) -> list[int]:
-        if len(self) >= self.LIMIT:
-            self.clear()
-        ids = self[chunk] = self.tokenizer.encode(chunk.decode("utf-8"), add_special_tokens=False).ids
+    @classmethod
+    def at(cls, path: str) -> Tokens:
+        if path not in cls.KEPT:
+            cls.KEPT[path] = cls(path)
+        return cls.KEPT[path]
+
+    def _chunk(self, chunk: bytes) -> bytes:
+        if (ids := self.old.get(chunk)) is None:
+            ids = np.array(self.tokenizer.encode(chunk.decode("utf-8"), add_special_tokens=False).ids, "<u4").tobytes()
+        if len(self.young) >= self.LIMIT:
+            self.young, self.old = {}, self.young
+        self.young[chunk] = ids
         return ids
 
     def of(self, text: bytes) -> np.ndarray:
-        return np.array([i for ids in map(self.__getitem__, text.split()) for i in ids] + [0], "<u4")
+        """The ids of a text, then 0."""
+        known = self.young.get
+        return np.frombuffer(b"".join([known(c) or self._chunk(c) for c in text.split()] + [bytes(4)]), "<u4")
 
 
 def pieces(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None, text: str = "text") -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 for every piece; task and rank: the piece's place among those of its length in its task."""
 
     def make():
-        tokens, seen = Tokens(path or vocabulary()), Counter()
+        tokens, seen = Tokens.at(path or vocabulary()), Counter()
 
         def work(batch):
             out = {k: [] for k in ("doc_id", "piece", "start", "length", "ids_crc32", "rank")}
