@@ -1,6 +1,6 @@
-"""Registry of the screening queries."""
+"""Registry of the screening queries: importing the jobs registers them."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from platewise.jobs import objects, screens, tracking, tracks  # noqa: F401
+from platewise.model import ORACLES, QUERIES  # noqa: F401

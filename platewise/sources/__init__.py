@@ -1,0 +1,48 @@
+"""Readers and writers of screening tables, and the shared folder for intermediate ones."""
+
+from __future__ import annotations
+
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+_OWN: list[str] = []
+
+
+def scratch(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir; one of our own only where that is unset, on a single machine."""
+    if root := spark.conf.get("spark.checkpoint.dir", None):
+        return root.rstrip("/")
+    if not _OWN:
+        _OWN.append("file://" + tempfile.mkdtemp(prefix="spark-platewise-", dir="/tmp"))
+    return _OWN[0]
+
+
+def read_tsv(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
+    """Tab-separated text with a header; all columns are strings unless a schema is given."""
+    reader = spark.read.option("sep", "\t").option("header", True)
+    return (reader.schema(schema) if schema else reader).csv(path)
+
+
+def read_tracking_graph(spark: SparkSession, path: str) -> DataFrame:
+    """source, target: the edges of a GraphViz digraph, one `a -> b` a line."""
+    edge = r'^\s*"?([^"\s]+)"?\s*->\s*"?([^"\s;\[]+)"?'
+    rows = spark.read.text(path).where(F.col("value").rlike(edge))
+    return rows.select(F.regexp_extract("value", edge, 1).alias("source"), F.regexp_extract("value", edge, 2).alias("target"))
+
+
+def read_markers(spark: SparkSession, path: str) -> DataFrame:
+    """track, x, y, frame: annotation XML with Marker_Type and Marker elements; frames count from 0."""
+    rows = spark.read.format("xml").option("rowTag", "Marker_Type").schema("Type int, Marker array<struct<MarkerX:double, MarkerY:double, MarkerZ:int>>").load(path)
+    return rows.select(F.col("Type").alias("track"), F.explode("Marker").alias("m")).select("track", F.col("m.MarkerX").alias("x"), F.col("m.MarkerY").alias("y"), (F.col("m.MarkerZ") - 1).alias("frame"))
+
+
+def write_plates(df: DataFrame, path: str, keys: tuple[str, ...] = ("plate",)) -> None:
+    """One directory for each plate; plates that are written again replace their old rows only."""
+    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*keys).parquet(path)
+
+
+def write_ranking(df: DataFrame, path: str, name: str, score: str) -> None:
+    """`#Name score` lines in descending order, tab-separated."""
+    df.orderBy(F.desc(score), name).select(F.concat_ws("\t", name, F.col(score).cast("string"))).write.mode("overwrite").text(path)
