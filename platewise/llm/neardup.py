@@ -223,10 +223,11 @@ def components(docs: DataFrame, shingle: int = 5, text: str = "text") -> DataFra
 
 
 def representatives(docs: DataFrame, shingle: int = 5) -> DataFrame:
-    """One row of docs, all columns, for each component: that with the smallest doc_id (of repeated rows, one)."""
+    """One row of docs, all columns, for each component: that with the smallest doc_id (of repeated rows, one). Rows with a null
+    doc_id stay, one for each text."""
     kept = components(docs, shingle).where("kept").select(F.col("doc_id").alias("doc_id ")).distinct()
-    rows = docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id "]), "left_semi")
-    return rows.dropDuplicates(["doc_id"]) if docs.columns else rows
+    rows = docs.join(kept, docs["doc_id"] == kept["doc_id "], "left_semi").dropDuplicates(["doc_id"])
+    return rows.union(docs.where(F.col("doc_id").isNull()).dropDuplicates(["text"]))
 
 
 ORACLE_SQL = """

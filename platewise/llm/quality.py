@@ -161,7 +161,7 @@ def train(docs: DataFrame, labels: DataFrame, vectors: np.ndarray, labelled: int
         return work
 
     got = map_rows(rows, "doc_id bigint, quality int, x array<float>", make, binary=("text ",)).toArrow().sort_by("doc_id")
-    x = np.array(got.column("x").to_pylist(), float).reshape(len(got), -1)
+    x = np.array(got.column("x").to_pylist(), float) if len(got) else np.empty((0, 1))
     return Network(x, np.array(got.column("quality").to_pylist(), float))
 
 
