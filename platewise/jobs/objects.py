@@ -232,3 +232,149 @@ def missing_artefacts(spark, sf_dir):
 def multiset_difference(spark, sf_dir):
     rows = objects(spark, sf_dir).select(F.floor("x").cast("int").alias("x"), "frame")
     return rows.where("frame < 15").select("x").exceptAll(rows.where("frame >= 15").select("x"))
+
+
+# ---- further scans, tables for sinks, predicates and counts
+
+
+@query("A05_feature_dictionary", "select distinct generate_subscripts(f, 1)::int - 1 as i, 'f' || (generate_subscripts(f, 1) - 1)::varchar as name from features", "features")
+def feature_dictionary(spark, sf_dir):
+    return features(spark, sf_dir).agg(F.max(F.size("f")).alias("n")).select(F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("i")).select("i", F.concat(F.lit("f"), F.col("i").cast("string")).alias("name"))
+
+
+@query("A22_plate_class_proportions", f"select plate, {SHARES} from objects group by plate", "objects")
+def plate_class_proportions(spark, sf_dir):
+    return C.class_shares(objects(spark, sf_dir), ["plate"], CLASSES)
+
+
+@query("B03_lineage_edges", "select a.parent, a.child as from_child, b.child as to_child from lineage a join lineage b on a.parent = b.parent and a.ordinal = 1 and b.ordinal > 1", "lineage")
+def lineage_edges(spark, sf_dir):
+    first = lineage(spark, sf_dir).where("ordinal = 1").select("parent", F.col("child").alias("from_child"))
+    return first.join(lineage(spark, sf_dir).where("ordinal > 1").select("parent", F.col("child").alias("to_child")), "parent")
+
+
+@query("B06_ragged_lists", "r as (select sirna, size % 3 as list, row_number() over (partition by size % 3 order by sirna)::int as line from wells) select line, max(case when list = 0 then sirna end) as list0, max(case when list = 1 then sirna end) as list1, max(case when list = 2 then sirna end) as list2 from r group by line", "wells")
+def ragged_lists(spark, sf_dir):
+    line = F.row_number().over(W.partitionBy(F.col("size") % 3).orderBy("sirna"))
+    rows = wells(spark, sf_dir).select("sirna", (F.col("size") % 3).alias("list"), line.alias("line"))
+    return rows.groupBy("line").pivot("list", [0, 1, 2]).agg(F.max("sirna")).toDF("line", "list0", "list1", "list2")
+
+
+@query("B09_quality_table", "select d.doc_id, coalesce(l.quality, -1) as quality, coalesce(l.toxic, -1) as toxic, case when l.doc_id is null then 'unknown' when l.quality = 1 and l.toxic = 0 then 'passed' else 'failed' end as status from documents d left join labels l using (doc_id)")
+def quality_table(spark, sf_dir):
+    rows = table(spark, sf_dir, "documents").select("doc_id").join(table(spark, sf_dir, "labels"), "doc_id", "left")
+    status = F.when(F.col("quality").isNull(), "unknown").when((F.col("quality") == 1) & (F.col("toxic") == 0), "passed").otherwise("failed")
+    return rows.select("doc_id", F.coalesce("quality", F.lit(-1)).alias("quality"), F.coalesce("toxic", F.lit(-1)).alias("toxic"), status.alias("status"))
+
+
+@query("B12_densest_box", "select floor(x / 50)::bigint as bx, floor(y / 50)::bigint as by_, count(*) as n from objects group by 1, 2 order by n desc, 1, 2 limit 1", "objects")
+def densest_box(spark, sf_dir):
+    return objects(spark, sf_dir).groupBy(F.floor(F.col("x") / 50).alias("bx"), F.floor(F.col("y") / 50).alias("by_")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "bx", "by_").limit(1)
+
+
+@query("C03_zeroed_columns", "select exp, list_transform(f[1:4], lambda v, i: case when i in (2, 4) then 0.0 else round(v, 6) + 0.0 end)[1] as f0, 0.0::double as f1 from features", "features")
+def zeroed_columns(spark, sf_dir):
+    zeroed = F.transform("f", lambda v, i: F.when(i.isin(1, 3), 0.0).otherwise(F.round(v, 6)))
+    return features(spark, sf_dir).select("exp", zeroed[0].alias("f0"), zeroed[1].alias("f1"))
+
+
+@query("C09_corrected_missing", f"r as (select sirna, plate, case when batch > 1996 then null else measure end as movement, batch - 1991 as density from screen) select plate, count(*) as n, count(movement) as n_movement, {q6('avg(movement)')} as movement from r where density < 5 group by plate", "screen")
+def corrected_missing(spark, sf_dir):
+    rows = screen(spark, sf_dir).select("plate", F.when(F.col("batch") <= 1996, F.col("measure")).alias("movement"), (F.col("batch") - 1991).alias("density"))
+    return rows.where("density < 5").groupBy("plate").agg(F.count("*").alias("n"), F.count("movement").alias("n_movement"), r6(F.avg("movement")).alias("movement"))
+
+
+@query("C11_control_wells", "select sirna, position, case when sirna % 5 < 2 then position in (15, 26, 63, 74, 304, 315, 352) else position in (1, 49, 97, 145, 193, 241, 289, 337) end as is_control from wells", "wells")
+def control_wells(spark, sf_dir):
+    a, b = F.col("position").isin(15, 26, 63, 74, 304, 315, 352), F.col("position").isin(1, 49, 97, 145, 193, 241, 289, 337)
+    return wells(spark, sf_dir).select("sirna", "position", F.when(F.col("sirna") % 5 < 2, a).otherwise(b).alias("is_control"))
+
+
+@query("C21_full_plate_minus_failures", "select position from (select unnest(range(1, 385)) as position) where position not in (select position from wells where size < 5)", "wells")
+def full_plate_minus_failures(spark, sf_dir):
+    return spark.range(1, 385).withColumnRenamed("id", "position").join(wells(spark, sf_dir).where("size < 5").select("position"), "position", "left_anti")
+
+
+@query("C23_small_events", "select parent, count(*) as n from lineage group by parent having count(*) <= 4", "lineage")
+def small_events(spark, sf_dir):
+    return lineage(spark, sf_dir).groupBy("parent").agg(F.count("*").alias("n")).where("n <= 4")
+
+
+@query("C24_fold_members", "select plate, frame, count(*) as n from objects where (plate, frame) in (select plate, frame from objects where label % 97 = 3) group by plate, frame", "objects")
+def fold_members(spark, sf_dir):
+    rows = objects(spark, sf_dir)
+    return rows.join(rows.where("label % 97 = 3").select("plate", "frame").distinct(), ["plate", "frame"], "left_semi").groupBy("plate", "frame").agg(F.count("*").alias("n"))
+
+
+@query("D09_points_with_class", "select t.track_id, string_agg(coalesce(substr(e.event_type, 1, 1), '?'), '' order by t.frame) as classes from track_points t left join (select user_id, event_type, row_number() over (partition by user_id order by ts, event_id) - 1 as frame from events) e on e.user_id = t.track_id and e.frame = t.frame and e.event_type <> 'error' group by t.track_id", "track_points")
+def points_with_class(spark, sf_dir):
+    frame = F.row_number().over(W.partitionBy("user_id").orderBy("ts", "event_id")) - 1
+    cls = table(spark, sf_dir, "events").select(F.col("user_id").alias("track_id"), frame.alias("frame"), F.substring("event_type", 1, 1).alias("c"), "event_type").where("event_type <> 'error'")
+    rows = track_points(spark, sf_dir).join(cls, ["track_id", "frame"], "left").select("track_id", "frame", F.coalesce("c", F.lit("?")).alias("c"))
+    return rows.groupBy("track_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("frame", "c"))), lambda s: s["c"]), "").alias("classes"))
+
+
+@query("E06_bin_fraction", f"select plate, frame, {q6('count(case when x >= 20 and x < 40 then 1 end) / count(*)')} as fraction from objects group by plate, frame", "objects")
+def bin_fraction(spark, sf_dir):
+    return objects(spark, sf_dir).groupBy("plate", "frame").agg(r6(F.count_if((F.col("x") >= 20) & (F.col("x") < 40)) / F.count("*")).alias("fraction"))
+
+
+@query("E07_channel_ratio", f"select label, {q6('x / (y + 1e-5)')} as ratio from objects", "objects")
+def channel_ratio(spark, sf_dir):
+    return objects(spark, sf_dir).select("label", r6(F.col("x") / (F.col("y") + 1e-5)).alias("ratio"))
+
+
+@query("E09_time_aggregated_counts", "select plate, cls, count(*) as n from objects group by plate, cls", "objects")
+def time_aggregated_counts(spark, sf_dir):
+    return objects(spark, sf_dir).groupBy("plate", "cls").agg(F.count("*").alias("n"))
+
+
+@query("E14_fraction_at_frame", f"select plate, {q6(chr(39).join(['count(case when cls = ', 'view', ' then 1 end) / count(*)']))} as fraction from objects where frame = 0 group by plate", "objects")
+def fraction_at_frame(spark, sf_dir):
+    return objects(spark, sf_dir).where("frame = 0").groupBy("plate").agg(r6(F.count_if(F.col("cls") == "view") / F.count("*")).alias("fraction"))
+
+
+@query("E20_integer_percent", "select plate, cls, (100 * count(*) // sum(count(*)) over (partition by plate))::int as percent from objects group by plate, cls", "objects")
+def integer_percent(spark, sf_dir):
+    n = objects(spark, sf_dir).groupBy("plate", "cls").agg(F.count("*").alias("n"))
+    return n.select("plate", "cls", F.floor(100 * F.col("n") / F.sum("n").over(W.partitionBy("plate"))).cast("int").alias("percent"))
+
+
+@query("E25_tracks_per_plate", "select plate, count(distinct track_id) as n from track_points group by plate", "track_points")
+def tracks_per_plate(spark, sf_dir):
+    return track_points(spark, sf_dir).groupBy("plate").agg(F.count_distinct("track_id").alias("n"))
+
+
+@query("E30_event_counts", "c as (select parent, count(*) as k from lineage group by parent) select case when k = 1 then 'move' when k in (2, 3) then 'split' else 'other' end as event, count(*) as events, sum(k)::bigint as links from c group by 1", "lineage")
+def event_counts(spark, sf_dir):
+    c = lineage(spark, sf_dir).groupBy("parent").agg(F.count("*").alias("k"))
+    event = F.when(F.col("k") == 1, "move").when(F.col("k").isin(2, 3), "split").otherwise("other")
+    return c.groupBy(event.alias("event")).agg(F.count("*").alias("events"), F.sum("k").alias("links"))
+
+
+@query("E31_hits_per_position", "select case when sirna % 5 < 2 then 'druggable' else 'genome' end as config, position, count(*) as n from wells where size > 40 group by 1, 2", "wells")
+def hits_per_position(spark, sf_dir):
+    return wells(spark, sf_dir).where("size > 40").groupBy(F.when(F.col("sirna") % 5 < 2, "druggable").otherwise("genome").alias("config"), "position").agg(F.count("*").alias("n"))
+
+
+@query("E32_values_by_position", f"select position, count(*) as n, {q6('avg(size)')} as mean, {q6('median(size)')} as median, {q6('stddev_pop(size)')} as spread from wells group by position", "wells")
+def values_by_position(spark, sf_dir):
+    return wells(spark, sf_dir).groupBy("position").agg(F.count("*").alias("n"), r6(F.avg("size")).alias("mean"), r6(F.percentile("size", 0.5)).alias("median"), r6(F.stddev_pop("size")).alias("spread"))
+
+
+@query("E35_frames_per_plate", "select plate, max(frame) + 1 as frames from objects group by plate", "objects")
+def frames_per_plate(spark, sf_dir):
+    return objects(spark, sf_dir).groupBy("plate").agg((F.max("frame") + 1).alias("frames"))
+
+
+@query("E37_store_mismatches", "a as (select doc_id % 50 as plate, count(*) as n_a from documents group by 1), b as (select doc_id % 50 as plate, count(*) as n_b from labels group by 1) select plate, coalesce(n_a, 0) as n_a, coalesce(n_b, 0) as n_b from a full join b using (plate) where coalesce(n_a, 0) <> coalesce(n_b, 0)")
+def store_mismatches(spark, sf_dir):
+    count = lambda t, n: table(spark, sf_dir, t).groupBy((F.col("doc_id") % 50).alias("plate")).agg(F.count("*").alias(n))
+    rows = count("documents", "n_a").join(count("labels", "n_b"), "plate", "full").fillna(0, ["n_a", "n_b"])
+    return rows.where("n_a <> n_b")
+
+
+@query("S08_not_yet_done", "select d.plate, d.frame from (select distinct plate, frame from objects) d where not exists (select 1 from objects o where o.plate = d.plate and o.frame = d.frame and o.cls = 'error')", "objects")
+def not_yet_done(spark, sf_dir):
+    rows = objects(spark, sf_dir)
+    return rows.select("plate", "frame").distinct().join(rows.where("cls = 'error'").select("plate", "frame"), ["plate", "frame"], "left_anti")

@@ -386,3 +386,165 @@ def isolated_hits(spark, sf_dir):
 @query("Q10_plate_configuration", "select case when sirna % 5 < 2 then 'druggable' else 'genome' end as config, row, count(*) as n from wells group by 1, 2", "wells")
 def plate_configuration(spark, sf_dir):
     return wells(spark, sf_dir).groupBy(F.when(F.col("sirna") % 5 < 2, "druggable").otherwise("genome").alias("config"), "row").agg(F.count("*").alias("n"))
+
+
+# ---- further lookups, statistics, distances and hits
+
+
+@query("D02_unique_targets", "select min(p_partkey) as sirna, p_brand || '/' || p_type as gene from part group by p_brand || '/' || p_type having count(*) = 1")
+def unique_targets(spark, sf_dir):
+    rows = table(spark, sf_dir, "part").groupBy(F.concat("p_brand", F.lit("/"), "p_type").alias("gene")).agg(F.count("*").alias("n"), F.min("p_partkey").alias("sirna"))
+    return rows.where("n = 1").select("sirna", "gene")
+
+
+@query("D06_control_expansion", "p as (select distinct plate from screen), c as (select unnest([15, 26, 63]) as well, true as old union all select unnest([1, 49, 97, 145]), false) select plate, well from p join c on old = (plate < 2)", "screen")
+def control_expansion(spark, sf_dir):
+    wells_of = F.when(F.col("plate") < 2, F.array(*map(F.lit, (15, 26, 63)))).otherwise(F.array(*map(F.lit, (1, 49, 97, 145))))
+    return screen(spark, sf_dir).select("plate").distinct().select("plate", F.explode(wells_of).alias("well"))
+
+
+@query("D15_aligned_vectors", f"a as (select sirna, avg(measure) as v from screen where plate = 0 group by sirna), b as (select sirna, avg(measure) as v from screen where plate = 1 group by sirna) select sirna, {q6('a.v - b.v')} as difference from a join b using (sirna)", "screen")
+def aligned_vectors(spark, sf_dir):
+    mean = lambda p, n: screen(spark, sf_dir).where(F.col("plate") == p).groupBy("sirna").agg(F.avg("measure").alias(n))
+    return mean(0, "a").join(mean(1, "b"), "sirna").select("sirna", r6(F.col("a") - F.col("b")).alias("difference"))
+
+
+@query("D23_first_controls", "c as (select gene, sirna, dense_rank() over (order by sirna) as k from (select distinct gene, sirna from screen where is_control)) select gene, sirna from c where k <= 20", "screen")
+def first_controls(spark, sf_dir):
+    return screen(spark, sf_dir).where("is_control").select("gene", "sirna").distinct().orderBy("sirna", "gene").limit(20)
+
+
+@query("E12_median_distance", f"m as (select gene, batch, avg(measure) as v from screen group by gene, batch), d as (select a.gene as i, b.gene as j, abs(a.v - b.v) as d from m a join m b on a.batch = b.batch and a.gene < b.gene) select i, j, {q6('median(d)')} as d from d group by i, j", "screen")
+def median_distance(spark, sf_dir):
+    m = screen(spark, sf_dir).groupBy("gene", "batch").agg(F.avg("measure").alias("v"))
+    return K.pair_table(m, "gene", "v", lambda a, b: F.abs(a - b), ["batch"]).groupBy("i", "j").agg(r6(F.percentile("d", 0.5)).alias("d"))
+
+
+@query("E40_usable_batches", "select sirna, count(*) as n, string_agg(distinct batch::varchar, ',' order by batch::varchar) as batches from screen where measure > 0 group by sirna", "screen")
+def usable_batches(spark, sf_dir):
+    return screen(spark, sf_dir).where("measure > 0").groupBy("sirna").agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_set(F.col("batch").cast("string"))), ",").alias("batches"))
+
+
+@query("G06_high_degree_conditions", f"u as (select condition, generate_subscripts(f, 1) as k, unnest(f) as v from features), m as (select condition, k, avg(v) as v from u group by condition, k), d as (select a.condition as i, b.condition as j, round(sqrt(sum((a.v - b.v) ** 2)), 9) as d from m a join m b on a.k = b.k and a.condition <> b.condition group by 1, 2), t as (select quantile_cont(d, 0.4) as t from d), g as (select i, count(*) as degree from d, t where d <= t group by i) select i as condition, degree from g", "features")
+def high_degree_conditions(spark, sf_dir):
+    d = K.symmetric(K.pair_table(L.mean_vectors(features(spark, sf_dir), ["condition"]), "condition", "f", X.euclidean)).withColumn("d", F.round("d", 9))
+    t = d.agg(F.percentile("d", 0.4).alias("t"))
+    return d.crossJoin(F.broadcast(t)).where("d <= t").groupBy(F.col("i").alias("condition")).agg(F.count("*").alias("degree"))
+
+
+@query("J03_fisher_by_batch", f"{MEAN}, c as (select measure as v from screen where is_control), b as (select batch, sirna, avg(measure) as v from screen where not is_control group by batch, sirna), p as (select batch, sirna, (1 + (select count(*) from c where c.v >= b.v)) / (1 + (select count(*) from c)) as p from b), s as (select sirna, batch, -2 * ln(p) as x from p) select sirna, count(*) as n, {q6('min(x)')} as low, {q6('median(x)')} as middle, {q6('max(x)')} as high from s group by sirna", "screen")
+def fisher_by_batch(spark, sf_dir):
+    rows = screen(spark, sf_dir)
+    b = rows.where(~F.col("is_control")).groupBy("batch", "sirna").agg(F.avg("measure").alias("v"))
+    x = -2 * F.ln("p")
+    return S.empirical_p(b, rows.where("is_control"), "v", "measure").groupBy("sirna").agg(F.count("*").alias("n"), r6(F.min(x)).alias("low"), r6(F.percentile(x, 0.5)).alias("middle"), r6(F.max(x)).alias("high"))
+
+
+@query("J13_percentile_thresholds", f"select batch, {q6('quantile_cont(measure, 0.05)')} as low, {q6('quantile_cont(measure, 0.95)')} as high from screen where is_control group by batch", "screen")
+def percentile_thresholds(spark, sf_dir):
+    q = screen(spark, sf_dir).where("is_control").groupBy("batch").agg(F.percentile("measure", F.array(F.lit(0.05), F.lit(0.95))).alias("q"))
+    return q.select("batch", r6(F.col("q")[0]).alias("low"), r6(F.col("q")[1]).alias("high"))
+
+
+@query("J16_thresholded_hits", "t as (select batch, quantile_cont(measure, 0.95) as t from screen where is_control group by batch) select sirna, count(*) as n, count(case when measure > t then 1 end) as n_hits from screen join t using (batch) where not is_control group by sirna", "screen")
+def thresholded_hits(spark, sf_dir):
+    rows = screen(spark, sf_dir)
+    t = rows.where("is_control").groupBy("batch").agg(F.percentile("measure", 0.95).alias("t"))
+    return rows.where(~F.col("is_control")).join(F.broadcast(t), "batch").groupBy("sirna").agg(F.count("*").alias("n"), F.count_if(F.col("measure") > F.col("t")).alias("n_hits"))
+
+
+@query("J17_clustering_stability", f"{CENTRE_SQL}, n as (select label, condition, count(*) as n from a group by label, condition), s as (select sum(n * n) as both_ from n), x as (select sum(k * k) as v from (select sum(n) as k from n group by label)), y as (select sum(k * k) as v from (select sum(n) as k from n group by condition)) select {q6('both_ / sqrt(x.v * y.v)')} as stability from s, x, y", "features")
+def clustering_stability(spark, sf_dir):
+    """Cosine of the co-membership matrices, from the contingency table: pairs are never listed."""
+    rows = features(spark, sf_dir)
+    n = L.nearest(rows, L.mean_vectors(rows, ["condition"]).withColumnRenamed("condition", "label"), keep=["condition"]).groupBy("label", "condition").agg(F.count("*").alias("n"))
+    squares = lambda keys: n.groupBy(*keys).agg(F.sum("n").alias("k")).agg(F.sum((F.col("k") * F.col("k")).cast("double")).alias("s"))
+    a, b, c = squares(["label", "condition"]).toDF("both"), squares(["label"]).toDF("x"), squares(["condition"]).toDF("y")
+    return a.crossJoin(b).crossJoin(c).select(r6(F.col("both") / F.sqrt(F.col("x") * F.col("y"))).alias("stability"))
+
+
+@query("J29_plate_correlations", f"m as (select plate, gene, median(measure) as v from screen group by plate, gene), p as (select a.plate as i, b.plate as j, a.v as x, b.v as y from m a join m b on a.gene = b.gene and a.plate < b.plate), r as (select i, j, rank() over (partition by i, j order by x) + (count(*) over (partition by i, j, x) - 1) / 2 as rx, rank() over (partition by i, j order by y) + (count(*) over (partition by i, j, y) - 1) / 2 as ry from p) select i, j, count(*) as n, {q6('corr(rx, ry)')} as rho from r group by i, j", "screen")
+def plate_correlations(spark, sf_dir):
+    m = screen(spark, sf_dir).groupBy("plate", "gene").agg(F.percentile("measure", 0.5).alias("v"))
+    pairs = K.pair_table(m, "plate", "v", lambda a, b: F.struct(a.alias("x"), b.alias("y")), ["gene"]).select("i", "j", "d.x", "d.y")
+    return S.spearman(pairs, ["i", "j"], "x", "y").select("i", "j", "n", r6(F.col("rho")).alias("rho"))
+
+
+@query("J33_replicates_against_the_rest", f"u as (select exp, condition, plate, generate_subscripts(f, 1) as k, unnest(f) as v from features where exp < 100), d as (select a.exp as i, b.exp as j, any_value(a.condition) as ci, any_value(b.condition) as cj, sqrt(sum((a.v - b.v) ** 2)) as d from u a join u b on a.k = b.k and a.exp <> b.exp group by 1, 2) select ci as condition, {q6('avg(case when ci = cj then d end) / avg(case when ci <> cj then d end)')} as ratio from d group by ci", "features")
+def replicates_against_the_rest(spark, sf_dir):
+    """Distances inside a condition against those to the others. The reference set is the first hundred experiments by number."""
+    rows = features(spark, sf_dir).where("exp < 100")
+    a, b = rows.select(F.col("exp").alias("i"), F.col("condition").alias("ci"), F.col("f").alias("a")), rows.select(F.col("exp").alias("j"), F.col("condition").alias("cj"), F.col("f").alias("b"))
+    d = a.join(F.broadcast(b), F.col("i") != F.col("j")).select("ci", "cj", X.euclidean(F.col("a"), F.col("b")).alias("d"))
+    return d.groupBy(F.col("ci").alias("condition")).agg(r6(F.avg(F.when(F.col("ci") == F.col("cj"), F.col("d"))) / F.avg(F.when(F.col("ci") != F.col("cj"), F.col("d")))).alias("ratio"))
+
+
+@query("J44_accuracy_of_hits", f"t as (select sirna, max(measure) > 100000 as truth, avg(measure) > 38000 as called from screen group by sirna) select {q6('count(case when truth and called then 1 end) / nullif(count(case when truth then 1 end), 0)')} as accuracy, {q6('count(case when truth and called then 1 end) / nullif(count(case when called then 1 end), 0)')} as precision from t", "screen")
+def accuracy_of_hits(spark, sf_dir):
+    t = screen(spark, sf_dir).groupBy("sirna").agg((F.max("measure") > 100000).alias("truth"), (F.avg("measure") > 38000).alias("called"))
+    both, truth, called = F.count_if(F.col("truth") & F.col("called")), F.count_if("truth"), F.count_if("called")
+    return t.agg(both.alias("b"), truth.alias("t"), called.alias("c")).select(r6(F.col("b") / F.when(F.col("t") > 0, F.col("t"))).alias("accuracy"), r6(F.col("b") / F.when(F.col("c") > 0, F.col("c"))).alias("precision"))
+
+
+@query("K05_ground_costs", f"b as (select distinct size % 10 as i from wells) select a.i, b.i as j, abs(a.i - b.i)::int as cost, {q6('sqrt((a.i // 4 - b.i // 4) ** 2 + (a.i % 4 - b.i % 4) ** 2)')} as cost_2d from b a, b b", "wells")
+def ground_costs(spark, sf_dir):
+    b = wells(spark, sf_dir).select((F.col("size") % 10).alias("i")).distinct()
+    pairs = b.crossJoin(F.broadcast(b.withColumnRenamed("i", "j")))  # ten bins at most
+    return pairs.select("i", "j", F.abs(F.col("i") - F.col("j")).alias("cost"), r6(X.norm(F.floor(F.col("i") / 4) - F.floor(F.col("j") / 4), F.col("i") % 4 - F.col("j") % 4)).alias("cost_2d"))
+
+
+@query("K30_distances_over_time", f"c as (select plate, frame, count(*) as n from objects group by plate, frame), d as (select a.plate as i, b.plate as j, abs(a.n - b.n) as d from c a join c b on a.frame = b.frame and a.plate <> b.plate) select i, j, max(d) as largest, sum(d)::bigint as total from d group by i, j", "objects")
+def distances_over_time(spark, sf_dir):
+    c = objects(spark, sf_dir).groupBy("plate", "frame").agg(F.count("*").alias("n"))
+    d = K.pair_table(c, "plate", "n", lambda a, b: F.abs(a - b), ["frame"]).groupBy("i", "j").agg(F.max("d").alias("largest"), F.sum("d").alias("total"))
+    return d.union(d.select(F.col("j").alias("i"), F.col("i").alias("j"), "largest", "total"))
+
+
+@query("L11_grid_density", "select floor(x / 25)::bigint as gx, floor(y / 25)::bigint as gy, count(case when plate = 0 then 1 end) as control, count(case when plate <> 0 then 1 end) as experiment from objects group by 1, 2", "objects")
+def grid_density(spark, sf_dir):
+    g = lambda v: F.floor(F.col(v) / 25)
+    return objects(spark, sf_dir).groupBy(g("x").alias("gx"), g("y").alias("gy")).agg(F.count_if(F.col("plate") == 0).alias("control"), F.count_if(F.col("plate") != 0).alias("experiment"))
+
+
+@query("L39_parameter_grid", "select a.plate, b.cls, k from (select distinct plate from objects) a, (select distinct cls from objects) b, (select unnest([2, 3, 4]) as k)", "objects")
+def parameter_grid(spark, sf_dir):
+    rows = objects(spark, sf_dir)
+    grid = rows.select("plate").distinct().crossJoin(F.broadcast(rows.select("cls").distinct()))  # parameters, not rows: a few of each
+    return grid.withColumn("k", F.explode(F.array(*map(F.lit, (2, 3, 4)))))
+
+
+@query("M05_slow_growth", f"{MEAN}, q as (select quantile_cont(v, 0.25) as a, quantile_cont(v, 0.75) as b, median(v) as m from m where is_control), l as (select sirna from m, q where not is_control and v <= a - 1.5 * (b - a)) select sirna, v <= m as slow from m, q where not is_control and sirna not in (select sirna from l)", "screen")
+def slow_growth(spark, sf_dir):
+    m = _means(spark, sf_dir)
+    low = M.tukey_low(m.where(~F.col("is_control")), m.where("is_control"), "v")
+    middle = m.where("is_control").agg(F.percentile("v", 0.5).alias("m"))
+    return low.where(~F.col("low")).crossJoin(F.broadcast(middle)).select("sirna", (F.col("v") <= F.col("m")).alias("slow"))
+
+
+@query("M11_mean_absolute_difference", f"c as (select plate, frame, cls, count(*) / sum(count(*)) over (partition by plate, frame) as v from objects group by plate, frame, cls) select a.plate, a.cls, {q6('avg(abs(a.v - b.v))')} as difference from c a join c b on b.plate = 0 and a.frame = b.frame and a.cls = b.cls where a.plate <> 0 group by 1, 2", "objects")
+def mean_absolute_difference(spark, sf_dir):
+    n = objects(spark, sf_dir).groupBy("plate", "frame", "cls").agg(F.count("*").alias("n"))
+    c = n.withColumn("v", F.col("n") / F.sum("n").over(W.partitionBy("plate", "frame")))
+    control = c.where("plate = 0").select("frame", "cls", F.col("v").alias("c"))
+    return c.where("plate <> 0").join(control, ["frame", "cls"]).groupBy("plate", "cls").agg(r6(F.avg(F.abs(F.col("v") - F.col("c")))).alias("difference"))
+
+
+@query("M27_rank_of_targets", "m as (select gene, median(measure) as v from screen group by gene), r as (select gene, row_number() over (order by v desc, gene)::int as rank from m) select gene, rank from r where gene in (select gene from wells where sirna < 6)", "screen wells")
+def rank_of_targets(spark, sf_dir):
+    m = screen(spark, sf_dir).groupBy("gene").agg(F.percentile("measure", 0.5).alias("v"))
+    ranked = m.select("gene", F.row_number().over(W.orderBy(F.desc("v"), "gene")).alias("rank"))
+    return ranked.join(wells(spark, sf_dir).where("sirna < 6").select("gene").distinct(), "gene", "left_semi")
+
+
+@query("Q07_confirmed_neighbour_isolated", "t as (select distinct position from wells where size > 45), r as (select distinct position from wells where size < 3), n as (select t.position, max(case when r.position = t.position then 2 when abs((t.position - 1) // 12 - (r.position - 1) // 12) <= 1 and abs((t.position - 1) % 12 - (r.position - 1) % 12) <= 1 then 1 else 0 end) as k from t, r group by t.position) select position, case k when 2 then 'confirmed' when 1 then 'neighbour' else 'isolated' end as kind from n", "wells")
+def confirmed_neighbour_isolated(spark, sf_dir):
+    t, r = (wells(spark, sf_dir).where(c).select("position").distinct() for c in ("size > 45", "size < 3"))
+    near = Q.neighbours(r).select(F.col("neighbour").alias("position")).distinct().withColumn("near", F.lit(True))
+    rows = t.join(r.withColumn("same", F.lit(True)), "position", "left").join(near, "position", "left")
+    return rows.select("position", F.when(F.col("same"), "confirmed").when(F.col("near"), "neighbour").otherwise("isolated").alias("kind"))
+
+
+@query("Q11_plate_grid", "select row, max(case when col <= 4 then size else 0 end) as a, max(case when col between 5 and 8 then size else 0 end) as b, max(case when col >= 9 then size else 0 end) as c from wells group by row", "wells")
+def plate_grid(spark, sf_dir):
+    col, size = F.col("col"), F.col("size")
+    return wells(spark, sf_dir).groupBy("row").agg(F.max(F.when(col <= 4, size).otherwise(0)).alias("a"), F.max(F.when(col.between(5, 8), size).otherwise(0)).alias("b"), F.max(F.when(col >= 9, size).otherwise(0)).alias("c"))

@@ -196,3 +196,60 @@ def log_transform(spark, sf_dir):
     rows = track_points(spark, sf_dir)
     low = rows.agg(F.least(F.lit(0.0), F.min(F.col("x") - 50)).alias("low"))
     return rows.crossJoin(F.broadcast(low)).select("plate", "track_id", "frame", r6(F.ln(F.col("x") - 50 + 1 - F.col("low"))).alias("log_x"), r6(X.sigmoid(F.col("x") - 50, 0.1)).alias("gate"))
+
+
+# ---- starts and ends, divisions, small scalar functions
+
+SPAN = "s as (select plate, track_id, max(frame) as last from track_points group by plate, track_id), e as (select plate, max(last) as longest from s group by plate)"
+
+
+@query("F07_start_and_end_codes", f"{SPAN} select track_id, case when track_id % 4 = 0 then 2 when track_id % 3 = 0 then 1 else 0 end as start_code, case when last = longest then 0 when track_id % 4 = 1 then 2 when track_id % 4 = 2 then 3 else 1 end as end_code from s join e using (plate)", "track_points")
+def start_and_end_codes(spark, sf_dir):
+    """Starts and ends of tracks: the ids that lineage events name are told apart by their remainder here."""
+    spans = track_points(spark, sf_dir).groupBy("plate", "track_id").agg(F.max("frame").alias("last"))
+    longest = spans.groupBy("plate").agg(F.max("last").alias("longest"))
+    t = F.col("track_id")
+    start = F.when(t % 4 == 0, 2).when(t % 3 == 0, 1).otherwise(0)
+    end = F.when(F.col("last") == F.col("longest"), 0).when(t % 4 == 1, 2).when(t % 4 == 2, 3).otherwise(1)
+    return spans.join(longest, "plate").select("track_id", start.alias("start_code"), end.alias("end_code"))
+
+
+@query("F11_first_wins", "select plate, frame, label from objects qualify row_number() over (partition by plate, frame order by label) = 1", "objects")
+def first_wins(spark, sf_dir):
+    return objects(spark, sf_dir).groupBy("plate", "frame").agg(F.min("label").alias("label"))
+
+
+@query("F22_flattened_measure", f"{STEP} select {q6('displacement')} as displacement, count(*) as n from step where displacement > 100 group by 1", "track_points")
+def flattened_measure(spark, sf_dir):
+    return T.steps(track_points(spark, sf_dir)).where("displacement > 100").groupBy(r6(F.col("displacement")).alias("displacement")).agg(F.count("*").alias("n"))
+
+
+@query("F28_score_grid", f"s as (select user_id, least(count(case when event_type = 'purchase' then 1 end), 2) as a, least(count(case when event_type = 'click' then 1 end), 4) as b, max(value) > 200 as accepted from events group by user_id) select a, b, count(*) as n, {q6('100 * count(case when accepted then 1 end) / (count(*) + 1e-4)')} as precision from s group by a, b")
+def score_grid(spark, sf_dir):
+    e = F.col("event_type")
+    s = table(spark, sf_dir, "events").groupBy("user_id").agg(F.least(F.count_if(e == "purchase"), F.lit(2)).alias("a"), F.least(F.count_if(e == "click"), F.lit(4)).alias("b"), (F.max("value") > 200).alias("accepted"))
+    return s.groupBy("a", "b").agg(F.count("*").alias("n"), r6(100 * F.count_if("accepted") / (F.count("*") + 1e-4)).alias("precision"))
+
+
+@query("F30_bounding_boxes", "select plate, frame, min(x) - 3 as x0, max(x) + 3 as x1, min(y) - 3 as y0, max(y) + 3 as y1 from objects where cls = 'purchase' group by plate, frame", "objects")
+def bounding_boxes(spark, sf_dir):
+    return objects(spark, sf_dir).where("cls = 'purchase'").groupBy("plate", "frame").agg(*[(f(c) + d).alias(n) for n, f, c, d in (("x0", F.min, "x", -3), ("x1", F.max, "x", 3), ("y0", F.min, "y", -3), ("y1", F.max, "y", 3))])
+
+
+@query("I13_positions_and_coordinates", "select p.position, (p.position - 1) // 12 as row, (p.position - 1) % 12 as col, radians(p.position) as angle, ((p.position - 1) // 12) * 12 + (p.position - 1) % 12 + 1 as back from (select distinct user_id % 384 + 1 as position from events) p")
+def positions_and_coordinates(spark, sf_dir):
+    p = table(spark, sf_dir, "events").select((F.col("user_id") % 384 + 1).alias("position")).distinct()
+    row, col = F.floor((F.col("position") - 1) / 12), (F.col("position") - 1) % 12
+    return p.select("position", row.alias("row"), col.alias("col"), F.radians("position").alias("angle"), (row * 12 + col + 1).alias("back"))
+
+
+@query("I15_parameter_key", "select distinct 'cls=' || event_type || '|plate=' || (user_id % 5)::varchar as key from events")
+def parameter_key(spark, sf_dir):
+    return table(spark, sf_dir, "events").select(F.concat_ws("|", F.concat(F.lit("cls="), "event_type"), F.concat(F.lit("plate="), (F.col("user_id") % 5).cast("string"))).alias("key")).distinct()
+
+
+@query("J36_length_correlations", f"{TRACK} select plate, count(*) as n, {q6('corr(n_steps, mean_displacement)')} as r, {q6('avg((total_length - effective_length) ** 2)')} as mse from track group by plate", "track_points")
+def length_correlations(spark, sf_dir):
+    rows = T.track_features(track_points(spark, sf_dir))
+    gap = F.col("total_length") - F.col("effective_length")
+    return rows.groupBy("plate").agg(F.count("*").alias("n"), r6(F.corr(F.col("n_steps").cast("double"), "mean_displacement")).alias("r"), r6(F.avg(gap * gap)).alias("mse"))
