@@ -13,7 +13,8 @@ def norm(dx: Column, dy: Column) -> Column:
 
 
 def clamp(v: Column, low: float = -1.0, high: float = 1.0) -> Column:
-    return F.greatest(F.lit(low), F.least(F.lit(high), v))
+    """v within bounds; null stays null, which least and greatest would not keep."""
+    return F.when(v > high, high).when(v < low, low).otherwise(v)
 
 
 def angle(ux: Column, uy: Column, vx: Column, vy: Column) -> Column:

@@ -13,8 +13,9 @@ from platewise.operators import tracks as T
 STEP = """
 pair as (select plate, track_id, frame, x, y, lead(x) over w - x as dx, lead(y) over w - y as dy from track_points window w as (partition by plate, track_id order by frame)),
 step0 as (select *, sqrt(dx * dx + dy * dy) as displacement from pair where dx is not null),
-step as (select *, acos(greatest(-1, least(1, (lag(dx) over w * dx + lag(dy) over w * dy) / nullif(sqrt(lag(dx) over w * lag(dx) over w + lag(dy) over w * lag(dy) over w) * displacement, 0)))) as turning,
-  displacement - lag(displacement) over w as acceleration from step0 window w as (partition by plate, track_id order by frame))"""
+step1 as (select *, (lag(dx) over w * dx + lag(dy) over w * dy) / nullif(sqrt(lag(dx) over w * lag(dx) over w + lag(dy) over w * lag(dy) over w) * displacement, 0) as cosine,
+  displacement - lag(displacement) over w as acceleration from step0 window w as (partition by plate, track_id order by frame)),
+step as (select *, acos(case when cosine > 1 then 1 when cosine < -1 then -1 else cosine end) as turning from step1)"""
 TRACK = f"""{STEP},
 ends as (select plate, track_id, count(*) as n, arg_min(x, frame) as x0, arg_min(y, frame) as y0, arg_max(x, frame) as x1, arg_max(y, frame) as y1 from track_points group by plate, track_id having count(*) >= 12),
 agg as (select plate, track_id, count(*) as n_steps, sum(displacement) as total_length, avg(displacement) as mean_displacement, max(displacement) as max_displacement, avg(cos(turning)) as persistence, avg(turning) as mean_turning, avg(acceleration) as mean_acceleration, sum(displacement * displacement) as squared_length from step group by plate, track_id),

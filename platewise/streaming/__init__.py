@@ -10,13 +10,13 @@ from pyspark.sql import functions as F
 
 def tumbling(events: DataFrame, width: str = "6 hours", late: str = "1 day", plates: int = 5) -> DataFrame:
     """plate, start, n, total of each window; rows later than the watermark are dropped."""
-    rows = events.withWatermark("ts", late).groupBy((F.col("user_id") % plates).alias("plate"), F.window("ts", width).alias("w")).agg(F.count("*").alias("n"), F.round(F.sum("value"), 6).alias("total"))
+    rows = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late).groupBy((F.col("user_id") % plates).alias("plate"), F.window("ts", width).alias("w")).agg(F.count("*").alias("n"), F.round(F.sum("value"), 6).alias("total"))
     return rows.select("plate", F.col("w.start").alias("start"), "n", "total")
 
 
 def sessions(events: DataFrame, gap: str = "2 hours", late: str = "1 day") -> DataFrame:
     """user_id, start, end, n of each run of events with no longer gap."""
-    rows = events.withWatermark("ts", late).groupBy("user_id", F.session_window("ts", gap).alias("w")).agg(F.count("*").alias("n"))
+    rows = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late).groupBy("user_id", F.session_window("ts", gap).alias("w")).agg(F.count("*").alias("n"))
     return rows.select("user_id", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
 
 
