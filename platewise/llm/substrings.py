@@ -22,7 +22,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from platewise.llm.common import Bloom, WordHashes, as_long, bloom, map_rows, rolled, saved
+from platewise.llm.common import Bloom, as_long, bloom, map_rows, mix, rolled, saved, word_hashes
 
 WINDOW = 20
 ANCHOR = 6
@@ -57,14 +57,12 @@ def factors(docs: DataFrame, text: str = "text", window: int = WINDOW, anchor: i
     def parsed(batch):
         keep = first_copies.value.has(np.array(batch["copy"], np.int64).view(np.uint64))
         for words, doc, first in zip(batch["text"], batch["doc"], keep, strict=True):
-            if first and len(w := words.split()) >= window:
-                yield doc, w
+            if first and len(h := word_hashes(words)) >= window:
+                yield doc, h
 
     def make_anchors():
-        hashes = WordHashes()
-
         def work(batch):
-            found = [np.unique(anchors_of(hashes.of(w), window, anchor)) for _, w in parsed(batch)]
+            found = [np.unique(anchors_of(h, window, anchor)) for _, h in parsed(batch)]
             return {"anchor": as_long(np.concatenate(found))} if found else None
 
         return work
@@ -73,19 +71,17 @@ def factors(docs: DataFrame, text: str = "text", window: int = WINDOW, anchor: i
     shared = spark.sparkContext.broadcast(bloom(saved(counted, "shared-anchors"), "anchor"))
 
     def make_blocks():
-        hashes = WordHashes()
-
         def work(batch):
             out = [], [], [], []
-            for doc, w in parsed(batch):
-                h = hashes.of(w)
+            for doc, h in parsed(batch):
                 blocks = rolled(h, window)
                 order = np.argsort(blocks, kind="stable")
                 again = np.zeros(len(blocks), bool)
                 again[order[1:]] = blocks[order[1:]] == blocks[order[:-1]]
                 at = np.flatnonzero(shared.value.has(anchors_of(h, window, anchor)) | again)
                 if len(at):
-                    out[0].append(blocks[at])
+                    # what a document has again needs no reference: any key does, and one of its own spreads a line repeated very often
+                    out[0].append(np.where(again[at], mix(blocks[at] + mix(at.astype(np.uint64))), blocks[at]))
                     out[1].append(np.full(len(at), doc, np.int64))
                     out[2].append(at.astype(np.int32))
                     out[3].append(again[at])
