@@ -213,9 +213,9 @@ def blank_corrected_intensity(spark, sf_dir):
     return m.where("plate <> 0").join(blank, "frame").select("plate", "frame", r6(F.col("v") - F.col("b")).alias("corrected"))
 
 
-@query("E33_replicate_combiner", f"r as (select sirna, batch, avg(measure) as v from screen group by sirna, batch), s as (select sirna, list_sort(list(v)) as a from r group by sirna) select sirna, len(a)::bigint as n, {q6('case when len(a) < 2 then 0 when len(a) = 2 then a[1] else a[len(a) // 2 + 1] end')} as v from s", "screen")
+@query("E33_replicate_combiner", f"r as (select sirna, batch, max(measure) as v from screen group by sirna, batch), s as (select sirna, list_sort(list(v)) as a from r group by sirna) select sirna, len(a)::bigint as n, {q6('case when len(a) < 2 then 0 when len(a) = 2 then a[1] else a[len(a) // 2 + 1] end')} as v from s", "screen")
 def replicate_combiner(spark, sf_dir):
-    r = screen(spark, sf_dir).groupBy("sirna", "batch").agg(F.avg("measure").alias("v")).groupBy("sirna").agg(F.array_sort(F.collect_list("v")).alias("a"))
+    r = screen(spark, sf_dir).groupBy("sirna", "batch").agg(F.max("measure").alias("v")).groupBy("sirna").agg(F.array_sort(F.collect_list("v")).alias("a"))
     v = F.when(F.size("a") < 2, 0.0).when(F.size("a") == 2, F.get("a", F.lit(0))).otherwise(F.get("a", F.floor(F.size("a") / 2).cast("int")))
     return r.select("sirna", F.size("a").cast("bigint").alias("n"), r6(v).alias("v"))
 

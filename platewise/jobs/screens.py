@@ -11,6 +11,7 @@ from platewise.operators import clusters as L
 from platewise.operators import distances as K
 from platewise.operators import hits as M
 from platewise.operators import layout as Q
+from platewise.operators import smoothing
 from platewise.operators import statistics as S
 
 # ---- D: lookups
@@ -403,10 +404,10 @@ def control_expansion(spark, sf_dir):
     return screen(spark, sf_dir).select("plate").distinct().select("plate", F.explode(wells_of).alias("well"))
 
 
-@query("D15_aligned_vectors", f"a as (select sirna, avg(measure) as v from screen where plate = 0 group by sirna), b as (select sirna, avg(measure) as v from screen where plate = 1 group by sirna) select sirna, {q6('a.v - b.v')} as difference from a join b using (sirna)", "screen")
+@query("D15_aligned_vectors", f"a as (select sirna, max(measure) as v from screen where plate = 0 group by sirna), b as (select sirna, max(measure) as v from screen where plate = 1 group by sirna) select sirna, {q6('a.v - b.v')} as difference from a join b using (sirna)", "screen")
 def aligned_vectors(spark, sf_dir):
-    mean = lambda p, n: screen(spark, sf_dir).where(F.col("plate") == p).groupBy("sirna").agg(F.avg("measure").alias(n))
-    return mean(0, "a").join(mean(1, "b"), "sirna").select("sirna", r6(F.col("a") - F.col("b")).alias("difference"))
+    top = lambda p, n: screen(spark, sf_dir).where(F.col("plate") == p).groupBy("sirna").agg(F.max("measure").alias(n))
+    return top(0, "a").join(top(1, "b"), "sirna").select("sirna", r6(F.col("a") - F.col("b")).alias("difference"))
 
 
 @query("D23_first_controls", "c as (select gene, sirna, dense_rank() over (order by sirna) as k from (select distinct gene, sirna from screen where is_control)) select gene, sirna from c where k <= 20", "screen")
@@ -548,3 +549,64 @@ def confirmed_neighbour_isolated(spark, sf_dir):
 def plate_grid(spark, sf_dir):
     col, size = F.col("col"), F.col("size")
     return wells(spark, sf_dir).groupBy("row").agg(F.max(F.when(col <= 4, size).otherwise(0)).alias("a"), F.max(F.when(col.between(5, 8), size).otherwise(0)).alias("b"), F.max(F.when(col >= 9, size).otherwise(0)).alias("c"))
+
+
+# ---- tests against a model, contingency, permutation nulls, curves
+
+NORMAL = "d as (select plate, median(measure) as m from screen group by plate), s as (select plate, any_value(m) as m, median(abs(measure - m)) / 0.6745 as s from screen join d using (plate) group by plate), c as (select plate, measure as v, count(*) as t from screen group by plate, measure), k as (select plate, v, t, sum(t) over (partition by plate order by v rows unbounded preceding) as c, sum(t) over (partition by plate) as n from c), z as (select plate, n, c, t, (v - m) / s as z from k join s using (plate))"
+
+
+@query("J43_ks_against_normal", f"{NORMAL}, f as (select plate, n, c, t, 1 - ({X.normal_sf_sql('z')}) as f from z) select plate, max(n)::bigint as n, {q6('max(greatest(abs(c / n - f), abs(f - (c - t) / n)))')} as d from f group by plate", "screen")
+def ks_against_normal(spark, sf_dir):
+    """Each plate's measures against the normal distribution with the plate's median and robust deviation."""
+    rows = screen(spark, sf_dir)
+    d = rows.groupBy("plate").agg(F.percentile("measure", 0.5).alias("m"))
+    s = rows.join(F.broadcast(d), "plate").groupBy("plate").agg(F.first("m").alias("m"), (F.percentile(F.abs(F.col("measure") - F.col("m")), 0.5) / 0.6745).alias("s"))
+    c = rows.groupBy("plate", F.col("measure").alias("v")).agg(F.count("*").alias("t"))
+    plate = W.partitionBy("plate")
+    k = c.withColumns({"c": F.sum("t").over(plate.orderBy("v").rowsBetween(W.unboundedPreceding, 0)), "n": F.sum("t").over(plate)}).join(F.broadcast(s), "plate")
+    f = 1 - X.normal_sf((F.col("v") - F.col("m")) / F.col("s"))
+    off = F.greatest(F.abs(F.col("c") / F.col("n") - f), F.abs(f - (F.col("c") - F.col("t")) / F.col("n")))
+    return k.groupBy("plate").agg(F.max("n").alias("n"), r6(F.max(off)).alias("d"))
+
+
+@query("J11_contingency_statistic", f"n as (select plate, cls, count(*) as n from objects group by plate, cls), e as (select a.plate, a.cls, a.n as o, b.n as c from n a join n b on b.plate = 0 and a.cls = b.cls where a.plate <> 0), t as (select *, sum(o) over (partition by plate) as so, sum(c) over (partition by plate) as sc from e) select plate, count(*) as classes, {q6('sum((o * sqrt(sc / so) - c * sqrt(so / sc)) ** 2 / (o + c))')} as chi2 from t group by plate", "objects")
+def contingency_statistic(spark, sf_dir):
+    """Chi-square of the class counts of a plate against the control plate's."""
+    n = objects(spark, sf_dir).groupBy("plate", "cls").agg(F.count("*").alias("o"))
+    t = n.where("plate <> 0").join(n.where("plate = 0").select("cls", F.col("o").alias("c")), "cls")
+    plate = W.partitionBy("plate")
+    t = t.withColumns({"so": F.sum("o").over(plate), "sc": F.sum("c").over(plate)})
+    off = F.col("o") * F.sqrt(F.col("sc") / F.col("so")) - F.col("c") * F.sqrt(F.col("so") / F.col("sc"))
+    return t.groupBy("plate").agg(F.count("*").alias("classes"), r6(F.sum(off * off / (F.col("o") + F.col("c")))).alias("chi2"))
+
+
+@query("M18_rank_product_null")
+def rank_product_null(spark, sf_dir):
+    return M.rank_product_null(screen(spark, sf_dir), "gene", "batch", "measure", 50, 23)
+
+
+@query("J50_lowess")
+def lowess(spark, sf_dir):
+    n = objects(spark, sf_dir).groupBy("plate", "frame", "cls").agg(F.count("*").alias("n"))
+    share = (F.col("n") / F.sum("n").over(W.partitionBy("plate", "frame"))).alias("v")
+    return smoothing.smoothed(n.select("plate", "cls", "frame", share), ["plate", "cls"])
+
+
+@query("K26_two_segment_paths")
+def two_segment_paths(spark, sf_dir):
+    classes = [F.count_if(F.col("cls") == c) / F.count("*") for c in ("click", "purchase", "view")]
+    return smoothing.two_segment_paths(objects(spark, sf_dir).groupBy("plate", "frame").agg(F.array(*classes).alias("p")), "plate")
+
+
+@query("Q05_random_placement_null")
+def random_placement_null(spark, sf_dir):
+    """Hits with a neighbour, and how many there are on average when as many hits are placed by a seeded hash, in 20 runs."""
+    rows = wells(spark, sf_dir)
+    runs = F.explode(F.sequence(F.lit(0), F.lit(20))).alias("run")
+    real = rows.where("size > 40").select(F.lit(-1).alias("run"), "position").distinct()
+    n = real.agg(F.count("*").alias("n"))
+    order = F.row_number().over(W.partitionBy("run").orderBy(F.xxhash64(F.lit(31), "run", "position")))
+    null = rows.select("position").distinct().select("position", runs).withColumn("k", order).crossJoin(F.broadcast(n)).where("k <= n").select("run", "position")
+    near = Q.isolated(real.union(null), ["run"]).groupBy("run").agg(F.count_if("has_neighbour").alias("with_neighbour"), F.count("*").alias("hits"))
+    return near.groupBy((F.col("run") < 0).alias("observed")).agg(F.round(F.avg("with_neighbour"), 3).alias("with_neighbour"), F.round(F.avg("hits"), 3).alias("hits"))

@@ -116,3 +116,30 @@ def rolling_windows(spark, sf_dir):
     """The batch result of streaming.tumbling, which the streaming tests compare with."""
     rows = table(spark, sf_dir, "events").groupBy((F.col("user_id") % 5).alias("plate"), F.window("ts", "6 hours").alias("w")).agg(F.count("*").alias("n"), r6(F.sum("value")).alias("total"))
     return rows.select("plate", F.col("w.start").cast("timestamp_ntz").alias("start"), "n", "total")
+
+
+@query("N05_link_distances", f"{MUTUAL} select floor(d)::bigint as bin, count(*) as n, {q6('avg(d)')} as mean from l group by 1", "objects")
+def link_distances(spark, sf_dir):
+    return _links(spark, sf_dir).groupBy(F.floor("d").alias("bin")).agg(F.count("*").alias("n"), r6(F.avg("d")).alias("mean"))
+
+
+@query("N21_joint_features", f"{MUTUAL}, o as (select label, x, y, cls from objects) select a.cls = b.cls as same_class, count(*) as n, {q6('sum(abs(b.x - a.x))')} as fx, {q6('sum(abs(b.y - a.y))')} as fy from l join o a using (label) join o b on b.label = l.to_label group by 1", "objects")
+def joint_features(spark, sf_dir):
+    cls = objects(spark, sf_dir).select("label", "cls")
+    rows = _links(spark, sf_dir).join(cls, "label").join(cls.select(F.col("label").alias("to_label"), F.col("cls").alias("to_cls")), "to_label")
+    return rows.groupBy((F.col("cls") == F.col("to_cls")).alias("same_class")).agg(F.count("*").alias("n"), r6(F.sum(F.abs(F.col("to_x") - F.col("x")))).alias("fx"), r6(F.sum(F.abs(F.col("to_y") - F.col("y")))).alias("fy"))
+
+
+@query("N23_folds", f"f as (select unnest([0, 1, 2, 3, 4]) as fold), b as (select fold, min(x) as low, max(x) as high from objects, f where frame % 5 <> fold group by fold) select fold, count(*) as n, {q6('avg(2 * (x - low) / (high - low + 1e-7) - 1)')} as scaled from objects join b on frame % 5 = fold group by fold", "objects")
+def folds(spark, sf_dir):
+    """Five folds by frame; each fold is scaled with the bounds of the others. Bounds come from per-fold bounds, not from five scans."""
+    rows = objects(spark, sf_dir).withColumn("fold", F.col("frame") % 5)
+    own = rows.groupBy("fold").agg(F.min("x").alias("low"), F.max("x").alias("high"))
+    others = own.select("fold").join(F.broadcast(own.withColumnRenamed("fold", "other")), F.col("fold") != F.col("other")).groupBy("fold").agg(F.min("low").alias("low"), F.max("high").alias("high"))
+    return rows.join(F.broadcast(others), "fold").groupBy("fold").agg(F.count("*").alias("n"), r6(F.avg(2 * (F.col("x") - F.col("low")) / (F.col("high") - F.col("low") + 1e-7) - 1)).alias("scaled"))
+
+
+@query("R06_switch_states", "select track_id, frame, (case when (frame + track_id) % 7 < 4 then 0 else 1 end)::int as state from track_points where frame < 30", "track_points")
+def switch_states(spark, sf_dir):
+    """A two-state machine that stays four frames in the first state and three in the second, with a phase for each track."""
+    return track_points(spark, sf_dir).where("frame < 30").select("track_id", "frame", F.when((F.col("frame") + F.col("track_id")) % 7 < 4, 0).otherwise(1).alias("state"))

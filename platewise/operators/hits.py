@@ -38,3 +38,15 @@ def extremal_difference(curves: DataFrame, control: DataFrame, keys: list[str],
     # rounded, so that a tie is a tie whatever the order of the sums
     both = both.withColumn("d ", F.round("d ", 9))
     return both.groupBy(*keys).agg(F.min_by("d ", F.struct(-F.abs("d "), *at)).alias("score"))
+
+
+def rank_product_null(rows: DataFrame, condition: str, batch: str, value: str, runs: int, seed: int) -> DataFrame:
+    """condition, rank_product, false_positives: how many null rank products in a run, on average, are as small. In each of runs
+    permutations the conditions of a batch are ranked by a seeded hash; real and null products are merged and counted in one sort."""
+    real = rank_product(rows, condition, batch, value, missing=False).select(condition, F.round("rank_product", 9).alias("rank_product"))
+    per = rows.select(batch, condition).distinct().withColumn("run", F.explode(F.sequence(F.lit(1), F.lit(runs))))
+    r = F.row_number().over(W.partitionBy("run", batch).orderBy(F.xxhash64(F.lit(seed), "run", batch, condition), condition))
+    null = per.withColumn("r", r).groupBy("run", condition).agg(F.exp(F.sum(F.ln("r")) / F.count("*")).alias("rank_product"))
+    both = real.select(F.col("rank_product").alias("v"), F.lit(0).alias("k")).union(null.select(F.round("rank_product", 9), F.lit(1))).groupBy("v").agg(F.sum("k").alias("k"))
+    upto = both.select("v", F.sum("k").over(W.orderBy("v").rowsBetween(W.unboundedPreceding, 0)).alias("c"))
+    return real.join(upto, F.col("rank_product") == F.col("v")).select(condition, "rank_product", (F.col("c") / runs).alias("false_positives"))
