@@ -116,17 +116,15 @@ def hull_area(x: np.ndarray, y: np.ndarray) -> float:
 
 def ball_cover(x: np.ndarray, y: np.ndarray, radius: float) -> tuple[int, float]:
     """Greedy cover of a path: the ball that holds the longest run of consecutive points that are left is taken first. Count, and entropy / log n."""
-    left, sizes, n = np.ones(len(x), bool), [], len(x)
+    left, sizes, n, at = np.ones(len(x), bool), [], len(x), np.arange(len(x))
     near = (x[:, None] - x) ** 2 + (y[:, None] - y) ** 2 <= radius * radius
     while left.any():
-        best = (0, 0, 0)
-        for i in np.flatnonzero(left):
-            inside = np.flatnonzero(near[i] & left)
-            runs = np.split(inside, np.flatnonzero(np.diff(inside) != 1) + 1)
-            run = max(runs, key=len)
-            best = max(best, (len(run), -int(run[0]), int(run[-1])))
-        length, first, last = best[0], -best[1], best[2]
-        left[first : last + 1] = False
+        inside = near & left & left[:, None]
+        # length of the run of points inside a ball (a row) that ends at each point
+        run = np.where(inside, at - np.maximum.accumulate(np.where(inside, -1, at), axis=1), 0)
+        length = int(run.max())
+        last = int(np.flatnonzero((run == length).any(axis=0))[0])
+        left[last - length + 1 : last + 1] = False
         sizes.append(length)
     p = np.array(sizes) / n
     return len(sizes), float(-(p * np.log(p)).sum() / np.log(n)) if n > 1 else 0.0
