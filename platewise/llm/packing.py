@@ -12,6 +12,7 @@ null. Extra columns are ignored; an empty table gives no rows.
 
 from __future__ import annotations
 
+import re
 import zlib
 from bisect import bisect_left, insort
 from collections import Counter
@@ -33,9 +34,19 @@ def vocabulary(name: str = VOCABULARY) -> str:
     return public_tokenizers.path(name)
 
 
+#: Chunks whose tokens need no normalizer but lower case: Latin letters up to U+012F, digits and signs; neither contractions nor special tokens.
+PLAIN = re.compile("[!-~\u00a1-\u012f]+")
+LETTER, NUMBER = "a-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f", "0-9\u00b2\u00b3\u00b9\u00bc-\u00be"
+PARTS = re.compile(f"[{LETTER}]+|[{NUMBER}]|[^{LETTER}{NUMBER}]+")
+_SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+#: Bytes as the vocabulary writes them: shown characters are themselves, the others follow from U+0100 on.
+BYTES = {b: chr(b) for b in _SHOWN} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in _SHOWN)}
+
+
 class Tokens:
     """Ids of chunks without ASCII white space, remembered in two generations of bounded size. This tokenizer drops white space
-    and never merges across it, so a text's ids are its chunks' ids in order."""
+    and never merges across it, so a text's ids are its chunks' ids in order. Plain chunks are split into their parts here and go to the
+    vocabulary's model directly, the others through the whole tokenizer."""
 
     LIMIT = 300_000
     #: One for each vocabulary in a worker, kept from task to task.
@@ -44,7 +55,8 @@ class Tokens:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.young, self.old = Tokenizer.from_file(path), {}, {}
+        self.tokenizer, self.young, self.old, self.parts = Tokenizer.from_file(path), {}, {}, {}
+        self.model = self.tokenizer.model
 
     @classmethod
     def at(cls, path: str) -> Tokens:
@@ -52,9 +64,20 @@ class Tokens:
             cls.KEPT[path] = cls(path)
         return cls.KEPT[path]
 
+    def _part(self, part: str) -> bytes:
+        if len(self.parts) >= self.LIMIT:
+            self.parts.clear()
+        shown = part if part.isascii() else "".join([BYTES[b] for b in part.encode()])
+        ids = self.parts[part] = np.array([t.id for t in self.model.tokenize(shown)], "<u4").tobytes()
+        return ids
+
     def _chunk(self, chunk: bytes) -> bytes:
         if (ids := self.old.get(chunk)) is None:
-            ids = np.array(self.tokenizer.encode(chunk.decode("utf-8"), add_special_tokens=False).ids, "<u4").tobytes()
+            text = chunk.decode("utf-8")
+            if PLAIN.fullmatch(text) and "'" not in text and "<|" not in text:
+                ids = b"".join([self.parts.get(p) or self._part(p) for p in PARTS.findall(text.lower())])
+            else:
+                ids = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         if len(self.young) >= self.LIMIT:
             self.young, self.old = {}, self.young
         self.young[chunk] = ids
