@@ -68,6 +68,7 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _VALUE = np.where(_SPACE, np.uint64(0), _TABLES.integers(0, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1))
 _WEIGHT, _WEIGHTS = (_TABLES.integers(0, 2**63, 4096, dtype=np.uint64) * np.uint64(2) + np.uint64(1) for _ in range(2))
+_WEIGHTS[0] = 1  # a segment's hash is the same with and without a longer one beside it
 
 
 def word_starts(text: bytes) -> tuple[np.ndarray, np.ndarray]:

@@ -62,6 +62,18 @@ def test_rolled_hashes_tell_sequences_apart():
     assert len(set(common.word_hashes(b"x" * 5000 + b" " + b"x" * 5001 + b" x").tolist())) == 3
 
 
+@pytest.mark.parametrize("odd", ["x" * 5000, "y" + " " * 5000], ids=["long word", "blanks"])
+def test_a_long_word_or_blanks_leave_the_other_words_hashes(spark, odd):
+    rng = random.Random(6)
+    words = [f"u{rng.randrange(10**6)}" for _ in range(100)]
+    assert common.word_hashes(f"{odd} a b".encode())[1:].tolist() == common.word_hashes(b"a b").tolist()
+    rows = [(1, " ".join(words)), (2, " ".join([*words[:50], odd, *words[50:]]))]
+    table = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert {r["doc_id"]: r["component_id"] for r in neardup.components(table, 5).collect()} == {1: 1, 2: 1}
+    got = sorted(tuple(r) for r in substrings.digest(table).collect())
+    assert got == sorted(brute_kept(rows)) and [r[2] for r in got] == [0, 100]
+
+
 def test_op1_base_places_and_method(docs, rows):
     got = sorted(map(tuple, licenses.scan(docs).collect()), key=str)
     want = []
