@@ -16,7 +16,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import zlib
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 
 import numpy as np
 import pyarrow as pa
@@ -125,7 +125,9 @@ def write_index(archives: DataFrame) -> tuple[DataFrame, list[tuple[str, int]]]:
     n = archives.agg(F.sum(F.size("page"))).first()[0] or 0
     per_block = max(PER_BLOCK, -(-2 * n // DIRECTORY))
     parts = max(1, -(-n // (per_block * 64)))
-    ordered = lines.repartitionByRange(parts, "key").sortWithinPartitions("key").withColumn("task", F.spark_partition_id().cast("bigint"))
+    # by the place too, so that captures with one key are dealt out over parts
+    order = "key", "archive", "chunk", "start"
+    ordered = lines.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("task", F.spark_partition_id().cast("bigint"))
 
     def make():
         held, block, task = [], 0, 0
@@ -154,15 +156,25 @@ def write_index(archives: DataFrame) -> tuple[DataFrame, list[tuple[str, int]]]:
 
 
 def find(keys: DataFrame, blocks: DataFrame, directory: list[tuple[str, int]]) -> DataFrame:
-    """archive, chunk, start, bytes of each capture in keys (column key), by bisection of the directory and then of the block."""
+    """archive, chunk, start, bytes of each capture in keys (column key), by bisection of the directory and then of the blocks: captures
+    with one key may lie in several."""
     shared = keys.sparkSession.sparkContext.broadcast(directory)
 
     def make_first():
         firsts, at = [k for k, _ in shared.value], [b for _, b in shared.value]
+        wide = set()  # keys that lie in several blocks, of which there are fewer than blocks: a task asks for them once
 
         def work(batch):
-            found = [at[max(0, bisect_right(firsts, k) - 1)] if at else -1 for k in batch["key"]]
-            return {"key": batch["key"], "block": found}
+            out = [], []
+            for k in batch["key"]:
+                low, high = max(0, bisect_left(firsts, k) - 1), bisect_right(firsts, k)
+                if high - low > 1:
+                    if k in wide:
+                        continue
+                    wide.add(k)
+                out[0].extend([k] * (high - low))
+                out[1].extend(at[low:high])
+            return dict(zip(("key", "block"), out, strict=True))
 
         return work
 

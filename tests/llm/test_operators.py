@@ -320,6 +320,13 @@ def test_op9_round_trip_and_lookup(spark):
     assert warc.round_trip(pages.limit(0)).count() == 0
 
 
+def test_op9_one_key_in_several_blocks(spark):
+    rows = [(i, f"http://h.org/{i}", f"<p>{i}</p>") for i in range(300)] + [(None, None, f"<p>{i % 50}</p>") for i in range(2 * warc.PER_BLOCK + 1)]
+    rows += [(300, "http://h.org/300", "<p>again</p>")] * (warc.PER_BLOCK + 1) + [(i, f"http://h.org/{i}", None) for i in range(301, 400)]
+    got = warc.round_trip(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()
+    assert sorted((str(r["page_id"]), r["payload_digest"]) for r in got) == sorted((str(p), base64.b32encode(hashlib.sha1((h or "").encode()).digest()).decode()) for p, _, h in rows)
+
+
 def brute_kept(rows):
     seen, out = {}, []
     docs = {}
