@@ -11,7 +11,8 @@ document alone is looked up in that document. Texts that are whole copies of an
 
 Nulls and edges: a null or empty text has no words. A document shorter than WINDOW words keeps all of them. A null doc_id comes after
 all others. Rows with the same doc_id are one document and should have one text; repeated rows give equal results and do not remove
-each other. Extra columns are ignored; an empty table gives no rows.
+each other. Rows with a null doc_id are one document for each text, in the order of the texts' hashes. Extra columns are ignored; an
+empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -19,14 +20,14 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from platewise.llm.common import Bloom, as_long, bloom, map_rows, mix, rolled, saved, word_hashes
 
 WINDOW = 20
 ANCHOR = 6
-LAST = 2**63 - 1
+LAST, NONE = 2**63 - 1, -(2**63)
 
 
 def anchors_of(h: np.ndarray, window: int, anchor: int) -> np.ndarray:
@@ -38,31 +39,38 @@ def anchors_of(h: np.ndarray, window: int, anchor: int) -> np.ndarray:
     return a
 
 
-def _keyed(docs: DataFrame, text: str) -> DataFrame:
-    """text, doc (doc_id, nulls last), and the two halves of the text's hash."""
+def _keys(text: str) -> tuple[Column, Column, Column, Column]:
+    """A document's key, doc (doc_id, nulls last) and own (tells null doc_ids apart by their text), and the two halves of the text's hash."""
     x = F.coalesce(F.col(text), F.lit(""))
-    return docs.select(x.alias("text"), F.coalesce("doc_id", F.lit(LAST)).alias("doc"), F.xxhash64(x).alias("h1"), F.xxhash64(F.lit(1), x).alias("h2"))
+    h1, h2 = F.xxhash64(x), F.xxhash64(F.lit(1), x)
+    return F.coalesce("doc_id", F.lit(LAST)), F.when(F.col("doc_id").isNull(), h1).otherwise(F.lit(NONE)), h1, h2
+
+
+def _keyed(docs: DataFrame, text: str) -> DataFrame:
+    """text, doc, own, h1, h2."""
+    doc, own, h1, h2 = _keys(text)
+    return docs.select(F.coalesce(F.col(text), F.lit("")).alias("text"), doc.alias("doc"), own.alias("own"), h1.alias("h1"), h2.alias("h2"))
 
 
 def factors(docs: DataFrame, text: str = "text", window: int = WINDOW, anchor: int = ANCHOR) -> tuple[DataFrame, Bloom]:
-    """doc, start, length, reference (arrays, in order) of each parsed document with a factor, and the filter of first copies of texts:
+    """doc, own, at, reference (arrays: the windows that occur earlier) of each parsed document with a factor, and the filter of first copies of texts:
     a document outside it is a whole copy and is not parsed."""
     spark = docs.sparkSession
     keyed = _keyed(docs, text)
     copy = F.xxhash64("h1", "h2", "doc").alias("copy")
     firsts = bloom(saved(keyed.groupBy("h1", "h2").agg(F.min("doc").alias("doc")).select(copy), "first-copies"), "copy")
     first_copies = spark.sparkContext.broadcast(firsts)
-    rows = keyed.select("text", "doc", copy)
+    rows = keyed.select("text", "doc", "own", copy)
 
     def parsed(batch):
         keep = first_copies.value.has(np.array(batch["copy"], np.int64).view(np.uint64))
-        for words, doc, first in zip(batch["text"], batch["doc"], keep, strict=True):
+        for words, doc, own, first in zip(batch["text"], batch["doc"], batch["own"], keep, strict=True):
             if first and len(h := word_hashes(words)) >= window:
-                yield doc, h
+                yield doc, own, h
 
     def make_anchors():
         def work(batch):
-            found = [np.unique(anchors_of(h, window, anchor)) for _, h in parsed(batch)]
+            found = [np.unique(anchors_of(h, window, anchor)) for _, _, h in parsed(batch)]
             return {"anchor": as_long(np.concatenate(found))} if found else None
 
         return work
@@ -72,8 +80,8 @@ def factors(docs: DataFrame, text: str = "text", window: int = WINDOW, anchor: i
 
     def make_blocks():
         def work(batch):
-            out = [], [], [], []
-            for doc, h in parsed(batch):
+            out = [], [], [], [], []
+            for doc, own, h in parsed(batch):
                 blocks = rolled(h, window)
                 order = np.argsort(blocks, kind="stable")
                 again = np.zeros(len(blocks), bool)
@@ -83,20 +91,24 @@ def factors(docs: DataFrame, text: str = "text", window: int = WINDOW, anchor: i
                     # what a document has again needs no reference: any key does, and one of its own spreads a line repeated very often
                     out[0].append(np.where(again[at], mix(blocks[at] + mix(at.astype(np.uint64))), blocks[at]))
                     out[1].append(np.full(len(at), doc, np.int64))
-                    out[2].append(at.astype(np.int32))
-                    out[3].append(again[at])
+                    out[2].append(np.full(len(at), own, np.int64))
+                    out[3].append(at.astype(np.int32))
+                    out[4].append(again[at])
             if out[0]:
-                block, doc, at, again = map(np.concatenate, out)
-                return {"block": as_long(block), "doc": doc, "at": at, "again": again}
+                block, doc, own, at, again = map(np.concatenate, out)
+                return {"block": as_long(block), "doc": doc, "own": own, "at": at, "again": again}
 
         return work
 
-    blocks = map_rows(rows, "block bigint, doc bigint, at int, again boolean", make_blocks, binary=("text",))
+    blocks = map_rows(rows, "block bigint, doc bigint, own bigint, at int, again boolean", make_blocks, binary=("text",))
     # counted where they are first; blocks that a document has again are duplicates already and weigh nothing here
-    index = blocks.where(~F.col("again")).groupBy("block").agg(F.min("doc").alias("reference"))
-    earlier = blocks.join(index, "block", "left").where(F.col("again") | (F.col("doc") > F.col("reference")))
-    of_document = earlier.groupBy("doc").agg(F.collect_list(F.struct("at", "reference")).alias("found"))
-    return of_document.select("doc", F.col("found.at").alias("at"), F.col("found.reference").alias("reference")), firsts
+    index = blocks.where(~F.col("again")).groupBy("block").agg(F.min("doc").alias("reference"), F.min("own").alias("own_reference"))
+    # own counts only where all documents of a block have a null doc_id; it is NONE in the others and in their minimum
+    later = (F.col("doc") > F.col("reference")) | ((F.col("doc") == F.col("reference")) & (F.col("own") > F.col("own_reference")))
+    earlier = blocks.join(index, "block", "left").where(F.col("again") | later)
+    # a set: repeated rows, of which there may be any number, have the same windows
+    of_document = earlier.groupBy("doc", "own").agg(F.collect_set(F.struct("at", "reference")).alias("found"))
+    return of_document.select("doc", "own", F.col("found.at").alias("at"), F.col("found.reference").alias("reference")), firsts
 
 
 def greedy(at: np.ndarray, reference: np.ndarray, window: int) -> tuple[list[int], list[int], list[int]]:
@@ -126,10 +138,9 @@ def deduplicated(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) ->
 def _applied(docs, text, window, anchor, schema, keep, result, whole=None):
     found, firsts = factors(docs, text, window, anchor)
     first_copies = docs.sparkSession.sparkContext.broadcast(firsts)
-    x = F.coalesce(F.col(text), F.lit(""))
-    doc = F.coalesce("doc_id", F.lit(LAST))
-    rows = docs.select("doc_id", F.col(text).alias("text "), doc.alias("doc "), F.xxhash64(F.xxhash64(x), F.xxhash64(F.lit(1), x), doc).alias("copy "), *keep)
-    joined = rows.join(found.withColumnRenamed("doc", "doc "), "doc ", "left").select("doc_id", "text ", "copy ", F.col("at").alias("at "), F.col("reference").alias("reference "), *keep)
+    doc, own, h1, h2 = _keys(text)
+    rows = docs.select("doc_id", F.col(text).alias("text "), doc.alias("doc "), own.alias("own "), F.xxhash64(h1, h2, doc).alias("copy "), *keep)
+    joined = rows.join(found.withColumnsRenamed({"doc": "doc ", "own": "own "}), ["doc ", "own "], "left").select("doc_id", "text ", "copy ", F.col("at").alias("at "), F.col("reference").alias("reference "), *keep)
 
     def make():
         def work(batch):

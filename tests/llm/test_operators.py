@@ -368,6 +368,20 @@ def test_op10_random_repeats(spark):
     assert sorted(got) == sorted(brute_kept(rows))
 
 
+def test_op10_null_ids_are_documents_of_their_own(spark):
+    rng = random.Random(12)
+    unique = lambda n: " ".join(f"u{rng.randrange(10**6)}" for _ in range(n))
+    shared, between, short = unique(40), unique(30), unique(25)
+    texts = [f"{unique(50)} {shared} {between}", f"{unique(9)} {between} {unique(70)}", short, short, f"{unique(3)} {shared}", None]
+    table = spark.createDataFrame([(1, f"{shared} {unique(30)}"), *[(None, t) for t in texts]], "doc_id bigint, text string")
+    order = {r["text"]: r["h"] for r in table.select("text", F.xxhash64("text").alias("h")).collect()}
+    # one number for each text, null ids after the others and in the order of their hashes
+    numbered = [(1, table.first()["text"])] + [(i, t) for i, t in enumerate(sorted(set(texts) - {None}, key=order.get), 2)]
+    want = {t: r[1:] for (_, t), r in zip(numbered, brute_kept(numbered), strict=True)} | {None: (0, 0, hashlib.sha256(b"").hexdigest())}
+    got = sorted(tuple(r) for r in substrings.digest(table).select("n_words", "n_removed", "kept_sha256").collect())
+    assert got == sorted(want[r["text"]] for r in table.collect()) and sum(r[1] for r in got) == 40 + 40 + 30
+
+
 def test_bloom_has_no_false_negatives(spark):
     f = common.bloom(spark.range(5000).select((F.col("id") * 977).alias("k")), "k")
     assert f.has(np.arange(0, 5000 * 977, 977, dtype=np.int64).view(np.uint64)).all()
