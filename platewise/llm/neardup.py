@@ -5,10 +5,12 @@ with fewer words than a shingle, the whole sequence is the one shingle). Documen
 and only one of each group goes on. Its BANDS * ROWS MinHash samples give the bands, and are folded into a parity bitmap of BITS bits: the
 population count of the XOR of two bitmaps estimates the share of samples that differ, hence the similarity.
 
-Pairs are never listed bucket by bucket. Each bucket's members are tied to its most connected member (a star); stars whose odd sketches
-pass are verified on the full sets. Families (buckets joined by stars with some similarity at all) that this leaves in several components
-go through an exhaustive check: the members outside the family's largest component against all others, in blocks of BLOCK rows, odd sketch
-first and full sets after. So every link between documents that share a bucket counts, and a large group of copies costs one star.
+Pairs are not listed bucket by bucket. Each bucket's members are tied to its most connected member (a star); stars whose odd sketches
+pass are verified on the full sets. Members whose star shows no similarity are compared, by odd sketch, with the bucket's other members
+(but those so near the centre that they cannot be near copies of the former) in blocks of BLOCK rows, and tied to what passes. Families
+(buckets joined by stars with some similarity at all) that this leaves in several components go through an exhaustive check: the members
+outside the family's largest component against all others, in blocks of BLOCK rows, odd sketch first and full sets after. So every link
+between documents that share a bucket counts, and a large group of copies costs one star.
 
 Nulls and edges: a null text, or one without words, has an empty set, is linked with nothing and is its own component. Rows that share
 a doc_id are one document. A row with a null doc_id takes the component of documents with an equal set, else null, and is kept
@@ -64,7 +66,7 @@ def estimate(differing: np.ndarray) -> np.ndarray:
 
 
 #: The largest population count whose estimate is still at least the bound.
-_MOST = {bound: int(max(d for d in range(BITS // 2) if estimate(np.float64(d)) >= bound)) for bound in (DOUBT, FAMILY)}
+_MOST = {bound: int(max(d for d in range(BITS // 2) if estimate(np.float64(d)) >= bound)) for bound in (SIMILARITY, DOUBT, FAMILY)}
 
 
 def sketch(docs: DataFrame, shingle: int, text: str = "text") -> DataFrame:
@@ -149,10 +151,11 @@ def links(docs: DataFrame, shingle: int, text: str = "text") -> tuple[DataFrame,
     sizes = rows.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
     members = saved(rows.join(sizes, "bucket"), "members")
     weight = members.groupBy("id").agg(F.sum("n").alias("weight"))
-    centres = members.join(weight, "id").groupBy("bucket").agg(F.max_by("id", F.struct("weight", "id")).alias("centre"))
+    centres = saved(members.join(weight, "id").groupBy("bucket").agg(F.max_by("id", F.struct("weight", "id")).alias("centre")), "centres")
     stars = members.join(centres, "bucket").where("id != centre").select("id", "centre").distinct()
     stars = stars.join(odd, "id").join(odd.select(F.col("id").alias("centre"), F.col("odd").alias("odd_centre")), "centre")
-    stars = saved(stars.select("id", "centre", _differing("odd", "odd_centre").alias("differing")).where(F.col("differing") <= _MOST[FAMILY]), "stars")
+    judged = saved(stars.select("id", "centre", _differing("odd", "odd_centre").alias("differing")), "judged")
+    stars = saved(judged.where(F.col("differing") <= _MOST[FAMILY]).union(_rejected(members, centres, judged, odd)), "stars")
     ids = saved(stars.select("id").union(stars.select("centre")).distinct(), "ids")
     sets = saved(full_sets(docs, ids, shingle, text), "sets")
     doubtful = stars.where(F.col("differing") <= _MOST[DOUBT])
@@ -167,6 +170,46 @@ def links(docs: DataFrame, shingle: int, text: str = "text") -> tuple[DataFrame,
     return every, groups
 
 
+def _rejected(members: DataFrame, centres: DataFrame, judged: DataFrame, odd: DataFrame) -> DataFrame:
+    """id, centre, differing of members that their bucket's centre rejects and members of that bucket whose odd sketches pass as doubtful:
+    of all such pairs in a block, as many as connect what they connect."""
+    loose = judged.where(F.col("differing") > _MOST[SIMILARITY]).select("id", "centre", (F.col("differing") > _MOST[FAMILY]).alias("rejected"))
+    pool = saved(members.where("n > 2").join(centres, "bucket").join(loose, ["id", "centre"]).select("bucket", "id", "rejected"), "pool")
+    marks = [F.bit_xor(F.xxhash64(F.lit(i), "id", "rejected")).alias(f"mark{i}") for i in range(2)]
+    shape = pool.groupBy("bucket").agg(F.count("*").alias("m"), F.max("rejected").alias("any"), *marks).where("any and m > 1")
+    # of buckets with the same members, one
+    shape = saved(shape.groupBy("m", "mark0", "mark1").agg(F.min("bucket").alias("bucket")), "shape")
+    # small buckets are packed, about BLOCK rows together; large ones are cut into blocks, and every two blocks meet
+    packs = -(-(shape.where(F.col("m") <= BLOCK).agg(F.sum("m")).first()[0] or 1) // BLOCK)
+    n = F.ceil(F.col("m") / BLOCK).cast("int")
+    block = F.pmod(F.xxhash64("id"), n).cast("int")
+    pack = F.when(F.col("m") <= BLOCK, F.pmod(F.xxhash64("bucket"), F.lit(packs))).otherwise(F.col("bucket"))
+    rows = pool.join(shape.select("bucket", "m"), "bucket").select("bucket", "id", "rejected", pack.alias("pack"), n.alias("blocks"), block.alias("block"))
+    cell = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least("block", j).alias("i"), F.greatest("block", j).alias("j")))
+    rows = rows.select("bucket", "id", "rejected", "pack", F.explode(cell).alias("cell")).join(odd, "id").select("pack", "cell.*", "bucket", "id", "rejected", "odd")
+    most = _MOST[DOUBT]
+
+    def check(pdf):
+        import pandas as pd
+
+        pdf = pdf.sort_values(["bucket", "id"])
+        bucket, every, is_rejected = (pdf[c].to_numpy() for c in ("bucket", "id", "rejected"))
+        sketches, out = np.stack(pdf["odd"].to_numpy()).view(np.uint64), []
+        cuts = np.r_[0, np.flatnonzero(bucket[1:] != bucket[:-1]) + 1, len(bucket)]
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            ids, bitmaps, part = every[a:b], sketches[a:b], np.arange(b - a)
+            for x in np.flatnonzero(is_rejected[a:b]):
+                differing = np.bitwise_count(bitmaps ^ bitmaps[x]).sum(axis=1, dtype=np.int64)
+                near = np.flatnonzero((differing <= most) & (part != part[x]))
+                if len(near):
+                    parts, first = np.unique(part[near], return_index=True)
+                    out += [(ids[x], ids[y], differing[y]) for y in near[first]]
+                    part[np.isin(part, parts)] = part[x]
+        return pd.DataFrame(out, columns=["id", "centre", "differing"]).astype("int64")
+
+    return rows.groupBy("pack", "i", "j").applyInPandas(check, "id bigint, centre bigint, differing bigint")
+
+
 def _rest(families: DataFrame, first: DataFrame, sets: DataFrame, odd: DataFrame) -> DataFrame:
     """Links (a, b) inside families that are in several components so far, between members of different components."""
     placed = families.select(F.col("node").alias("id"), F.col("component").alias("family")).join(first.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("component", F.coalesce("component", "id"))

@@ -285,6 +285,19 @@ def test_op8_chain_far_from_the_centre(spark):
     assert got == want and 1 < len(set(want.values())) < len(rows)
 
 
+def test_op8_near_copies_that_their_centre_rejects(spark, monkeypatch):
+    """All documents in one bucket, whose centre is like none of them; blocks of a few rows, so that pairs lie across blocks."""
+    rng = random.Random(10)
+    rows = [(i, " ".join(f"u{rng.randrange(10**6)}" for _ in range(100))) for i in range(20)]
+    rows += [(i + 20, f"{t} tail") for i, t in rows[:8]] + [(99, " ".join(f"u{rng.randrange(10**6)}" for _ in range(100)))]
+    sketch = neardup.sketch
+    one = lambda *a: sketch(*a).withColumn("bands", F.array(F.lit(1).cast("bigint")))
+    monkeypatch.setattr(neardup, "sketch", one)
+    monkeypatch.setattr(neardup, "BLOCK", 5)
+    got = {r["doc_id"]: r["component_id"] for r in neardup.components(spark.createDataFrame(rows, "doc_id bigint, text string"), 2).collect()}
+    assert got == {i: i - 20 if 20 <= i < 28 else i for i, _ in rows}
+
+
 def test_op8_odd_sketch_estimates():
     rng = np.random.default_rng(2)
     for share in (0.6, 0.8, 0.95):
