@@ -1,9 +1,9 @@
-"""Substring dedup: documents are parsed into factors against an index of reference blocks, in the manner of relative Lempel-Ziv.
+"""Substring dedup: windows of documents are looked up by hash in an index of reference blocks.
 
 Words are runs of other characters than ASCII white space, unchanged. A reference block is WINDOW consecutive words; its first place
-is the one in the smallest doc_id. The parse of a document is greedy: a factor begins at the first block that occurs earlier and runs
-on as long as the blocks that follow occur earlier in the same reference; where a factor ends, every block that lies across its
-boundary is looked up too, so no window is missed. All words of all factors are removed.
+is the one in the smallest doc_id. Every window of a document is looked up, and runs of consecutive windows that occur earlier in the
+same reference are its factors; no factor is extended against the reference's contents, as a relative Lempel-Ziv parse would do. All
+words of all factors are removed, which are the words of all windows that occur earlier.
 
 Only blocks that can occur twice are shuffled. The smallest hash among a block's ANCHOR-word shingles is the block's anchor: equal
 blocks have equal anchors. Anchors are counted over the corpus first (about one for eight words), and a block whose anchor is in one
