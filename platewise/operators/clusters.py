@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from platewise.functions.expressions import euclidean
 
-#: Centres up to which they are broadcast; past it rows and centres are joined block by block by Spark.
+#: Centres that are broadcast in one array; past it rows meet the centres in blocks of so many, one array each.
 MOST_CENTRES = 10_000
 
 
@@ -24,10 +24,15 @@ def mean_vectors(rows: DataFrame, keys: list[str], f: str = "f") -> DataFrame:
 
 
 def nearest(rows: DataFrame, centres: DataFrame, keep: list[str] | None = None) -> DataFrame:
-    """exp, label, d: the nearest centre (label, f) of each row, the smallest label of equals. Centres are few: they are gathered into one array."""
-    array = centres.orderBy("label").limit(MOST_CENTRES + 1).agg(F.array_sort(F.collect_list(F.struct("label", "f"))).alias("centres "))
-    best = F.array_min(F.transform("centres ", lambda c: F.struct(F.round(euclidean(F.col("f"), c["f"]), 9).alias("k"), c["label"].alias("label"), euclidean(F.col("f"), c["f"]).alias("d"))))
-    return rows.crossJoin(F.broadcast(array)).select("exp", *(keep or []), best.alias("b")).select("exp", *(keep or []), "b.label", "b.d")
+    """exp, label, d: the nearest centre (label, f) of each row, the smallest label of equals. Centres are gathered into arrays of about MOST_CENTRES."""
+    blocks = max(1, -(-centres.count() // MOST_CENTRES))
+    block, best = F.pmod(F.xxhash64("label"), F.lit(blocks)), None
+    for i in range(blocks):
+        array = centres.where(block == i).agg(F.array_sort(F.collect_list(F.struct("label", "f"))).alias("centres "))
+        of_block = F.array_min(F.transform("centres ", lambda c: F.struct(F.round(euclidean(F.col("f"), c["f"]), 9).alias("k"), c["label"].alias("label"), euclidean(F.col("f"), c["f"]).alias("d"))))
+        rows = rows.crossJoin(F.broadcast(array)).withColumn("b ", of_block if best is None else F.least("b ", of_block)).drop("centres ")
+        best = F.col("b ")
+    return rows.select("exp", *(keep or []), F.col("b ")["label"].alias("label"), F.col("b ")["d"].alias("d"))
 
 
 def kmeans_sweep(rows: DataFrame, ks, seed: int = 7) -> DataFrame:

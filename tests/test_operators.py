@@ -153,3 +153,13 @@ def test_renumbering_and_doses(spark):
 def test_empty_and_single_rows(spark, n):
     points = track(spark, [(0, 0)] * n)
     assert tracks.steps(points).count() == 0 and tracks.drift(points).count() == 0 and tracks.scaling(points).count() == 0 and tracks.shape_features(points, 1.0).count() == n
+
+
+def test_nearest_centre_past_one_array(spark, monkeypatch):
+    from platewise.operators import clusters
+
+    monkeypatch.setattr(clusters, "MOST_CENTRES", 3)
+    centres = spark.createDataFrame([(i, [float(i), 0.0]) for i in range(10)], "label bigint, f array<double>")
+    rows = spark.createDataFrame([(i, [i + 0.25, 1.0]) for i in range(10)] + [(10, [4.5, 0.0])], "exp bigint, f array<double>")
+    got = {r["exp"]: (r["label"], r["d"]) for r in clusters.nearest(rows, centres).collect()}
+    assert {e: c for e, (c, _) in got.items()} == {i: i for i in range(10)} | {10: 4} and all(math.isclose(got[i][1], math.hypot(0.25, 1)) for i in range(10))
