@@ -21,10 +21,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession) -> str:
-    """The shared folder of spark.checkpoint.dir; a folder of our own only where that is unset (tests on one machine)."""
+    """The shared folder of spark.checkpoint.dir; a folder of our own only where that is unset and Spark runs on one machine."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
         return root.rstrip("/")
+    if not spark.conf.get("spark.master", "local").startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     if not _OWN_SCRATCH:
         _OWN_SCRATCH.append("file://" + tempfile.mkdtemp(prefix="spark-platewise-", dir="/tmp"))
     return _OWN_SCRATCH[0]
@@ -38,6 +40,21 @@ def saved(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows, and about so many bytes of Arrow data, that are turned into Python objects at a time.
+PART_ROWS, PART_BYTES = 1024, 1 << 22
+
+
+def parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch of at most PART_ROWS rows and, but for single rows, about PART_BYTES."""
+    n = max(1, min(PART_ROWS, batch.num_rows * PART_BYTES // max(1, batch.nbytes)))
+    for at in range(0, batch.num_rows, n):
+        part = batch.slice(at, n)
+        if n > 1 and part.nbytes > 2 * PART_BYTES:  # long texts stand together here
+            yield from (part.slice(i, 1) for i in range(part.num_rows))
+        else:
+            yield part
+
+
 def map_rows(df: DataFrame, schema: str, make: Callable[[], Callable[[dict[str, list]], dict[str, Iterable] | None]], binary: tuple[str, ...] = (), finish: bool = False) -> DataFrame:
     """mapInArrow with lists. make() runs once in each task and returns a function from a batch's columns to output columns.
     Text columns named in binary arrive as UTF-8 bytes. With finish, the function is called once more with None at the end."""
@@ -52,13 +69,14 @@ def map_rows(df: DataFrame, schema: str, make: Callable[[], Callable[[dict[str,
             return pa.RecordBatch.from_arrays(arrays, names)
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                part = batch.slice(at, 1024)
+            for part in parts(batch):
                 columns = {n: (part.column(i).cast(pa.binary()) if n in binary else part.column(i)).to_pylist() for i, n in enumerate(part.schema.names)}
                 if (made := work(columns)) is not None:
                     yield out(made)
+            batch = part = columns = made = None
         if finish and (made := work(None)) is not None:
             yield out(made)
+        pa.default_memory_pool().release_unused()  # the worker lives on
 
     return df.mapInArrow(run, fields)
 

@@ -1,20 +1,28 @@
 """Best-fit packing: bulk-synchronous best-fit of token pieces into sequences of CAPACITY tokens.
 
-Lengths are whole numbers up to CAPACITY, so the range-sorted order of documents and of gaps is a run-length code of at most
-CAPACITY length classes each. Spark tokenizes, counts the classes and ranks every piece in its class. One sweep takes the largest
-length class left and runs through the successor gaps (the smallest gap that is large enough first); pieces of a class that want the
-same gap class are told apart by rank, gaps are updated, and the sweeps repeat until no class is left. A sweep's state is one row for
-each run of equal gaps, however many documents there are; Spark then applies the sweeps to all pieces by (length, rank).
+Lengths are whole numbers up to CAPACITY, so pieces and gaps, sorted by size, are run-length codes: a run of pieces is a length and an
+interval of ranks among the pieces of that length, a run of gaps is a size and an interval of sequences. Spark tokenizes and ranks all
+pieces; the runs are a table too, and every round of it is a Spark job:
+
+* range-sort: runs are dealt out by ranges of sizes and sorted in each;
+* successor sweeps: each range is swept by its own task. A gap takes the largest pieces that are no larger than it and that no smaller
+  gap has taken, as many of one run as fit. What a range can't match is carried to a sweep over the ranges' leftovers;
+* conflicts, where pieces of several runs want the same gaps, are resolved by rank: longer pieces and lower ranks first;
+* gaps are updated, and the next round begins. Rounds go on until no piece of the current phase fits; then sequences are opened,
+  as many as the pieces need at least. Phases go from long pieces to short ones (PHASES), so that short ones fill what is left.
+
+Nothing moves but runs, of which there are at most CAPACITY of pieces, and of gaps as many as rounds have made, whatever the number of
+documents. Their intervals are joined to the pieces in the end.
 
 Nulls and edges: a null text is empty and becomes one piece of one token. Repeated rows are separate documents. A null doc_id stays
-null. Extra columns are ignored; an empty table gives no rows.
+null. Extra columns are ignored; an empty table gives no rows. Any vocabulary file will do: the quick way of splitting plain words is
+taken only where a probe shows that it gives the file's own ids.
 """
 
 from __future__ import annotations
 
 import re
 import zlib
-from bisect import bisect_left, insort
 from collections import Counter
 
 import numpy as np
@@ -25,6 +33,9 @@ from pyspark.sql import functions as F
 from platewise.llm.common import map_rows, saved
 
 CAPACITY = 2048
+#: A phase packs the pieces longer than this share of the capacity; RANGES: of sizes, for the sweeps.
+PHASES = (1 / 2, 1 / 3, 1 / 4, 1 / 8, 0)
+RANGES = 16
 VOCABULARY = "word_bpe_49k.json"
 
 
@@ -44,11 +55,12 @@ BYTES = {b: chr(b) for b in _SHOWN} | {b: chr(256 + i) for i, b in enumerate(b f
 
 
 class Tokens:
-    """Ids of chunks without ASCII white space, remembered in two generations of bounded size. This tokenizer drops white space
-    and never merges across it, so a text's ids are its chunks' ids in order. Plain chunks are split into their parts here and go to the
-    vocabulary's model directly, the others through the whole tokenizer."""
+    """Ids of chunks without ASCII white space, remembered in two generations of bounded size. Where the tokenizer drops white space
+    and never merges across it, a text's ids are its chunks' ids in order, and plain chunks are split into their parts here and go to the
+    vocabulary's model directly. A probe decides whether that holds for a file; otherwise whole texts go through the whole tokenizer."""
 
-    LIMIT = 300_000
+    LIMIT = 1 << 16
+    PROBE = "Plain words,  and\n\tWORDS-of 123 (mixed) kinds: caf\u00e9 stra\u00dfe \u4f60\u597d \u0130 it's <|endoftext|> \U0001f600\u00a0x 9th"
     #: One for each vocabulary in a worker, kept from task to task.
     KEPT: dict[str, Tokens] = {}
 
@@ -57,6 +69,8 @@ class Tokens:
 
         self.tokenizer, self.young, self.old, self.parts = Tokenizer.from_file(path), {}, {}, {}
         self.model = self.tokenizer.model
+        self.by_chunks = True
+        self.by_chunks = self.of(self.PROBE.encode()).tolist() == [*self._whole(self.PROBE), 0]
 
     @classmethod
     def at(cls, path: str) -> Tokens:
@@ -71,13 +85,16 @@ class Tokens:
         ids = self.parts[part] = np.array([t.id for t in self.model.tokenize(shown)], "<u4").tobytes()
         return ids
 
+    def _whole(self, text: str) -> list[int]:
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
+
     def _chunk(self, chunk: bytes) -> bytes:
         if (ids := self.old.get(chunk)) is None:
             text = chunk.decode("utf-8")
             if PLAIN.fullmatch(text) and "'" not in text and "<|" not in text:
                 ids = b"".join([self.parts.get(p) or self._part(p) for p in PARTS.findall(text.lower())])
             else:
-                ids = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+                ids = np.array(self._whole(text), "<u4").tobytes()
         if len(self.young) >= self.LIMIT:
             self.young, self.old = {}, self.young
         self.young[chunk] = ids
@@ -85,6 +102,8 @@ class Tokens:
 
     def of(self, text: bytes) -> np.ndarray:
         """The ids of a text, then 0."""
+        if not self.by_chunks:
+            return np.array([*self._whole(text.decode("utf-8")), 0], "<u4")
         known = self.young.get
         return np.frombuffer(b"".join([known(c) or self._chunk(c) for c in text.split()] + [bytes(4)]), "<u4")
 
@@ -113,64 +132,86 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None, t
     return made.withColumn("task", F.spark_partition_id())
 
 
-def sweeps(classes: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, int, int, int, int, int]]:
-    """Best-fit, longest class first, on counts: (length, first rank, pieces, pieces in each sequence, first sequence, offset) for every bulk of pieces placed alike.
+#: A run of pieces (kind 0): of a length (size), the n ranks from first on. Of gaps (1): of a size, the n sequences from first on; gaps made
+#: in the round have kind 2. Placed (3): the pieces with the n ranks from first on, each to a sequence, in the sequences from sequence on, at offset.
+RUN = "kind int, size int, first bigint, n bigint, each int, sequence bigint, offset int"
 
-    Gap runs are (gap, first sequence, sequences). In a run a sequence takes as many pieces of the class as fit before the next one
-    is begun: after a piece its gap is the smallest that can be."""
-    placed, gaps, sequences = [], [], 0
-    for length in sorted(classes, reverse=True):
-        left, rank, updated = classes[length], 0, []
-        while left:
-            at = bisect_left(gaps, (length, -1, -1))
-            if at < len(gaps):
-                gap, first, n = gaps.pop(at)
-            else:
-                gap, first, n = capacity, sequences, -(-left // (capacity // length))
-                sequences += n
-            each = gap // length
+
+def sweep(runs, capacity: int) -> list[tuple]:
+    """One successor sweep over sorted runs (kind, size, first, n) of pieces and gaps: what is placed, what is left, and the gaps made."""
+    waiting, out = [], []
+    for kind, size, first, n in sorted(runs, key=lambda r: (r[1], r[0], r[2])):
+        if kind == 0:
+            waiting.append((size, first, n))
+            continue
+        while n and waiting:
+            length, rank, left = waiting.pop()
+            each = min(size // length, left)
             full = min(n, left // each)
-            for k, here in ((full, each), (1, left - full * each)):
-                if k and here and n:
-                    placed.append((length, rank, k * here, here, first, capacity - gap))
-                    rank, left = rank + k * here, left - k * here
-                    if gap - here * length:
-                        updated.append((gap - here * length, first, k))
-                    first, n = first + k, n - k
-            if n:
-                insort(gaps, (gap, first, n))
-        for run in updated:
-            insort(gaps, run)
-    return placed
+            out.append((3, length, rank, full * each, each, first, capacity - size))
+            if size > each * length:
+                out.append((2, size - each * length, first, full, 0, 0, 0))
+            first, n, left = first + full, n - full, left - full * each
+            if left:
+                waiting.append((length, rank + full * each, left))
+        if n:
+            out.append((1, size, first, n, 0, 0, 0))
+    return out + [(0, length, rank, n, 0, 0, 0) for length, rank, n in waiting]
+
+
+def _swept(runs: DataFrame, key, capacity: int) -> DataFrame:
+    """The runs after one sweep within each key; those of kinds 2 and 3 stay as they are."""
+
+    def work(pdf):
+        import pandas as pd
+
+        rows = list(pdf[[f.split()[0] for f in RUN.split(", ")]].itertuples(index=False, name=None))
+        done = [r for r in rows if r[0] > 1]
+        return pd.DataFrame(done + sweep([r[:4] for r in rows if r[0] < 2], capacity), columns=[f.split()[0] for f in RUN.split(", ")])
+
+    return runs.withColumn("key", key).groupBy("key").applyInPandas(work, RUN)
+
+
+def place(classes: DataFrame, capacity: int = CAPACITY, ranges: int = RANGES) -> DataFrame:
+    """The placed runs (RUN) for classes (size, n): how many pieces there are of each length."""
+    spark, zero = classes.sparkSession, F.lit(0)
+    row = (zero, F.col("size").cast("int"), zero.cast("bigint"), F.col("n").cast("bigint"), zero, zero.cast("bigint"), zero)
+    runs, opened, before = saved(classes.select(*[c.alias(f.split()[0]) for c, f in zip(row, RUN.split(", "), strict=True)]), "runs"), 0, -1
+
+    def state(least):
+        """Pieces longer than least that wait, pieces placed so far, and how many sequences the former need at least: by their tokens, and
+        with k pieces to a sequence of those longer than a (k + 1)th of it."""
+        waits = (F.col("kind") == 0) & (F.col("size") > least)
+        needs = [F.sum(F.when(waits, F.col("size") * F.col("n"))) / capacity, *(F.sum(F.when(waits & (F.col("size") > capacity // (k + 1)), F.col("n"))) / k for k in range(1, 9))]
+        return runs.agg(F.sum(F.when(waits, F.col("n"))), F.coalesce(F.sum(F.when(F.col("kind") == 3, F.col("n"))), F.lit(0)), F.ceil(F.greatest(*needs)).cast("bigint")).first()
+
+    def gaps(n):
+        return spark.createDataFrame([(1, capacity, opened, n, 0, 0, 0)], RUN)
+
+    for least in [int(capacity * share) for share in PHASES]:
+        while (now := state(least if opened else 0))[0]:
+            _, placed, need = now
+            if placed == before or not opened:
+                runs, opened = runs.union(gaps(need)), opened + need
+            before = placed
+            idle = (F.col("kind") == 3) | (F.col("kind") == 0) & (F.col("size") <= least)
+            swept = _swept(runs.where(~idle), F.floor(F.col("size") * ranges / (capacity + 1)).cast("int"), capacity)
+            swept = _swept(swept, zero, capacity)
+            runs = saved(runs.where(idle).union(swept.withColumn("kind", F.when(F.col("kind") == 2, 1).otherwise(F.col("kind")))), "runs")
+    return runs.where("kind = 3")
 
 
 def pack(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset: every token of every document in a sequence of at most capacity tokens."""
-    spark = docs.sparkSession
     found = saved(pieces(docs, capacity, path), "pieces")
-    # Pieces of a class: counted by task, then each task's first rank
+    # Pieces of a length: counted by task, then each task's first rank
     counts = found.groupBy("length", "task").agg(F.count("*").alias("n"))
-    counts = saved(counts.withColumn("base", F.sum("n").over(W.partitionBy("length").orderBy("task").rowsBetween(W.unboundedPreceding, -1))), "ranks")
-    classes = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # capacity rows at most
-    placed = np.array(sweeps(classes, capacity), np.int64).reshape(-1, 6)
-    placed = placed[np.lexsort((placed[:, 1], placed[:, 0]))]
-    shared = spark.sparkContext.broadcast(placed)
-    ranked = found.join(counts.select("length", "task", F.coalesce("base", F.lit(0)).alias("base")), ["length", "task"])
+    counts = saved(counts.withColumn("base", F.coalesce(F.sum("n").over(W.partitionBy("length").orderBy("task").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))), "ranks")
+    placed = place(counts.groupBy(F.col("length").alias("size")).agg(F.sum("n").alias("n")), capacity)
+    ranked = found.join(counts.select("length", "task", "base"), ["length", "task"])
     ranked = ranked.select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("rank") + F.col("base")).alias("rank"))
-
-    def make():
-        bulk = shared.value
-        # one sorted key for (length, rank): a class's first place, then ranks
-        totals = np.bincount(bulk[:, 0], bulk[:, 2], capacity + 1).astype(np.int64)
-        begin = np.concatenate([[0], np.cumsum(totals)[:-1]])
-        keys = begin[bulk[:, 0]] + bulk[:, 1]
-
-        def work(batch):
-            length, rank = np.array(batch["length"], np.int64), np.array(batch["rank"], np.int64)
-            row = bulk[np.searchsorted(keys, begin[length] + rank, "right") - 1]
-            k = rank - row[:, 1]
-            return {n: batch[n] for n in ("doc_id", "piece", "start", "length", "ids_crc32")} | {"sequence_id": row[:, 4] + k // row[:, 3], "offset": row[:, 5] + k % row[:, 3] * length}
-
-        return work
-
-    return map_rows(ranked, "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, sequence_id bigint, offset bigint", make)
+    # a bounded table (see above): the runs of the piece's length, and of these that with its rank
+    runs = placed.select(F.col("size").cast("bigint").alias("length"), "first", "n", "each", "sequence", F.col("offset").alias("at"))
+    got = ranked.join(F.broadcast(runs), "length").where((F.col("rank") >= F.col("first")) & (F.col("rank") < F.col("first") + F.col("n")))
+    k = F.col("rank") - F.col("first")
+    return got.select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("sequence") + F.floor(k / F.col("each"))).alias("sequence_id"), (F.col("at") + k % F.col("each") * F.col("length")).alias("offset"))

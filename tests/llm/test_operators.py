@@ -141,8 +141,66 @@ def test_op4_accuracy_und_and_filter(spark, docs):
     assert all(got[i]["held_out"] == (zlib.crc32(str(i).encode()) % 3 == 1) for i in got)
     kept = langid.accepted(table)
     assert kept.columns == table.columns and kept.count() == 90
-    assert langid.identify(none(docs)).count() == 0
-    assert {r["lang_pred"] for r in langid.identify(docs.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
+    assert langid.identify(none(docs)).count() == 0 and langid.accepted(none(docs)).count() == 0
+    unlabelled = docs.withColumn("lang", F.lit(None).cast("string"))
+    assert {r["lang_pred"] for r in langid.identify(unlabelled).collect()} == {"und"}
+    # nothing is known of any language: all documents with a letter stay
+    assert langid.accepted(unlabelled).count() == sum(any(map(str.isalpha, r["text"] or "")) for r in docs.select("text").collect())
+
+
+def brute_languages(rows, texts):
+    """Multinomial naive Bayes in dictionaries, n-gram by n-gram, with the operator's hash of one n-gram."""
+    of = lambda text: [bucket_of(text[i : i + n]) for n in langid.ORDERS for i in range(len(text) - n + 1)]
+
+    def bucket_of(gram):
+        h = np.array([len(gram)], np.uint32)
+        for c in gram:
+            h = (h ^ np.uint32(ord(c))) * np.uint32(0x9E3779B1)
+            h ^= h >> np.uint32(15)
+        return int(h[0] >> np.uint32(32 - langid.BITS))
+
+    counts, documents = defaultdict(lambda: defaultdict(int)), defaultdict(int)
+    for text, lang in rows:
+        documents[lang] += 1
+        for b in of(text.lower()):
+            counts[lang][b] += 1
+    out = []
+    for text in texts:
+        total = {}
+        for lang in sorted(documents):
+            size = sum(counts[lang].values()) + langid.ALPHA * 2**langid.BITS
+            total[lang] = np.log((documents[lang] + 1) / sum(n + 1 for n in documents.values())) + sum(np.log((counts[lang].get(b, 0) + langid.ALPHA) / size) for b in of(text.lower()))
+        best = max(total, key=total.get)
+        out.append((best, 1 / sum(np.exp(v - total[best]) for v in total.values())))
+    return out
+
+
+@pytest.mark.parametrize("block, piece", [(langid.BLOCK, langid.PIECE), (2, 50)], ids=["one matrix", "blocks and pieces"])
+def test_op4_equals_naive_bayes_by_brute_force(spark, monkeypatch, block, piece):
+    rng = random.Random(14)
+    data = [(i, " ".join("".join(rng.choice("abcdeéß" if k < "c" else "defgh") for _ in range(4)) for _ in range(rng.randint(1, 25))), k) for i in range(60) for k in [rng.choice("abcde")]]
+    monkeypatch.setattr(langid, "BLOCK", block)
+    monkeypatch.setattr(langid, "PIECE", piece)
+    want = brute_languages([(t, k) for _, t, k in data], [t for _, t, _ in data])
+    # counts and scores in one process: the workers would not see the patched sizes
+    from pyspark.sql import DataFrame
+
+    def here(df: DataFrame, schema, make, binary=(), finish=False):
+        work, out = make(), []
+        columns = {c: [r[c] for r in df.collect()] for c in df.columns}
+        for made in (work(columns), work(None) if finish else None):
+            if made:
+                out += list(zip(*[np.asarray(made[c.split()[0].strip("`")], object).tolist() if "`" not in c else list(made[c.split("`")[1]]) for c in schema.split(", ")], strict=True))
+        plain = lambda v: v.item() if isinstance(v, np.generic) else v
+        return spark.createDataFrame([tuple(map(plain, r)) for r in out], schema)
+
+    monkeypatch.setattr(langid, "map_rows", here)
+    table = spark.createDataFrame(data, "doc_id bigint, text string, lang string")
+    models = langid.train(table)
+    assert len(models) == -(-5 // block)
+    got = {r["doc_id"]: r for r in langid.predict(table, models, ["doc_id"]).collect()}
+    for (i, _, _), (best, score) in zip(data, want, strict=True):
+        assert got[i]["lang_pred"] == best and abs(got[i]["score"] - score) < 1e-4
 
 
 def test_op5_packs_every_token(docs, rows):
@@ -158,27 +216,60 @@ def test_op5_packs_every_token(docs, rows):
     assert packing.pack(none(docs)).count() == 0
 
 
-def test_op5_sweeps_are_best_fit_decreasing():
+def best_fit_decreasing(lengths, capacity):
+    gaps = []
+    for n in sorted(lengths, reverse=True):
+        fit = min((g for g in gaps if g >= n), default=None)
+        if fit is not None:
+            gaps.remove(fit)
+        gaps.append((capacity if fit is None else fit) - n)
+    return len(gaps)
+
+
+def placed_alone(runs, lengths, capacity):
+    """Every piece once, sequences not overfull, places gapless from 0; the number of sequences."""
+    taken, held = defaultdict(list), defaultdict(list)
+    for r in runs:
+        for k in range(r["n"]):
+            taken[r["size"]].append(r["first"] + k)
+            held[r["sequence"] + k // r["each"]].append((r["offset"] + k % r["each"] * r["size"], r["size"]))
+    assert all(sorted(taken[n]) == list(range(lengths.count(n))) for n in set(lengths)) and sum(map(len, taken.values())) == len(lengths)
+    for here in held.values():
+        end = 0
+        for offset, size in sorted(here):
+            assert offset == end
+            end += size
+        assert end <= capacity
+    return len(held)
+
+
+@pytest.mark.parametrize("capacity, draw", [(97, lambda r: r.randint(1, 97)), (50, lambda r: r.choice([1, 2, 3, 50])), (2048, lambda r: 1 + int(r.expovariate(1 / 400)) % 2048), (10, lambda r: 4)], ids=["even", "ties", "skewed", "one length"])
+def test_op5_rounds_use_as_few_sequences_as_best_fit_decreasing(spark, capacity, draw):
     rng = random.Random(1)
-    for _ in range(50):
-        capacity = rng.choice([10, 50, 97])
-        lengths = [rng.randint(1, capacity) for _ in range(rng.randint(1, 120))]
-        classes = {n: lengths.count(n) for n in lengths}
-        placed = packing.sweeps(classes, capacity)
-        load, taken = defaultdict(int), defaultdict(list)
-        for length, rank, n, each, first, offset in placed:
-            for k in range(n):
-                taken[length].append(rank + k)
-                assert 0 <= offset + k % each * length <= capacity - length
-                load[first + k // each] += length
-        assert max(load.values()) <= capacity and all(sorted(taken[n]) == list(range(c)) for n, c in classes.items())
-        gaps = []
-        for n in sorted(lengths, reverse=True):
-            fit = min((g for g in gaps if g >= n), default=None)
-            if fit is not None:
-                gaps.remove(fit)
-            gaps.append((capacity if fit is None else fit) - n)
-        assert len(load) == len(gaps)
+    lengths = [draw(rng) for _ in range(400)]
+    classes = spark.createDataFrame([(n, lengths.count(n)) for n in set(lengths)], "size int, n bigint")
+    least = max(-(-sum(lengths) // capacity), sum(n > capacity // 2 for n in lengths))
+    assert least <= placed_alone(packing.place(classes, capacity).collect(), lengths, capacity) <= best_fit_decreasing(lengths, capacity) + 1
+
+
+def test_op5_a_sweep_gives_each_gap_the_largest_pieces_that_fit():
+    out = packing.sweep([(0, 3, 0, 5), (1, 7, 0, 2), (0, 6, 0, 1), (1, 2, 5, 1), (1, 3, 9, 1)], 10)
+    assert sorted(out) == sorted([(1, 2, 5, 1, 0, 0, 0), (3, 3, 0, 1, 1, 9, 7), (3, 6, 0, 1, 1, 0, 3), (2, 1, 0, 1, 0, 0, 0), (3, 3, 1, 2, 2, 1, 3), (2, 1, 1, 1, 0, 0, 0), (0, 3, 3, 2, 0, 0, 0)])
+
+
+def test_op5_other_vocabularies_give_their_own_ids(tmp_path):
+    import json
+
+    from tokenizers import Tokenizer
+
+    assert packing.Tokens(packing.vocabulary()).by_chunks
+    with open(packing.vocabulary()) as f:
+        changed = json.load(f)
+    changed["normalizer"] = None
+    other = tmp_path / "other.json"
+    other.write_text(json.dumps(changed))
+    tokens, text = packing.Tokens(str(other)), "Some WORDS and 42 Numbers"
+    assert tokens.of(text.encode()).tolist() == [*Tokenizer.from_file(str(other)).encode(text, add_special_tokens=False).ids, 0]
 
 
 def test_op6_learns_and_calibrates(spark, docs):
