@@ -36,6 +36,8 @@ CAPACITY = 2048
 #: A phase packs the pieces longer than this share of the capacity; RANGES: of sizes, for the sweeps.
 PHASES = (1 / 2, 1 / 3, 1 / 4, 1 / 8, 0)
 RANGES = 16
+#: Rounds in one job, between two looks at what is left.
+ROUNDS = 3
 VOCABULARY = "word_bpe_49k.json"
 
 
@@ -195,9 +197,11 @@ def place(classes: DataFrame, capacity: int = CAPACITY, ranges: int = RANGES) ->
                 runs, opened = runs.union(gaps(need)), opened + need
             before = placed
             idle = (F.col("kind") == 3) | (F.col("kind") == 0) & (F.col("size") <= least)
-            swept = _swept(runs.where(~idle), F.floor(F.col("size") * ranges / (capacity + 1)).cast("int"), capacity)
-            swept = _swept(swept, zero, capacity)
-            runs = saved(runs.where(idle).union(swept.withColumn("kind", F.when(F.col("kind") == 2, 1).otherwise(F.col("kind")))), "runs")
+            swept = runs.where(~idle)
+            for _ in range(ROUNDS):
+                swept = _swept(swept, F.floor(F.col("size") * ranges / (capacity + 1)).cast("int"), capacity)
+                swept = _swept(swept, zero, capacity).withColumn("kind", F.when(F.col("kind") == 2, 1).otherwise(F.col("kind")))
+            runs = saved(runs.where(idle).union(swept).coalesce(1), "runs")
     return runs.where("kind = 3")
 
 

@@ -1,13 +1,15 @@
-"""Substring dedup: windows of documents are looked up by hash in an index of reference blocks.
+"""Substring dedup: documents are parsed greedily into factors of an index of reference blocks.
 
-Words are runs of other characters than ASCII white space, unchanged. A reference block is WINDOW consecutive words; its first place
-is the one in the smallest doc_id. Every window of a document is looked up, and runs of consecutive windows that occur earlier in the
-same reference are its factors; no factor is extended against the reference's contents, as a relative Lempel-Ziv parse would do. All
-words of all factors are removed, which are the words of all windows that occur earlier.
+Words are runs of other characters than ASCII white space, unchanged. The index has every WINDOW consecutive words by hash, with the place
+where they stand first: the smallest doc_id, and in it the smallest start. A document is parsed from left to right: a factor begins at a
+word whose window stands earlier, and goes on as long as the document and the reference advance together; where it ends, the windows over
+the boundary are looked up like all others, and may begin the next factor. A factor has WINDOW words at least. Then the factors are held
+against the words of the reference themselves, which are fetched as blocks of BLOCK words, and only words that are equal for WINDOW words
+on end are removed: a hash never decides alone. What goes is the words of all windows that occur earlier.
 
-Only blocks that can occur twice are shuffled. The smallest hash among a block's ANCHOR-word shingles is the block's anchor: equal
-blocks have equal anchors. Anchors are counted over the corpus first (about one for eight words), and a block whose anchor is in one
-document alone is looked up in that document. Texts that are whole copies of an earlier document's are found first and need no parse.
+Only windows that can occur twice are shuffled. The smallest hash among a window's ANCHOR-word shingles is its anchor: equal windows have
+equal anchors. Anchors are counted over the corpus first (about one for eight words), and a window whose anchor is in one document alone is
+looked up in that document. Texts that are whole copies of an earlier document's (by 128 bits) are found first and need no parse.
 
 Nulls and edges: a null or empty text has no words. A document shorter than WINDOW words keeps all of them. A null doc_id comes after
 all others. Rows with the same doc_id are one document and should have one text; repeated rows give equal results and do not remove
@@ -27,6 +29,7 @@ from platewise.llm.common import Bloom, as_long, bloom, map_rows, mix, rolled, s
 
 WINDOW = 20
 ANCHOR = 6
+BLOCK = 64
 LAST, NONE = 2**63 - 1, -(2**63)
 
 
@@ -52,9 +55,13 @@ def _keyed(docs: DataFrame, text: str) -> DataFrame:
     return docs.select(F.coalesce(F.col(text), F.lit("")).alias("text"), doc.alias("doc"), own.alias("own"), h1.alias("h1"), h2.alias("h2"))
 
 
+#: A factor: its first word, its words, and where they stand first (a document's key, see _keys, and the first word there).
+FACTOR = "array<struct<start:int,length:int,doc:bigint,own:bigint,at:int>>"
+
+
 def factors(docs: DataFrame, text: str = "text", window: int = WINDOW, anchor: int = ANCHOR) -> tuple[DataFrame, Bloom]:
-    """doc, own, at, reference (arrays: the windows that occur earlier) of each parsed document with a factor, and the filter of first copies of texts:
-    a document outside it is a whole copy and is not parsed."""
+    """doc, own, factors (FACTOR) of each parsed document that has any, and the filter of first copies of texts: a document outside it
+    is a whole copy and is not parsed."""
     spark = docs.sparkSession
     keyed = _keyed(docs, text)
     copy = F.xxhash64("h1", "h2", "doc").alias("copy")
@@ -84,8 +91,11 @@ def factors(docs: DataFrame, text: str = "text", window: int = WINDOW, anchor: i
             for doc, own, h in parsed(batch):
                 blocks = rolled(h, window)
                 order = np.argsort(blocks, kind="stable")
-                again = np.zeros(len(blocks), bool)
-                again[order[1:]] = blocks[order[1:]] == blocks[order[:-1]]
+                same = np.r_[False, blocks[order[1:]] == blocks[order[:-1]]]
+                # where a window that the document has again stands first in it, else -1
+                first = np.full(len(blocks), -1, np.int32)
+                first[order] = np.where(same, order[np.maximum.accumulate(np.where(same, 0, np.arange(len(order))))], -1)
+                again = first >= 0
                 at = np.flatnonzero(shared.value.has(anchors_of(h, window, anchor)) | again)
                 if len(at):
                     # what a document has again needs no reference: any key does, and one of its own spreads a line repeated very often
@@ -93,31 +103,94 @@ def factors(docs: DataFrame, text: str = "text", window: int = WINDOW, anchor: i
                     out[1].append(np.full(len(at), doc, np.int64))
                     out[2].append(np.full(len(at), own, np.int64))
                     out[3].append(at.astype(np.int32))
-                    out[4].append(again[at])
+                    out[4].append(first[at])
             if out[0]:
-                block, doc, own, at, again = map(np.concatenate, out)
-                return {"block": as_long(block), "doc": doc, "own": own, "at": at, "again": again}
+                block, doc, own, at, first = map(np.concatenate, out)
+                return {"block": as_long(block), "doc": doc, "own": own, "at": at, "first": first}
 
         return work
 
-    blocks = map_rows(rows, "block bigint, doc bigint, own bigint, at int, again boolean", make_blocks, binary=("text",))
+    blocks = map_rows(rows, "block bigint, doc bigint, own bigint, at int, first int", make_blocks, binary=("text",))
     # counted where they are first; blocks that a document has again are duplicates already and weigh nothing here
-    index = blocks.where(~F.col("again")).groupBy("block").agg(F.min("doc").alias("reference"), F.min("own").alias("own_reference"))
+    index = blocks.where("first < 0").groupBy("block").agg(F.min("doc").alias("r_doc"), F.min("own").alias("r_own"), F.min_by("at", "doc").alias("by_doc"), F.min_by("at", "own").alias("by_own"))
     # own counts only where all documents of a block have a null doc_id; it is NONE in the others and in their minimum
-    later = (F.col("doc") > F.col("reference")) | ((F.col("doc") == F.col("reference")) & (F.col("own") > F.col("own_reference")))
-    earlier = blocks.join(index, "block", "left").where(F.col("again") | later)
+    index = index.select("block", "r_doc", "r_own", F.when(F.col("r_doc") == LAST, F.col("by_own")).otherwise(F.col("by_doc")).alias("r_at"))
+    again, later = F.col("first") >= 0, (F.col("doc") > F.col("r_doc")) | ((F.col("doc") == F.col("r_doc")) & (F.col("own") > F.col("r_own")))
+    earlier = blocks.join(index, "block", "left").where(again | later)
+    reference = [F.when(again, F.col(mine)).otherwise(F.col(other)).alias(mine if mine != "first" else "r_at") for mine, other in (("doc", "r_doc"), ("own", "r_own"), ("first", "r_at"))]
     # a set: repeated rows, of which there may be any number, have the same windows
-    of_document = earlier.groupBy("doc", "own").agg(F.collect_set(F.struct("at", "reference")).alias("found"))
-    return of_document.select("doc", "own", F.col("found.at").alias("at"), F.col("found.reference").alias("reference")), firsts
+    of_document = earlier.select(F.col("doc").alias("d"), F.col("own").alias("o"), F.struct("at", *reference).alias("w")).groupBy("d", "o").agg(F.collect_set("w").alias("w"))
+    flat = of_document.select("d", "o", *[F.col(f"w.{c}").alias(c) for c in ("at", "doc", "own", "r_at")])
+
+    def make_factors():
+        def work(batch):
+            found = [greedy(*(np.array(batch[c][i], np.int64) for c in ("at", "doc", "own", "r_at")), window) for i in range(len(batch["d"]))]
+            return {"doc": batch["d"], "own": batch["o"], "factors": found}
+
+        return work
+
+    return saved(map_rows(flat, f"doc bigint, own bigint, factors {FACTOR}", make_factors), "factors"), firsts
 
 
-def greedy(at: np.ndarray, reference: np.ndarray, window: int) -> tuple[list[int], list[int], list[int]]:
-    """Factors (start, length, reference) from the windows that occur earlier: runs of consecutive windows with one reference."""
+def greedy(at: np.ndarray, doc: np.ndarray, own: np.ndarray, r_at: np.ndarray, window: int) -> list[dict]:
+    """The factors of a document whose windows at stand earlier at r_at in (doc, own)."""
     order = np.argsort(at)
-    at, reference = at[order], reference[order]
-    begin = np.flatnonzero(np.r_[True, (at[1:] != at[:-1] + 1) | (reference[1:] != reference[:-1])])
-    end = np.r_[begin[1:], len(at)] - 1
-    return at[begin].tolist(), (at[end] - at[begin] + window).tolist(), reference[begin].tolist()
+    at, doc, own, r_at = at[order], doc[order], own[order], r_at[order]
+    ends = (at[1:] != at[:-1] + 1) | (r_at[1:] != r_at[:-1] + 1) | (doc[1:] != doc[:-1]) | (own[1:] != own[:-1])
+    begin = np.flatnonzero(np.r_[True, ends])
+    length = at[np.r_[begin[1:], len(at)] - 1] - at[begin] + window
+    return [dict(zip(("start", "length", "doc", "own", "at"), f, strict=True)) for f in zip(*(x.tolist() for x in (at[begin], length, doc[begin], own[begin], r_at[begin])), strict=True)]
+
+
+def equal_stretches(mine: list[bytes], theirs: list[bytes], window: int) -> list[tuple[int, int]]:
+    """(start, end) of the stretches of at least window words that are equal."""
+    if mine == theirs:
+        return [(0, len(mine))]
+    same = np.array([False, *(a == b for a, b in zip(mine, theirs, strict=False)), False])  # noqa: B905
+    edges = np.flatnonzero(same[1:] != same[:-1])
+    return [(a, b) for a, b in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True) if b - a >= window]
+
+
+def with_reference(docs: DataFrame, found: DataFrame, text: str = "text") -> DataFrame:
+    """doc, own, and references: for each factor its words in blocks (start, length, at, block; words is null where the reference is the
+    document itself)."""
+    one = found.select("doc", "own", F.explode("factors").alias("f")).select("doc", "own", "f.start", "f.length", F.col("f.doc").alias("r_doc"), F.col("f.own").alias("r_own"), "f.at")
+    inner = (F.col("doc") == F.col("r_doc")) & (F.col("own") == F.col("r_own"))
+    last = F.floor((F.col("at") + F.col("length") - 1) / BLOCK).cast("int")
+    needs = one.withColumn("block", F.explode(F.when(inner, F.array(F.lit(-1))).otherwise(F.sequence(F.floor(F.col("at") / BLOCK).cast("int"), last))))
+    needs = saved(needs, "needs")
+    wanted = saved(needs.where("block >= 0").select("r_doc", "r_own", "block").distinct(), "wanted")
+    key = lambda block: F.xxhash64("r_doc", "r_own", block)
+    # the documents and their blocks in one filter
+    shared = docs.sparkSession.sparkContext.broadcast(bloom(wanted.select(key("block").alias("key")).union(wanted.select(key(F.lit(-1).cast("int")).alias("key"))).distinct(), "key"))
+    rows = _keyed(docs, text).select("text", F.col("doc").alias("r_doc"), F.col("own").alias("r_own")).withColumn("key", key(F.lit(-1).cast("int")))
+
+    def make():
+        def work(batch):
+            out = [], [], [], []
+            wanted = shared.value.has(np.array(batch["key"], np.int64).view(np.uint64))
+            for i in np.flatnonzero(wanted).tolist():
+                words = batch["text"][i].split()
+                n = -(-len(words) // BLOCK)
+                for x, values in zip(out, ([batch["r_doc"][i]] * n, [batch["r_own"][i]] * n, range(n), [b" ".join(words[k * BLOCK : (k + 1) * BLOCK]) for k in range(n)]), strict=True):
+                    x.extend(values)
+            return dict(zip(("r_doc", "r_own", "block", "words"), out, strict=True))
+
+        return work
+
+    cut = map_rows(rows, "r_doc bigint, r_own bigint, block int, words binary", make, binary=("text",))
+
+    def make_filter():
+        def work(batch):
+            keep = np.flatnonzero(shared.value.has(np.array(batch["key"], np.int64).view(np.uint64))).tolist()
+            return {k: [batch[k][i] for i in keep] for k in ("r_doc", "r_own", "block", "words")}
+
+        return work
+
+    cut = map_rows(cut.withColumn("key", key("block")), "r_doc bigint, r_own bigint, block int, words binary", make_filter)
+    blocks = saved(cut.join(wanted, ["r_doc", "r_own", "block"], "left_semi").groupBy("r_doc", "r_own", "block").agg(F.first("words").alias("words")), "blocks")
+    got = needs.join(blocks, ["r_doc", "r_own", "block"], "left")
+    return got.groupBy("doc", "own").agg(F.collect_list(F.struct("start", "length", "at", "block", "words")).alias("references"))
 
 
 def digest(docs: DataFrame, text: str = "text", window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
@@ -135,28 +208,43 @@ def deduplicated(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) ->
     return got.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.length("text").cast(docs.schema["n_chars"].dataType))) if "n_chars" in docs.columns else got
 
 
+def covered(words: list[bytes], references: list[dict], window: int) -> np.ndarray:
+    """Which words are in a factor that has been held against the words of its reference."""
+    inside, of = np.zeros(len(words) + 1, np.int32), {}
+    for r in references:
+        of.setdefault((r["start"], r["length"], r["at"]), {})[r["block"]] = r["words"]
+    for (start, length, at), blocks in of.items():
+        if -1 in blocks:
+            theirs = words[at : at + length]
+        else:
+            lines = [blocks[k] for k in sorted(blocks)]
+            theirs = [] if None in lines else b" ".join(lines).split()[at % BLOCK :][:length]
+        for a, b in equal_stretches(words[start : start + length], theirs, window):
+            inside[start + a] += 1
+            inside[start + b] -= 1
+    return np.cumsum(inside[:-1]) > 0
+
+
 def _applied(docs, text, window, anchor, schema, keep, result, whole=None):
     found, firsts = factors(docs, text, window, anchor)
+    found = with_reference(docs, found, text)
     first_copies = docs.sparkSession.sparkContext.broadcast(firsts)
     doc, own, h1, h2 = _keys(text)
     rows = docs.select("doc_id", F.col(text).alias("text "), doc.alias("doc "), own.alias("own "), F.xxhash64(h1, h2, doc).alias("copy "), *keep)
-    joined = rows.join(found.withColumnsRenamed({"doc": "doc ", "own": "own "}), ["doc ", "own "], "left").select("doc_id", "text ", "copy ", F.col("at").alias("at "), F.col("reference").alias("reference "), *keep)
+    found = found.select(F.col("doc").alias("doc "), F.col("own").alias("own "), F.col("references").alias("references "))
+    joined = rows.join(found, ["doc ", "own "], "left").select("doc_id", "text ", "copy ", "references ", *keep)
 
     def make():
         def work(batch):
             first = first_copies.value.has(np.array(batch["copy "], np.int64).view(np.uint64))
             out = []
-            for raw, at, reference, is_first in zip(batch["text "], batch["at "], batch["reference "], first, strict=True):
+            for raw, references, is_first in zip(batch["text "], batch["references "], first, strict=True):
                 words = (raw or b"").split()
                 kept = words
                 if len(words) >= window and not is_first:
                     kept = []
-                elif at:
-                    inside = np.zeros(len(words) + 1, np.int32)
-                    starts, lengths, _ = greedy(np.array(at), np.array([-1 if r is None else r for r in reference]), window)
-                    np.add.at(inside, starts, 1)
-                    np.add.at(inside, [a + n for a, n in zip(starts, lengths, strict=True)], -1)
-                    kept = [words[i] for i in np.flatnonzero(np.cumsum(inside[:-1]) == 0)]
+                elif references:
+                    kept = [words[i] for i in np.flatnonzero(~covered(words, references, window))]
                 row = result(words, kept)
                 if whole and row[whole] is None:
                     row[whole] = None if raw is None else raw.decode("utf-8")

@@ -464,6 +464,62 @@ def test_op10_windows(docs, rows):
     assert substrings.digest(none(docs)).count() == 0
 
 
+def brute_parse(words, seen, doc, window):
+    """Greedy factors of a document against all windows seen so far, word by word; seen: window -> (doc, start) of its first place."""
+    out, i = [], 0
+    places = dict(seen)
+    hits = []
+    for k in range(len(words) - window + 1):
+        key = tuple(words[k : k + window])
+        hits.append(places.get(key))
+        places.setdefault(key, (doc, k))
+    while i < len(hits):
+        if hits[i] is None:
+            i += 1
+            continue
+        n = 1
+        while i + n < len(hits) and hits[i + n] == (hits[i][0], hits[i][1] + n):
+            n += 1
+        out.append((i, n + window - 1, *hits[i]))
+        i += n
+    seen.update({k: v for k, v in places.items() if k not in seen})
+    return out
+
+
+def test_op10_factors_are_those_of_a_greedy_parse(spark):
+    rng = random.Random(21)
+    pool = [[f"w{rng.randrange(40)}" for _ in range(rng.randint(18, 60))] for _ in range(15)]
+    rows = [(i, " ".join(w for _ in range(rng.randint(1, 5)) for w in rng.choice(pool))) for i in range(40)]
+    rows = [(i, t) for i, t in rows if rows.index(next(r for r in rows if r[1] == t)) == i]  # whole copies need no parse
+    found, _ = substrings.factors(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    got = {r["doc"]: [(f["start"], f["length"], f["doc"], f["at"]) for f in r["factors"]] for r in found.collect()}
+    seen, want = {}, {}
+    for i, t in rows:
+        if factors := brute_parse(t.split(), seen, i, substrings.WINDOW):
+            want[i] = factors
+    # where a window stands in the document before and in an earlier one too, either reference will do
+    cover = lambda fs: sorted({w for f in fs for w in range(f[0], f[0] + f[1])})
+    assert {k: cover(v) for k, v in got.items()} == {k: cover(v) for k, v in want.items()} and len(want) > 10
+    words = {i: t.split() for i, t in rows}
+    assert all(words[k][a : a + n] == words[d][b : b + n] and n >= 20 and (d, b) < (k, a) for k, v in got.items() for a, n, d, b in v)
+
+
+def test_op10_words_decide_not_hashes():
+    mine = [f"{i}".encode() for i in range(60)]
+    theirs = mine.copy()
+    theirs[25] = b"other"
+    assert substrings.equal_stretches(mine, mine, 20) == [(0, 60)] and substrings.equal_stretches(mine, theirs, 20) == [(0, 25), (26, 60)]
+    assert substrings.equal_stretches(mine[:30], theirs[:30], 20) == [(0, 25)] and substrings.equal_stretches(mine, [], 20) == []
+    block = lambda words: b" ".join(words)
+    reference = {"start": 0, "length": 60, "at": 10}
+    text = [b"x"] * 10 + theirs
+    got = substrings.covered(mine, [reference | {"block": k, "words": block(text[k * 64 : (k + 1) * 64])} for k in (1, 0)], 20)
+    assert np.flatnonzero(~got).tolist() == [25]
+    assert not substrings.covered(mine, [reference | {"block": 0, "words": None}], 20).any()
+    twice = mine[:20] * 2
+    assert substrings.covered(twice, [{"start": 20, "length": 20, "at": 0, "block": -1, "words": None}], 20).tolist() == [False] * 20 + [True] * 20
+
+
 def test_op10_random_repeats(spark):
     rng = random.Random(11)
     pool = [[f"{rng.choice('abc')}" for _ in range(rng.randint(15, 60))] for _ in range(12)]
