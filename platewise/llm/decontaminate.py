@@ -4,18 +4,23 @@ A text's set is its distinct shingles of SHINGLE words (words: runs of letters a
 words has one shingle, the whole of it). An item is found in a document when at least THRESHOLD of the item's shingles are in the
 document's set.
 
-Items are partitioned by their set size n. An item of n shingles keeps the n - ceil(THRESHOLD * n) + 1 shingles with the smallest
-hashes: a bottom-k MinHash sketch whose length is the partition's. A document without any of these lacks more shingles than the
-threshold allows, whatever the document's length, so no pair is lost. Documents are streamed against the sketches, and the pairs
-found are verified on the shingles themselves.
+Items are partitioned by their set size: partition p has the items of more than 2^(p - 1) and at most 2^p shingles, and all signatures
+of a partition have one length k: the k shingles with the smallest hashes (a bottom-k MinHash sketch). The share of an item's signature
+that is in a document estimates the item's containment in it, however long the document is. A document that has THRESHOLD of an item's n
+shingles lacks at most (1 - THRESHOLD) * n of its signature, and k is half as long again as that can be in the partition: an estimate
+that lacks more is dropped, and no pair is lost. The other pairs are verified on the shingles themselves.
 
-Nulls and edges: null and empty texts, and texts without a word, have an empty set and are in no pair. An item with a null id is
-found like any other. Repeated documents each give their rows; repeated items (same id and text) give one. Extra columns are ignored.
+An item of fewer than SHINGLE words has one shingle, the whole of it, and is found only in documents that are no longer: a few words in a
+row are no sign that an item has leaked.
+
+Nulls and edges: null and empty texts, and texts without a word, have an empty set and are in no pair. Rows with the same item_id (or a
+null one) are one item, whose set has the shingles of all of them. Repeated documents each give their rows. Extra columns are ignored.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from platewise.llm.common import saved
@@ -51,31 +56,44 @@ def hashed_sets(rows: DataFrame, keep: list[str], text: str, k: int) -> DataFram
     return w.withColumn("hashed ", hashed).select(*keep, sets.alias("hashes"))
 
 
-def sketches(items: DataFrame, k: int = SHINGLE, threshold: float = THRESHOLD) -> DataFrame:
-    """item_id, shingle: the bottom-k sketch of each item, k by the size partition of the item."""
-    sets = hashed_sets(items, ["item_id"], "text", k).withColumn("hashes", F.array_sort(F.array_distinct("hashes")))
-    n = F.size("hashes")
-    sketch = F.slice("hashes", F.lit(1), (n - F.ceil(n * F.lit(threshold) - 1e-9) + 1).cast("int"))
-    return sets.select("item_id", F.explode_outer(F.when(n > 0, sketch)).alias("shingle")).where(F.col("shingle").isNotNull())
+def item_sets(items: DataFrame, k: int = SHINGLE) -> DataFrame:
+    """item_id, shingles: the distinct shingles of each of its texts."""
+    w = items.select("item_id", "text").distinct().select("item_id", words(F.col("text")).alias("words "))
+    return w.select("item_id", shingles("words ", k).alias("shingles"))
+
+
+def signatures(items: DataFrame, k: int = SHINGLE, threshold: float = THRESHOLD) -> DataFrame:
+    """item_id, partition, shingle, least: each item's signature, and how many of it a document must have."""
+    w = items.select("item_id", "text").distinct()
+    each = hashed_sets(w, ["item_id"], "text", k).select("item_id", F.explode("hashes").alias("shingle")).distinct()
+    sizes = each.groupBy("item_id").agg(F.count("*").alias("n"))
+    # 2^partition is the smallest power of two that is no less than n
+    sizes = sizes.withColumn("partition", F.when(F.col("n") > 1, F.length(F.bin(F.col("n") - 1))).otherwise(0).cast("int"))
+    lacks = lambda n: F.floor(n * F.lit(1 - threshold) + 1e-9).cast("int")
+    of_partition = lacks(F.pow(F.lit(2.0), F.col("partition")))
+    # a partition's signatures are half as long again as what may be lacking of them
+    sizes = sizes.withColumn("k", F.least(of_partition + F.ceil(of_partition / 2 + 0.5), "n").cast("int")).withColumn("least", (F.col("k") - lacks(F.col("n"))).cast("int"))
+    ranked = each.withColumn("rank", F.row_number().over(W.partitionBy("item_id").orderBy("shingle")))
+    got = ranked.join(sizes.withColumnRenamed("item_id", "item "), F.col("item_id").eqNullSafe(F.col("item "))).where("rank <= k")
+    return got.select("item_id", "partition", "shingle", "least")
 
 
 def pairs(docs: DataFrame, items: DataFrame, k: int = SHINGLE, threshold: float = THRESHOLD) -> DataFrame:
     """row, doc_id, item_id, n_shingles, n_shared: the verified pairs. docs needs a column row that tells its rows apart."""
-    items = items.select("item_id", "text").distinct()
-    sketch = saved(sketches(items, k, threshold).select("item_id", "shingle").distinct(), "sketches")
+    sketch = saved(signatures(items, k, threshold), "signatures")
     small = sketch.count() <= BROADCAST_ROWS
     anchors = sketch.select("shingle").distinct()
     anchors = F.broadcast(anchors) if small else anchors
     # explode_outer: for explode, the optimizer would filter on the array's size, and compute the array a second time inside that filter
-    streamed = hashed_sets(docs, ["row", "doc_id"], "text", k).select("row", "doc_id", F.explode_outer("hashes").alias("shingle"))
+    streamed = hashed_sets(docs, ["row"], "text", k).select("row", F.explode_outer("hashes").alias("shingle"))
     # two joins on purpose: the first keeps few of the corpus's shingles, and only those meet the items
     hits = streamed.join(anchors, "shingle", "left_semi").distinct()
-    found = hits.join(F.broadcast(sketch) if small else sketch, "shingle").groupBy("row", "item_id").agg(F.first("doc_id").alias("doc_id"))
-    found = saved(found, "pairs")
+    found = hits.join(F.broadcast(sketch) if small else sketch, "shingle").groupBy("row", "partition", "item_id").agg(F.count("*").alias("has"), F.first("least").alias("least"))
+    found = saved(found.where("has >= least").select("row", "item_id"), "pairs")
     n_pairs = found.count()
     hit_rows = found.select("row").distinct()
-    hit_docs = docs.join(F.broadcast(hit_rows) if n_pairs <= BROADCAST_ROWS else hit_rows, "row", "left_semi").select("row", words(F.col("text")).alias("words ")).select("row", shingles("words ", k).alias("in_document"))
-    of_items = items.select("item_id", words(F.col("text")).alias("words ")).select("item_id", shingles("words ", k).alias("of_item"))
+    hit_docs = docs.join(F.broadcast(hit_rows) if n_pairs <= BROADCAST_ROWS else hit_rows, "row", "left_semi").select("row", "doc_id", words(F.col("text")).alias("words ")).select("row", "doc_id", shingles("words ", k).alias("in_document"))
+    of_items = item_sets(items, k).select("item_id", F.explode("shingles").alias("s")).groupBy("item_id").agg(F.collect_set("s").alias("of_item"))
     checked = found.join(hit_docs, "row").join(of_items, found["item_id"].eqNullSafe(of_items["item_id"])).select("row", "doc_id", found["item_id"], F.size("of_item").cast("bigint").alias("n_shingles"), F.size(F.array_intersect("of_item", "in_document")).cast("bigint").alias("n_shared"))
     return checked.where(F.col("n_shared") >= F.ceil(F.col("n_shingles") * F.lit(threshold) - 1e-9))
 

@@ -22,6 +22,7 @@ from __future__ import annotations
 import numpy as np
 import xxhash
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from platewise.llm.common import as_long, bloom, map_rows, mix, rolled, saved, word_hashes
@@ -32,6 +33,8 @@ SIMILARITY = 0.8
 #: Odd-sketch estimates that reject: for verification (more than five standard deviations under SIMILARITY) and for families.
 DOUBT, FAMILY = 0.6, 0.3
 BLOCK = 1024
+#: Families (40 bytes a row) up to which their table is broadcast; past it Spark joins by shuffle and splits large families.
+BROADCAST_ROWS = 1_000_000
 _RNG = np.random.default_rng(1729)
 _A = _RNG.integers(1, 2**63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _RNG.integers(0, 2**63, BANDS * ROWS, dtype=np.uint64)
@@ -212,10 +215,12 @@ def _rejected(members: DataFrame, centres: DataFrame, judged: DataFrame, odd: Da
 
 def _rest(families: DataFrame, first: DataFrame, sets: DataFrame, odd: DataFrame) -> DataFrame:
     """Links (a, b) inside families that are in several components so far, between members of different components."""
-    placed = families.select(F.col("node").alias("id"), F.col("component").alias("family")).join(first.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    placed = saved(families.select(F.col("node").alias("id"), F.col("component").alias("family")).join(first.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("component", F.coalesce("component", "id")), "placed")
     sizes = placed.groupBy("family", "component").agg(F.count("*").alias("n"))
     shape = sizes.groupBy("family").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.max("n").alias("n_main"), (F.sum("n") - F.max("n")).alias("n_other"), F.count("*").alias("k")).where("k > 1")
-    rows = placed.join(shape, "family").withColumn("other", F.col("component") != F.col("main"))
+    # a table of its own: the join neither has to deal the members out by family as the counts were, nor to keep a large family in one task
+    shape = saved(shape.drop("k"), "families")
+    rows = placed.join(F.broadcast(shape) if shape.count() <= BROADCAST_ROWS else shape, "family").withColumn("other", F.col("component") != F.col("main"))
     of_other, of_main = F.ceil(F.col("n_other") / BLOCK), F.ceil(F.col("n_main") / BLOCK)
     block = F.pmod(F.xxhash64("id"), F.when(F.col("other"), of_other).otherwise(of_main)).cast("int")
     rows = rows.withColumn("block", block)
@@ -266,11 +271,14 @@ def components(docs: DataFrame, shingle: int = 5, text: str = "text") -> DataFra
 
 
 def representatives(docs: DataFrame, shingle: int = 5) -> DataFrame:
-    """One row of docs, all columns, for each component: that with the smallest doc_id (of repeated rows, one). Rows with a null
-    doc_id stay, one for each text."""
+    """One row of docs, all columns, for each component: that with the smallest doc_id. Rows of one doc_id are one document, of which each
+    text stays once; rows with a null doc_id stay, one for each text. Of rows that repeat a text, that whose other columns have the
+    smallest hash stays."""
     kept = components(docs, shingle).where("kept").select(F.col("doc_id").alias("doc_id ")).distinct()
-    rows = docs.join(kept, docs["doc_id"] == kept["doc_id "], "left_semi").dropDuplicates(["doc_id"])
-    return rows.union(docs.where(F.col("doc_id").isNull()).dropDuplicates(["text"]))
+    rows = docs.join(kept, docs["doc_id"] == kept["doc_id "], "left_semi").union(docs.where(F.col("doc_id").isNull()))
+    text = F.xxhash64("text"), F.xxhash64(F.lit(1), "text")
+    order = F.row_number().over(W.partitionBy("doc_id", *text).orderBy(F.xxhash64(*docs.columns)))
+    return rows.withColumn("order ", order).where(F.col("order ") == 1).drop("order ")
 
 
 ORACLE_SQL = """

@@ -319,9 +319,23 @@ def test_op7_finds_every_item_at_the_threshold(spark, rows):
     kept = decontaminate.clean(table, bench)
     bad = {w[0] for w in want}
     assert kept.columns == table.columns and sorted((r["doc_id"] for r in kept.collect()), key=str) == sorted((r[0] for r in data if r[0] not in bad), key=str)
+    signed = [r.asDict() for r in decontaminate.signatures(bench).collect()]
+    for item, q in dict(items).items():
+        n = len(brute_shingles(brute_words(q), 5))
+        mine = [r for r in signed if r["item_id"] == item]
+        assert {(r["partition"], r["least"]) for r in mine} == ({(max(n - 1, 0).bit_length(), len(mine) - n // 5)} if n else set()) and len(mine) <= n
     assert decontaminate.found(none(table), bench).count() == 0 and decontaminate.clean(table, bench.limit(0)).count() == len(data)
 
 
+def test_op7_rows_of_one_item_id_are_one_item(spark):
+    rng = random.Random(15)
+    a, b = prose(rng, 12), prose(rng, 14)
+    bench = spark.createDataFrame([(1, a), (1, b), (2, a), (2, a)], "item_id bigint, text string")
+    table = spark.createDataFrame([(10, f"{a} and {b}"), (11, a), (12, f"{a} . {b}"), (12, f"{a} . {b}")], "doc_id bigint, text string")
+    got = sorted(tuple(r)[:4] for r in decontaminate.found(table, bench).collect())
+    assert got == sorted([(10, 1, 18, 18), (10, 2, 8, 8), (11, 2, 8, 8), *[(12, 1, 18, 18), (12, 2, 8, 8)] * 2])
+
+
 def brute_components(rows, k):
     sets = {}
     for doc, t, *_ in rows:
@@ -355,7 +369,19 @@ def test_op8_components(docs, rows, k):
             assert (r["n_shingles"], r["component_id"], r["kept"]) == (len(sets[r["doc_id"]]), want[r["doc_id"]], want[r["doc_id"]] == r["doc_id"])
     kept = neardup.representatives(docs, k)
     assert kept.columns == docs.columns and sorted(r["doc_id"] for r in kept.collect() if r["doc_id"] is not None) == sorted(set(want.values()))
-    assert neardup.components(none(docs), k).count() == 0
+    assert neardup.components(none(docs), k).count() == 0 and neardup.representatives(none(docs), k).count() == 0
+
+
+def test_op8_rows_of_one_id_and_repeats_in_the_filter(spark):
+    rng = random.Random(16)
+    a, b, c = (prose(rng, 40) for _ in range(3))
+    rows = [(1, a, "x"), (1, b, "y"), (1, a, "z"), (2, f"{c} end", "x"), (3, c, "x"), (None, b, "x"), (None, b, "w"), (4, None, "x"), (4, None, "x"), (5, "", "x")]
+    table = spark.createDataFrame(rows, "doc_id bigint, text string, id string")
+    for parts in (1, 7):
+        got = [tuple(r) for r in neardup.representatives(table.repartition(parts)).collect()]
+        assert sorted((r[:2] for r in got), key=str) == sorted([(1, a), (1, b), (2, f"{c} end"), (None, b), (4, None), (5, "")], key=str)
+        seen = seen if parts > 1 else sorted(got, key=str)
+        assert sorted(got, key=str) == seen
 
 
 def test_op8_chain_far_from_the_centre(spark):
