@@ -1,8 +1,10 @@
 """URL filters: rules on hosts and paths, and gradient-boosted trees on lexical features for what no rule fits.
 
-The rules' own verdicts are the labels. Trees (pyspark.ml) learn from at most LABELLED labelled URLs, those with the smallest hash; the
-suffix statistics, which are the share of blocked URLs for the last label, the last two labels and the first path segment, count all labelled URLs.
-They are kept for SUFFIXES hash buckets each, so that the tables joined to every row have a fixed bound and can be broadcast.
+The rules' own verdicts are the labels. Trees (pyspark.ml) learn from at most LABELLED labelled URLs, those with the smallest hash. The
+suffix statistics, which are the share of blocked URLs for the last label, the last two labels and the first path segment, count all
+labelled URLs, and are kept for SUFFIXES hash buckets each, so that the tables joined to every row have a fixed bound and can be broadcast.
+What the trees learn from has out-of-fold statistics: hosts are dealt out to FOLDS folds, and a URL's shares are counted without its fold,
+so that trees see how much a suffix says of hosts they don't know. Trees draw rows and features, and so differ.
 
 Nulls and edges: a null url, or one without ://, has an empty host and path, no rule, and is judged by the trees. Without labels of
 both kinds the trees' verdict is the only kind there is, or allow. Repeated rows each get a row; extra columns are ignored.
@@ -22,7 +24,8 @@ from platewise.llm.common import saved
 RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
 LABELLED = 20_000
 SUFFIXES = 4096
-TREES, DEPTH = 12, 4
+TREES, DEPTH, SHARE = 16, 4, 0.7
+FOLDS = 5
 LEXICAL = ("length", "host_length", "path_length", "labels", "depth", "digit_ratio", "sign_ratio", "entropy", "parameters", "has_fragment", "longest_segment", "hyphens")
 STATISTICS = ("last_label", "last_labels", "first_segment")
 
@@ -65,30 +68,59 @@ def with_features(pages: DataFrame, url: str = "url") -> DataFrame:
     )
 
 
-def judge(pages: DataFrame, labelled: int = LABELLED) -> DataFrame:
-    """page_id, host, path, rule, verdict, p_block of every row of pages."""
-    rows = with_features(pages)
-    inputs = [*LEXICAL, *(f"p_{n}" for n in STATISTICS)]
-    known = rows.where(F.col("given").isNotNull())
-    statistics = saved(known.groupBy(*STATISTICS, "given").agg(F.count("*").alias("n")), "suffixes")
-    shares = {n: statistics.groupBy(n).agg(((F.sum(F.when(F.col("given") == "block", F.col("n")).otherwise(0)) + 1) / (F.sum("n") + 2)).alias(f"p_{n}")) for n in STATISTICS}
+INPUTS = [*LEXICAL, *(f"p_{n}" for n in STATISTICS)]
+
+
+def _fold(host: str = "host") -> Column:
+    return F.pmod(F.xxhash64(F.lit("fold"), host), F.lit(FOLDS)).cast("int")
+
+
+def suffix_counts(known: DataFrame) -> DataFrame:
+    """name, bucket, fold, blocked, n of labelled rows: at most a row for each statistic, bucket and fold."""
+    each = known.select(_fold().alias("fold"), "given", F.explode(F.array(*[F.struct(F.lit(n).alias("name"), F.col(n).alias("bucket")) for n in STATISTICS])).alias("s"))
+    return each.groupBy("s.name", "s.bucket", "fold").agg(F.count_if(F.col("given") == "block").alias("blocked"), F.count("*").alias("n"))
+
 
-    def joined(rows):
-        for name, share in shares.items():
-            rows = rows.join(F.broadcast(share), name, "left")  # SUFFIXES rows at most
-        return rows.fillna(0.5, [f"p_{n}" for n in STATISTICS])
+def with_statistics(rows: DataFrame, counts: DataFrame, out_of_fold: bool) -> DataFrame:
+    """rows with the share of blocked URLs for each suffix, smoothed by one URL of each kind; out_of_fold: without those of the row's fold."""
+    total = counts.groupBy("name", "bucket").agg(F.sum("blocked").alias("all_blocked"), F.sum("n").alias("all_n"))
+    for name in STATISTICS:
+        share = total.where(F.col("name") == name).select(F.col("bucket").alias(name), "all_blocked", "all_n")
+        rows = rows.join(F.broadcast(share), name, "left")
+        blocked, n = F.coalesce("all_blocked", F.lit(0)), F.coalesce("all_n", F.lit(0))
+        if out_of_fold:
+            own = counts.where(F.col("name") == name).select(F.col("bucket").alias(name), F.col("fold").alias("fold "), F.col("blocked").alias("own_blocked"), F.col("n").alias("own_n"))
+            rows = rows.withColumn("fold ", _fold()).join(F.broadcast(own), [name, "fold "], "left")
+            blocked, n = blocked - F.coalesce("own_blocked", F.lit(0)), n - F.coalesce("own_n", F.lit(0))
+        rows = rows.withColumn(f"p_{name}", (blocked + 1) / (n + 2)).drop("all_blocked", "all_n", "own_blocked", "own_n", "fold ")
+    return rows
 
+
+def with_p_block(rows: DataFrame, known: DataFrame, labelled: int = LABELLED) -> DataFrame:
+    """rows with p_block, the probability that trees learned from known give."""
+    counts = saved(suffix_counts(known), "suffixes")
     # fully determined by the rows, whatever their order: equal URLs have equal features
-    sample = joined(known.orderBy(F.xxhash64("u"), "u").limit(labelled)).select(*inputs, (F.col("given") == "block").cast("double").alias("label"))
-    sample = saved(sample, "labelled")
+    sample = known.orderBy(F.xxhash64("u"), "u").limit(labelled)
+    sample = saved(with_statistics(sample, counts, out_of_fold=True).select(*INPUTS, (F.col("given") == "block").cast("double").alias("label")), "labelled")
     kinds = [r[0] for r in sample.select("label").distinct().collect()]
-    result = joined(rows)
-    if len(kinds) == 2:
-        assembler = VectorAssembler(inputCols=inputs, outputCol="features ")
-        model = GBTClassifier(featuresCol="features ", labelCol="label", maxIter=TREES, maxDepth=DEPTH, seed=11).fit(assembler.transform(sample).repartition(1))
-        model = model.setPredictionCol("").setRawPredictionCol("").setProbabilityCol("probability ")
-        result = model.transform(assembler.transform(result)).withColumn("p_block", vector_to_array("probability ")[1])
-    else:
-        result = result.withColumn("p_block", F.lit(float(kinds[0]) if kinds else 0.0))
+    result = with_statistics(rows, counts, out_of_fold=False)
+    if len(kinds) < 2:
+        return result.withColumn("p_block", F.lit(float(kinds[0]) if kinds else 0.0))
+    assembler = VectorAssembler(inputCols=INPUTS, outputCol="features ")
+    model = GBTClassifier(featuresCol="features ", labelCol="label", maxIter=TREES, maxDepth=DEPTH, subsamplingRate=SHARE, featureSubsetStrategy="onethird", seed=11).fit(assembler.transform(sample.orderBy(*INPUTS, "label").repartition(1)))
+    model = model.setPredictionCol("").setRawPredictionCol("").setProbabilityCol("probability ")
+    return model.transform(assembler.transform(result)).withColumn("p_block", vector_to_array("probability ")[1])
+
+
+def judge(pages: DataFrame, labelled: int = LABELLED) -> DataFrame:
+    """page_id, host, path, rule, verdict, p_block of every row of pages."""
+    rows = with_features(pages)
+    result = with_p_block(rows, rows.where(F.col("given").isNotNull()), labelled)
     verdict = F.coalesce("given", F.when(F.col("p_block") >= 0.5, "block").otherwise("allow"))
     return result.select("page_id", "host", "path", "rule", verdict.alias("verdict"), F.round("p_block", 6).alias("p_block"))
+
+
+def held_out(pages: DataFrame, fold: int = 0, labelled: int = LABELLED) -> DataFrame:
+    """page_id, given, p_block of the labelled URLs of one fold of hosts, by trees and statistics that know none of its hosts."""
+    rows = with_features(pages).where(F.col("given").isNotNull())
+    return with_p_block(rows.where(_fold() == fold), rows.where(_fold() != fold), labelled).select("page_id", "given", F.round("p_block", 6).alias("p_block"))

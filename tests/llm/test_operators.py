@@ -112,6 +112,24 @@ def test_op2_rules_by_brute_force(spark):
     assert urlfilter.judge(pages.limit(0)).count() == 0
 
 
+def test_op2_trees_tell_hosts_they_do_not_know(spark):
+    rng = random.Random(17)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(3, 8)))
+    urls = [f"http://{word()}.{word()}.{rng.choice(['com', 'net', 'org'])}/{rng.choice(['es', 'fr', 'en', 'de'])}/{word()}/{rng.randrange(1000)}{rng.choice(['', '?a=1', '#x'])}" for _ in range(900)]
+    pages = spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "page_id bigint, url string").withColumns({c: F.lit("z") for c in ("host", "path", "verdict", "given", "p_block", "fold ", "bucket")})
+    held = urlfilter.held_out(pages).collect()
+    assert len(held) > 50 and {r["given"] for r in held} == {"allow", "block"}
+    assert np.mean([(r["p_block"] >= 0.5) == (r["given"] == "block") for r in held]) > 0.9
+    got = {r["page_id"]: r for r in urlfilter.judge(pages).collect()}
+    assert len(got) == len(urls) and len({r["p_block"] for r in got.values() if r["rule"] is None}) > 10
+    # shares out of fold by brute force
+    rows = urlfilter.with_features(pages).where("given is not null")
+    table = urlfilter.with_statistics(rows, urlfilter.suffix_counts(rows), out_of_fold=True).withColumn("fold", urlfilter._fold()).collect()
+    for r in table[:40]:
+        others = [x["given"] == "block" for x in table if x["last_label"] == r["last_label"] and x["fold"] != r["fold"]]
+        assert abs(r["p_last_label"] - (sum(others) + 1) / (len(others) + 2)) < 1e-9
+
+
 def test_op3_round_trip(docs, rows):
     got = defaultdict(list)
     for r in media.round_trip(docs).collect():
