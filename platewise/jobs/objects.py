@@ -56,10 +56,12 @@ def class_proportions(spark, sf_dir):
     return C.class_shares(objects(spark, sf_dir), ["plate", "frame"], CLASSES)
 
 
-@query("A18_layout_with_defaults", "d as (select * from wells where sirna <= 384) select p.position, coalesce(d.gene, 'none') as gene, coalesce(d.size, 0) as size from (select unnest(range(1, 385)) as position) p left join d using (position)", "wells")
+@query("A18_layout_with_defaults", "d as (select sirna // 384 as layout, position, gene, size from wells), l as (select distinct layout from d) select l.layout::bigint as layout, p.position, coalesce(d.gene, 'none') as gene, coalesce(d.size, 0) as size from l cross join (select unnest(range(1, 385)) as position) p left join d on d.layout = l.layout and d.position = p.position", "wells")
 def layout_with_defaults(spark, sf_dir):
-    rows = wells(spark, sf_dir).where("sirna <= 384").select("position", "gene", "size")
-    return spark.range(1, 385).select(F.col("id").alias("position")).join(rows, "position", "left").select("position", F.coalesce("gene", F.lit("none")).alias("gene"), F.coalesce("size", F.lit(0)).alias("size"))
+    """A plate number beside the position: every plate has all its positions, with defaults where the library has no siRNA."""
+    rows = wells(spark, sf_dir).select(F.floor(F.col("sirna") / 384).alias("layout"), "position", "gene", "size")
+    grid = rows.select("layout").distinct().withColumn("position", F.explode(F.sequence(F.lit(1).cast("bigint"), F.lit(384).cast("bigint"))))
+    return grid.join(rows, ["layout", "position"], "left").select("layout", "position", F.coalesce("gene", F.lit("none")).alias("gene"), F.coalesce("size", F.lit(0)).alias("size"))
 
 
 @query("A19_dose_parsing", """t as (select sirna, (size % 10)::varchar || ',5 ' || (case size % 3 when 0 then 'uM' when 1 then 'nM' else 'mg' end) as dose from wells)
@@ -143,13 +145,6 @@ def wells_without_failures(spark, sf_dir):
     return rows.join(rows.where(~F.col("passed")).select("doc_id"), "doc_id", "left_anti").join(bad, "source", "left_anti").select("doc_id", "source")
 
 
-@query("C22_without_division_moves", "r as (select *, row_number() over (partition by track_id order by frame) as a, row_number() over (partition by track_id order by frame desc) as z from track_points) select plate, track_id, frame, x, y from r where not (track_id % 3 = 2 and a <= 2) and not (track_id % 4 >= 2 and z <= 2)", "track_points")
-def without_division_moves(spark, sf_dir):
-    a, z = F.row_number().over(W.partitionBy("track_id").orderBy("frame")), F.row_number().over(W.partitionBy("track_id").orderBy(F.desc("frame")))
-    rows = track_points(spark, sf_dir).withColumns({"a": a, "z": z})
-    return rows.where("not (track_id % 3 = 2 and a <= 2) and not (track_id % 4 >= 2 and z <= 2)").drop("a", "z")
-
-
 @query("E01_links_by_arity", "c as (select parent, count(*) as arity from lineage group by parent) select arity, count(*) as events, sum(arity)::bigint as links from c group by arity", "lineage")
 def links_by_arity(spark, sf_dir):
     return lineage(spark, sf_dir).groupBy("parent").agg(F.count("*").alias("arity")).groupBy("arity").agg(F.count("*").alias("events"), F.sum("arity").alias("links"))

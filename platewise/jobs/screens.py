@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import array_to_vector
+from pyspark.ml.stat import Correlation
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -84,8 +86,8 @@ def phenotypes_of_gene(spark, sf_dir):
 @query("G01_extreme_in_both", "m as (select sirna, avg(measure) as a, max(measure) as b from screen group by sirna), t as (select quantile_cont(a, 0.9) as ta, quantile_cont(b, 0.9) as tb from m) select sirna from m, t where a >= ta intersect select sirna from m, t where b >= tb", "screen")
 def extreme_in_both(spark, sf_dir):
     m = screen(spark, sf_dir).groupBy("sirna").agg(F.avg("measure").alias("a"), F.max("measure").alias("b"))
-    t = m.agg(F.percentile("a", 0.9).alias("ta"), F.percentile("b", 0.9).alias("tb"))
-    return m.crossJoin(F.broadcast(t)).where("a >= ta and b >= tb").select("sirna")
+    ta, tb = (S.quantiles(m, [], c, {f"t{c}": 0.9}) for c in "ab")
+    return m.crossJoin(F.broadcast(ta)).crossJoin(F.broadcast(tb)).where("a >= ta and b >= tb").select("sirna")
 
 
 @query("G05_ambiguous_phenotypes", "select p_brand as gene, case when count(distinct p_type) > 3 then 'NO' else min(p_type) end as phenotype from part group by p_brand")
@@ -120,12 +122,12 @@ def in_both_stores(spark, sf_dir):
 
 KS_SQL = """c as (select gene, v, sum(mine) as a, sum(1 - mine) as b from u group by gene, v), k as (select gene, sum(a) over w as ca, sum(b) over w as cb, sum(a) over z as n1, sum(b) over z as n2 from c window w as (partition by gene order by v rows unbounded preceding), z as (partition by gene)),
 t as (select gene, n1::double as n1, n2::double as n2, max(abs(ca / n1 - cb / n2)) as d from k where n1 > 0 and n2 > 0 group by gene, n1, n2)"""
-UNION_SQL = "pool as (select measure as v from screen where is_control and batch = 1995), u as (select gene, measure as v, 1 as mine from screen where not is_control union all select g.gene, v, 0 from (select distinct gene from screen where not is_control) g, pool)"
+UNION_SQL = "pool as (select measure as v from screen where is_control), u as (select gene, measure as v, 1 as mine from screen where not is_control union all select g.gene, v, 0 from (select distinct gene from screen where not is_control) g, pool)"
 
 
 def _both(spark, sf_dir):
     rows = screen(spark, sf_dir)
-    return S.against_pool(rows.where(~F.col("is_control")), rows.where(F.col("is_control") & (F.col("batch") == 1995)), ["gene"], "measure")
+    return S.against_pool(rows.where(~F.col("is_control")), rows.where("is_control"), ["gene"], "measure")
 
 
 @query("J01_ks_by_gene", f"{UNION_SQL}, {KS_SQL}, p as (select *, {X.kolmogorov_sf_sql('((sqrt(n1 * n2 / (n1 + n2)) + 0.12 + 0.11 / sqrt(n1 * n2 / (n1 + n2))) * d)')} as p from t) select gene, n1::bigint as n1, n2::bigint as n2, {q6('d')} as d, {q6('p')} as p from p", "screen")
@@ -162,20 +164,19 @@ def _empirical(spark, sf_dir):
 
 @query("J02_empirical_p_and_q", f"{EMPIRICAL}, r as (select *, least(1, p * count(*) over () / row_number() over (order by p, sirna)) as raw from e) select sirna, {q6('p')} as p, {q6('min(raw) over (order by p, sirna rows between current row and unbounded following)')} as q from r", "screen")
 def empirical_p_and_q(spark, sf_dir):
-    return S.bh(_empirical(spark, sf_dir), [], tie="sirna").select("sirna", r6(F.col("p")).alias("p"), r6(F.col("q")).alias("q"))
+    return S.bh(_empirical(spark, sf_dir)).select("sirna", r6(F.col("p")).alias("p"), r6(F.col("q")).alias("q"))
 
 
-@query("J14_fisher_combination", f"{EMPIRICAL}, s as (select gene, count(*) as m, sum(-2 * ln(p)) as x from e group by gene) select gene, m, {q6('x')} as statistic, {q6('exp(-x / 2) * list_sum(list_transform(range(0, m), lambda i: exp(i * ln(x / 2) - lgamma(i + 1))))')} as p from s where m <= 60", "screen")
+@query("J14_fisher_combination", f"{EMPIRICAL}, s as (select gene, count(*) as m, sum(-2 * ln(p)) as x from e group by gene) select gene, m, {q6('x')} as statistic, {q6('list_sum(list_transform(range(0, m), lambda i: exp(i * ln(x / 2) - lgamma(i + 1) - x / 2)))')} as p from s", "screen")
 def fisher_combination(spark, sf_dir):
-    s = _empirical(spark, sf_dir).groupBy("gene").agg(F.count("*").alias("m"), F.sum(-2 * F.ln("p")).alias("x")).where("m <= 60")
+    s = _empirical(spark, sf_dir).groupBy("gene").agg(F.count("*").alias("m"), F.sum(-2 * F.ln("p")).alias("x"))
     return s.select("gene", "m", r6(F.col("x")).alias("statistic"), r6(X.chi2_sf_even(F.col("x"), F.col("m"))).alias("p"))
 
 
 @query("J20_conservative_q", f"{EMPIRICAL} select sirna, {q6('p * count(*) over () / row_number() over (order by p, sirna)')} as q from e", "screen")
 def conservative_q(spark, sf_dir):
-    e = _empirical(spark, sf_dir)
-    n = F.count("*").over(W.partitionBy(F.lit(0)))
-    return e.select("sirna", r6(F.col("p") * n / F.row_number().over(W.orderBy("p", "sirna"))).alias("q"))
+    e = S.row_numbers(_empirical(spark, sf_dir), "p", "sirna")
+    return e.select("sirna", r6(F.col("p") * F.col("all_rows") / F.col("row")).alias("q"))
 
 
 @query("J06_spearman_by_plate", f"m as (select plate, sirna, avg(measure) as a, stddev_pop(measure) as b from screen group by plate, sirna), r as (select plate, rank() over (partition by plate order by a) + (count(*) over (partition by plate, a) - 1) / 2 as ra, rank() over (partition by plate order by b) + (count(*) over (partition by plate, b) - 1) / 2 as rb from m) select plate, count(*) as n, {q6('corr(ra, rb)')} as rho from r group by plate", "screen")
@@ -197,18 +198,16 @@ def replicability_iqr(spark, sf_dir):
     rows = screen(spark, sf_dir)
     d = rows.groupBy("sirna").agg(F.percentile("measure", 0.5).alias("d"))
     ratio = F.col("measure") / F.when(F.col("d") != 0, F.col("d"))
-    q = rows.join(d, "sirna").groupBy("gene").agg(F.percentile(ratio, F.array(F.lit(0.25), F.lit(0.75))).alias("q"))
-    return q.select("gene", r6(F.col("q")[1] - F.col("q")[0]).alias("iqr"))
+    q = S.quantiles(rows.join(d, "sirna").select("gene", ratio.alias("ratio")), ["gene"], "ratio", {"a": 0.25, "b": 0.75})
+    return q.select("gene", r6(F.col("b") - F.col("a")).alias("iqr"))
 
 
-@query("J35_feature_correlations", f"u as (select exp, generate_subscripts(f, 1) - 1 as i, unnest(f) as v from features), s as (select * from u where i < 8) select a.i::int as i, b.i::int as j, {q6('corr(a.v, b.v)')} as r from s a join s b using (exp) where a.i < b.i group by a.i, b.i", "features")
+@query("J35_feature_correlations", f"u as (select exp, generate_subscripts(f, 1) - 1 as i, unnest(f) as v from features) select a.i::int as i, b.i::int as j, {q6('corr(a.v, b.v)')} as r from u a join u b using (exp) where a.i < b.i group by a.i, b.i", "features")
 def feature_correlations(spark, sf_dir):
-    """One pass: the correlations are aggregates over the wide rows, not over joined pairs."""
-    rows = features(spark, sf_dir)
-    pairs = [(i, j) for i in range(8) for j in range(i + 1, 8)]
-    at = lambda i: F.get("f", F.lit(i))
-    one = rows.agg(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.corr(at(i), at(j)).alias("r")) for i, j in pairs]).alias("a"))
-    return one.select(F.explode("a").alias("x")).select("x.i", "x.j", r6(F.col("x.r")).alias("r"))
+    """One pass over the wide rows: the sums of products of all elements, not joined pairs. The matrix has as many rows as a vector elements."""
+    matrix = Correlation.corr(features(spark, sf_dir).select(array_to_vector("f").alias("v")), "v").first()[0].toArray()
+    n = len(matrix)
+    return spark.createDataFrame([(i, j, round(float(matrix[i, j]), 6) + 0.0) for i in range(n) for j in range(i + 1, n)], "i int, j int, r double")
 
 
 @query("J38_density_histogram", f"t as (select min(measure) as lo, max(measure) as hi from screen) select least(floor((measure - lo) / ((hi - lo) / 50)), 49)::int as bin, count(*) as n, {q6('count(*) / sum(count(*)) over () / any_value((hi - lo) / 50) * 1000')} as density from screen, t group by bin", "screen")
@@ -222,8 +221,9 @@ def density_histogram(spark, sf_dir):
 @query("J41_robust_deviation", f"d as (select plate, median(measure) as d from screen group by plate) select plate, {q6('median(abs(measure - d)) / 0.6745')} as mad from screen join d using (plate) group by plate", "screen")
 def robust_deviation(spark, sf_dir):
     rows = screen(spark, sf_dir)
-    d = rows.groupBy("plate").agg(F.percentile("measure", 0.5).alias("d"))
-    return rows.join(F.broadcast(d), "plate").groupBy("plate").agg(r6(F.percentile(F.abs(F.col("measure") - F.col("d")), 0.5) / 0.6745).alias("mad"))
+    d = S.quantiles(rows, ["plate"], "measure", {"d": 0.5})
+    off = rows.join(F.broadcast(d), "plate").select("plate", F.abs(F.col("measure") - F.col("d")).alias("off"))
+    return S.quantiles(off, ["plate"], "off", {"mad": 0.5}).select("plate", r6(F.col("mad") / 0.6745).alias("mad"))
 
 
 # ---- K: distances
@@ -266,8 +266,8 @@ def joint_histogram(spark, sf_dir):
 
 @query("K03_quantile_edges", ", ".join(["select plate"] + [f"{q6(f'quantile_cont(x, {k / 10})')} as e{k}" for k in range(11)]) + " from objects group by plate", "objects")
 def quantile_edges(spark, sf_dir):
-    q = objects(spark, sf_dir).groupBy("plate").agg(F.percentile("x", F.array(*[F.lit(k / 10) for k in range(11)])).alias("q"))
-    return q.select("plate", *[r6(F.col("q")[k]).alias(f"e{k}") for k in range(11)])
+    q = S.quantiles(objects(spark, sf_dir), ["plate"], "x", {f"e{k}": k / 10 for k in range(11)})
+    return q.select("plate", *[r6(F.col(f"e{k}")).alias(f"e{k}") for k in range(11)])
 
 
 @query("K22_condition_distances", f"u as (select condition, generate_subscripts(f, 1) as k, unnest(f) as v from features), m as (select condition, k, avg(v) as v from u group by condition, k) select a.condition as i, b.condition as j, {q6('sqrt(sum((a.v - b.v) ** 2))')} as d from m a join m b on a.k = b.k and a.condition < b.condition group by 1, 2", "features")
@@ -293,12 +293,12 @@ def representatives(spark, sf_dir):
     return a.withColumn("k", F.row_number().over(W.partitionBy("label").orderBy(F.round("d", 9), "exp"))).where("k <= 10").select("label", "exp", "k")
 
 
-@query("E22_relabelling", f"{CENTRE_SQL}, n as (select label, condition, count(*) as n from a group by label, condition) select label, arg_max(condition, n * 1000 - condition) as condition, max(n) as n from n group by label", "features")
+@query("E22_relabelling", f"{CENTRE_SQL}, n as (select label, condition, count(*) as n from a group by label, condition) select label, condition, n from n qualify row_number() over (partition by label order by n desc, condition) = 1", "features")
 def relabelling(spark, sf_dir):
     rows = features(spark, sf_dir)
     a = L.nearest(rows, L.mean_vectors(rows, ["condition"]).withColumnRenamed("condition", "label"), keep=["condition"])
     n = a.groupBy("label", "condition").agg(F.count("*").alias("n"))
-    return n.groupBy("label").agg(F.max_by("condition", F.col("n") * 1000 - F.col("condition")).alias("condition"), F.max("n").alias("n"))
+    return n.groupBy("label").agg(F.max_by("condition", F.struct(F.col("n"), -F.col("condition"))).alias("condition"), F.max("n").alias("n"))
 
 
 @query("L37_recall_purity_entropy", f"{CENTRE_SQL}, n as (select label, condition, count(*) as n from a group by label, condition), p as (select *, n / sum(n) over (partition by condition) as r, n / sum(n) over (partition by label) as q from n) select condition, {q6('max(r)')} as recall, {q6('sum(-r * ln(r))')} as entropy, {q6('max(q)')} as purity from p group by condition", "features")
@@ -339,13 +339,13 @@ def graph_laplacian(spark, sf_dir):
 @query("M01_confirmed_genes", f"{MEAN}, t as (select quantile_cont(measure, 0.9) as t from screen where is_control), e as (select gene, sirna, measure > t as hit from screen, t where not is_control), l as (select gene, sirna, count(*) as n, count(case when hit then 1 end) as h from e group by gene, sirna) select gene, count(*) as n_lower, count(case when h >= 2 and h >= n * 0.2 then 1 end) as n_hit_lower, bool_or(h >= 2 and h >= n * 0.2) as hit from l group by gene", "screen")
 def confirmed_genes(spark, sf_dir):
     rows = screen(spark, sf_dir)
-    t = rows.where("is_control").agg(F.percentile("measure", 0.9).alias("t"))
+    t = S.quantiles(rows.where("is_control"), [], "measure", {"t": 0.9})
     return M.two_level_hits(rows.where(~F.col("is_control")).crossJoin(F.broadcast(t)).withColumn("hit", F.col("measure") > F.col("t")), "sirna", "gene", "hit", share=0.2)
 
 
-@query("M03_gene_scores", f"{EMPIRICAL} select gene, {q6('min(p)')} as score, arg_min(sirna, p * 1e9 + sirna / 1e9) as sirna from e group by gene", "screen")
+@query("M03_gene_scores", f"{EMPIRICAL} select gene, {q6('p')} as score, sirna from e qualify row_number() over (partition by gene order by p, sirna) = 1", "screen")
 def gene_scores(spark, sf_dir):
-    return _empirical(spark, sf_dir).groupBy("gene").agg(r6(F.min("p")).alias("score"), F.min_by("sirna", F.col("p") * 1e9 + F.col("sirna") / 1e9).alias("sirna"))
+    return _empirical(spark, sf_dir).groupBy("gene").agg(r6(F.min("p")).alias("score"), F.min_by("sirna", F.struct("p", "sirna")).alias("sirna"))
 
 
 @query("M04_tukey_hits", f"{MEAN}, q as (select quantile_cont(v, 0.25) as a, quantile_cont(v, 0.75) as b from m where is_control) select sirna, v <= a - 1.5 * (b - a) as low from m, q where not is_control", "screen")
@@ -443,14 +443,14 @@ def fisher_by_batch(spark, sf_dir):
 
 @query("J13_percentile_thresholds", f"select batch, {q6('quantile_cont(measure, 0.05)')} as low, {q6('quantile_cont(measure, 0.95)')} as high from screen where is_control group by batch", "screen")
 def percentile_thresholds(spark, sf_dir):
-    q = screen(spark, sf_dir).where("is_control").groupBy("batch").agg(F.percentile("measure", F.array(F.lit(0.05), F.lit(0.95))).alias("q"))
-    return q.select("batch", r6(F.col("q")[0]).alias("low"), r6(F.col("q")[1]).alias("high"))
+    q = S.quantiles(screen(spark, sf_dir).where("is_control"), ["batch"], "measure", {"low": 0.05, "high": 0.95})
+    return q.select("batch", r6(F.col("low")).alias("low"), r6(F.col("high")).alias("high"))
 
 
 @query("J16_thresholded_hits", "t as (select batch, quantile_cont(measure, 0.95) as t from screen where is_control group by batch) select sirna, count(*) as n, count(case when measure > t then 1 end) as n_hits from screen join t using (batch) where not is_control group by sirna", "screen")
 def thresholded_hits(spark, sf_dir):
     rows = screen(spark, sf_dir)
-    t = rows.where("is_control").groupBy("batch").agg(F.percentile("measure", 0.95).alias("t"))
+    t = S.quantiles(rows.where("is_control"), ["batch"], "measure", {"t": 0.95})
     return rows.where(~F.col("is_control")).join(F.broadcast(t), "batch").groupBy("sirna").agg(F.count("*").alias("n"), F.count_if(F.col("measure") > F.col("t")).alias("n_hits"))
 
 
@@ -471,13 +471,22 @@ def plate_correlations(spark, sf_dir):
     return S.spearman(pairs, ["i", "j"], "x", "y").select("i", "j", "n", r6(F.col("rho")).alias("rho"))
 
 
-@query("J33_replicates_against_the_rest", f"u as (select exp, condition, plate, generate_subscripts(f, 1) as k, unnest(f) as v from features where exp < 100), d as (select a.exp as i, b.exp as j, any_value(a.condition) as ci, any_value(b.condition) as cj, sqrt(sum((a.v - b.v) ** 2)) as d from u a join u b on a.k = b.k and a.exp <> b.exp group by 1, 2) select ci as condition, {q6('avg(case when ci = cj then d end) / avg(case when ci <> cj then d end)')} as ratio from d group by ci", "features")
+REPLICATES = "u as (select condition, plate, generate_subscripts(f, 1) as k, unnest(f) as v from features), m as (select condition, plate, k, avg(v) as v from u group by condition, plate, k), d as (select a.condition as ci, a.plate as pi, b.condition as cj, b.plate as pj, sqrt(sum((a.v - b.v) ** 2)) as d from m a join m b on a.k = b.k and (a.condition, a.plate) <> (b.condition, b.plate) group by 1, 2, 3, 4), n as (select condition, count(distinct plate) as n_rep from features group by condition)"
+
+
+def _replicate_distances(spark, sf_dir):
+    """ci, pi, cj, pj, d: all pairs of replicates, one mean vector for each condition and plate."""
+    rows = L.mean_vectors(features(spark, sf_dir), ["condition", "plate"]).withColumn("key", F.struct("condition", "plate"))
+    return K.symmetric(K.pair_table(rows, "key", "f", X.euclidean)).select(F.col("i.condition").alias("ci"), F.col("i.plate").alias("pi"), F.col("j.condition").alias("cj"), F.col("j.plate").alias("pj"), "d")
+
+
+@query("J33_replicates_against_the_rest", f"{REPLICATES} select ci as condition, {q6('sum(case when ci = cj then d end) / (sum(case when ci <> cj then d end) / any_value(n_rep))')} as ratio from d join n on n.condition = ci group by ci", "features")
 def replicates_against_the_rest(spark, sf_dir):
-    """Distances inside a condition against those to the others. The reference set is the first hundred experiments by number."""
-    rows = features(spark, sf_dir).where("exp < 100")
-    a, b = rows.select(F.col("exp").alias("i"), F.col("condition").alias("ci"), F.col("f").alias("a")), rows.select(F.col("exp").alias("j"), F.col("condition").alias("cj"), F.col("f").alias("b"))
-    d = a.join(F.broadcast(b), F.col("i") != F.col("j")).select("ci", "cj", X.euclidean(F.col("a"), F.col("b")).alias("d"))
-    return d.groupBy(F.col("ci").alias("condition")).agg(r6(F.avg(F.when(F.col("ci") == F.col("cj"), F.col("d"))) / F.avg(F.when(F.col("ci") != F.col("cj"), F.col("d")))).alias("ratio"))
+    """The distances between a condition's replicates over those to all others' replicates, the latter for one replicate."""
+    n = features(spark, sf_dir).groupBy(F.col("condition").alias("ci")).agg(F.count_distinct("plate").alias("n_rep"))
+    same = F.col("ci") == F.col("cj")
+    d = _replicate_distances(spark, sf_dir).groupBy("ci").agg(F.sum(F.when(same, F.col("d"))).alias("within"), F.sum(F.when(~same, F.col("d"))).alias("others"))
+    return d.join(n, "ci").select(F.col("ci").alias("condition"), r6(F.col("within") / (F.col("others") / F.col("n_rep"))).alias("ratio"))
 
 
 @query("J44_accuracy_of_hits", f"t as (select sirna, max(measure) > 100000 as truth, avg(measure) > 38000 as called from screen group by sirna) select {q6('count(case when truth and called then 1 end) / nullif(count(case when truth then 1 end), 0)')} as accuracy, {q6('count(case when truth and called then 1 end) / nullif(count(case when called then 1 end), 0)')} as precision from t", "screen")
@@ -518,7 +527,7 @@ def parameter_grid(spark, sf_dir):
 def slow_growth(spark, sf_dir):
     m = _means(spark, sf_dir)
     low = M.tukey_low(m.where(~F.col("is_control")), m.where("is_control"), "v")
-    middle = m.where("is_control").agg(F.percentile("v", 0.5).alias("m"))
+    middle = S.quantiles(m.where("is_control"), [], "v", {"m": 0.5})
     return low.where(~F.col("low")).crossJoin(F.broadcast(middle)).select("sirna", (F.col("v") <= F.col("m")).alias("slow"))
 
 
@@ -560,11 +569,11 @@ NORMAL = "d as (select plate, median(measure) as m from screen group by plate),
 def ks_against_normal(spark, sf_dir):
     """Each plate's measures against the normal distribution with the plate's median and robust deviation."""
     rows = screen(spark, sf_dir)
-    d = rows.groupBy("plate").agg(F.percentile("measure", 0.5).alias("m"))
-    s = rows.join(F.broadcast(d), "plate").groupBy("plate").agg(F.first("m").alias("m"), (F.percentile(F.abs(F.col("measure") - F.col("m")), 0.5) / 0.6745).alias("s"))
-    c = rows.groupBy("plate", F.col("measure").alias("v")).agg(F.count("*").alias("t"))
-    plate = W.partitionBy("plate")
-    k = c.withColumns({"c": F.sum("t").over(plate.orderBy("v").rowsBetween(W.unboundedPreceding, 0)), "n": F.sum("t").over(plate)}).join(F.broadcast(s), "plate")
+    d = S.quantiles(rows, ["plate"], "measure", {"m": 0.5})
+    off = rows.join(F.broadcast(d), "plate").select("plate", F.abs(F.col("measure") - F.col("m")).alias("off"))
+    s = S.quantiles(off, ["plate"], "off", {"s": 0.5}).join(d, "plate").withColumn("s", F.col("s") / 0.6745)
+    c = S.running(rows.groupBy("plate", F.col("measure").alias("v")).agg(F.count("*").alias("t")), ["plate"], "v", ["t"])
+    k = c.select("plate", "v", "t", (F.col("before_t") + F.col("t")).alias("c"), F.col("all_t").alias("n")).join(F.broadcast(s), "plate")
     f = 1 - X.normal_sf((F.col("v") - F.col("m")) / F.col("s"))
     off = F.greatest(F.abs(F.col("c") / F.col("n") - f), F.abs(f - (F.col("c") - F.col("t")) / F.col("n")))
     return k.groupBy("plate").agg(F.max("n").alias("n"), r6(F.max(off)).alias("d"))

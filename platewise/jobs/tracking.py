@@ -17,8 +17,9 @@ MUTUAL = f"{NEXT}, m as (select *, row_number() over (partition by plate, frame,
 
 
 def _candidates(spark, sf_dir):
-    rows = objects(spark, sf_dir).select("plate", "frame", "label", "x", "y")
-    return A.within_radius(rows, A.next_frame(rows, ["plate"]), ["plate", "frame"], RADIUS)
+    """Pairs of objects of consecutive frames, with the class of both."""
+    rows = objects(spark, sf_dir).select("plate", "frame", "label", "x", "y", "cls")
+    return A.within_radius(rows, A.next_frame(rows, ["plate"]), ["plate", "frame"], RADIUS, carry=["cls"])
 
 
 def _links(spark, sf_dir):
@@ -39,9 +40,7 @@ def move_hypotheses(spark, sf_dir):
 
 @query("N08_hypothesis_features", f"select a.plate, a.frame, a.label, b.label as to_label, {q6('abs(b.x - a.x)')} as fx, {q6('abs(b.y - a.y)')} as fy, {q6('least(a.x, a.y, 500 - a.x)')} as border, a.cls = b.cls as same_class from objects a join objects b on a.plate = b.plate and b.frame = a.frame + 1 and abs(b.x - a.x) <= 8 and abs(b.y - a.y) <= 8 where {D} <= 8", "objects")
 def hypothesis_features(spark, sf_dir):
-    cls = objects(spark, sf_dir).select("label", "cls")
-    pairs = _candidates(spark, sf_dir).join(cls, "label").join(cls.select(F.col("label").alias("to_label"), F.col("cls").alias("to_cls")), "to_label")
-    return pairs.select("plate", "frame", "label", "to_label", r6(F.abs(F.col("to_x") - F.col("x"))).alias("fx"), r6(F.abs(F.col("to_y") - F.col("y"))).alias("fy"), r6(F.least(F.col("x"), F.col("y"), 500 - F.col("x"))).alias("border"), (F.col("cls") == F.col("to_cls")).alias("same_class"))
+    return _candidates(spark, sf_dir).select("plate", "frame", "label", "to_label", r6(F.abs(F.col("to_x") - F.col("x"))).alias("fx"), r6(F.abs(F.col("to_y") - F.col("y"))).alias("fy"), r6(F.least(F.col("x"), F.col("y"), 500 - F.col("x"))).alias("border"), (F.col("cls") == F.col("to_cls")).alias("same_class"))
 
 
 @query("N13_mutual_links", f"{MUTUAL} select plate, frame, label, to_label, {q6('d')} as d from l", "objects")
@@ -51,9 +50,7 @@ def mutual_links(spark, sf_dir):
 
 @query("N28_link_accuracy", f"{MUTUAL}, o as (select label, cls from objects) select a.cls as source_class, b.cls as target_class, count(*) as n from l join o a using (label) join o b on b.label = l.to_label group by 1, 2", "objects")
 def link_accuracy(spark, sf_dir):
-    cls = objects(spark, sf_dir).select("label", F.col("cls").alias("source_class"))
-    rows = _links(spark, sf_dir).select("label", "to_label").join(cls, "label").join(cls.select(F.col("label").alias("to_label"), F.col("source_class").alias("target_class")), "to_label")
-    return rows.groupBy("source_class", "target_class").agg(F.count("*").alias("n"))
+    return _links(spark, sf_dir).groupBy(F.col("cls").alias("source_class"), F.col("to_cls").alias("target_class")).agg(F.count("*").alias("n"))
 
 
 @query("N29_event_types", f"{MUTUAL}, o as (select plate, frame, label from objects), k as (select max(frame) as last from objects) select case when i.to_label is not null and j.label is not null then 'move' when j.label is null and frame < last then 'disappear' when i.to_label is null and frame > 0 then 'appear' else 'edge' end as event, count(*) as n from o left join (select to_label from l) i on i.to_label = o.label left join (select label from l) j on j.label = o.label, k group by 1", "objects")
@@ -125,9 +122,7 @@ def link_distances(spark, sf_dir):
 
 @query("N21_joint_features", f"{MUTUAL}, o as (select label, x, y, cls from objects) select a.cls = b.cls as same_class, count(*) as n, {q6('sum(abs(b.x - a.x))')} as fx, {q6('sum(abs(b.y - a.y))')} as fy from l join o a using (label) join o b on b.label = l.to_label group by 1", "objects")
 def joint_features(spark, sf_dir):
-    cls = objects(spark, sf_dir).select("label", "cls")
-    rows = _links(spark, sf_dir).join(cls, "label").join(cls.select(F.col("label").alias("to_label"), F.col("cls").alias("to_cls")), "to_label")
-    return rows.groupBy((F.col("cls") == F.col("to_cls")).alias("same_class")).agg(F.count("*").alias("n"), r6(F.sum(F.abs(F.col("to_x") - F.col("x")))).alias("fx"), r6(F.sum(F.abs(F.col("to_y") - F.col("y")))).alias("fy"))
+    return _links(spark, sf_dir).groupBy((F.col("cls") == F.col("to_cls")).alias("same_class")).agg(F.count("*").alias("n"), r6(F.sum(F.abs(F.col("to_x") - F.col("x")))).alias("fx"), r6(F.sum(F.abs(F.col("to_y") - F.col("y")))).alias("fy"))
 
 
 @query("N23_folds", f"f as (select unnest([0, 1, 2, 3, 4]) as fold), b as (select fold, min(x) as low, max(x) as high from objects, f where frame % 5 <> fold group by fold) select fold, count(*) as n, {q6('avg(2 * (x - low) / (high - low + 1e-7) - 1)')} as scaled from objects join b on frame % 5 = fold group by fold", "objects")
@@ -139,7 +134,7 @@ def folds(spark, sf_dir):
     return rows.join(F.broadcast(others), "fold").groupBy("fold").agg(F.count("*").alias("n"), r6(F.avg(2 * (F.col("x") - F.col("low")) / (F.col("high") - F.col("low") + 1e-7) - 1)).alias("scaled"))
 
 
-@query("R06_switch_states", "select track_id, frame, (case when (frame + track_id) % 7 < 4 then 0 else 1 end)::int as state from track_points where frame < 30", "track_points")
+@query("R06_switch_states", "select track_id, frame, (case when (frame + track_id) % 7 < 4 then 0 else 1 end)::int as state from track_points", "track_points")
 def switch_states(spark, sf_dir):
     """A two-state machine that stays four frames in the first state and three in the second, with a phase for each track."""
-    return track_points(spark, sf_dir).where("frame < 30").select("track_id", "frame", F.when((F.col("frame") + F.col("track_id")) % 7 < 4, 0).otherwise(1).alias("state"))
+    return simulate.switched(track_points(spark, sf_dir), dwell=(4, 3), phase="track_id").select("track_id", "frame", "state")

@@ -171,7 +171,7 @@ def motility_vs_control(spark, sf_dir):
     """Each plate's tracks against the control plate's: KS on the mean displacement, BH over plates, hits at 5 %."""
     tracks = T.track_features(track_points(spark, sf_dir)).select("plate", "mean_displacement")
     both = S.against_pool(tracks.where("plate <> 0"), tracks.where("plate = 0"), ["plate"], "mean_displacement")
-    rows = S.bh(S.kolmogorov_smirnov(both, ["plate"]), [], tie="plate")
+    rows = S.bh(S.kolmogorov_smirnov(both, ["plate"]))
     return rows.select("plate", F.col("n1").alias("n_tracks"), F.col("n2").alias("n_control"), r6(F.col("d")).alias("d"), r6(F.col("p")).alias("p"), r6(F.col("q")).alias("q"), (F.col("q") < 0.05).alias("hit"))
 
 
@@ -201,18 +201,31 @@ def log_transform(spark, sf_dir):
 
 # ---- starts and ends, divisions, small scalar functions
 
-SPAN = "s as (select plate, track_id, max(frame) as last from track_points group by plate, track_id), e as (select plate, max(last) as longest from s group by plate)"
+SPAN = """s as (select user_id % 5 as plate, user_id as track_id, min(date_diff('day', date '2024-01-01', ts::date)) as first, max(date_diff('day', date '2024-01-01', ts::date)) as last from events group by 1, 2),
+e as (select plate, min(first) as m_start, max(last) as m_end from s group by plate), g as (select parent, child from lineage where size >= 45), sp as (select parent, count(distinct child) as k from g group by parent), me as (select child, count(distinct parent) as k from g group by child),
+code as (select s.plate, track_id, first, last, case when first = m_start then 0 when exists (select 1 from g where g.child = track_id) then 2 else 1 end as start_code, case when last = m_end then 0 when exists (select 1 from sp where sp.parent = track_id and k > 1) then 2 when exists (select 1 from g join me using (child) where g.parent = track_id and me.k > 1) then 3 else 1 end as end_code from s join e using (plate))"""
 
 
-@query("F07_start_and_end_codes", f"{SPAN} select track_id, case when track_id % 4 = 0 then 2 when track_id % 3 = 0 then 1 else 0 end as start_code, case when last = longest then 0 when track_id % 4 = 1 then 2 when track_id % 4 = 2 then 3 else 1 end as end_code from s join e using (plate)", "track_points")
+def _codes(spark, sf_dir):
+    """plate, track_id, first, last, start_code, end_code: spans in days, and what the lineage events (those of size 45 and more) say of the ends."""
+    day = F.datediff("ts", F.lit("2024-01-01"))
+    spans = table(spark, sf_dir, "events").groupBy((F.col("user_id") % 5).alias("plate"), F.col("user_id").alias("track_id")).agg(F.min(day).alias("first"), F.max(day).alias("last"))
+    return T.end_codes(spans, lineage(spark, sf_dir).where("size >= 45"))
+
+
+@query("F07_start_and_end_codes", f"{SPAN} select track_id, start_code::int as start_code, end_code::int as end_code from code", "lineage")
 def start_and_end_codes(spark, sf_dir):
-    """Starts and ends of tracks: the ids that lineage events name are told apart by their remainder here."""
-    spans = track_points(spark, sf_dir).groupBy("plate", "track_id").agg(F.max("frame").alias("last"))
-    longest = spans.groupBy("plate").agg(F.max("last").alias("longest"))
-    t = F.col("track_id")
-    start = F.when(t % 4 == 0, 2).when(t % 3 == 0, 1).otherwise(0)
-    end = F.when(F.col("last") == F.col("longest"), 0).when(t % 4 == 1, 2).when(t % 4 == 2, 3).otherwise(1)
-    return spans.join(longest, "plate").select("track_id", start.alias("start_code"), end.alias("end_code"))
+    return _codes(spark, sf_dir).select("track_id", "start_code", "end_code")
+
+
+@query("F08_ends_by_kind", f"{SPAN} select plate, end_code::int as end_code, count(*) as n, max(last) as latest from code group by 1, 2", "lineage")
+def ends_by_kind(spark, sf_dir):
+    return _codes(spark, sf_dir).groupBy("plate", "end_code").agg(F.count("*").alias("n"), F.max("last").alias("latest"))
+
+
+@query("C22_without_division_moves", f"{SPAN}, r as (select p.*, start_code, end_code, row_number() over (partition by track_id order by frame) as a, row_number() over (partition by track_id order by frame desc) as z from track_points p join code using (track_id)) select plate, track_id, frame, x, y from r where not (start_code = 2 and a <= 2) and not (end_code in (2, 3) and z <= 2)", "track_points lineage")
+def without_division_moves(spark, sf_dir):
+    return T.without_division_moves(track_points(spark, sf_dir), _codes(spark, sf_dir))
 
 
 @query("F11_first_wins", "select plate, frame, label from objects qualify row_number() over (partition by plate, frame order by label) = 1", "objects")

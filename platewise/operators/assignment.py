@@ -11,14 +11,16 @@ from pyspark.sql import functions as F
 from platewise.functions.expressions import norm
 
 
-def within_radius(a: DataFrame, b: DataFrame, keys: list[str], radius: float) -> DataFrame:
-    """keys, label, x, y and to_label, to_x, to_y, d of all pairs at most radius apart: an equi join on grid cells of that size, where
-    the b side is repeated in its nine cells. A cell holds a bounded number of objects of one frame."""
+def within_radius(a: DataFrame, b: DataFrame, keys: list[str], radius: float, carry: list[str] | None = None) -> DataFrame:
+    """keys, label, x, y and to_label, to_x, to_y, d of all pairs at most radius apart, and the columns in carry of both (to_ before those of
+    b): an equi join on grid cells of that size, where the b side is repeated in its nine cells. Objects are at least a nucleus apart, which
+    bounds a cell; where a table has denser cells, AQE splits them, as both sides are dealt out for this join alone."""
+    carry = carry or []
     cell = lambda v: F.floor(F.col(v) / radius)
-    left = a.select(*keys, "label", "x", "y", cell("x").alias("cx"), cell("y").alias("cy"))
+    left = a.select(*keys, "label", "x", "y", *carry, cell("x").alias("cx"), cell("y").alias("cy"))
     around = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
-    right = b.select(*keys, F.col("label").alias("to_label"), F.col("x").alias("to_x"), F.col("y").alias("to_y"), around.alias("o"))
-    right = right.select(*keys, "to_label", "to_x", "to_y", (cell("to_x") + F.col("o.i")).alias("cx"), (cell("to_y") + F.col("o.j")).alias("cy"))
+    right = b.select(*keys, F.col("label").alias("to_label"), F.col("x").alias("to_x"), F.col("y").alias("to_y"), *[F.col(c).alias(f"to_{c}") for c in carry], around.alias("o"))
+    right = right.select(*keys, "to_label", "to_x", "to_y", *[f"to_{c}" for c in carry], (cell("to_x") + F.col("o.i")).alias("cx"), (cell("to_y") + F.col("o.j")).alias("cy"))
     pairs = left.join(right, [*keys, "cx", "cy"]).drop("cx", "cy")
     return pairs.withColumn("d", norm(F.col("to_x") - F.col("x"), F.col("to_y") - F.col("y"))).where(F.col("d") <= radius)
 

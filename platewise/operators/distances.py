@@ -8,6 +8,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+#: Rows up to which a side of all pairs is broadcast; past it Spark meets blocks with blocks.
+BROADCAST_ROWS = 20_000
+
+
 def bin_of(value: Column, low: Column, high: Column, bins: int) -> Column:
     """Equal-width bin from 0; the upper edge belongs to the last bin."""
     width = F.when(high > low, (high - low) / bins)
@@ -28,7 +32,10 @@ def pair_table(rows: DataFrame, key: str, value: str, distance, within: list[str
     within = within or []
     a = rows.select(*within, F.col(key).alias("i"), F.col(value).alias("a"))
     b = rows.select(*within, F.col(key).alias("j"), F.col(value).alias("b"))
-    pairs = a.join(b, within).where("i < j") if within else a.join(F.broadcast(b), F.col("i") < F.col("j"))
+    if within:
+        pairs = a.join(b, within).where("i < j")
+    else:
+        pairs = a.join(F.broadcast(b) if rows.count() <= BROADCAST_ROWS else b, F.col("i") < F.col("j"))
     return pairs.select(*within, "i", "j", distance(F.col("a"), F.col("b")).alias("d"))
 
 

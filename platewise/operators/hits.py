@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from platewise.operators.statistics import quantiles, running
+
 
 def two_level_hits(rows: DataFrame, lower: str, upper: str, hit: str, share: float = 0.5, least: int = 2) -> DataFrame:
     """upper, n_lower, n_hit_lower, hit: a lower level (siRNA) is confirmed with enough hits and share; an upper one (gene) with one confirmed."""
@@ -16,7 +18,7 @@ def two_level_hits(rows: DataFrame, lower: str, upper: str, hit: str, share: flo
 
 def tukey_low(rows: DataFrame, control: DataFrame, value: str, whisker: float = 1.5) -> DataFrame:
     """Adds low: value at most Q1 - whisker * IQR of the control's values."""
-    q = control.agg(F.percentile(value, F.array(F.lit(0.25), F.lit(0.75))).alias("q")).select((F.col("q")[0] - whisker * (F.col("q")[1] - F.col("q")[0])).alias("bound "))
+    q = quantiles(control, [], value, {"a": 0.25, "b": 0.75}).select((F.col("a") - whisker * (F.col("b") - F.col("a"))).alias("bound "))
     return rows.crossJoin(F.broadcast(q)).withColumn("low", F.col(value) <= F.col("bound ")).drop("bound ")
 
 
@@ -48,5 +50,5 @@ def rank_product_null(rows: DataFrame, condition: str, batch: str, value: str, r
     r = F.row_number().over(W.partitionBy("run", batch).orderBy(F.xxhash64(F.lit(seed), "run", batch, condition), condition))
     null = per.withColumn("r", r).groupBy("run", condition).agg(F.exp(F.sum(F.ln("r")) / F.count("*")).alias("rank_product"))
     both = real.select(F.col("rank_product").alias("v"), F.lit(0).alias("k")).union(null.select(F.round("rank_product", 9), F.lit(1))).groupBy("v").agg(F.sum("k").alias("k"))
-    upto = both.select("v", F.sum("k").over(W.orderBy("v").rowsBetween(W.unboundedPreceding, 0)).alias("c"))
+    upto = running(both, [], "v", ["k"]).select("v", (F.col("before_k") + F.col("k")).alias("c"))
     return real.join(upto, F.col("rank_product") == F.col("v")).select(condition, "rank_product", (F.col("c") / runs).alias("false_positives"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 def walks(tracks: DataFrame, frames: int, seed: int) -> DataFrame:
@@ -21,3 +22,12 @@ def walks(tracks: DataFrame, frames: int, seed: int) -> DataFrame:
             yield pd.concat(out) if out else pd.DataFrame({"track_id": [], "frame": [], "x": [], "y": []})
 
     return tracks.select("track_id", "scale").mapInPandas(run, "track_id bigint, frame int, x double, y double")
+
+
+def switched(points: DataFrame, dwell: tuple[int, ...], phase: str) -> DataFrame:
+    """Adds state: a machine that stays dwell[i] frames in state i and begins again after the last; phase is a column with its start."""
+    at, state, left = F.pmod(F.col("frame") + F.col(phase), F.lit(sum(dwell))), F.lit(len(dwell) - 1), sum(dwell)
+    for i in range(len(dwell) - 1, -1, -1):
+        state = F.when(at < left, i).otherwise(state)
+        left -= dwell[i]
+    return points.withColumn("state", state)

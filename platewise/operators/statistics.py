@@ -1,4 +1,5 @@
-"""Two-sample tests, empirical p-values and false discovery rates, as window recipes."""
+"""Two-sample tests, empirical p-values, false discovery rates and exact quantiles. What needs an order over all rows is counted by value,
+summed by ranges of values, and cumulated in each range: no task sees all rows, and no pool of controls is repeated for its groups."""
 
 from __future__ import annotations
 
@@ -8,21 +9,58 @@ from pyspark.sql import functions as F
 
 from platewise.functions.expressions import kolmogorov_sf, normal_sf
 
+#: Ranges of values, each a task's work at most.
+RANGES = 64
 
-def against_pool(rows: DataFrame, pool: DataFrame, keys: list[str], value: str, shared: list[str] | None = None) -> DataFrame:
-    """keys, value, mine: each group's values together with the pool's. The pool is small next to the corpus: it is joined to the groups' keys."""
-    shared = shared or []
-    groups = rows.select(*keys).distinct()
-    others = groups.join(pool.select(*shared, F.col(value).alias("v ")), shared) if shared else groups.crossJoin(F.broadcast(pool.select(F.col(value).alias("v "))))
-    return rows.select(*keys, F.col(value).cast("double").alias("v"), F.lit(1).alias("mine")).unionByName(others.select(*keys, F.col("v ").cast("double").alias("v"), F.lit(0).alias("mine"))).where(F.col("v").isNotNull())
+
+def with_range(rows: DataFrame, value: str, ranges: int = RANGES) -> DataFrame:
+    """Adds range: the number of the value's range, of ranges that hold about the same number of rows. Only their bounds reach the driver."""
+    bounds = sorted(set(rows.select(F.col(value).cast("double").alias("v")).approxQuantile("v", [i / ranges for i in range(1, ranges)], 1 / (4 * ranges))))
+    edges = F.array(*map(F.lit, bounds)) if bounds else F.array().cast("array<double>")
+    return rows.withColumn("range", F.size(F.filter(edges, lambda b: b < F.col(value))))
+
+
+def running(counts: DataFrame, keys: list[str], value: str, sums: list[str]) -> DataFrame:
+    """Adds before_x, the sum of x over the smaller values within keys, and all_x, the sum within keys, for each x of sums. counts has a
+    row for each value and keys."""
+    ranged = with_range(counts, value)
+    totals = ranged.groupBy(*keys, "range").agg(*[F.sum(x).alias(f"t_{x}") for x in sums])
+    # at most RANGES rows for each of keys
+    earlier, every = W.partitionBy(*keys).orderBy("range").rowsBetween(W.unboundedPreceding, -1), W.partitionBy(*keys)
+    totals = totals.select(*keys, "range", *[F.coalesce(F.sum(f"t_{x}").over(earlier), F.lit(0)).alias(f"o_{x}") for x in sums], *[F.sum(f"t_{x}").over(every).alias(f"all_{x}") for x in sums])
+    inside = W.partitionBy(*keys, "range").orderBy(value).rowsBetween(W.unboundedPreceding, -1)
+    rows = ranged.join(F.broadcast(totals) if not keys else totals, [*keys, "range"])
+    return rows.withColumns({f"before_{x}": F.col(f"o_{x}") + F.coalesce(F.sum(x).over(inside), F.lit(0)) for x in sums}).drop("range", *[f"o_{x}" for x in sums])
+
+
+def quantiles(rows: DataFrame, keys: list[str], value: str, qs: dict[str, float]) -> DataFrame:
+    """keys, and a column for each of qs: the exact quantile, interpolated between the two values around it. A value that repeats is one row."""
+    counts = rows.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("v ")).agg(F.count("*").alias("n "))
+    ranked = running(counts, keys, "v ", ["n "])
+    at = lambda q: F.lit(q) * (F.col("all_n ") - 1)
+    holds = lambda place: (F.col("before_n ") <= place) & (place < F.col("before_n ") + F.col("n "))
+    ends = [F.max(F.when(holds(f(at(q))), F.col("v "))).alias(f"{name} {f.__name__}") for name, q in qs.items() for f in (F.floor, F.ceil)]
+    found = ranked.groupBy(*keys).agg(*ends, F.max("all_n ").alias("all_n "))
+    return found.select(*keys, *[(F.col(f"{n} floor") + (F.col(f"{n} ceil") - F.col(f"{n} floor")) * (at(q) - F.floor(at(q)))).alias(n) for n, q in qs.items()])
+
+
+def against_pool(rows: DataFrame, pool: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """keys, v, a (rows of the group with that value), below and t (of the pool: values under it, and equal ones), n2 (the pool's size),
+    tie2 (the sum of t^3 - t over the pool's values): the pool is counted and cumulated once for all groups."""
+    own = rows.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("v")).agg(F.count("*").alias("a"))
+    counts = own.select("v", F.lit(0).alias("t")).distinct().union(pool.where(F.col(value).isNotNull()).groupBy(F.col(value).cast("double").alias("v")).agg(F.count("*").alias("t"))).groupBy("v").agg(F.sum("t").alias("t"))
+    cube = F.pow(F.col("t").cast("double"), F.lit(3.0)) - F.col("t")
+    ranked = running(counts.withColumn("c", cube), [], "v", ["t", "c"])
+    return own.join(ranked.select("v", "t", F.col("before_t").alias("below"), F.col("all_t").alias("n2"), F.col("all_c").alias("tie2")), "v")
 
 
 def kolmogorov_smirnov(both: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, n1, n2, d, p of mine = 1 against mine = 0: equal values are counted together, then cumulated."""
-    counts = both.groupBy(*keys, "v").agg(F.sum("mine").alias("a"), F.sum(1 - F.col("mine")).alias("b"))
+    """keys, n1, n2, d, p of groups against the pool (see against_pool). The largest difference is at a group's value or just before it."""
     upto, whole = W.partitionBy(*keys).orderBy("v").rowsBetween(W.unboundedPreceding, 0), W.partitionBy(*keys)
-    rows = counts.select(*keys, F.sum("a").over(upto).alias("ca"), F.sum("b").over(upto).alias("cb"), F.sum("a").over(whole).alias("n1"), F.sum("b").over(whole).alias("n2")).where("n1 > 0 and n2 > 0")
-    rows = rows.groupBy(*keys, "n1", "n2").agg(F.max(F.abs(F.col("ca") / F.col("n1") - F.col("cb") / F.col("n2"))).alias("d"))
+    rows = both.select(*keys, "a", "t", "below", "n2", F.sum("a").over(upto).alias("ca"), F.sum("a").over(whole).alias("n1")).where("n2 > 0")
+    at = F.abs(F.col("ca") / F.col("n1") - (F.col("below") + F.col("t")) / F.col("n2"))
+    before = F.abs((F.col("ca") - F.col("a")) / F.col("n1") - F.col("below") / F.col("n2"))
+    rows = rows.groupBy(*keys, "n1", "n2").agg(F.max(F.greatest(at, before)).alias("d"))
     ne = F.sqrt(F.col("n1") * F.col("n2") / (F.col("n1") + F.col("n2")))
     return rows.withColumn("p", kolmogorov_sf((ne + 0.12 + 0.11 / ne) * F.col("d")))
 
@@ -34,37 +72,49 @@ def mean_ranks(rows: DataFrame, keys: list[str], value: str = "v") -> Column:
 
 
 def rank_sum(both: DataFrame, keys: list[str], ties: bool = False) -> DataFrame:
-    """keys, n1, n2, z, p (two-sided) of the rank-sum test; with ties, with the tie and the continuity correction of Mann-Whitney."""
-    counts = both.groupBy(*keys, "v").agg(F.sum("mine").alias("a"), F.count("*").alias("t"))
+    """keys, n1, n2, z, p (two-sided) of the rank-sum test of groups against the pool (see against_pool); with ties, with the tie and the
+    continuity correction of Mann-Whitney."""
     before = W.partitionBy(*keys).orderBy("v").rowsBetween(W.unboundedPreceding, -1)
-    ranked = counts.withColumn("r", F.coalesce(F.sum("t").over(before), F.lit(0)) + (F.col("t") + 1) / 2)
-    n1, n = F.col("n1").cast("double"), F.col("n").cast("double")
-    rows = ranked.groupBy(*keys).agg(F.sum("a").alias("n1"), F.sum("t").alias("n"), F.sum(F.col("a") * F.col("r")).alias("rank_sum"), F.sum(F.pow(F.col("t").cast("double"), F.lit(3.0)) - F.col("t")).alias("tie")).where("n1 > 0 and n > n1")
-    n2 = n - n1
-    variance = n1 * n2 / 12 * ((n + 1) - (F.col("tie") / (n * (n - 1)) if ties else F.lit(0.0)))
+    together = (F.col("a") + F.col("t")).cast("double")
+    rank = F.coalesce(F.sum("a").over(before), F.lit(0)) + F.col("below") + (together + 1) / 2
+    cube = lambda t: t * t * t - t
+    rows = both.select(*keys, "a", "n2", "tie2", rank.alias("r"), (cube(together) - cube(F.col("t").cast("double"))).alias("more"))
+    rows = rows.groupBy(*keys, "n2", "tie2").agg(F.sum("a").alias("n1"), F.sum(F.col("a") * F.col("r")).alias("rank_sum"), F.sum("more").alias("more")).where("n1 > 0 and n2 > 0")
+    n1, n2 = F.col("n1").cast("double"), F.col("n2").cast("double")
+    n = n1 + n2
+    variance = n1 * n2 / 12 * ((n + 1) - ((F.col("tie2") + F.col("more")) / (n * (n - 1)) if ties else F.lit(0.0)))
     off = F.col("rank_sum") - n1 * (n + 1) / 2
     off = F.sign(off) * F.greatest(F.lit(0.0), F.abs(off) - 0.5) if ties else off
     z = off / F.sqrt(F.when(variance > 0, variance))
-    return rows.select(*keys, "n1", (F.col("n") - F.col("n1")).alias("n2"), z.alias("z")).withColumn("p", F.least(F.lit(1.0), 2 * normal_sf(F.abs("z"))))
+    return rows.select(*keys, "n1", "n2", z.alias("z")).withColumn("p", F.least(F.lit(1.0), 2 * normal_sf(F.abs("z"))))
+
+
+def bh(rows: DataFrame, p: str = "p", q: str = "q") -> DataFrame:
+    """Adds Benjamini-Hochberg q-values (null p stays out). Equal p have one q: the smallest p * n / rank at or after them."""
+    known = rows.where(F.col(p).isNotNull())
+    ranked = running(known.groupBy(F.col(p).alias("p ")).agg(F.count("*").alias("n ")), [], "p ", ["n "])
+    ranked = with_range(ranked.withColumn("raw ", F.least(F.lit(1.0), F.col("p ") * F.col("all_n ") / (F.col("before_n ") + F.col("n ")))), "p ")
+    least = ranked.groupBy("range").agg(F.min("raw ").alias("least "))  # RANGES rows
+    later = least.alias("a").join(F.broadcast(least.alias("b")), F.col("b.range") > F.col("a.range"), "left").groupBy("a.range").agg(F.min("b.least ").alias("later "))
+    inside = W.partitionBy("range").orderBy("p ").rowsBetween(0, W.unboundedFollowing)
+    got = ranked.join(F.broadcast(later), "range").select("p ", F.least(F.min("raw ").over(inside), F.col("later ")).alias(q))
+    return known.join(got, F.col(p) == F.col("p ")).drop("p ")
 
 
-def bh(rows: DataFrame, keys: list[str], p: str = "p", q: str = "q", tie: str | None = None) -> DataFrame:
-    """Adds Benjamini-Hochberg q-values within keys (null p stays out)."""
-    within = W.partitionBy(*keys) if keys else W.partitionBy(F.lit(0))
-    n = F.count(p).over(within)
-    order = [F.col(p), *([F.col(tie)] if tie else [])]
-    raw = F.least(F.lit(1.0), F.col(p) * n / F.row_number().over(within.orderBy(*order)))
-    ranked = rows.where(F.col(p).isNotNull()).withColumn("raw ", raw)
-    return ranked.withColumn(q, F.min("raw ").over(within.orderBy(*order).rowsBetween(0, W.unboundedFollowing))).drop("raw ")
+def row_numbers(rows: DataFrame, value: str, tie: str, name: str = "row") -> DataFrame:
+    """Adds the number of each row in the order of value and tie, from 1, and all_rows."""
+    ranked = running(rows.groupBy(F.col(value).alias("v ")).agg(F.count("*").alias("n ")), [], "v ", ["n "])
+    got = rows.join(ranked.select("v ", "before_n ", F.col("all_n ").alias("all_rows")), F.col(value) == F.col("v "))
+    return got.withColumn(name, F.col("before_n ") + F.row_number().over(W.partitionBy(value).orderBy(tie))).drop("v ", "before_n ")
 
 
 def empirical_p(rows: DataFrame, null: DataFrame, value: str, null_value: str, upper: bool = True) -> DataFrame:
-    """Adds p: (1 + the null values at least (upper) or at most as extreme) / (1 + n). Both sides are merged and counted in one sort: no pairs."""
-    both = rows.withColumns({"v ": F.col(value).cast("double"), "null ": F.lit(0)}).unionByName(null.select(F.col(null_value).cast("double").alias("v "), F.lit(1).alias("null ")), allowMissingColumns=True)
-    order = F.desc("v ") if upper else F.asc("v ")
-    counts = both.groupBy("v ").agg(F.sum("null ").alias("k "))
-    upto = counts.select("v ", F.sum("k ").over(W.orderBy(order).rowsBetween(W.unboundedPreceding, 0)).alias("c "), F.sum("k ").over(W.partitionBy(F.lit(0))).alias("n "))
-    return rows.join(upto, F.col(value).cast("double") == F.col("v "), "left").withColumn("p", (F.col("c ") + 1) / (F.col("n ") + 1)).drop("v ", "c ", "n ")
+    """Adds p: (1 + the null values at least (upper) or at most as extreme) / (1 + n). Both sides are merged and counted by value: no pairs."""
+    both = rows.select(F.col(value).cast("double").alias("v "), F.lit(0).alias("k ")).union(null.select(F.col(null_value).cast("double"), F.lit(1))).where(F.col("v ").isNotNull())
+    ranked = running(both.groupBy("v ").agg(F.sum("k ").alias("k ")), [], "v ", ["k "])
+    extreme = F.col("all_k ") - F.col("before_k ") if upper else F.col("before_k ") + F.col("k ")
+    ranked = ranked.select("v ", ((extreme + 1) / (F.col("all_k ") + 1)).alias("p"))
+    return rows.join(ranked, F.col(value).cast("double") == F.col("v "), "left").drop("v ")
 
 
 def spearman(rows: DataFrame, keys: list[str], a: str, b: str) -> DataFrame:

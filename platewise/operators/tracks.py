@@ -50,12 +50,35 @@ def corrected(points: DataFrame) -> DataFrame:
 def moments(points: DataFrame, orders=(1, 2, 3, 4, 5, 6), share: int = 3) -> DataFrame:
     """plate, track_id, nu, lag, moment: the mean nu-th power of the displacement over each lag up to a third of the track."""
     path = F.array_sort(F.collect_list(F.struct("frame", "x", "y")))
-    rows = points.groupBy("plate", "track_id").agg(path.alias("p")).withColumn("lag", F.explode(F.sequence(F.lit(1), F.greatest(F.lit(1), F.floor(F.size("p") / share).cast("int")))))
-    pairs = F.zip_with(F.slice("p", F.col("lag") + 1, F.size("p")), F.slice("p", F.lit(1), F.size("p") - F.col("lag")), lambda b, a: norm(b["x"] - a["x"], b["y"] - a["y"]))
-    rows = rows.where(F.size("p") > F.col("lag")).withColumn("d", pairs)
-    mean = lambda nu: F.aggregate("d", F.lit(0.0), lambda s, v: s + F.pow(v, F.lit(float(nu)))) / F.size("d")
-    powers = F.explode(F.array(*[F.struct(F.lit(nu).alias("nu"), mean(nu).alias("moment")) for nu in orders]))
-    return rows.select("plate", "track_id", "lag", powers.alias("m")).select("plate", "track_id", "m.nu", "lag", "m.moment")
+    rows = points.groupBy("plate", "track_id").agg(path.alias("p")).where(F.size("p") > 1)
+    pairs = lambda lag: F.zip_with(F.slice("p", lag + 1, F.size("p")), F.slice("p", F.lit(1), F.size("p") - lag), lambda b, a: norm(b["x"] - a["x"], b["y"] - a["y"]))
+    mean = lambda d, nu: F.aggregate(d, F.lit(0.0), lambda s, v: s + F.pow(v, F.lit(float(nu)))) / F.size(d)
+    # all lags of a track in one row, whose path is not copied; then a row for each lag and order
+    of_lag = lambda lag, d: F.array(*[F.struct(F.lit(nu).alias("nu"), lag.alias("lag"), mean(d, nu).alias("moment")) for nu in orders])
+    lags = F.sequence(F.lit(1), F.greatest(F.lit(1), F.floor(F.size("p") / share).cast("int")))
+    every = F.flatten(F.transform(lags, lambda lag: F.element_at(F.transform(F.array(pairs(lag)), lambda d: of_lag(lag, d)), 1)))
+    return rows.select("plate", "track_id", F.explode(every).alias("m")).select("plate", "track_id", "m.nu", "m.lag", "m.moment")
+
+
+def end_codes(spans: DataFrame, lineage: DataFrame) -> DataFrame:
+    """spans (plate, track_id, first, last) with start_code (0 begins with the plate, 2 is a child of a lineage event, 1 appeared) and end_code
+    (0 ends with the plate, 2 has several children, 3 has a child with several parents, 1 vanished)."""
+    edges = lineage.select("parent", "child").distinct()
+    ends = spans.groupBy("plate").agg(F.min("first").alias("m_start"), F.max("last").alias("m_end"))
+    parents = edges.groupBy("child").agg(F.count("*").alias("n_parents"))
+    children = edges.join(parents, "child").groupBy("parent").agg(F.count("*").alias("n_children"), F.max("n_parents").alias("n_parents"))
+    rows = spans.join(F.broadcast(ends), "plate").join(parents.select(F.col("child").alias("track_id"), F.lit(True).alias("is_child")), "track_id", "left").join(children.withColumnRenamed("parent", "track_id"), "track_id", "left")
+    start = F.when(F.col("first") == F.col("m_start"), 0).when(F.col("is_child"), 2).otherwise(1)
+    end = F.when(F.col("last") == F.col("m_end"), 0).when(F.col("n_children") > 1, 2).when(F.col("n_parents") > 1, 3).otherwise(1)
+    return rows.select("plate", "track_id", "first", "last", start.alias("start_code"), end.alias("end_code"))
+
+
+def without_division_moves(points: DataFrame, codes: DataFrame) -> DataFrame:
+    """Points without the first two of tracks that a division begins and the last two of those that a division or a merge ends."""
+    track = W.partitionBy("plate", "track_id")
+    rows = points.join(codes.select("track_id", "start_code", "end_code"), "track_id")
+    rows = rows.withColumns({"a": F.row_number().over(track.orderBy("frame")), "z": F.row_number().over(track.orderBy(F.desc("frame")))})
+    return rows.where("not (start_code = 2 and a <= 2) and not (end_code in (2, 3) and z <= 2)").select("plate", "track_id", "frame", "x", "y")
 
 
 def scaling(points: DataFrame, least_r: float = 0.7) -> DataFrame:

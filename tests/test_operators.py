@@ -57,7 +57,8 @@ def test_longest_run_and_run_lengths(spark):
 
 
 def both(spark, a, b):
-    return spark.createDataFrame([("g", float(v), 1) for v in a] + [("g", float(v), 0) for v in b], "k string, v double, mine int")
+    rows = lambda values: spark.createDataFrame([("g", float(v)) for v in values], "k string, v double")
+    return statistics.against_pool(rows(a), rows(b), ["k"], "v")
 
 
 def test_ks_and_rank_sum(spark):
@@ -69,27 +70,76 @@ def test_ks_and_rank_sum(spark):
     assert statistics.kolmogorov_smirnov(both(spark, [1], []), ["k"]).count() == 0
 
 
-def test_p_values_are_uniform_under_the_null(spark):
+def test_ks_and_rank_sum_by_brute_force(spark):
+    rng = np.random.default_rng(6)
+    pool = rng.integers(0, 12, 40).astype(float)
+    groups = {g: rng.integers(0, 8 + 3 * g, 25).astype(float) for g in range(4)}
+    rows = spark.createDataFrame([(g, float(v)) for g, x in groups.items() for v in x], "g int, v double")
+    both = statistics.against_pool(rows, spark.createDataFrame([(float(v),) for v in pool], "v double"), ["g"], "v")
+    d = {r["g"]: r["d"] for r in statistics.kolmogorov_smirnov(both, ["g"]).collect()}
+    z = {r["g"]: r["z"] for r in statistics.rank_sum(both, ["g"], ties=True).collect()}
+    for g, x in groups.items():
+        at = np.unique(np.r_[x, pool])
+        assert abs(d[g] - max(abs((x <= v).mean() - (pool <= v).mean()) for v in at)) < 1e-12
+        every = np.r_[x, pool]
+        rank = np.array([(every < v).sum() + ((every == v).sum() + 1) / 2 for v in every])
+        n1, n2, n = len(x), len(pool), len(every)
+        tie = sum(t**3 - t for t in np.unique(every, return_counts=True)[1])
+        off = rank[:n1].sum() - n1 * (n + 1) / 2
+        want = np.sign(off) * max(0, abs(off) - 0.5) / np.sqrt(n1 * n2 / 12 * ((n + 1) - tie / (n * (n - 1))))
+        assert abs(z[g] - want) < 1e-9
+
+
+def test_control_against_control_is_uniform(spark):
     rng = np.random.default_rng(3)
-    rows = spark.createDataFrame([(g, float(v), i % 2) for g in range(200) for i, v in enumerate(rng.normal(size=60))], "g int, v double, mine int")
-    p = np.array([r["p"] for r in statistics.rank_sum(rows, ["g"]).collect()])
+    rows = spark.createDataFrame([(g, float(v)) for g in range(200) for v in rng.normal(size=30)], "g int, v double")
+    pool = spark.createDataFrame([(float(v),) for v in rng.normal(size=6000)], "v double")
+    p = np.array([r["p"] for r in statistics.rank_sum(statistics.against_pool(rows, pool, ["g"], "v"), ["g"]).collect()])
     assert abs((p < 0.5).mean() - 0.5) < 0.12 and (p < 0.05).mean() < 0.12
 
 
 def test_planted_hits_are_found(spark):
     rng = np.random.default_rng(4)
-    rows = spark.createDataFrame([(g, float(v + (3 if g < 5 else 0)), 1) for g in range(40) for v in rng.normal(size=40)] + [(g, float(v), 0) for g in range(40) for v in rng.normal(size=40)], "g int, v double, mine int")
-    q = {r["g"]: r["q"] for r in statistics.bh(statistics.kolmogorov_smirnov(rows, ["g"]), [], tie="g").collect()}
+    rows = spark.createDataFrame([(g, float(v + (3 if g < 5 else 0))) for g in range(40) for v in rng.normal(size=40)], "g int, v double")
+    pool = spark.createDataFrame([(float(v),) for v in rng.normal(size=1600)], "v double")
+    q = {r["g"]: r["q"] for r in statistics.bh(statistics.kolmogorov_smirnov(statistics.against_pool(rows, pool, ["g"], "v"), ["g"])).collect()}
     assert all(q[g] < 0.01 for g in range(5)) and sum(q[g] < 0.05 for g in range(5, 40)) <= 2
 
 
+def test_quantiles_and_running_sums_by_brute_force(spark):
+    rng = np.random.default_rng(7)
+    groups = {"a": rng.normal(size=301).round(1), "b": np.full(50, 2.0), "c": np.array([5.0]), "d": rng.integers(0, 3, 200).astype(float)}
+    rows = spark.createDataFrame([(k, float(v)) for k, x in groups.items() for v in x] + [("a", None), ("e", None)], "k string, v double")
+    qs = {"low": 0.0, "q": 0.25, "m": 0.5, "h": 0.93, "top": 1.0}
+    got = {r["k"]: r for r in statistics.quantiles(rows, ["k"], "v", qs).collect()}
+    assert set(got) == set(groups) and all(abs(got[k][n] - np.quantile(x, q)) < 1e-9 for k, x in groups.items() for n, q in qs.items())
+    every = np.concatenate(list(groups.values()))
+    assert abs(statistics.quantiles(rows, [], "v", {"m": 0.3}).first()["m"] - np.quantile(every, 0.3)) < 1e-9
+    numbered = statistics.row_numbers(rows.where("v is not null").withColumn("id", F.monotonically_increasing_id()), "v", "id")
+    assert sorted(r["row"] for r in numbered.collect()) == list(range(1, len(every) + 1))
+
+
 def test_bh_and_fisher(spark):
     rows = spark.createDataFrame([(0.01,), (0.02,), (0.03,), (0.04,), (None,)], "p double")
-    assert {round(r["q"], 12) for r in statistics.bh(rows, []).collect()} == {0.04}
+    assert {round(r["q"], 12) for r in statistics.bh(rows).collect()} == {0.04}
+    rng = np.random.default_rng(8)
+    p = np.sort(rng.random(300).round(2) ** 2)
+    raw = np.minimum(1, p * len(p) / np.arange(1, len(p) + 1))
+    want = np.minimum.accumulate(raw[::-1])[::-1]
+    got = statistics.bh(spark.createDataFrame([(float(v),) for v in p], "p double")).orderBy("p", "q").collect()
+    assert np.allclose(sorted(r["q"] for r in got), want)
     r = spark.range(1).select(X.chi2_sf_even(F.lit(4 * math.log(2)), F.lit(2)).alias("p"), X.normal_sf(F.lit(1.959963985)).alias("n"), X.kolmogorov_sf(F.lit(1.3581)).alias("k")).first()
     assert abs(r["p"] - 0.25 * (1 + 2 * math.log(2))) < 1e-12 and abs(r["n"] - 0.025) < 1e-7 and abs(r["k"] - 0.05) < 1e-4
 
 
+@pytest.mark.parametrize("m, x", [(1, 0.0), (1, 3.0), (9, 20.0), (60, 130.0), (200, 380.0), (200, 9000.0), (5000, 10_100.0), (200, 1.0), (100_000, 199_000.0)])
+def test_chi2_survival_of_any_number_of_p_values(spark, m, x):
+    terms = [i * math.log(x / 2) - math.lgamma(i + 1) - x / 2 for i in range(m)] if x else [0.0]
+    want = min(1.0, math.fsum(math.exp(t) for t in terms))
+    got = spark.range(1).select(X.chi2_sf_even(F.lit(x), F.lit(m)).alias("p")).first()["p"]
+    assert abs(got - want) < 1e-9
+
+
 def test_empirical_p(spark):
     rows = spark.createDataFrame([(1, 5.0), (2, 0.5), (3, 2.0)], "id int, v double")
     null = spark.createDataFrame([(1.0,), (2.0,), (3.0,)], "c double")
