@@ -13,6 +13,7 @@ from platewise.operators import clusters as L
 from platewise.operators import distances as K
 from platewise.operators import hits as M
 from platewise.operators import layout as Q
+from platewise.operators import samples
 from platewise.operators import smoothing
 from platewise.operators import statistics as S
 
@@ -590,9 +591,15 @@ def contingency_statistic(spark, sf_dir):
     return t.groupBy("plate").agg(F.count("*").alias("classes"), r6(F.sum(off * off / (F.col("o") + F.col("c")))).alias("chi2"))
 
 
-@query("M18_rank_product_null")
+RUNS, SEED = 50, 23
+NULL_RANKS = f"""p as (select batch, gene, median(measure) as v from screen group by batch, gene), r as (select batch, gene, row_number() over (partition by batch order by v, gene) as r from p), o as (select gene, round(exp(sum(ln(r)) / count(*)), 9) as rp from r group by gene),
+q as (select run, batch, gene, row_number() over (partition by run, batch order by md5('{SEED}:' || run || ':' || batch || ':' || gene), gene) as r from p, (select unnest(range(1, {RUNS + 1})) as run)), n as (select run, gene, round(exp(sum(ln(r)) / count(*)), 9) as rp from q group by run, gene)"""
+
+
+@query("M18_rank_product_null", f"{NULL_RANKS} select gene, {q6('rp')} as rank_product, {q6(f'(select count(*) from n where n.rp <= o.rp) / {RUNS}')} as false_positives from o", "screen")
 def rank_product_null(spark, sf_dir):
-    return M.rank_product_null(screen(spark, sf_dir), "gene", "batch", "measure", 50, 23)
+    rows = M.rank_product_null(screen(spark, sf_dir), "gene", "batch", "measure", RUNS, SEED)
+    return rows.select("gene", r6(F.col("rank_product")).alias("rank_product"), r6(F.col("false_positives")).alias("false_positives"))
 
 
 @query("J50_lowess")
@@ -608,14 +615,28 @@ def two_segment_paths(spark, sf_dir):
     return smoothing.two_segment_paths(objects(spark, sf_dir).groupBy("plate", "frame").agg(F.array(*classes).alias("p")), "plate")
 
 
-@query("Q05_random_placement_null")
-def random_placement_null(spark, sf_dir):
-    """Hits with a neighbour, and how many there are on average when as many hits are placed by a seeded hash, in 20 runs."""
+PLACEMENTS = """w as (select distinct position from wells), h as (select distinct position from wells where size > 40), k as (select run, position, row_number() over (partition by run order by md5('31:' || run || ':' || position), position) as k from w, (select unnest(range(0, 21)) as run)),
+s as (select -1 as run, position from h union all select run, position from k where k <= (select count(*) from h)), c as (select run, position, (position - 1) // 12 as r, (position - 1) % 12 as c from s),
+n as (select a.run, a.position, max(case when abs(a.r - b.r) <= 1 and abs(a.c - b.c) <= 1 and a.position <> b.position then 1 else 0 end) as has from c a join c b using (run) group by 1, 2), g as (select run, sum(has) as with_neighbour, count(*) as hits from n group by run)"""
+
+
+def _placements(spark, sf_dir):
+    """run, position: the hits (run -1), and as many positions drawn by a seeded order in each of 21 runs."""
     rows = wells(spark, sf_dir)
-    runs = F.explode(F.sequence(F.lit(0), F.lit(20))).alias("run")
     real = rows.where("size > 40").select(F.lit(-1).alias("run"), "position").distinct()
     n = real.agg(F.count("*").alias("n"))
-    order = F.row_number().over(W.partitionBy("run").orderBy(F.xxhash64(F.lit(31), "run", "position")))
+    order = F.row_number().over(W.partitionBy("run").orderBy(samples.order(F.concat_ws(":", "run", "position"), 31), "position"))
+    runs = F.explode(F.sequence(F.lit(0), F.lit(20))).alias("run")
     null = rows.select("position").distinct().select("position", runs).withColumn("k", order).crossJoin(F.broadcast(n)).where("k <= n").select("run", "position")
-    near = Q.isolated(real.union(null), ["run"]).groupBy("run").agg(F.count_if("has_neighbour").alias("with_neighbour"), F.count("*").alias("hits"))
-    return near.groupBy((F.col("run") < 0).alias("observed")).agg(F.round(F.avg("with_neighbour"), 3).alias("with_neighbour"), F.round(F.avg("hits"), 3).alias("hits"))
+    return Q.isolated(real.union(null), ["run"]).groupBy("run").agg(F.count_if("has_neighbour").alias("with_neighbour"), F.count("*").alias("hits"))
+
+
+@query("Q05_random_placement_null", f"{PLACEMENTS} select run < 0 as observed, {q6('avg(with_neighbour)')} as with_neighbour, {q6('avg(hits)')} as hits from g group by 1", "wells")
+def random_placement_null(spark, sf_dir):
+    """Hits with a neighbour, and how many there are on average when as many hits are placed at random."""
+    return _placements(spark, sf_dir).groupBy((F.col("run") < 0).alias("observed")).agg(r6(F.avg("with_neighbour")).alias("with_neighbour"), r6(F.avg("hits")).alias("hits"))
+
+
+@query("Q06_repeated_placements", f"{PLACEMENTS} select run::int as run, with_neighbour::bigint as with_neighbour, hits from g where run >= 0", "wells")
+def repeated_placements(spark, sf_dir):
+    return _placements(spark, sf_dir).where("run >= 0")

@@ -62,8 +62,10 @@ def mixture_sweep(rows: DataFrame, ks, dimensions: int, seed: int = 7) -> DataFr
 
 
 def control_pca(rows: DataFrame, components: int) -> DataFrame:
-    """exp, and pc0, pc1, ...: the projection on the principal components of the controls."""
+    """exp, and pc0, pc1, ...: the projection on the principal components of the controls. A component's largest loading is positive."""
     data = rows.select("exp", "is_control", array_to_vector("f").alias("features"))
     model = PCA(k=components, inputCol="features", outputCol="pc").fit(data.where("is_control"))
+    loadings = model.pc.toArray()
+    signs = [1.0 if column[abs(column).argmax()] > 0 else -1.0 for column in loadings.T]
     a = model.transform(data).select("exp", vector_to_array("pc").alias("pc"))
-    return a.select("exp", *[F.round(F.abs(F.col("pc")[i]), 6).alias(f"pc{i}") for i in range(components)])
+    return a.select("exp", *[F.round(F.col("pc")[i] * signs[i], 6).alias(f"pc{i}") for i in range(components)])

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from platewise.operators.samples import order
 from platewise.operators.statistics import quantiles, running
 
 
@@ -42,13 +43,24 @@ def extremal_difference(curves: DataFrame, control: DataFrame, keys: list[str],
     return both.groupBy(*keys).agg(F.min_by("d ", F.struct(-F.abs("d "), *at)).alias("score"))
 
 
+def permuted_rank_products(rows: DataFrame, condition: str, batch: str, runs: int, seed: int, missing: bool = False) -> DataFrame:
+    """run, condition, rank_product of runs permutations: the conditions of a batch are ranked by a seeded order; with missing, one that a
+    batch lacks has that batch's last rank."""
+    per = rows.select(batch, condition).distinct().withColumn("run", F.explode(F.sequence(F.lit(1), F.lit(runs))))
+    r = F.row_number().over(W.partitionBy("run", batch).orderBy(order(F.concat_ws(":", "run", batch, condition), seed), condition))
+    ranked = per.withColumn("r", r)
+    if missing:
+        sizes = per.groupBy("run", batch).agg(F.count("*").alias("n"))
+        grid = per.select("run", condition).distinct().join(sizes, "run")
+        ranked = grid.join(ranked, ["run", batch, condition], "left").withColumn("r", F.coalesce("r", "n"))
+    return ranked.groupBy("run", condition).agg(F.exp(F.sum(F.ln("r")) / F.count("*")).alias("rank_product"))
+
+
 def rank_product_null(rows: DataFrame, condition: str, batch: str, value: str, runs: int, seed: int) -> DataFrame:
-    """condition, rank_product, false_positives: how many null rank products in a run, on average, are as small. In each of runs
-    permutations the conditions of a batch are ranked by a seeded hash; real and null products are merged and counted in one sort."""
+    """condition, rank_product, false_positives: how many null rank products in a run, on average, are as small. Real and null products are
+    merged, counted by value and cumulated."""
     real = rank_product(rows, condition, batch, value, missing=False).select(condition, F.round("rank_product", 9).alias("rank_product"))
-    per = rows.select(batch, condition).distinct().withColumn("run", F.explode(F.sequence(F.lit(1), F.lit(runs))))
-    r = F.row_number().over(W.partitionBy("run", batch).orderBy(F.xxhash64(F.lit(seed), "run", batch, condition), condition))
-    null = per.withColumn("r", r).groupBy("run", condition).agg(F.exp(F.sum(F.ln("r")) / F.count("*")).alias("rank_product"))
+    null = permuted_rank_products(rows, condition, batch, runs, seed)
     both = real.select(F.col("rank_product").alias("v"), F.lit(0).alias("k")).union(null.select(F.round("rank_product", 9), F.lit(1))).groupBy("v").agg(F.sum("k").alias("k"))
     upto = running(both, [], "v", ["k"]).select("v", (F.col("before_k") + F.col("k")).alias("c"))
     return real.join(upto, F.col("rank_product") == F.col("v")).select(condition, "rank_product", (F.col("c") / runs).alias("false_positives"))

@@ -44,14 +44,17 @@ def quantiles(rows: DataFrame, keys: list[str], value: str, qs: dict[str, float]
     return found.select(*keys, *[(F.col(f"{n} floor") + (F.col(f"{n} ceil") - F.col(f"{n} floor")) * (at(q) - F.floor(at(q)))).alias(n) for n, q in qs.items()])
 
 
-def against_pool(rows: DataFrame, pool: DataFrame, keys: list[str], value: str) -> DataFrame:
+def against_pool(rows: DataFrame, pool: DataFrame, keys: list[str], value: str, within: list[str] | None = None) -> DataFrame:
     """keys, v, a (rows of the group with that value), below and t (of the pool: values under it, and equal ones), n2 (the pool's size),
-    tie2 (the sum of t^3 - t over the pool's values): the pool is counted and cumulated once for all groups."""
+    tie2 (the sum of t^3 - t over the pool's values): the pool is counted and cumulated once for all groups; once for each of the
+    columns within (some of keys) where there are any."""
+    within = within or []
     own = rows.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("v")).agg(F.count("*").alias("a"))
-    counts = own.select("v", F.lit(0).alias("t")).distinct().union(pool.where(F.col(value).isNotNull()).groupBy(F.col(value).cast("double").alias("v")).agg(F.count("*").alias("t"))).groupBy("v").agg(F.sum("t").alias("t"))
+    pooled = pool.where(F.col(value).isNotNull()).groupBy(*within, F.col(value).cast("double").alias("v")).agg(F.count("*").alias("t"))
+    counts = own.select(*within, "v", F.lit(0).alias("t")).distinct().union(pooled).groupBy(*within, "v").agg(F.sum("t").alias("t"))
     cube = F.pow(F.col("t").cast("double"), F.lit(3.0)) - F.col("t")
-    ranked = running(counts.withColumn("c", cube), [], "v", ["t", "c"])
-    return own.join(ranked.select("v", "t", F.col("before_t").alias("below"), F.col("all_t").alias("n2"), F.col("all_c").alias("tie2")), "v")
+    ranked = running(counts.withColumn("c", cube), within, "v", ["t", "c"])
+    return own.join(ranked.select(*within, "v", "t", F.col("before_t").alias("below"), F.col("all_t").alias("n2"), F.col("all_c").alias("tie2")), [*within, "v"])
 
 
 def kolmogorov_smirnov(both: DataFrame, keys: list[str]) -> DataFrame:
