@@ -42,6 +42,7 @@ def saved(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
 
 #: Rows, and about so many bytes of Arrow data, that are turned into Python objects at a time.
 PART_ROWS, PART_BYTES = 1024, 1 << 22
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -55,9 +56,17 @@ def parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
             yield part
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of PART_ROWS rows, unless the session has a setting of its own: 10,000 texts, Spark's default, are tens of MB outside the
+    heap, several times over."""
+    if spark.conf.get(_BATCH) == "10000":
+        spark.conf.set(_BATCH, str(PART_ROWS))
+
+
 def map_rows(df: DataFrame, schema: str, make: Callable[[], Callable[[dict[str, list]], dict[str, Iterable] | None]], binary: tuple[str, ...] = (), finish: bool = False) -> DataFrame:
     """mapInArrow with lists. make() runs once in each task and returns a function from a batch's columns to output columns.
     Text columns named in binary arrive as UTF-8 bytes. With finish, the function is called once more with None at the end."""
+    small_batches(df.sparkSession)
     fields = T.StructType.fromDDL(schema)
     names, kinds = [f.name for f in fields], [to_arrow_type(f.dataType) for f in fields]
 

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from platewise.llm.common import map_rows, parts, saved
+from platewise.llm.common import map_rows, parts, saved, small_batches
 
 ORDERS = (1, 2, 3)
 BITS = 15
@@ -206,4 +206,5 @@ def accepted(docs: DataFrame, least: float = 0.5) -> DataFrame:
                     yield part.filter(pa.array(keep))
         pa.default_memory_pool().release_unused()
 
+    small_batches(docs.sparkSession)
     return docs.mapInArrow(run, docs.schema)

@@ -151,6 +151,10 @@ def equal_stretches(mine: list[bytes], theirs: list[bytes], window: int) -> list
     return [(a, b) for a, b in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True) if b - a >= window]
 
 
+def _block_keys(document: np.ndarray, block: np.ndarray) -> np.ndarray:
+    return mix(document + (block.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15))
+
+
 def with_reference(docs: DataFrame, found: DataFrame, text: str = "text") -> DataFrame:
     """doc, own, and references: for each factor its words in blocks (start, length, at, block; words is null where the reference is the
     document itself)."""
@@ -160,34 +164,35 @@ def with_reference(docs: DataFrame, found: DataFrame, text: str = "text") -> Dat
     needs = one.withColumn("block", F.explode(F.when(inner, F.array(F.lit(-1))).otherwise(F.sequence(F.floor(F.col("at") / BLOCK).cast("int"), last))))
     needs = saved(needs, "needs")
     wanted = saved(needs.where("block >= 0").select("r_doc", "r_own", "block").distinct(), "wanted")
-    key = lambda block: F.xxhash64("r_doc", "r_own", block)
+    document = F.xxhash64("r_doc", "r_own").alias("key")
+
+    def make_keys():
+        def work(batch):
+            key = np.array(batch["key"], np.int64).view(np.uint64)
+            return {"key": as_long(np.unique(np.r_[key, _block_keys(key, np.array(batch["block"], np.int64))]))}
+
+        return work
+
     # the documents and their blocks in one filter
-    shared = docs.sparkSession.sparkContext.broadcast(bloom(wanted.select(key("block").alias("key")).union(wanted.select(key(F.lit(-1).cast("int")).alias("key"))).distinct(), "key"))
-    rows = _keyed(docs, text).select("text", F.col("doc").alias("r_doc"), F.col("own").alias("r_own")).withColumn("key", key(F.lit(-1).cast("int")))
+    keys = saved(map_rows(wanted.select(document, "block"), "key bigint", make_keys), "keys")
+    shared = docs.sparkSession.sparkContext.broadcast(bloom(keys, "key"))
 
     def make():
         def work(batch):
             out = [], [], [], []
-            wanted = shared.value.has(np.array(batch["key"], np.int64).view(np.uint64))
-            for i in np.flatnonzero(wanted).tolist():
+            key = np.array(batch["key"], np.int64).view(np.uint64)
+            for i in np.flatnonzero(shared.value.has(key)).tolist():
                 words = batch["text"][i].split()
-                n = -(-len(words) // BLOCK)
-                for x, values in zip(out, ([batch["r_doc"][i]] * n, [batch["r_own"][i]] * n, range(n), [b" ".join(words[k * BLOCK : (k + 1) * BLOCK]) for k in range(n)]), strict=True):
-                    x.extend(values)
+                k = np.arange(-(-len(words) // BLOCK))
+                for k in k[shared.value.has(_block_keys(key[i], k))].tolist():
+                    for x, value in zip(out, (batch["r_doc"][i], batch["r_own"][i], k, b" ".join(words[k * BLOCK : (k + 1) * BLOCK])), strict=True):
+                        x.append(value)
             return dict(zip(("r_doc", "r_own", "block", "words"), out, strict=True))
 
         return work
 
+    rows = _keyed(docs, text).select("text", F.col("doc").alias("r_doc"), F.col("own").alias("r_own")).withColumn("key", document)
     cut = map_rows(rows, "r_doc bigint, r_own bigint, block int, words binary", make, binary=("text",))
-
-    def make_filter():
-        def work(batch):
-            keep = np.flatnonzero(shared.value.has(np.array(batch["key"], np.int64).view(np.uint64))).tolist()
-            return {k: [batch[k][i] for i in keep] for k in ("r_doc", "r_own", "block", "words")}
-
-        return work
-
-    cut = map_rows(cut.withColumn("key", key("block")), "r_doc bigint, r_own bigint, block int, words binary", make_filter)
     blocks = saved(cut.join(wanted, ["r_doc", "r_own", "block"], "left_semi").groupBy("r_doc", "r_own", "block").agg(F.first("words").alias("words")), "blocks")
     got = needs.join(blocks, ["r_doc", "r_own", "block"], "left")
     return got.groupBy("doc", "own").agg(F.collect_list(F.struct("start", "length", "at", "block", "words")).alias("references"))
