@@ -228,6 +228,52 @@ def without_division_moves(spark, sf_dir):
     return T.without_division_moves(track_points(spark, sf_dir), _codes(spark, sf_dir))
 
 
+DRIFTED = """
+pair as (select plate, track_id, frame, x, y, lead(x) over w - x as dx, lead(y) over w - y as dy from track_points window w as (partition by plate, track_id order by frame)),
+mean as (select plate, frame + 1 as frame, avg(dx) as mx, avg(dy) as my from pair where dx is not null group by plate, frame),
+curve as (select plate, frame, sum(mx) over w as cx, sum(my) over w as cy from mean window w as (partition by plate order by frame rows unbounded preceding)),
+still as (select plate, track_id, frame, x - coalesce(cx, 0) as x, y - coalesce(cy, 0) as y from track_points left join curve using (plate, frame)),
+cut as (select s.*, start_code, end_code, row_number() over (partition by track_id order by frame) as a, row_number() over (partition by track_id order by frame desc) as z from still s join code using (track_id)),
+kept as (select plate, track_id, frame, x, y from cut where not (start_code = 2 and a <= 2) and not (end_code in (2, 3) and z <= 2)),
+long_ as (select * from kept where track_id in (select track_id from kept group by track_id having count(*) >= 12)),
+v1 as (select plate, track_id, frame, lead(x) over w - x as dx, lead(y) over w - y as dy, var_pop(x) over f as va, var_pop(y) over f as vb, covar_pop(x, y) over f as vc, count(*) over f as vn from long_ window w as (partition by track_id order by frame), f as (partition by track_id order by frame rows between current row and 9 following)),
+v2 as (select *, sqrt(dx * dx + dy * dy) as displacement, sum(dx * dx + dy * dy) over (partition by track_id order by frame rows between current row and 8 following) as squares from v1),
+v3 as (select *, lag(displacement) over w as before, lag(dx) over w as px, lag(dy) over w as py from v2 window w as (partition by track_id order by frame)),
+v4 as (select *, case when before is null then null when before > 1e-9 and displacement > 1e-9 then greatest(-1, least(1, (px * dx + py * dy) / (before * displacement))) else 1 end as persistence from v3 where displacement is not null),
+v as (select plate, track_id, frame, displacement, displacement - before as acceleration, persistence, acos(persistence) as turning, case when before > 1e-9 and displacement > 1e-9 then atan2(dy, dx) - atan2(py, px) end as change, before, case when vn = 10 and squares > 1e-9 then greatest(0, (va + vb) / 2 - sqrt(((va - vb) / 2) ** 2 + vc * vc)) * 10 / squares end as straight from v4),
+ends_ as (select track_id, count(*) as n, arg_min(x, frame) as x0, arg_min(y, frame) as y0, arg_max(x, frame) as x1, arg_max(y, frame) as y1 from long_ group by track_id),
+sums as (select track_id, sum(displacement) as total_length, max(displacement) as largest_move, avg(displacement * displacement) as mean_squared_displacement, abs(atan2(sum(sin(change)), sum(cos(change)))) as signed_turning, avg(acceleration) as mean_acceleration, avg(displacement) as mean_displacement, avg(persistence) as mean_persistence, avg(straight) as mean_straight, avg(turning) as mean_turning, regr_slope(persistence, before) as speed_slope, corr(persistence, before) as speed_correlation from v group by track_id),
+vec as (select *, sqrt((x1 - x0) ** 2 + (y1 - y0) ** 2) as effective_length from sums join ends_ using (track_id))"""
+VECTOR = ("total_length", "effective_length", "largest_move", "mean_squared_displacement", "signed_turning", "mean_acceleration", "mean_displacement", "mean_persistence", "mean_straight", "mean_turning", "speed_slope", "speed_correlation", "effective_speed", "corrected_straightness")
+
+
+def _clean_points(spark, sf_dir):
+    """Points without drift and without the moves next to divisions, of tracks of at least 12 that are left."""
+    points = T.without_division_moves(T.corrected(track_points(spark, sf_dir)), _codes(spark, sf_dir))
+    kept = points.groupBy("plate", "track_id").agg(F.count("*").alias("n")).where("n >= 12").drop("n")
+    return points.join(kept, ["plate", "track_id"], "left_semi")
+
+
+@query("F03_trajectory_vectors", f"""{SPAN}, {DRIFTED.strip()}, w as (select *, effective_length / sqrt(n - 1) as effective_speed, sqrt(n) * effective_length / nullif(total_length, 0) as corrected_straightness from vec) select track_id, n, {", ".join(f"{q6(c)} as {c}" for c in VECTOR)} from w""", "track_points lineage")
+def trajectory_vectors(spark, sf_dir):
+    """Of the feature vector what SQL has too; F03_shape_vectors has the rest."""
+    return T.trajectory_vectors(_clean_points(spark, sf_dir)).select("track_id", "n", *[r6(F.col(c)).alias(c) for c in VECTOR])
+
+
+@query("F03_shape_vectors")
+def shape_vectors(spark, sf_dir):
+    rest = ("hull_area", "hull_area_of_step", "balls1", "entropy1", "balls2", "entropy2", "movement_type", "diffusion")
+    return T.trajectory_vectors(_clean_points(spark, sf_dir)).select("track_id", "n", "adequation", *[r6(F.col(c)).alias(c) for c in rest])
+
+
+DISTRIBUTIONS = ("displacement", "acceleration", "persistence", "turning", "straight")
+
+
+@query("F03_step_distributions", f"""{SPAN}, {DRIFTED.strip()} select track_id, frame, {", ".join(f"{q6(c)} as {c}" for c in DISTRIBUTIONS)} from v""", "track_points lineage")
+def step_distributions(spark, sf_dir):
+    return T.step_values(_clean_points(spark, sf_dir)).select("track_id", "frame", *[r6(F.col(c)).alias(c) for c in DISTRIBUTIONS])
+
+
 @query("F11_first_wins", "select plate, frame, label from objects qualify row_number() over (partition by plate, frame order by label) = 1", "objects")
 def first_wins(spark, sf_dir):
     return objects(spark, sf_dir).groupBy("plate", "frame").agg(F.min("label").alias("label"))

@@ -7,7 +7,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from platewise.functions.expressions import angle, norm
+from platewise.functions.expressions import angle, clamp, norm
+
+
+#: Steps that are no longer have no direction.
+STILL = 1e-9
 
 
 def ordered():
@@ -33,6 +37,47 @@ def track_features(points: DataFrame, least_points: int = 12) -> DataFrame:
     return rows.withColumn("straightness", F.col("effective_length") / F.when(F.col("total_length") > 0, F.col("total_length"))).drop("n", "x0", "y0", "x1", "y1")
 
 
+def step_values(points: DataFrame, window: int = 10) -> DataFrame:
+    """One row a step: displacement, acceleration, and against the step before the turning angle and the persistence (its cosine; without a
+    direction 0 and 1), change (the signed turn); straight, from points that a window of so many begins at: the residual of their line
+    over their squared step lengths."""
+    nx, ny = F.lead("x").over(ordered()), F.lead("y").over(ordered())
+    frames, inner = ordered().rowsBetween(0, window - 1), ordered().rowsBetween(0, window - 2)
+    a, b, c, n = F.var_pop("x").over(frames), F.var_pop("y").over(frames), F.covar_pop("x", "y").over(frames), F.count("*").over(frames)
+    rows = points.select("*", (nx - F.col("x")).alias("dx"), (ny - F.col("y")).alias("dy"), a.alias("va"), b.alias("vb"), c.alias("vc"), n.alias("vn"))
+    rows = rows.withColumns({"displacement": norm(F.col("dx"), F.col("dy")), "squares": F.sum(F.col("dx") * F.col("dx") + F.col("dy") * F.col("dy")).over(inner)})
+    px, py, p = F.lag("dx").over(ordered()), F.lag("dy").over(ordered()), F.lag("displacement").over(ordered())
+    moved = (p > STILL) & (F.col("displacement") > STILL)
+    cosine = F.when(moved, clamp((px * F.col("dx") + py * F.col("dy")) / (p * F.col("displacement")))).when(p.isNotNull(), 1.0)
+    change = F.when(moved, F.atan2("dy", "dx") - F.atan2(py, px))
+    half = (F.col("va") + F.col("vb")) / 2
+    residual = F.greatest(F.lit(0.0), half - F.sqrt(F.pow((F.col("va") - F.col("vb")) / 2, F.lit(2.0)) + F.col("vc") * F.col("vc"))) * window
+    straight = F.when((F.col("vn") == window) & (F.col("squares") > STILL), residual / F.col("squares"))
+    rows = rows.withColumns({"acceleration": F.col("displacement") - p, "persistence": cosine, "turning": F.acos(cosine), "change": change, "before": p, "straight": straight})
+    return rows.where("displacement is not null").select("plate", "track_id", "frame", "displacement", "acceleration", "persistence", "turning", "change", "before", "straight")
+
+
+def trajectory_vectors(points: DataFrame, radii: tuple[float, float] = (4.0, 16.0)) -> DataFrame:
+    """One row a track with its feature vector: length in frames and in space, effective length and speed, largest move, corrected
+    straightness, mean squared displacement, the circular mean of the signed turns, means of the per-step values, slope and correlation of
+    persistence on speed, hull area (also for each step), balls and entropy for two radii, movement type, diffusion and their adequation."""
+    ends = points.groupBy("plate", "track_id").agg(F.count("*").alias("n"), *(F.min_by(c, "frame").alias(f"{c}0") for c in "xy"), *(F.max_by(c, "frame").alias(f"{c}1") for c in "xy"))
+    steps_ = step_values(points).groupBy("plate", "track_id").agg(
+        F.sum("displacement").alias("total_length"), F.max("displacement").alias("largest_move"), F.avg(F.col("displacement") * F.col("displacement")).alias("mean_squared_displacement"), F.abs(F.atan2(F.sum(F.sin("change")), F.sum(F.cos("change")))).alias("signed_turning"),
+        F.avg("acceleration").alias("mean_acceleration"), F.avg("displacement").alias("mean_displacement"), F.avg("persistence").alias("mean_persistence"), F.avg("straight").alias("mean_straight"), F.avg("turning").alias("mean_turning"),
+        F.regr_slope("persistence", "before").alias("speed_slope"), F.corr("persistence", "before").alias("speed_correlation"),
+    )
+    rows = steps_.join(ends, ["plate", "track_id"]).withColumn("effective_length", norm(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")))
+    rows = rows.withColumns({"effective_speed": F.col("effective_length") / F.sqrt(F.col("n") - 1), "corrected_straightness": F.sqrt("n") * F.col("effective_length") / F.when(F.col("total_length") > 0, F.col("total_length"))})
+    rows = rows.drop("x0", "y0", "x1", "y1").join(scaling(points), ["plate", "track_id"])
+    for i, radius in enumerate(radii):
+        shape = shape_features(points, radius)
+        shape = shape.select("plate", "track_id", F.col("balls").alias(f"balls{i + 1}"), F.col("ball_entropy").alias(f"entropy{i + 1}"), *(["hull_area"] if i == 0 else []))
+        rows = rows.join(shape, ["plate", "track_id"])
+        rows = rows.withColumn(f"balls{i + 1}", F.col(f"balls{i + 1}") / F.sqrt("n"))
+    return rows.withColumn("hull_area_of_step", F.col("hull_area") / (F.col("n") - 1))
+
+
 def drift(points: DataFrame) -> DataFrame:
     """plate, frame, n, drift_x, drift_y: the cumulative mean displacement of all tracks up to each frame."""
     mean = steps(points).groupBy("plate", "frame").agg(F.count("*").alias("n"), F.avg("dx").alias("mx"), F.avg("dy").alias("my"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,9 +12,11 @@ _OWN: list[str] = []
 
 
 def scratch(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; one of our own only where that is unset, on a single machine."""
+    """The folder of spark.checkpoint.dir; one of our own only where that is unset and Spark runs on one machine."""
     if root := spark.conf.get("spark.checkpoint.dir", None):
         return root.rstrip("/")
+    if not spark.conf.get("spark.master", "local").startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     if not _OWN:
         _OWN.append("file://" + tempfile.mkdtemp(prefix="spark-platewise-", dir="/tmp"))
     return _OWN[0]
@@ -46,3 +49,38 @@ def write_plates(df: DataFrame, path: str, keys: tuple[str, ...] = ("plate",)) -
 def write_ranking(df: DataFrame, path: str, name: str, score: str) -> None:
     """`#Name score` lines in descending order, tab-separated."""
     df.orderBy(F.desc(score), name).select(F.concat_ws("\t", name, F.col(score).cast("string"))).write.mode("overwrite").text(path)
+
+
+def read_feature_maps(spark: SparkSession, path: str) -> DataFrame:
+    """frame, label, feature, value: a tab-separated feature file without a header, whose first two columns are frame and label and whose last six
+    are x, y and four extents. One row for each object and feature."""
+    names = ("x", "y", "left", "right", "top", "bottom")
+    cells = F.split("value", "\t")
+    at = lambda i: F.element_at(cells, i - len(names))
+    rows = spark.read.text(path).where(F.size(cells) >= len(names) + 2)
+    values = F.explode(F.array(*[F.struct(F.lit(n).alias("feature"), at(i).cast("double").alias("value")) for i, n in enumerate(names)]))
+    return rows.select(F.get(cells, F.lit(0)).cast("int").alias("frame"), F.get(cells, F.lit(1)).cast("int").alias("label"), values.alias("v")).select("frame", "label", "v.*")
+
+
+def read_arff(spark: SparkSession, path: str) -> tuple[DataFrame, dict[str, list[str]]]:
+    """The rows of an ARFF file, typed by its attributes (numeric: double, else string), and its pragmas (class-labels, class-colors). Only the
+    lines that begin with @ or % reach the driver."""
+    lines = spark.read.text(path).select(F.trim("value").alias("line")).where("line <> ''")
+    head = [r["line"] for r in lines.where(F.col("line").rlike("^[@%]")).collect()]
+    attributes = [re.match(r"@attribute\s+('[^']*'|\S+)\s+(.*)", line, re.I).groups() for line in head if line.lower().startswith("@attribute")]
+    pragmas = {p[0]: p[1:] for p in (line.lstrip("%").split() for line in head if line.startswith("%")) if p}
+    numeric = {"numeric", "real", "integer"}
+    schema = ", ".join(f"`{name.strip(chr(39))}` {'double' if kind.split()[0].lower() in numeric else 'string'}" for name, kind in attributes)
+    data = lines.where(~F.col("line").rlike("^[@%]"))
+    return data.select(F.from_csv("line", schema, {"nullValue": "?", "quote": "'", "ignoreLeadingWhiteSpace": "true"}).alias("r")).select("r.*"), pragmas
+
+
+def write_markers(points: DataFrame, path: str, skipped: tuple[int, ...] = ()) -> None:
+    """Annotation XML: a Marker_Type for each track (track_id, frame, x, y), its markers by frame. Frames count from 1 in the file, and those in
+    skipped, which the tracks were numbered without, are put back."""
+    frame = F.col("frame") + 1
+    for gap in sorted(skipped):
+        frame = F.when(frame >= gap + 1, frame + 1).otherwise(frame)
+    markers = F.array_sort(F.collect_list(F.struct(frame.alias("MarkerZ"), F.col("x").alias("MarkerX"), F.col("y").alias("MarkerY"))))
+    rows = points.groupBy(F.col("track_id").alias("Type")).agg(markers.alias("Marker"))
+    rows.write.mode("overwrite").format("xml").option("rowTag", "Marker_Type").option("rootTag", "Marker_Data").save(path)

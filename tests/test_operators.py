@@ -213,3 +213,38 @@ def test_nearest_centre_past_one_array(spark, monkeypatch):
     rows = spark.createDataFrame([(i, [i + 0.25, 1.0]) for i in range(10)] + [(10, [4.5, 0.0])], "exp bigint, f array<double>")
     got = {r["exp"]: (r["label"], r["d"]) for r in clusters.nearest(rows, centres).collect()}
     assert {e: c for e, (c, _) in got.items()} == {i: i for i in range(10)} | {10: 4} and all(math.isclose(got[i][1], math.hypot(0.25, 1)) for i in range(10))
+
+
+def test_trajectory_vectors_do_not_change_when_a_track_is_moved_or_turned(spark):
+    rng = np.random.default_rng(12)
+    path = np.cumsum(rng.normal(size=(30, 2)), axis=0)
+    turn = np.array([[np.cos(1.1), -np.sin(1.1)], [np.sin(1.1), np.cos(1.1)]])
+    rows = [(0, k, i, float(x), float(y)) for k, p in enumerate((path, path + [40, -7], path @ turn.T)) for i, (x, y) in enumerate(p)]
+    got = tracks.trajectory_vectors(spark.createDataFrame(rows, "plate bigint, track_id bigint, frame int, x double, y double")).toPandas().set_index("track_id").drop(columns="plate")
+    assert len(got.columns) >= 24 and np.allclose(got.loc[0], got.loc[1]) and np.allclose(got.loc[0], got.loc[2], atol=1e-9)
+    steps = np.diff(path, axis=0)
+    length = np.hypot(*steps.T)
+    cosine = (steps[1:] * steps[:-1]).sum(axis=1) / (length[1:] * length[:-1])
+    r = got.loc[0]
+    assert abs(r.total_length - length.sum()) < 1e-9 and abs(r.largest_move - length.max()) < 1e-9 and abs(r.mean_persistence - cosine.mean()) < 1e-9 and abs(r.speed_correlation - np.corrcoef(length[:-1], cosine)[0, 1]) < 1e-9
+
+
+def test_end_codes_from_lineage(spark):
+    spans = spark.createDataFrame([(0, 1, 0, 9), (0, 2, 3, 7), (0, 3, 4, 9), (0, 4, 5, 6), (0, 5, 2, 8)], "plate bigint, track_id bigint, first int, last int")
+    lineage = spark.createDataFrame([(2, 3), (2, 8), (4, 9), (5, 9)], "parent bigint, child bigint")
+    got = {r["track_id"]: (r["start_code"], r["end_code"]) for r in tracks.end_codes(spans, lineage).collect()}
+    assert got == {1: (0, 0), 2: (1, 2), 3: (2, 0), 4: (1, 3), 5: (1, 3)}
+
+
+def test_control_pca_is_a_projection_with_fixed_signs(spark):
+    from platewise.operators import clusters
+
+    rng = np.random.default_rng(13)
+    f = rng.normal(size=(60, 5)) * [5, 3, 1, 0.5, 0.1]
+    control = np.arange(60) < 40
+    rows = spark.createDataFrame([(i, bool(control[i]), f[i].tolist()) for i in range(60)], "exp int, is_control boolean, f array<double>")
+    got = clusters.control_pca(rows, 2).orderBy("exp").toPandas()
+    _, vectors = np.linalg.eigh(np.cov(f[control].T))
+    for i in range(2):
+        v = vectors[:, -1 - i]
+        assert np.allclose(got[f"pc{i}"], f @ (v * np.sign(v[np.abs(v).argmax()])), atol=1e-5)

@@ -53,3 +53,17 @@ def test_sources_and_sinks(spark, tmp_path):
     assert {r["name"] for r in spark.read.parquet(f"{tmp_path}/w").collect()} == {"a", "c"}
     sources.write_ranking(rows.coalesce(1), f"{tmp_path}/r", "name", "v")
     assert [r[0] for r in spark.read.text(f"{tmp_path}/r").collect()] == ["b\t2.5", "a\t0.5"]
+
+
+def test_text_formats_of_features_classes_and_markers(spark, tmp_path):
+    (tmp_path / "f.tsv").write_text("0\t3\textra\t1.5\t2\t0\t4\t1\t5\n1\t4\t9\t9\t7\t8\t6\t9\t5\t9\n\n")
+    got = {(r["frame"], r["label"], r["feature"]): r["value"] for r in sources.read_feature_maps(spark, f"{tmp_path}/f.tsv").collect()}
+    assert len(got) == 12 and got[0, 3, "x"] == 1.5 and got[0, 3, "bottom"] == 5 and got[1, 4, "x"] == 7 and got[1, 4, "left"] == 6
+    (tmp_path / "a.arff").write_text("%class-labels 1:inter 2:mito\n%class-colors 1:#00ff00\n@relation r\n@attribute size numeric\n@ATTRIBUTE 'mean x' REAL\n@attribute class {inter,mito}\n@data\n1, 2.5, inter\n3,?,mito\n")
+    rows, pragmas = sources.read_arff(spark, f"{tmp_path}/a.arff")
+    assert dict(rows.dtypes) == {"size": "double", "mean x": "double", "class": "string"} and [tuple(r) for r in rows.orderBy("size").collect()] == [(1.0, 2.5, "inter"), (3.0, None, "mito")]
+    assert pragmas == {"class-labels": ["1:inter", "2:mito"], "class-colors": ["1:#00ff00"]}
+    points = spark.createDataFrame([(7, 0, 1.0, 2.0), (7, 1, 3.0, 4.0), (7, 2, 5.0, 6.0), (9, 2, 0.0, 0.5)], "track_id int, frame int, x double, y double")
+    sources.write_markers(points, f"{tmp_path}/m", skipped=(1,))
+    back = {tuple(r) for r in sources.read_markers(spark, f"{tmp_path}/m").collect()}
+    assert back == {(7, 1.0, 2.0, 0), (7, 3.0, 4.0, 2), (7, 5.0, 6.0, 3), (9, 0.0, 0.5, 3)}
