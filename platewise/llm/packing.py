@@ -24,6 +24,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections import Counter
+from threading import Timer
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -61,10 +62,13 @@ class Tokens:
     and never merges across it, a text's ids are its chunks' ids in order, and plain chunks are split into their parts here and go to the
     vocabulary's model directly. A probe decides whether that holds for a file; otherwise whole texts go through the whole tokenizer."""
 
-    LIMIT = 1 << 16
+    LIMIT = 300_000
+    #: Seconds without a task after which a worker forgets what it remembers: it may be of use to other stages.
+    IDLE = 5.0
     PROBE = "Plain words,  and\n\tWORDS-of 123 (mixed) kinds: caf\u00e9 stra\u00dfe \u4f60\u597d \u0130 it's <|endoftext|> \U0001f600\u00a0x 9th"
-    #: One for each vocabulary in a worker, kept from task to task.
+    #: One for each vocabulary in a worker, kept from task to task, and the timer that ends it.
     KEPT: dict[str, Tokens] = {}
+    TIMER: list[Timer] = []
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -76,10 +80,19 @@ class Tokens:
 
     @classmethod
     def at(cls, path: str) -> Tokens:
+        while cls.TIMER:
+            cls.TIMER.pop().cancel()
         if path not in cls.KEPT:
             cls.KEPT[path] = cls(path)
         return cls.KEPT[path]
 
+    @classmethod
+    def rest(cls) -> None:
+        """At the end of a task."""
+        cls.TIMER.append(Timer(cls.IDLE, cls.KEPT.clear))
+        cls.TIMER[-1].daemon = True
+        cls.TIMER[-1].start()
+
     def _part(self, part: str) -> bytes:
         if len(self.parts) >= self.LIMIT:
             self.parts.clear()
@@ -117,6 +130,8 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None, t
         tokens, seen = Tokens.at(path or vocabulary()), Counter()
 
         def work(batch):
+            if batch is None:
+                return Tokens.rest()
             out = {k: [] for k in ("doc_id", "piece", "start", "length", "ids_crc32", "rank")}
             for doc, words in zip(batch["doc_id"], batch["text "], strict=True):
                 ids = tokens.of(words or b"")
@@ -130,7 +145,7 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None, t
         return work
 
     rows = docs.select("doc_id", F.col(text).alias("text "))
-    made = map_rows(rows, "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, rank bigint", make, binary=("text ",))
+    made = map_rows(rows, "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, rank bigint", make, binary=("text ",), finish=True)
     return made.withColumn("task", F.spark_partition_id())
 
 
