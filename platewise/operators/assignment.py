@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -42,6 +43,63 @@ def mutual_links(pairs: DataFrame, keys: list[str]) -> DataFrame:
     return pairs.withColumns({"a": a, "b": b}).where("a = 1 and b = 1").drop("a", "b")
 
 
+def best_assignment(gain: np.ndarray) -> list[tuple[int, int]]:
+    """One-to-one pairs (row, column) with the largest total gain; pairs without a gain are left out. Augmenting paths with potentials."""
+    n, m = gain.shape
+    if n > m:
+        return sorted((j, i) for i, j in best_assignment(gain.T))
+    cost = -np.maximum(gain, 0.0)  # what has no gain costs nothing, and is dropped in the end
+    u, v, match = np.zeros(n), np.zeros(m + 1), np.full(m + 1, -1)
+    for i in range(n):
+        match[m], j, least, came, used = i, m, np.full(m, np.inf), np.full(m, m), np.zeros(m + 1, bool)
+        while match[j] >= 0:
+            used[j] = True
+            row, free = match[j], ~used[:m]
+            reduced = cost[row] - u[row] - v[:m]
+            better = free & (reduced < least)
+            least[better], came[better] = reduced[better], j
+            step, to = min((least[k], k) for k in np.flatnonzero(free))
+            u[match[used]] += step
+            v[used] -= step
+            least[free] -= step
+            j = to
+        while j != m:
+            match[j], j = match[came[j]], came[j]
+    return sorted((int(match[j]), j) for j in range(m) if match[j] >= 0 and gain[match[j], j] > 0)
+
+
+def optimal_links(pairs: DataFrame, keys: list[str], radius: float) -> DataFrame:
+    """keys, label, to_label, d: the one-to-one links with the largest sum of radius - d. The candidates of one pair of frames meet in a task,
+    where each connected set of objects is solved by itself."""
+    schema = ", ".join(f"{k} {dict(pairs.dtypes)[k]}" for k in keys) + ", label bigint, to_label bigint, d double"
+
+    def solve(pdf):
+        import pandas as pd
+
+        a, b, d = pdf.label.to_numpy(), pdf.to_label.to_numpy(), pdf.d.to_numpy()
+        rows, columns = np.unique(a, return_inverse=True)[1], np.unique(b, return_inverse=True)[1]
+        part = np.arange(rows.max() + 1)
+        while True:  # objects in one connected set have one smallest row
+            least = np.full(columns.max() + 1, len(part))
+            np.minimum.at(least, columns, part[rows])
+            new = part.copy()
+            np.minimum.at(new, rows, least[columns])
+            if (new == part).all():
+                break
+            part = new
+        keep = []
+        for group in np.unique(part):
+            edges = np.flatnonzero(part[rows] == group)
+            r, ri = np.unique(rows[edges], return_inverse=True)
+            c, ci = np.unique(columns[edges], return_inverse=True)
+            gain, edge = np.zeros((len(r), len(c))), np.full((len(r), len(c)), -1)
+            gain[ri, ci], edge[ri, ci] = radius - d[edges] + 1e-9, edges
+            keep += [edge[i, j] for i, j in best_assignment(gain)]
+        return pd.DataFrame(pdf.iloc[sorted(keep)][[*keys, "label", "to_label", "d"]])
+
+    return pairs.select(*keys, "label", "to_label", "d").groupBy(*keys).applyInPandas(solve, schema)
+
+
 def chains(links: DataFrame, scratch: str) -> DataFrame:
     """label, track, position: tracks of one-to-one links (label, to_label), by pointer doubling: log2 of the longest track's length in joins.
 

@@ -4,14 +4,17 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.ml.clustering import GaussianMixture, KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from platewise.functions.expressions import euclidean
+from platewise.operators import samples
 
 #: Centres that are broadcast in one array; past it rows meet the centres in blocks of so many, one array each.
 MOST_CENTRES = 10_000
@@ -69,3 +72,64 @@ def control_pca(rows: DataFrame, components: int) -> DataFrame:
     signs = [1.0 if column[abs(column).argmax()] > 0 else -1.0 for column in loadings.T]
     a = model.transform(data).select("exp", vector_to_array("pc").alias("pc"))
     return a.select("exp", *[F.round(F.col("pc")[i] * signs[i], 6).alias(f"pc{i}") for i in range(components)])
+
+
+def first_centres(rows: DataFrame, k: int, seed: int) -> DataFrame:
+    """label (from 0), f: k rows (exp, f) in a seeded random order."""
+    chosen = samples.first_n(rows.select("exp", "f"), "exp", k, seed)
+    return chosen.select((F.row_number().over(W.orderBy(samples.order("exp", seed), "exp")) - 1).cast("long").alias("label"), "f")  # k rows
+
+
+def lloyd(rows: DataFrame, centres: DataFrame, steps: int) -> DataFrame:
+    """exp, label, d after steps rounds of assignment to the nearest centre and of new means; clusters that are empty go."""
+    for _ in range(steps):
+        assigned = nearest(rows, centres)
+        centres = mean_vectors(rows.join(assigned.select("exp", "label"), "exp"), ["label"])
+    return nearest(rows, centres)
+
+
+def ward(f: np.ndarray) -> list[tuple[int, int, float]]:
+    """Merges (cluster, cluster, height) of Ward's clustering: of each pair the one whose union adds least to the sum of squares. Clusters are
+    numbered from len(f) on as they are made."""
+    n = len(f)
+    size, name, out = np.ones(n), list(range(n)), []
+    d = ((f[:, None] - f) ** 2).sum(axis=2)
+    np.fill_diagonal(d, np.inf)
+    for k in range(n - 1):
+        i, j = sorted(np.unravel_index(np.argmin(d), d.shape))
+        out.append((name[i], name[j], float(np.sqrt(d[i, j]))))
+        new = ((size[i] + size) * d[i] + (size[j] + size) * d[j] - size * d[i, j]) / (size[i] + size[j] + size)
+        new[[i, j]] = np.inf
+        new[np.isinf(d[i])] = np.inf
+        d[i], d[:, i] = new, new
+        d[j], d[:, j] = np.inf, np.inf
+        size[i], name[i] = size[i] + size[j], n + k
+    return out
+
+
+#: Means that Ward's clustering takes: it compares all of them in one task.
+MOST_WARD = 4000
+
+
+def ward_clusters(means: DataFrame, key: str, level: float = 0.7) -> DataFrame:
+    """key, cluster, place: the flat clusters below level times the largest height, named by their smallest key, and the order of the leaves."""
+    if means.count() > MOST_WARD:
+        raise ValueError(f"more than {MOST_WARD} rows: cluster their means")
+
+    def run(pdf):
+        import pandas as pd
+
+        pdf = pdf.sort_values(key).reset_index(drop=True)
+        merges, n = ward(np.stack(pdf.f.to_numpy())), len(pdf)
+        leaves, cut = {i: [i] for i in range(n)}, {i: i for i in range(n)}
+        top = max((h for *_, h in merges), default=0.0)
+        for k, (a, b, h) in enumerate(merges):
+            leaves[n + k] = leaves[a] + leaves[b]
+            if h <= level * top:
+                cut |= dict.fromkeys(leaves[n + k], min(leaves[n + k]))
+        order = leaves[n + len(merges) - 1] if n else []
+        place = {leaf: i for i, leaf in enumerate(order)}
+        return pd.DataFrame({key: pdf[key], "cluster": [pdf[key][cut[i]] for i in range(n)], "place": [place[i] for i in range(n)]})
+
+    kind = dict(means.dtypes)[key]
+    return means.select(key, "f", F.lit(0).alias("one")).groupBy("one").applyInPandas(lambda pdf: run(pdf), f"{key} {kind}, cluster {kind}, place bigint")

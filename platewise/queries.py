@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from platewise.jobs import inference, objects, screens, selections, tracking, tracks  # noqa: F401
+from platewise.jobs import inference, models, objects, screens, selections, tracking, tracks  # noqa: F401
 from platewise.model import ORACLES, QUERIES  # noqa: F401

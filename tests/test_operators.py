@@ -248,3 +248,49 @@ def test_control_pca_is_a_projection_with_fixed_signs(spark):
     for i in range(2):
         v = vectors[:, -1 - i]
         assert np.allclose(got[f"pc{i}"], f @ (v * np.sign(v[np.abs(v).argmax()])), atol=1e-5)
+
+
+def test_best_assignment_and_optimal_links_by_brute_force(spark):
+    from itertools import permutations
+
+    from platewise.operators import assignment
+
+    rng = np.random.default_rng(14)
+    for _ in range(40):
+        n, m = rng.integers(1, 6, 2)
+        gain = np.where(rng.random((n, m)) < 0.7, rng.random((n, m)).round(3), 0.0)
+        got = assignment.best_assignment(gain)
+        assert len({i for i, _ in got}) == len({j for _, j in got}) == len(got) and all(gain[i, j] > 0 for i, j in got)
+        wide = gain if n <= m else gain.T
+        best = max(sum(wide[i, j] for i, j in enumerate(p)) for p in permutations(range(wide.shape[1]), wide.shape[0]))
+        assert abs(sum(gain[i, j] for i, j in got) - best) < 1e-9
+    # mutual nearest neighbours would link 2 and 11 only
+    pairs = spark.createDataFrame([(0, 1, 11, 3.0), (0, 2, 11, 1.0), (0, 2, 12, 2.0), (0, 5, 15, 7.9), (1, 1, 11, 4.0)], "frame int, label bigint, to_label bigint, d double")
+    assert sorted(tuple(r) for r in assignment.optimal_links(pairs, ["frame"], 8.0).collect()) == [(0, 1, 11, 3.0), (0, 2, 12, 2.0), (0, 5, 15, 7.9), (1, 1, 11, 4.0)]
+
+
+def test_ward_by_brute_force(spark):
+    from platewise.operators import clusters
+
+    rng = np.random.default_rng(15)
+    f = rng.normal(size=(12, 3))
+    held, heights = {i: [i] for i in range(12)}, []
+    squares = lambda rows: ((f[rows] - f[rows].mean(axis=0)) ** 2).sum()
+    for k in range(11):
+        a, b = min(((a, b) for a in held for b in held if a < b), key=lambda p: squares(held[p[0]] + held[p[1]]) - squares(held[p[0]]) - squares(held[p[1]]))
+        heights.append(np.sqrt(2 * (squares(held[a] + held[b]) - squares(held[a]) - squares(held[b]))))
+        held[12 + k] = held.pop(a) + held.pop(b)
+    assert np.allclose([h for *_, h in clusters.ward(f)], heights)
+    rows = spark.createDataFrame([(i, (f[i] + (10 if i >= 6 else 0)).tolist()) for i in range(12)], "condition bigint, f array<double>")
+    got = {r["condition"]: (r["cluster"], r["place"]) for r in clusters.ward_clusters(rows, "condition").collect()}
+    assert {c for c, _ in got.values()} == {0, 6} and all(got[i][0] == (6 if i >= 6 else 0) for i in range(12)) and sorted(p for _, p in got.values()) == list(range(12))
+
+
+def test_local_fits_of_lines_and_constants(spark):
+    from platewise.operators import smoothing
+
+    rows = spark.createDataFrame([("line", i, 2.0 * i + 1) for i in range(20)] + [("flat", i, 3.0) for i in range(20)], "k string, frame int, v double")
+    for held_out in (False, True):
+        assert all(abs(r["fit"] - r["v"]) < 1e-9 for r in smoothing.local_fits(rows, ["k"], 0.4, 1, held_out).collect())
+    got = smoothing.local_fits(rows, ["k"], 0.4, 0).collect()
+    assert all(abs(r["fit"] - 3) < 1e-9 for r in got if r["k"] == "flat") and len(got) == 40
