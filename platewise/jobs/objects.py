@@ -369,7 +369,8 @@ def store_mismatches(spark, sf_dir):
     return rows.where("n_a <> n_b")
 
 
-@query("S08_not_yet_done", "select d.plate, d.frame from (select distinct plate, frame from objects) d where not exists (select 1 from objects o where o.plate = d.plate and o.frame = d.frame and o.cls = 'error')", "objects")
+@query("S08_not_yet_done", "w as (select *, label % 96 as well from objects) select d.plate, d.well from (select distinct plate, well from w) d where not exists (select 1 from w o where o.plate = d.plate and o.well = d.well and o.cls = 'error' and o.frame >= 20)", "objects")
 def not_yet_done(spark, sf_dir):
-    rows = objects(spark, sf_dir)
-    return rows.select("plate", "frame").distinct().join(rows.where("cls = 'error'").select("plate", "frame"), ["plate", "frame"], "left_anti")
+    """Wells whose last step (an error in the last ten days stands for its output) is not there."""
+    rows = objects(spark, sf_dir).withColumn("well", F.col("label") % 96)
+    return rows.select("plate", "well").distinct().join(rows.where("cls = 'error' and frame >= 20").select("plate", "well"), ["plate", "well"], "left_anti")

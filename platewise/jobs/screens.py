@@ -318,7 +318,7 @@ def kmeans_sweep(spark, sf_dir):
 
 @query("L07_gaussian_mixture_bic")
 def gaussian_mixture_bic(spark, sf_dir):
-    return L.mixture_sweep(features(spark, sf_dir), range(2, 4), 4)
+    return L.mixture_sweep(features(spark, sf_dir), range(2, 4))
 
 
 @query("L26_control_pca")
@@ -393,9 +393,11 @@ def plate_configuration(spark, sf_dir):
 # ---- further lookups, statistics, distances and hits
 
 
-@query("D02_unique_targets", "select min(p_partkey) as sirna, p_brand || '/' || p_type as gene from part group by p_brand || '/' || p_type having count(*) = 1")
+@query("D02_unique_targets", "select min(p_partkey) as sirna, p_brand || '/' || p_type || '/' || p_size as gene from part group by 2 having count(*) = 1")
 def unique_targets(spark, sf_dir):
-    rows = table(spark, sf_dir, "part").groupBy(F.concat("p_brand", F.lit("/"), "p_type").alias("gene")).agg(F.count("*").alias("n"), F.min("p_partkey").alias("sirna"))
+    """Targets that one siRNA alone has."""
+    gene = F.concat_ws("/", "p_brand", "p_type", "p_size")
+    rows = table(spark, sf_dir, "part").groupBy(gene.alias("gene")).agg(F.count("*").alias("n"), F.min("p_partkey").alias("sirna"))
     return rows.where("n = 1").select("sirna", "gene")
 
 

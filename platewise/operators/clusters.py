@@ -51,17 +51,21 @@ def kmeans_sweep(rows: DataFrame, ks, seed: int = 7) -> DataFrame:
     return spark.createDataFrame(out, "k int, silhouette double, cohesion double")
 
 
-def mixture_sweep(rows: DataFrame, ks, dimensions: int, seed: int = 7) -> DataFrame:
-    """k, log_likelihood, bic of Gaussian mixtures on the first dimensions."""
-    data = rows.select(array_to_vector(F.slice("f", 1, dimensions)).alias("features")).cache()
+def mixture_sweep(rows: DataFrame, ks, dimensions: int | None = None, seed: int = 7) -> DataFrame:
+    """k, log_likelihood, bic, partition_entropy (the mean entropy of a row's probabilities) of Gaussian mixtures, on all or on the first dimensions."""
+    f = F.slice("f", 1, dimensions) if dimensions else F.col("f")
+    dimensions = dimensions or len(rows.select("f").first()[0])
+    data = rows.select(array_to_vector(f).alias("features")).cache()
     n, out = data.count(), []
     for k in ks:
         model = GaussianMixture(k=k, seed=seed, maxIter=20).fit(data)
         likelihood = model.summary.logLikelihood
         free = k * (1 + dimensions + dimensions * (dimensions + 1) / 2) - 1
-        out.append((k, round(likelihood, 3), round(-2 * likelihood + free * math.log(n), 3)))
+        p = vector_to_array(model.summary.probability["probability"])
+        entropy = model.summary.probability.agg(F.avg(F.aggregate(p, F.lit(0.0), lambda s, v: s - F.when(v > 0, v * F.ln(v)).otherwise(0.0)))).first()[0]
+        out.append((k, round(likelihood, 3), round(-2 * likelihood + free * math.log(n), 3), round(entropy, 6)))
     data.unpersist()
-    return rows.sparkSession.createDataFrame(out, "k int, log_likelihood double, bic double")
+    return rows.sparkSession.createDataFrame(out, "k int, log_likelihood double, bic double, partition_entropy double")
 
 
 def control_pca(rows: DataFrame, components: int) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from platewise.functions.expressions import kolmogorov_sf, normal_sf
+from platewise.sources import stored
 
 #: Ranges of values, each a task's work at most.
 RANGES = 64
@@ -23,7 +24,7 @@ def with_range(rows: DataFrame, value: str, ranges: int = RANGES) -> DataFrame:
 def running(counts: DataFrame, keys: list[str], value: str, sums: list[str]) -> DataFrame:
     """Adds before_x, the sum of x over the smaller values within keys, and all_x, the sum within keys, for each x of sums. counts has a
     row for each value and keys."""
-    ranged = with_range(counts, value)
+    ranged = with_range(stored(counts, "counts"), value)  # counted once: the bounds, the sums and the rows come from it
     totals = ranged.groupBy(*keys, "range").agg(*[F.sum(x).alias(f"t_{x}") for x in sums])
     # at most RANGES rows for each of keys
     earlier, every = W.partitionBy(*keys).orderBy("range").rowsBetween(W.unboundedPreceding, -1), W.partitionBy(*keys)
@@ -49,7 +50,7 @@ def against_pool(rows: DataFrame, pool: DataFrame, keys: list[str], value: str,
     tie2 (the sum of t^3 - t over the pool's values): the pool is counted and cumulated once for all groups; once for each of the
     columns within (some of keys) where there are any."""
     within = within or []
-    own = rows.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("v")).agg(F.count("*").alias("a"))
+    own = stored(rows.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("v")).agg(F.count("*").alias("a")), "own")
     pooled = pool.where(F.col(value).isNotNull()).groupBy(*within, F.col(value).cast("double").alias("v")).agg(F.count("*").alias("t"))
     counts = own.select(*within, "v", F.lit(0).alias("t")).distinct().union(pooled).groupBy(*within, "v").agg(F.sum("t").alias("t"))
     cube = F.pow(F.col("t").cast("double"), F.lit(3.0)) - F.col("t")
@@ -68,10 +69,14 @@ def kolmogorov_smirnov(both: DataFrame, keys: list[str]) -> DataFrame:
     return rows.withColumn("p", kolmogorov_sf((ne + 0.12 + 0.11 / ne) * F.col("d")))
 
 
-def mean_ranks(rows: DataFrame, keys: list[str], value: str = "v") -> Column:
-    """Rank of value within keys, ties at their mean rank."""
-    same = W.partitionBy(*keys, value)
-    return F.rank().over(W.partitionBy(*keys).orderBy(value)) + (F.count("*").over(same) - 1) / 2
+def mean_ranks(rows: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
+    """Adds the rank of value within keys, ties at their mean rank; rows without a value go."""
+    counts = rows.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("v ")).agg(F.count("*").alias("n "))
+    ranks = running(counts, keys, "v ", ["n "]).select(*[F.col(k).alias(f"{k} ") for k in keys], "v ", (F.col("before_n ") + (F.col("n ") + 1) / 2).alias(name))
+    same = F.col(value) == F.col("v ")
+    for k in keys:
+        same &= F.col(k).eqNullSafe(F.col(f"{k} "))
+    return rows.join(ranks, same).drop("v ", *[f"{k} " for k in keys])
 
 
 def rank_sum(both: DataFrame, keys: list[str], ties: bool = False) -> DataFrame:
@@ -94,7 +99,7 @@ def rank_sum(both: DataFrame, keys: list[str], ties: bool = False) -> DataFrame:
 
 def bh(rows: DataFrame, p: str = "p", q: str = "q") -> DataFrame:
     """Adds Benjamini-Hochberg q-values (null p stays out). Equal p have one q: the smallest p * n / rank at or after them."""
-    known = rows.where(F.col(p).isNotNull())
+    known = stored(rows.where(F.col(p).isNotNull()), "tested")
     ranked = running(known.groupBy(F.col(p).alias("p ")).agg(F.count("*").alias("n ")), [], "p ", ["n "])
     ranked = with_range(ranked.withColumn("raw ", F.least(F.lit(1.0), F.col("p ") * F.col("all_n ") / (F.col("before_n ") + F.col("n ")))), "p ")
     least = ranked.groupBy("range").agg(F.min("raw ").alias("least "))  # RANGES rows
@@ -123,5 +128,5 @@ def empirical_p(rows: DataFrame, null: DataFrame, value: str, null_value: str, u
 def spearman(rows: DataFrame, keys: list[str], a: str, b: str) -> DataFrame:
     """keys, n, rho: the correlation of mean ranks."""
     whole = rows.where(F.col(a).isNotNull() & F.col(b).isNotNull())
-    ranked = whole.select(*keys, mean_ranks(whole, keys, a).alias("ra"), mean_ranks(whole, keys, b).alias("rb"))
-    return ranked.groupBy(*keys).agg(F.count("*").alias("n"), F.corr("ra", "rb").alias("rho"))
+    ranked = mean_ranks(mean_ranks(whole, keys, a, "rank of a"), keys, b, "rank of b")
+    return ranked.groupBy(*keys).agg(F.count("*").alias("n"), F.corr("rank of a", "rank of b").alias("rho"))

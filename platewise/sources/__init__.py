@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,6 +23,13 @@ def scratch(spark: SparkSession) -> str:
     return _OWN[0]
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """df written to the shared folder and read again: computed once, and a lost executor costs a reread."""
+    path = f"{scratch(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def read_tsv(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
     """Tab-separated text with a header; all columns are strings unless a schema is given."""
     reader = spark.read.option("sep", "\t").option("header", True)
