@@ -218,7 +218,7 @@ def start_and_end_codes(spark, sf_dir):
     return _codes(spark, sf_dir).select("track_id", "start_code", "end_code")
 
 
-@query("F08_ends_by_kind", f"{SPAN} select plate, end_code::int as end_code, count(*) as n, max(last) as latest from code group by 1, 2", "lineage")
+@query("F08_ends_by_kind", f"{SPAN} select plate, end_code::int as end_code, count(*) as n, max(last)::int as latest from code group by 1, 2", "lineage")
 def ends_by_kind(spark, sf_dir):
     return _codes(spark, sf_dir).groupBy("plate", "end_code").agg(F.count("*").alias("n"), F.max("last").alias("latest"))
 
