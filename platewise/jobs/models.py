@@ -161,6 +161,24 @@ def entropic_cost(spark, sf_dir):
     return K.pair_table(_h(spark, sf_dir), "plate", "h", lambda a, b: K.sinkhorn_distance(a, b, 100.0)).select("i", "j", r6(F.col("d")).alias("cost"))
 
 
+def _with_transport(spark, sf_dir, numeric):
+    """Pairs of plates: a numeric part and an entropic transport cost of the histograms, weighted."""
+    y = objects(spark, sf_dir).groupBy("plate").agg(F.avg("y").alias("y"))
+    both = _h(spark, sf_dir).join(y, "plate").select("plate", F.struct("y", "h").alias("v"))
+    d = K.pair_table(both, "plate", "v", lambda a, b: F.struct(numeric(a["y"] - b["y"]).alias("numeric"), K.sinkhorn_distance(a["h"], b["h"]).alias("transport")))
+    return d.select("i", "j", r6(F.col("d.numeric")).alias("numeric"), r6(F.col("d.transport")).alias("transport"), r6(0.7 * F.col("d.numeric") + 0.3 * F.col("d.transport")).alias("d"))
+
+
+@query("K12_squared_with_transport")
+def squared_with_transport(spark, sf_dir):
+    return _with_transport(spark, sf_dir, lambda v: v * v)
+
+
+@query("K13_distance_with_transport")
+def distance_with_transport(spark, sf_dir):
+    return _with_transport(spark, sf_dir, F.abs)
+
+
 @query("K28_stored_distances", f"{CONDITIONS} select a.condition as i, b.condition as j, {q6('sqrt(sum((a.v - b.v) ** 2))')} as d from m a join m b on a.k = b.k and a.condition < b.condition group by 1, 2", "features")
 def stored_distances(spark, sf_dir):
     """Distances written once and read again by the metric's name."""

@@ -294,3 +294,25 @@ def test_local_fits_of_lines_and_constants(spark):
         assert all(abs(r["fit"] - r["v"]) < 1e-9 for r in smoothing.local_fits(rows, ["k"], 0.4, 1, held_out).collect())
     got = smoothing.local_fits(rows, ["k"], 0.4, 0).collect()
     assert all(abs(r["fit"] - 3) < 1e-9 for r in got if r["k"] == "flat") and len(got) == 40
+
+
+def test_lowess_and_two_segments_of_known_curves():
+    from platewise.operators import smoothing
+
+    line = 0.5 * np.arange(30) - 2
+    assert np.allclose(smoothing.lowess(line), line) and np.allclose(smoothing.lowess(np.full(9, 4.0)), 4)
+    noisy = line + np.random.default_rng(16).normal(size=30)
+    assert np.abs(smoothing.lowess(noisy) - line).mean() < np.abs(noisy - line).mean()
+    corner = np.array([[float(i), 0.0] for i in range(6)] + [[5.0, float(i)] for i in range(1, 5)])
+    assert smoothing.two_segments(corner) == (5, 0.0)
+
+
+def test_distances_with_transport_are_their_parts(spark):
+    from platewise.queries import QUERIES
+
+    sf = "/root/testdata/sf0.001"
+    squared, plain = ({(r["i"], r["j"]): r for r in QUERIES[n](spark, sf).collect()} for n in ("K12_squared_with_transport", "K13_distance_with_transport"))
+    transport = {(r["i"], r["j"]): r["sinkhorn"] for r in QUERIES["K11_sinkhorn"](spark, sf).collect()}
+    for k, r in squared.items():
+        assert abs(r["numeric"] - plain[k]["numeric"] ** 2) < 1e-3 and r["transport"] == plain[k]["transport"] == transport[k]
+        assert abs(r["d"] - 0.7 * r["numeric"] - 0.3 * r["transport"]) < 1e-5
