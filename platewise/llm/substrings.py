@@ -110,7 +110,8 @@ def factors(docs: DataFrame, text: str = "text", window: int = WINDOW, anchor: i
 
         return work
 
-    blocks = map_rows(rows, "block bigint, doc bigint, own bigint, at int, first int", make_blocks, binary=("text",))
+    # written once: the index is made from them, and they are looked up in it
+    blocks = saved(map_rows(rows, "block bigint, doc bigint, own bigint, at int, first int", make_blocks, binary=("text",)), "windows", "lz4")
     # counted where they are first; blocks that a document has again are duplicates already and weigh nothing here
     index = blocks.where("first < 0").groupBy("block").agg(F.min("doc").alias("r_doc"), F.min("own").alias("r_own"), F.min_by("at", "doc").alias("by_doc"), F.min_by("at", "own").alias("by_own"))
     # own counts only where all documents of a block have a null doc_id; it is NONE in the others and in their minimum
