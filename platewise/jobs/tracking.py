@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from platewise.model import objects, q6, query, r6, table, track_points, wells
 from platewise.operators import assignment as A
-from platewise.operators import simulate
+from platewise.operators import samples, simulate
 from platewise.sources import scratch
 
 RADIUS = 8.0
@@ -101,10 +101,10 @@ def simulated_walks(spark, sf_dir):
     return simulate.walks(lib, 30, seed=17)
 
 
-@query("G03_stratified_sample")
+@query("G03_stratified_sample", f"select plate, frame, label, x, y, cls from objects qualify row_number() over (partition by plate, cls order by {samples.order_sql('label', 5)}, label) <= 20", "objects")
 def stratified_sample(spark, sf_dir):
-    """Up to 20 objects of each class and plate, by a seeded hash: the same rows however the table is partitioned."""
-    k = F.row_number().over(W.partitionBy("plate", "cls").orderBy(F.xxhash64(F.lit(5), "label"), "label"))
+    """Up to 20 objects of each class and plate in a seeded order: the same rows however the table is partitioned."""
+    k = F.row_number().over(W.partitionBy("plate", "cls").orderBy(samples.order("label", 5), "label"))
     return objects(spark, sf_dir).withColumn("k", k).where("k <= 20").drop("k")
 
 
