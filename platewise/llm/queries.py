@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from platewise.llm import decontaminate, langid, licenses, media, neardup, packing, quality, substrings, urlfilter, warc
+from platewise.llm import decontaminate, langid, licenses, media, neardup, packing, pii, quality, spelling, substrings, urlfilter, warc, whitening
 from platewise.llm.common import table
 
 
@@ -48,5 +48,17 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.digest(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op2_url_filter, op3_media_columns, op4_language_id, op5_best_fit_packing, op6_quality_classifier, op7_benchmark_decontamination, op8_minhash_near_dedup, op9_warc, op10_substring_dedup)}
-ORACLES: dict[str, str] = {"op7_benchmark_decontamination": decontaminate.ORACLE_SQL, "op8_minhash_near_dedup": neardup.ORACLE_SQL, "op9_warc": warc.ORACLE_SQL, "op10_substring_dedup": substrings.ORACLE_SQL}
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op13_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_url_filter, op3_media_columns, op4_language_id, op5_best_fit_packing, op6_quality_classifier, op7_benchmark_decontamination, op8_minhash_near_dedup, op9_warc, op10_substring_dedup, op11_spelling_variants, op12_embedding_whitening, op13_pii)}
+ORACLES: dict[str, str] = {"op7_benchmark_decontamination": decontaminate.ORACLE_SQL, "op8_minhash_near_dedup": neardup.ORACLE_SQL, "op9_warc": warc.ORACLE_SQL, "op10_substring_dedup": substrings.ORACLE_SQL, "op11_spelling_variants": spelling.ORACLE_SQL}
