@@ -20,7 +20,7 @@ from platewise.operators import layout as Q
 from platewise.operators import samples
 from platewise.operators import statistics as S
 from platewise.operators import tracks as T
-from platewise.sources import scratch
+from platewise.sources import scratch, stored
 
 SEEDED = samples.order_sql
 UNNESTED = "u as (select exp, plate, condition, is_control, generate_subscripts(f, 1) as k, unnest(f) as v from features)"
@@ -72,10 +72,11 @@ def plate_against_own_pool(spark, sf_dir):
     return S.kolmogorov_smirnov(both, ["plate"]).select("plate", "n1", "n2", r6(F.col("d")).alias("d"))
 
 
-@query("J09_movie_value_lists", "select plate, count(*) as n, string_agg(round(x)::bigint::varchar, ',' order by round(x)::bigint) as vals from objects where cls = 'purchase' group by plate", "objects")
+@query("J09_movie_value_lists", "select plate, row_number() over (partition by plate order by round(x)::bigint, label) as place, round(x)::bigint as v from objects where cls = 'purchase' and x is not null", "objects")
 def movie_value_lists(spark, sf_dir):
-    listed = F.transform(F.array_sort(F.collect_list(F.round("x").cast("bigint"))), lambda v: v.cast("string"))
-    return objects(spark, sf_dir).where("cls = 'purchase'").groupBy("plate").agg(F.count("*").alias("n"), F.array_join(listed, ",").alias("vals"))
+    """The sorted values of each movie, a row for each place in its list."""
+    rows = objects(spark, sf_dir).where("cls = 'purchase'").select("plate", "label", F.round("x").cast("bigint").alias("v"))
+    return S.row_numbers(rows, "v", "label", "place", ["plate"]).select("plate", "place", "v")
 
 
 @query("J10_control_against_control", f"w as (select gene, sirna from (select distinct gene, sirna from screen where is_control) order by {SEEDED('sirna', 14)}, sirna limit 7), q as (select a.sirna as i, b.sirna as j from w a join w b on a.sirna < b.sirna), u as (select i, j, measure as v, case when sirna = i then 1 else 0 end as mine from q join screen on sirna in (i, j)), {ks_sql('i, j')} select i, j, n1, n2, {q6('d')} as d from d", "screen")
@@ -103,12 +104,15 @@ def parameter_correlations(spark, sf_dir):
     return S.spearman(pairs, ["i", "j"], "x", "y").select("i", "j", "n", r6(F.col("rho")).alias("rho"))
 
 
-@query("J23_plates_of_compound", f"r as (select gene, plate, measure as v from screen where plate in (1, 2)), u as (select gene, v, case when plate = 1 then 1 else 0 end as mine from r), {ks_sql('gene')} select gene, n1, n2, {q6('d')} as d from d", "screen")
+@query("J23_plates_of_compound", f"p as (select distinct plate from screen), u as (select gene, a.plate as i, b.plate as j, measure as v, case when s.plate = a.plate then 1 else 0 end as mine from screen s join p a on true join p b on a.plate < b.plate and s.plate in (a.plate, b.plate)), {ks_sql('gene, i, j')} select gene, i, j, n1, n2, {q6('d')} as d from d", "screen")
 def plates_of_compound(spark, sf_dir):
-    """Each compound on one plate against the same on another."""
+    """Each compound on each plate against the same on every other."""
     rows = screen(spark, sf_dir).select("gene", "plate", "measure")
-    both = S.against_pool(rows.where("plate = 1"), rows.where("plate = 2"), ["gene"], "measure", within=["gene"])
-    return S.kolmogorov_smirnov(both, ["gene"]).select("gene", "n1", "n2", r6(F.col("d")).alias("d"))
+    plates = rows.select("plate").distinct()
+    pairs = stored(plates.select(F.col("plate").alias("i")).join(F.broadcast(plates.select(F.col("plate").alias("j"))), F.col("i") < F.col("j")), "plates")
+    side = lambda c: rows.join(F.broadcast(pairs), F.col("plate") == F.col(c)).select("gene", "i", "j", "measure")
+    both = S.against_pool(side("i"), side("j"), ["gene", "i", "j"], "measure", within=["gene", "i", "j"])
+    return S.kolmogorov_smirnov(both, ["gene", "i", "j"]).select("gene", "i", "j", "n1", "n2", r6(F.col("d")).alias("d"))
 
 
 DRAWS = 6
@@ -207,8 +211,8 @@ def _contingency(spark, sf_dir):
     rows = features(spark, sf_dir).select("exp", "plate", "condition")
     runs = F.explode(F.sequence(F.lit(1), F.lit(PERMUTATIONS)))
     place = S.row_numbers(rows, "exp", "plate", "k").select("k", "plate")
-    drawn = F.row_number().over(W.partitionBy("run").orderBy(samples.order(F.concat_ws(":", "run", "exp"), 7), "exp"))
-    null = rows.select("exp", "condition").withColumn("run", runs).withColumn("k", drawn).join(place, "k").select("run", "plate", "condition")
+    drawn = stored(rows.select("exp", "condition", runs.alias("run")).withColumn("order", samples.order(F.concat_ws(":", "run", "exp"), 7)), "drawn")
+    null = S.row_numbers(drawn, "order", "exp", "k", ["run"]).join(place, "k").select("run", "plate", "condition")
     n = rows.select(F.lit(0).alias("run"), "plate", "condition").union(null).groupBy("run", "plate", "condition").agg(F.count("*").alias("o"))
     t = n.where("plate <> 0").join(n.where("plate = 0").select("run", "condition", F.col("o").alias("c")), ["run", "condition"])
     group = W.partitionBy("run", "plate")
@@ -281,11 +285,11 @@ def transport_between_classes(spark, sf_dir):
     return K.pair_table(K.histograms(objects(spark, sf_dir), ["cls"], "x", 10), "cls", "h", X.emd_1d).select("i", "j", r6(F.col("d")).alias("cost"))
 
 
-@query("K09_transport_to_centres", f"{shares_sql('plate')}, c as (select plate, bin, sum(v) over (partition by plate order by bin rows unbounded preceding) as c from h), g as (select bin, avg(c) as c from c where plate < 3 group by bin) select plate, {q6('sum(abs(c.c - g.c))')} as cost from c join g using (bin) group by plate", "objects")
+@query("K09_transport_to_centres", f"{shares_sql('plate')}, c as (select plate, bin, sum(v) over (partition by plate order by bin rows unbounded preceding) as c from h), g as (select bin, avg(c) as c from c group by bin) select plate, {q6('sum(abs(c.c - g.c))')} as cost from c join g using (bin) group by plate", "objects")
 def transport_to_centres(spark, sf_dir):
-    """Every plate against the mean histogram of the first three."""
+    """Every plate against the mean histogram of all."""
     h = _h(spark, sf_dir)
-    centre = L.mean_vectors(h.where("plate < 3").withColumnRenamed("h", "f").withColumn("one", F.lit(1)), ["one"]).select(F.col("f").alias("centre"))
+    centre = L.mean_vectors(h.withColumnRenamed("h", "f").withColumn("one", F.lit(1)), ["one"]).select(F.col("f").alias("centre"))
     return h.crossJoin(F.broadcast(centre)).select("plate", r6(X.emd_1d(F.col("h"), F.col("centre"))).alias("cost"))
 
 
@@ -370,10 +374,10 @@ def farthest_points(spark, sf_dir):
     return a.withColumn("k", k).where("k = 1").select("label", "exp", r6(F.col("d")).alias("d"))
 
 
-@query("L24_centres_by_kind", f"{UNNESTED} select condition, (k - 1)::int as i, {q6('avg(v)')} as mean, {q6('quantile_cont(v, 0.5)')} as median from u where k <= 4 group by condition, k", "features")
+@query("L24_centres_by_kind", f"{UNNESTED} select condition, (k - 1)::int as i, {q6('avg(v)')} as mean, {q6('quantile_cont(v, 0.5)')} as median from u group by condition, k", "features")
 def centres_by_kind(spark, sf_dir):
-    """Centres for the Euclidean distance (means) and for total variation (medians), of the numeric elements, which are the first four."""
-    rows = C.long_features(features(spark, sf_dir), ["condition"]).where("i < 4")
+    """Centres for the Euclidean distance (means) and for total variation (medians)."""
+    rows = C.long_features(features(spark, sf_dir), ["condition"])
     return rows.groupBy("condition", "i").agg(r6(F.avg("v")).alias("mean")).join(S.quantiles(rows, ["condition", "i"], "v", {"median": 0.5}), ["condition", "i"]).select("condition", "i", "mean", r6(F.col("median")).alias("median"))
 
 
@@ -416,12 +420,12 @@ def hit_frequency(spark, sf_dir):
     return h.groupBy("gene").agg(F.count("*").alias("runs"), F.count_if("hit").alias("hits"))
 
 
-@query("L43_listed_features", f"i as (select plate, count(*) as initial from objects where frame = 0 group by plate) select o.label, {q6('o.x')} as x, {q6('o.y')} as y, i.initial from objects o join i using (plate) where o.label % 11 = 3 and o.x is not null and o.y is not null", "objects")
+@query("L43_listed_features", f"i as (select plate, count(*) as initial from objects where frame = 0 group by plate) select o.label, {q6('o.x')} as x, {q6('o.y')} as y, i.initial from objects o join i using (plate) where o.cls = 'purchase' and o.x is not null and o.y is not null", "objects")
 def listed_features(spark, sf_dir):
-    """The features of the objects asked for, without those that miss one, and the initial count of their plate."""
+    """The features of the objects of one class, without those that miss one, and the initial count of their plate."""
     rows = objects(spark, sf_dir)
     initial = rows.where("frame = 0").groupBy("plate").agg(F.count("*").alias("initial"))
-    return rows.where("label % 11 = 3").dropna(subset=["x", "y"]).join(F.broadcast(initial), "plate").select("label", r6(F.col("x")).alias("x"), r6(F.col("y")).alias("y"), "initial")
+    return rows.where("cls = 'purchase'").dropna(subset=["x", "y"]).join(F.broadcast(initial), "plate").select("label", r6(F.col("x")).alias("x"), r6(F.col("y")).alias("y"), "initial")
 
 
 @query("L45_recall_and_precision", f"{CENTRES}, n as (select label, condition, count(*) as n from a group by all) select condition, {q6('max(case when label = condition then n end) / sum(n)')} as recall, {q6('max(case when label = condition then n end) / max(case when label = condition then t end)')} as precision from (select *, sum(n) over (partition by label) as t from n) group by condition", "features")

@@ -274,21 +274,21 @@ def first_centres(spark, sf_dir):
     return random.union(rows.orderBy("exp").limit(4).select(F.lit("first"), number(("exp",)), "exp"))
 
 
-@query("L23_incremental_centres", f"{UNNESTED}, p as (select condition, plate, k, sum(v) as s, count(*) as n from u where k <= 3 group by all) select condition, plate, (k - 1)::int as i, {q6('sum(s) over w / sum(n) over w')} as centre from p window w as (partition by condition, k order by plate rows unbounded preceding)", "features")
+@query("L23_incremental_centres", f"{UNNESTED}, p as (select condition, plate, k, sum(v) as s, count(*) as n from u group by all) select condition, plate, (k - 1)::int as i, {q6('sum(s) over w / sum(n) over w')} as centre from p window w as (partition by condition, k order by plate rows unbounded preceding)", "features")
 def incremental_centres(spark, sf_dir):
     """Centres as batches (plates) come in: old sums and counts plus new ones."""
-    p = C.long_features(features(spark, sf_dir), ["condition", "plate"]).where("i < 3").groupBy("condition", "plate", "i").agg(F.sum("v").alias("s"), F.count("*").alias("n"))
+    p = C.long_features(features(spark, sf_dir), ["condition", "plate"]).groupBy("condition", "plate", "i").agg(F.sum("v").alias("s"), F.count("*").alias("n"))
     upto = W.partitionBy("condition", "i").orderBy("plate").rowsBetween(W.unboundedPreceding, 0)
     return p.select("condition", "plate", "i", r6(F.sum("s").over(upto) / F.sum("n").over(upto)).alias("centre"))
 
 
-@query("L38_prepared_training_set", f"{UNNESTED}, s as (select k, avg(v) as m, stddev_pop(v) as s from u group by k), o as (select exp, row_number() over (partition by exp % 16 order by {SEEDED('exp', 5)}, exp)::int as place from features) select exp, exp % 16 as block, place, (k - 1)::int as i, {q6('(v - m) / nullif(s, 0)')} as z from u join s using (k) join o using (exp) where v is not null and k <= 6", "features")
+@query("L38_prepared_training_set", f"{UNNESTED}, s as (select k, avg(v) as m, stddev_pop(v) as s from u group by k), o as (select exp, row_number() over (partition by exp % 16 order by {SEEDED('exp', 5)}, exp)::int as place from features) select exp, exp % 16 as block, place, (k - 1)::int as i, {q6('(v - m) / nullif(s, 0)')} as z from u join s using (k) join o using (exp) where v is not null", "features")
 def prepared_training_set(spark, sf_dir):
     """Shuffled within blocks, without missing values, z-scored."""
     place = F.row_number().over(W.partitionBy(F.col("exp") % 16).orderBy(samples.order("exp", 5), "exp"))
     rows = features(spark, sf_dir).select("exp", "f").withColumn("place", place)
     z = C.z_scores(C.long_features(rows, ["exp", "place"]).where("v is not null"), ["i"], "v", F.lit(True))
-    return z.where("i < 6").select("exp", (F.col("exp") % 16).alias("block"), "place", "i", r6(F.col("z")).alias("z"))
+    return z.select("exp", (F.col("exp") % 16).alias("block"), "place", "i", r6(F.col("z")).alias("z"))
 
 
 @query("L40_ward")

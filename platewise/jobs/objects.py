@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from platewise.model import features, lineage, objects, q6, qc, query, r6, screen, table, track_points, wells
 from platewise.operators import clean as C
+from platewise.operators import statistics as S
 from platewise.operators import tracks as T
+from platewise.sources import stored
 
 SKIPPED = "(select distinct frame from objects where frame % 7 = 3)"
 
@@ -106,9 +108,9 @@ def min_max(spark, sf_dir):
     return C.long_features(features(spark, sf_dir), []).groupBy("i").agg(r6(F.min("v")).alias("low"), r6(F.max("v")).alias("high"))
 
 
-@query("C06_z_scores_by_controls", f"u as (select exp, is_control, generate_subscripts(f, 1) - 1 as i, unnest(f) as v from features), s as (select i, avg(v) as m, stddev_pop(v) as s from u where is_control group by i) select exp, i::int as i, {q6('(v - m) / nullif(s, 0)')} as z from u join s using (i) where i < 8", "features")
+@query("C06_z_scores_by_controls", f"u as (select exp, is_control, generate_subscripts(f, 1) - 1 as i, unnest(f) as v from features), s as (select i, avg(v) as m, stddev_pop(v) as s from u where is_control group by i) select exp, i::int as i, {q6('(v - m) / nullif(s, 0)')} as z from u join s using (i)", "features")
 def z_scores_by_controls(spark, sf_dir):
-    return C.z_scores(C.long_features(features(spark, sf_dir), ["exp", "is_control"]).where("i < 8"), ["i"], "v", F.col("is_control")).select("exp", "i", r6(F.col("z")).alias("z"))
+    return C.z_scores(C.long_features(features(spark, sf_dir), ["exp", "is_control"]), ["i"], "v", F.col("is_control")).select("exp", "i", r6(F.col("z")).alias("z"))
 
 
 @query("C07_min_max_scaling", f"select plate, frame, label, {q6('2 * (x - min(x) over w) / (max(x) over w - min(x) over w + 1e-7) - 1')} as scaled from objects window w as (partition by cls)", "objects")
@@ -195,8 +197,10 @@ def label_counts_grouping_sets(spark, sf_dir):
 @query("E23_quadrants", f"""m as (select sirna, avg(measure) as m, median(measure) as d from screen group by sirna), t as (select quantile_cont(m, 0.1) as ml, quantile_cont(m, 0.9) as mh, quantile_cont(d, 0.1) as dl, quantile_cont(d, 0.9) as dh from m)
 select sirna, {q6("d")} as median, case when m <= ml and d <= dl then 'low-low' when m >= mh and d >= dh then 'high-high' when m <= ml and d >= dh then 'low-high' when m >= mh and d <= dl then 'high-low' else 'middle' end as quadrant from m, t""", "screen")
 def quadrants(spark, sf_dir):
-    m = screen(spark, sf_dir).groupBy("sirna").agg(F.avg("measure").alias("m"), F.percentile("measure", 0.5).alias("d"))
-    t = m.agg(*[F.percentile(c, q).alias(f"{c}{n}") for c in "md" for n, q in (("l", 0.1), ("h", 0.9))])
+    rows = screen(spark, sf_dir)
+    m = stored(rows.groupBy("sirna").agg(F.avg("measure").alias("m")).join(S.quantiles(rows, ["sirna"], "measure", {"d": 0.5}), "sirna"), "means")
+    low, high = (S.quantiles(m, [], c, {f"{c}l": 0.1, f"{c}h": 0.9}) for c in "md")
+    t = low.crossJoin(F.broadcast(high))  # one row
     kind = F.when(F.expr("m <= ml and d <= dl"), "low-low").when(F.expr("m >= mh and d >= dh"), "high-high").when(F.expr("m <= ml and d >= dh"), "low-high").when(F.expr("m >= mh and d <= dl"), "high-low").otherwise("middle")
     return m.crossJoin(F.broadcast(t)).select("sirna", r6(F.col("d")).alias("median"), kind.alias("quadrant"))
 

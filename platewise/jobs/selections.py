@@ -14,6 +14,7 @@ from platewise.operators import distances as K
 from platewise.operators import samples
 from platewise.operators import statistics as S
 from platewise.operators import tracks as T
+from platewise.sources import stored
 
 CENTROIDS = "m as (select plate, frame, avg(x) as x, avg(y) as y from objects group by plate, frame)"
 SEEDED = samples.order_sql
@@ -337,10 +338,11 @@ def segmented_fraction(spark, sf_dir):
     return objects(spark, sf_dir).groupBy("frame").agg(r6(F.avg(((F.col("x") > 2) & (F.col("y") > 2)).cast("double"))).alias("fraction"), F.count("*").alias("n"))
 
 
-@query("E28_counts_and_lists", "select plate, frame, count(*) as n, string_agg(label::varchar, ' ' order by label) as labels from objects group by plate, frame", "objects")
+@query("E28_counts_and_lists", "select plate, frame, count(*) over (partition by plate, frame) as n, row_number() over (partition by plate, frame order by label) as place, label from objects", "objects")
 def counts_and_lists(spark, sf_dir):
-    listed = F.array_join(F.transform(F.array_sort(F.collect_list("label")), lambda v: v.cast("string")), " ")
-    return objects(spark, sf_dir).groupBy("plate", "frame").agg(F.count("*").alias("n"), listed.alias("labels"))
+    """The labels of each frame in order, a row for each, with their number."""
+    rows = objects(spark, sf_dir).select("plate", "frame", "label")
+    return S.row_numbers(rows, "label", "label", "place", ["plate", "frame"]).select("plate", "frame", F.col("all_rows").alias("n"), "place", "label")
 
 
 @query("E29_last_class_fraction", f"t as (select max(cls) as last from objects) select plate, label % 24 as well, {q6('count(case when cls = last then 1 end) / count(*)')} as fraction from objects, t group by 1, 2", "objects")
@@ -374,9 +376,10 @@ def mean_of_movie(spark, sf_dir):
     return _centroids(spark, sf_dir).select("plate", "frame", r6(F.col("x")).alias("mean"))
 
 
-@query("E43_values_of_movie", "select plate, frame, string_agg(round(x)::bigint::varchar, ',' order by round(x)::bigint) as vals from objects group by plate, frame", "objects")
+@query("E43_values_of_movie", "select plate, frame, row_number() over (partition by plate, frame order by round(x)::bigint, label) as place, round(x)::bigint as v from objects where x is not null", "objects")
 def values_of_movie(spark, sf_dir):
-    return objects(spark, sf_dir).groupBy("plate", "frame").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.round("x").cast("bigint"))), lambda v: v.cast("string")), ",").alias("vals"))
+    rows = objects(spark, sf_dir).select("plate", "frame", "label", F.round("x").cast("bigint").alias("v"))
+    return S.row_numbers(rows, "v", "label", "place", ["plate", "frame"]).select("plate", "frame", "place", "v")
 
 
 @query("E44_trajectories_of_movie", "select plate, count(distinct track_id) as n from track_points group by plate", "track_points")
@@ -468,17 +471,21 @@ def random_positions_without_controls(spark, sf_dir):
     return samples.first_n(rows.where(~F.col("position").isin(15, 26, 63, 99, 200)), "position", 40, 8)
 
 
+def _shuffled(spark, sf_dir, seed):
+    """plate, sirna, order: the controls of each plate with their place in a seeded order."""
+    return stored(screen(spark, sf_dir).where("is_control").select("plate", "sirna").distinct().withColumn("order", samples.order("sirna", seed)), "shuffled")
+
+
 @query("G11_separated_controls", f"c as (select distinct plate, sirna from screen where is_control) select plate, sirna, case when row_number() over (partition by plate order by {SEEDED('sirna', 11)}, sirna) <= 6 then 'reference' else 'experiment' end as role from c", "screen")
 def separated_controls(spark, sf_dir):
     """The first six of a plate's shuffled controls are the reference, the rest stand for experiments."""
-    k = F.row_number().over(W.partitionBy("plate").orderBy(samples.order("sirna", 11), "sirna"))
-    return screen(spark, sf_dir).where("is_control").select("plate", "sirna").distinct().select("plate", "sirna", F.when(k <= 6, "reference").otherwise("experiment").alias("role"))
+    shuffled = S.row_numbers(_shuffled(spark, sf_dir, 11), "order", "sirna", "k", ["plate"])
+    return shuffled.select("plate", "sirna", F.when(F.col("k") <= 6, "reference").otherwise("experiment").alias("role"))
 
 
 @query("G12_permuted_controls", f"c as (select distinct plate, sirna from screen where is_control) select plate, sirna, row_number() over (partition by plate order by {SEEDED('sirna', 12)}, sirna)::int as place from c", "screen")
 def permuted_controls(spark, sf_dir):
-    k = F.row_number().over(W.partitionBy("plate").orderBy(samples.order("sirna", 12), "sirna"))
-    return screen(spark, sf_dir).where("is_control").select("plate", "sirna").distinct().select("plate", "sirna", k.alias("place"))
+    return S.row_numbers(_shuffled(spark, sf_dir, 12), "order", "sirna", "place", ["plate"]).select("plate", "sirna", F.col("place").cast("int").alias("place"))
 
 
 @query("H01_labels_by_arity", "c as (select parent, count(*) as arity from lineage group by parent), u as (select parent as label, arity from c union select child, 1 from lineage union select -1, 0) select arity, count(*) as n from u where label <> -1 group by arity", "lineage")
@@ -489,10 +496,10 @@ def labels_by_arity(spark, sf_dir):
     return c.union(edges.select("child", F.lit(1).cast("bigint"))).distinct().where("label <> -1").groupBy("arity").agg(F.count("*").alias("n"))
 
 
-@query("H02_union_by_plate", "a as (select plate, label, 1 as lot from objects where frame < 12), b as (select plate, label, 2 as lot from objects where frame >= 12 and plate in (1, 3)) select plate, lot, count(*) as n from (select * from b union all select * from a where plate not in (select plate from b)) group by all", "objects")
+@query("H02_union_by_plate", "a as (select plate, label, 1 as lot from objects where frame < 12), b as (select plate, label, 2 as lot from objects where frame >= 12) select plate, lot, count(*) as n from (select * from b union all select * from a where plate not in (select plate from b)) group by all", "objects")
 def union_by_plate(spark, sf_dir):
     rows = objects(spark, sf_dir).select("plate", "label", "frame")
-    old, new = rows.where("frame < 12").withColumn("lot", F.lit(1)), rows.where("frame >= 12 and plate in (1, 3)").withColumn("lot", F.lit(2))
+    old, new = rows.where("frame < 12").withColumn("lot", F.lit(1)), rows.where("frame >= 12").withColumn("lot", F.lit(2))
     return C.union_right_wins(old, new, ["plate"]).groupBy("plate", "lot").agg(F.count("*").alias("n"))
 
 

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from platewise.operators.statistics import same_keys
+
 
 def without_frames(objects: DataFrame, skipped: DataFrame) -> DataFrame:
     """Drops the skipped frames and renumbers the later ones. The renumbering is computed on the distinct frames, not on the objects."""
@@ -16,7 +18,8 @@ def without_frames(objects: DataFrame, skipped: DataFrame) -> DataFrame:
 
 
 def union_right_wins(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
-    return right.unionByName(left.join(right.select(*keys).distinct(), keys, "left_anti"))
+    """Null keys are keys like any other."""
+    return right.unionByName(same_keys(left, right.select(*keys).distinct(), keys, "left_anti"))
 
 
 def class_shares(objects: DataFrame, keys: list[str], classes: tuple[str, ...], cls: str = "cls") -> DataFrame:
@@ -39,7 +42,7 @@ def long_features(features: DataFrame, keep: list[str]) -> DataFrame:
 def z_scores(rows: DataFrame, keys: list[str], value: str, reference: Column) -> DataFrame:
     """Adds z by the mean and population deviation of the reference rows of keys."""
     stats = rows.where(reference).groupBy(*keys).agg(F.avg(value).alias("m "), F.stddev_pop(value).alias("s "))
-    return rows.join(stats, keys).withColumn("z", (F.col(value) - F.col("m ")) / F.when(F.col("s ") > 0, F.col("s "))).drop("m ", "s ")
+    return same_keys(rows, stats, keys).withColumn("z", (F.col(value) - F.col("m ")) / F.when(F.col("s ") > 0, F.col("s "))).drop("m ", "s ")
 
 
 def count_qc(objects: DataFrame, blurred: str, least_count: float, most_blurred: float, frames: int = 10) -> DataFrame:

@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from platewise.operators.samples import order
-from platewise.operators.statistics import quantiles, running
+from platewise.operators.statistics import quantiles, row_numbers, running, same_keys
+from platewise.sources import stored
 
 
 def two_level_hits(rows: DataFrame, lower: str, upper: str, hit: str, share: float = 0.5, least: int = 2) -> DataFrame:
@@ -26,12 +26,12 @@ def tukey_low(rows: DataFrame, control: DataFrame, value: str, whisker: float =
 def rank_product(rows: DataFrame, condition: str, batch: str, value: str, missing: bool = True) -> DataFrame:
     """condition, k, rank_product: the ranks of value in each batch (ties by condition) multiplied over batches; with missing, a condition
     that a batch lacks has that batch's last rank."""
-    per = rows.groupBy(batch, condition).agg(F.percentile(value, 0.5).alias("v"))
-    ranked = per.withColumn("r", F.row_number().over(W.partitionBy(batch).orderBy("v", condition)))
+    per = stored(quantiles(rows, [batch, condition], value, {"v": 0.5}), "medians")
+    ranked = row_numbers(per, "v", condition, "r", [batch])
     sizes = per.groupBy(batch).agg(F.count("*").alias("n"))
     if missing:
         grid = per.select(condition).distinct().crossJoin(F.broadcast(sizes))
-        ranked = grid.join(ranked.select(batch, condition, "r"), [batch, condition], "left").withColumn("r", F.coalesce(F.col("r"), F.col("n")))
+        ranked = same_keys(grid, ranked.select(batch, condition, "r"), [batch, condition], "left").withColumn("r", F.coalesce(F.col("r"), F.col("n")))
     return ranked.groupBy(condition).agg(F.count("*").alias("k"), F.exp(F.sum(F.ln("r")) / F.count("*")).alias("rank_product"))
 
 
@@ -47,12 +47,12 @@ def permuted_rank_products(rows: DataFrame, condition: str, batch: str, runs: in
     """run, condition, rank_product of runs permutations: the conditions of a batch are ranked by a seeded order; with missing, one that a
     batch lacks has that batch's last rank."""
     per = rows.select(batch, condition).distinct().withColumn("run", F.explode(F.sequence(F.lit(1), F.lit(runs))))
-    r = F.row_number().over(W.partitionBy("run", batch).orderBy(order(F.concat_ws(":", "run", batch, condition), seed), condition))
-    ranked = per.withColumn("r", r)
+    per = stored(per.withColumn("place", order(F.concat_ws(":", "run", batch, condition), seed)), "permuted")
+    ranked = row_numbers(per, "place", condition, "r", ["run", batch]).drop("place", "all_rows")
     if missing:
         sizes = per.groupBy("run", batch).agg(F.count("*").alias("n"))
         grid = per.select("run", condition).distinct().join(sizes, "run")
-        ranked = grid.join(ranked, ["run", batch, condition], "left").withColumn("r", F.coalesce("r", "n"))
+        ranked = same_keys(grid, ranked, ["run", batch, condition], "left").withColumn("r", F.coalesce("r", "n"))
     return ranked.groupBy("run", condition).agg(F.exp(F.sum(F.ln("r")) / F.count("*")).alias("rank_product"))
 
 

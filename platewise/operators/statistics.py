@@ -10,28 +10,43 @@ from pyspark.sql import functions as F
 from platewise.functions.expressions import kolmogorov_sf, normal_sf
 from platewise.sources import stored
 
-#: Ranges of values, each a task's work at most.
-RANGES = 64
+#: Values of a range, each a task's work: more values are more ranges.
+RANGE_ROWS = 1 << 16
 
 
-def with_range(rows: DataFrame, value: str, ranges: int = RANGES) -> DataFrame:
-    """Adds range: the number of the value's range, of ranges that hold about the same number of rows. Only their bounds reach the driver."""
-    bounds = sorted(set(rows.select(F.col(value).cast("double").alias("v")).approxQuantile("v", [i / ranges for i in range(1, ranges)], 1 / (4 * ranges))))
-    edges = F.array(*map(F.lit, bounds)) if bounds else F.array().cast("array<double>")
-    return rows.withColumn("range", F.size(F.filter(edges, lambda b: b < F.col(value))))
-
-
-def running(counts: DataFrame, keys: list[str], value: str, sums: list[str]) -> DataFrame:
-    """Adds before_x, the sum of x over the smaller values within keys, and all_x, the sum within keys, for each x of sums. counts has a
-    row for each value and keys."""
-    ranged = with_range(stored(counts, "counts"), value)  # counted once: the bounds, the sums and the rows come from it
+def same_keys(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """left joined with right on keys, a null key being equal to a null key; the keys are kept once."""
+    if not keys:
+        return left.crossJoin(F.broadcast(right))  # one row
+    right = right.select(*[F.col(k).alias(f"{k} right") for k in keys], *[c for c in right.columns if c not in keys])
+    on = F.lit(True)
+    for k in keys:
+        on &= F.col(k).eqNullSafe(F.col(f"{k} right"))
+    return left.join(right, on, how).drop(*[f"{k} right" for k in keys])
+
+
+def _running(counts: DataFrame, keys: list[str], value: str, sums: list[str]) -> DataFrame:
+    """running(), with the number of each value's range ("range")."""
+    counts = stored(counts, "counts")  # counted once: the number of rows, the ranges' bounds, the sums and the rows come from it
+    ranges = -(-counts.count() // RANGE_ROWS)
+    before = lambda at: F.sum(at).over(inside)
+    if ranges <= 1:
+        inside, every = W.partitionBy(*keys).orderBy(value).rowsBetween(W.unboundedPreceding, -1), W.partitionBy(*keys)
+        return counts.withColumns({f"before_{x}": F.coalesce(before(x), F.lit(0)) for x in sums} | {f"all_{x}": F.sum(x).over(every) for x in sums} | {"range": F.lit(0)})
+    ranged = stored(counts.repartitionByRange(ranges, value).withColumn("range", F.spark_partition_id()), "ranges")
     totals = ranged.groupBy(*keys, "range").agg(*[F.sum(x).alias(f"t_{x}") for x in sums])
-    # at most RANGES rows for each of keys
+    # a row for each range and keys
     earlier, every = W.partitionBy(*keys).orderBy("range").rowsBetween(W.unboundedPreceding, -1), W.partitionBy(*keys)
     totals = totals.select(*keys, "range", *[F.coalesce(F.sum(f"t_{x}").over(earlier), F.lit(0)).alias(f"o_{x}") for x in sums], *[F.sum(f"t_{x}").over(every).alias(f"all_{x}") for x in sums])
     inside = W.partitionBy(*keys, "range").orderBy(value).rowsBetween(W.unboundedPreceding, -1)
-    rows = ranged.join(F.broadcast(totals) if not keys else totals, [*keys, "range"])
-    return rows.withColumns({f"before_{x}": F.col(f"o_{x}") + F.coalesce(F.sum(x).over(inside), F.lit(0)) for x in sums}).drop("range", *[f"o_{x}" for x in sums])
+    rows = same_keys(ranged, totals, [*keys, "range"])
+    return rows.withColumns({f"before_{x}": F.col(f"o_{x}") + F.coalesce(before(x), F.lit(0)) for x in sums}).drop(*[f"o_{x}" for x in sums])
+
+
+def running(counts: DataFrame, keys: list[str], value: str, sums: list[str]) -> DataFrame:
+    """Adds before_x, the sum of x over the smaller values within keys, and all_x, the sum within keys, for each x of sums. counts has a
+    row for each value and keys; null keys are a group like any other."""
+    return _running(counts, keys, value, sums).drop("range")
 
 
 def quantiles(rows: DataFrame, keys: list[str], value: str, qs: dict[str, float]) -> DataFrame:
@@ -46,45 +61,45 @@ def quantiles(rows: DataFrame, keys: list[str], value: str, qs: dict[str, float]
 
 
 def against_pool(rows: DataFrame, pool: DataFrame, keys: list[str], value: str, within: list[str] | None = None) -> DataFrame:
-    """keys, v, a (rows of the group with that value), below and t (of the pool: values under it, and equal ones), n2 (the pool's size),
-    tie2 (the sum of t^3 - t over the pool's values): the pool is counted and cumulated once for all groups; once for each of the
-    columns within (some of keys) where there are any."""
+    """keys, v, a (rows of the group with that value), before_a and all_a (of the group: under it, and all), below and t (of the pool: values
+    under it, and equal ones), n2 (the pool's size), tie2 (the sum of t^3 - t over the pool's values): the pool is counted and cumulated
+    once for all groups; once for each of the columns within (some of keys) where there are any. Groups are cumulated by ranges too."""
     within = within or []
-    own = stored(rows.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("v")).agg(F.count("*").alias("a")), "own")
+    own = rows.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("v")).agg(F.count("*").alias("a"))
+    own = running(own, keys, "v", ["a"])
     pooled = pool.where(F.col(value).isNotNull()).groupBy(*within, F.col(value).cast("double").alias("v")).agg(F.count("*").alias("t"))
     counts = own.select(*within, "v", F.lit(0).alias("t")).distinct().union(pooled).groupBy(*within, "v").agg(F.sum("t").alias("t"))
     cube = F.pow(F.col("t").cast("double"), F.lit(3.0)) - F.col("t")
     ranked = running(counts.withColumn("c", cube), within, "v", ["t", "c"])
-    return own.join(ranked.select(*within, "v", "t", F.col("before_t").alias("below"), F.col("all_t").alias("n2"), F.col("all_c").alias("tie2")), [*within, "v"])
+    return same_keys(own, ranked.select(*within, "v", "t", F.col("before_t").alias("below"), F.col("all_t").alias("n2"), F.col("all_c").alias("tie2")), [*within, "v"])
 
 
 def kolmogorov_smirnov(both: DataFrame, keys: list[str]) -> DataFrame:
     """keys, n1, n2, d, p of groups against the pool (see against_pool). The largest difference is at a group's value or just before it."""
-    upto, whole = W.partitionBy(*keys).orderBy("v").rowsBetween(W.unboundedPreceding, 0), W.partitionBy(*keys)
-    rows = both.select(*keys, "a", "t", "below", "n2", F.sum("a").over(upto).alias("ca"), F.sum("a").over(whole).alias("n1")).where("n2 > 0")
-    at = F.abs(F.col("ca") / F.col("n1") - (F.col("below") + F.col("t")) / F.col("n2"))
-    before = F.abs((F.col("ca") - F.col("a")) / F.col("n1") - F.col("below") / F.col("n2"))
-    rows = rows.groupBy(*keys, "n1", "n2").agg(F.max(F.greatest(at, before)).alias("d"))
+    n1, n2 = F.col("all_a"), F.col("n2")
+    at = F.abs((F.col("before_a") + F.col("a")) / n1 - (F.col("below") + F.col("t")) / n2)
+    before = F.abs(F.col("before_a") / n1 - F.col("below") / n2)
+    rows = both.where("n2 > 0").groupBy(*keys, n1.alias("n1"), "n2").agg(F.max(F.greatest(at, before)).alias("d"))
     ne = F.sqrt(F.col("n1") * F.col("n2") / (F.col("n1") + F.col("n2")))
     return rows.withColumn("p", kolmogorov_sf((ne + 0.12 + 0.11 / ne) * F.col("d")))
 
 
+def ranks(rows: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
+    """keys, value, name: the rank of each value within keys, ties at their mean rank."""
+    counts = rows.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("n "))
+    return running(counts, keys, value, ["n "]).select(*keys, value, (F.col("before_n ") + (F.col("n ") + 1) / 2).alias(name))
+
+
 def mean_ranks(rows: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
     """Adds the rank of value within keys, ties at their mean rank; rows without a value go."""
-    counts = rows.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("v ")).agg(F.count("*").alias("n "))
-    ranks = running(counts, keys, "v ", ["n "]).select(*[F.col(k).alias(f"{k} ") for k in keys], "v ", (F.col("before_n ") + (F.col("n ") + 1) / 2).alias(name))
-    same = F.col(value) == F.col("v ")
-    for k in keys:
-        same &= F.col(k).eqNullSafe(F.col(f"{k} "))
-    return rows.join(ranks, same).drop("v ", *[f"{k} " for k in keys])
+    return same_keys(rows.where(F.col(value).isNotNull()), ranks(rows, keys, value, name), [*keys, value])
 
 
 def rank_sum(both: DataFrame, keys: list[str], ties: bool = False) -> DataFrame:
     """keys, n1, n2, z, p (two-sided) of the rank-sum test of groups against the pool (see against_pool); with ties, with the tie and the
     continuity correction of Mann-Whitney."""
-    before = W.partitionBy(*keys).orderBy("v").rowsBetween(W.unboundedPreceding, -1)
     together = (F.col("a") + F.col("t")).cast("double")
-    rank = F.coalesce(F.sum("a").over(before), F.lit(0)) + F.col("below") + (together + 1) / 2
+    rank = F.col("before_a") + F.col("below") + (together + 1) / 2
     cube = lambda t: t * t * t - t
     rows = both.select(*keys, "a", "n2", "tie2", rank.alias("r"), (cube(together) - cube(F.col("t").cast("double"))).alias("more"))
     rows = rows.groupBy(*keys, "n2", "tie2").agg(F.sum("a").alias("n1"), F.sum(F.col("a") * F.col("r")).alias("rank_sum"), F.sum("more").alias("more")).where("n1 > 0 and n2 > 0")
@@ -100,20 +115,21 @@ def rank_sum(both: DataFrame, keys: list[str], ties: bool = False) -> DataFrame:
 def bh(rows: DataFrame, p: str = "p", q: str = "q") -> DataFrame:
     """Adds Benjamini-Hochberg q-values (null p stays out). Equal p have one q: the smallest p * n / rank at or after them."""
     known = stored(rows.where(F.col(p).isNotNull()), "tested")
-    ranked = running(known.groupBy(F.col(p).alias("p ")).agg(F.count("*").alias("n ")), [], "p ", ["n "])
-    ranked = with_range(ranked.withColumn("raw ", F.least(F.lit(1.0), F.col("p ") * F.col("all_n ") / (F.col("before_n ") + F.col("n ")))), "p ")
-    least = ranked.groupBy("range").agg(F.min("raw ").alias("least "))  # RANGES rows
-    later = least.alias("a").join(F.broadcast(least.alias("b")), F.col("b.range") > F.col("a.range"), "left").groupBy("a.range").agg(F.min("b.least ").alias("later "))
+    ranked = _running(known.groupBy(F.col(p).alias("p ")).agg(F.count("*").alias("n ")), [], "p ", ["n "])
+    ranked = ranked.withColumn("raw ", F.least(F.lit(1.0), F.col("p ") * F.col("all_n ") / (F.col("before_n ") + F.col("n "))))
+    least = ranked.groupBy("range").agg(F.min("raw ").alias("least "))
+    later = least.select("range", F.min("least ").over(W.orderBy("range").rowsBetween(1, W.unboundedFollowing)).alias("later "))  # a row for each range
     inside = W.partitionBy("range").orderBy("p ").rowsBetween(0, W.unboundedFollowing)
-    got = ranked.join(F.broadcast(later), "range").select("p ", F.least(F.min("raw ").over(inside), F.col("later ")).alias(q))
+    got = ranked.join(later, "range").select("p ", F.least(F.min("raw ").over(inside), F.col("later ")).alias(q))
     return known.join(got, F.col(p) == F.col("p ")).drop("p ")
 
 
-def row_numbers(rows: DataFrame, value: str, tie: str, name: str = "row") -> DataFrame:
-    """Adds the number of each row in the order of value and tie, from 1, and all_rows."""
-    ranked = running(rows.groupBy(F.col(value).alias("v ")).agg(F.count("*").alias("n ")), [], "v ", ["n "])
-    got = rows.join(ranked.select("v ", "before_n ", F.col("all_n ").alias("all_rows")), F.col(value) == F.col("v "))
-    return got.withColumn(name, F.col("before_n ") + F.row_number().over(W.partitionBy(value).orderBy(tie))).drop("v ", "before_n ")
+def row_numbers(rows: DataFrame, value: str, tie: str, name: str = "row", keys: list[str] | None = None) -> DataFrame:
+    """Adds the number of each row in the order of value (without nulls) and tie, from 1, and all_rows, both within keys."""
+    keys = keys or []
+    ranked = running(rows.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("n ")), keys, value, ["n "])
+    got = same_keys(rows, ranked.select(*keys, value, "before_n ", F.col("all_n ").alias("all_rows")), [*keys, value])
+    return got.withColumn(name, F.col("before_n ") + F.row_number().over(W.partitionBy(*keys, value).orderBy(tie))).drop("before_n ")
 
 
 def empirical_p(rows: DataFrame, null: DataFrame, value: str, null_value: str, upper: bool = True) -> DataFrame:
@@ -127,6 +143,6 @@ def empirical_p(rows: DataFrame, null: DataFrame, value: str, null_value: str, u
 
 def spearman(rows: DataFrame, keys: list[str], a: str, b: str) -> DataFrame:
     """keys, n, rho: the correlation of mean ranks."""
-    whole = rows.where(F.col(a).isNotNull() & F.col(b).isNotNull())
-    ranked = mean_ranks(mean_ranks(whole, keys, a, "rank of a"), keys, b, "rank of b")
+    whole = stored(rows.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(*keys, F.col(a).alias("a "), F.col(b).alias("b ")), "pairs")
+    ranked = same_keys(same_keys(whole, ranks(whole, keys, "a ", "rank of a"), [*keys, "a "]), ranks(whole, keys, "b ", "rank of b"), [*keys, "b "])
     return ranked.groupBy(*keys).agg(F.count("*").alias("n"), F.corr("rank of a", "rank of b").alias("rho"))
