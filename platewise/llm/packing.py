@@ -12,10 +12,10 @@ pieces; the runs are a table too, and every round of it is a Spark job:
   as many as the pieces need at least. Phases go from long pieces to short ones (PHASES), so that short ones fill what is left.
 
 Nothing moves but runs, of which there are at most CAPACITY of pieces, and of gaps as many as rounds have made, whatever the number of
-documents. Their intervals are joined to the pieces in the end.
+documents. They are counted before they are broadcast to the pieces; more than BROADCAST_ROWS of them would be joined by length.
 
 Nulls and edges: a null text is empty and becomes one piece of one token. Repeated rows are separate documents. A null doc_id stays
-null. Extra columns are ignored; an empty table gives no rows. Any vocabulary file will do: the quick way of splitting plain words is
+null. Very long texts are tokenized whole and cut. Extra columns are ignored; an empty table gives no rows. Any vocabulary file will do: the quick way of splitting plain words is
 taken only where a probe shows that it gives the file's own ids.
 """
 
@@ -27,7 +27,7 @@ from collections import Counter
 from threading import Timer
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -37,8 +37,8 @@ CAPACITY = 2048
 #: A phase packs the pieces longer than this share of the capacity; RANGES: of sizes, for the sweeps.
 PHASES = (1 / 2, 1 / 3, 1 / 4, 1 / 8, 0)
 RANGES = 16
-#: Rounds in one job, between two looks at what is left.
-ROUNDS = 3
+#: Runs up to which they are broadcast to the pieces; past it they are joined by length.
+BROADCAST_ROWS = 1_000_000
 VOCABULARY = "word_bpe_49k.json"
 
 
@@ -193,30 +193,34 @@ def place(classes: DataFrame, capacity: int = CAPACITY, ranges: int = RANGES) ->
     """The placed runs (RUN) for classes (size, n): how many pieces there are of each length."""
     spark, zero = classes.sparkSession, F.lit(0)
     row = (zero, F.col("size").cast("int"), zero.cast("bigint"), F.col("n").cast("bigint"), zero, zero.cast("bigint"), zero)
-    runs, opened, before = saved(classes.select(*[c.alias(f.split()[0]) for c, f in zip(row, RUN.split(", "), strict=True)]), "runs"), 0, -1
+    longer = [int(capacity * share) for share in PHASES]
 
     def state(least):
-        """Pieces longer than least that wait, pieces placed so far, and how many sequences the former need at least: by their tokens, and
+        """Of the pieces longer than least that wait: how many there are, and how many sequences they need at least: by their tokens, and
         with k pieces to a sequence of those longer than a (k + 1)th of it."""
-        waits = (F.col("kind") == 0) & (F.col("size") > least)
-        needs = [F.sum(F.when(waits, F.col("size") * F.col("n"))) / capacity, *(F.sum(F.when(waits & (F.col("size") > capacity // (k + 1)), F.col("n"))) / k for k in range(1, 9))]
-        return runs.agg(F.sum(F.when(waits, F.col("n"))), F.coalesce(F.sum(F.when(F.col("kind") == 3, F.col("n"))), F.lit(0)), F.ceil(F.greatest(*needs)).cast("bigint")).first()
-
-    def gaps(n):
-        return spark.createDataFrame([(1, capacity, opened, n, 0, 0, 0)], RUN)
-
-    for least in [int(capacity * share) for share in PHASES]:
-        while (now := state(least if opened else 0))[0]:
-            _, placed, need = now
+        waits = f"kind = 0 and size > {least}"
+        needs = [f"sum(case when {waits} then size * n end) / {capacity}", *(f"sum(case when {waits} and size > {capacity // (k + 1)} then n end) / {k}" for k in range(1, 9))]
+        return F.expr(f"struct(sum(case when {waits} then n end) as n, cast(ceil(greatest({', '.join(needs)})) as bigint) as need) as p{least}")
+
+    def kept(runs, phase):
+        """The runs as a table, and what they say of a phase, of the next one and of the placed pieces: observed while they are written."""
+        seen = Observation()
+        runs = saved(runs.coalesce(1).observe(seen, *[state(n) for n in {phase, max((n for n in longer if n < phase), default=0)}], F.expr("sum(case when kind = 3 then n end) as placed")), "runs")
+        return runs, seen.get
+
+    runs, now = kept(classes.select(*[c.alias(f.split()[0]) for c, f in zip(row, RUN.split(", "), strict=True)]), 0)
+    of = lambda phase: now[f"p{phase}"] if f"p{phase}" in now else runs.agg(state(phase)).first()[0]  # noqa: E731  where a whole phase is passed over
+    opened, before = 0, -1
+    for least in longer:
+        while (waits := of(least if opened else 0))["n"]:
+            placed, need = now["placed"] or 0, waits["need"]
             if placed == before or not opened:
-                runs, opened = runs.union(gaps(need)), opened + need
+                runs, opened = runs.union(spark.createDataFrame([(1, capacity, opened, need, 0, 0, 0)], RUN)), opened + need
             before = placed
-            idle = (F.col("kind") == 3) | (F.col("kind") == 0) & (F.col("size") <= least)
-            swept = runs.where(~idle)
-            for _ in range(ROUNDS):
-                swept = _swept(swept, F.floor(F.col("size") * ranges / (capacity + 1)).cast("int"), capacity)
-                swept = _swept(swept, zero, capacity).withColumn("kind", F.when(F.col("kind") == 2, 1).otherwise(F.col("kind")))
-            runs = saved(runs.where(idle).union(swept).coalesce(1), "runs")
+            idle = f"kind = 3 or kind = 0 and size <= {least}"
+            swept = _swept(runs.where(f"not ({idle})"), F.expr(f"cast(floor(size * {ranges} / {capacity + 1}) as int)"), capacity)
+            swept = _swept(swept, zero, capacity).withColumn("kind", F.expr("case when kind = 2 then 1 else kind end"))
+            runs, now = kept(runs.where(idle).union(swept), least)
     return runs.where("kind = 3")
 
 
@@ -229,8 +233,8 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None) ->
     placed = place(counts.groupBy(F.col("length").alias("size")).agg(F.sum("n").alias("n")), capacity)
     ranked = found.join(counts.select("length", "task", "base"), ["length", "task"])
     ranked = ranked.select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("rank") + F.col("base")).alias("rank"))
-    # a bounded table (see above): the runs of the piece's length, and of these that with its rank
+    # the runs of the piece's length, and of these that with its rank
     runs = placed.select(F.col("size").cast("bigint").alias("length"), "first", "n", "each", "sequence", F.col("offset").alias("at"))
-    got = ranked.join(F.broadcast(runs), "length").where((F.col("rank") >= F.col("first")) & (F.col("rank") < F.col("first") + F.col("n")))
+    got = ranked.join(F.broadcast(runs) if runs.count() <= BROADCAST_ROWS else runs, "length").where((F.col("rank") >= F.col("first")) & (F.col("rank") < F.col("first") + F.col("n")))
     k = F.col("rank") - F.col("first")
     return got.select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("sequence") + F.floor(k / F.col("each"))).alias("sequence_id"), (F.col("at") + k % F.col("each") * F.col("length")).alias("offset"))
