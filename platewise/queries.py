@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from platewise.jobs import graphs, inference, models, objects, paths, screens, selections, tracking, tracks  # noqa: F401
+from platewise.jobs import events, graphs, inference, models, objects, paths, screens, selections, tracking, tracks  # noqa: F401
 from platewise.model import ORACLES, QUERIES  # noqa: F401
