@@ -1,4 +1,4 @@
-"""Spectral clustering of tracks (letters L and H)."""
+"""Spectral clustering and Isomap of tracks (letters L and H)."""
 
 from __future__ import annotations
 
@@ -9,8 +9,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from platewise.model import q6, query, r6, track_points
+from platewise.operators import manifold as M
 from platewise.operators import mixed
 from platewise.operators import spectral as L
+from platewise.operators.samples import order_sql
 from platewise.sources import stored
 
 #: Tracks are neighbours where their mean positions lie this near; DELTA: of the affinity exp(-delta d^2).
@@ -85,3 +87,38 @@ def agreement_by_parameters(spark, sf_dir):
             most = n.groupBy("plate").agg(F.max("n").alias("most"), F.sum("n").alias("n"))
             out.append(most.agg(F.sum("n").alias("n"), r6(F.sum("most") / F.sum("n")).alias("ratio")).select(F.lit(delta).alias("delta"), F.lit(k).alias("k"), "n", "ratio"))
     return reduce(DataFrame.unionByName, out)
+
+
+#: The longest paths' landmarks are drawn with this seed; DIMENSIONS of the sweep; radii of its neighbours; bins and kernel of the densities.
+SEED, DIMENSIONS, RADII, BIN, SIGMA = 1, 3, (4.0, 6.0), 4.0, 4.0
+PATHS = f"""r as (select i, i as j from d union select r.i, x.j from r join e x on r.j = x.i), c as (select i, min(j) as part from r group by i),
+b as (select part from c group by part order by count(*) desc, part limit 1), m as (select i as landmark from c where part = (select part from b) order by {order_sql("i", SEED)}, i limit {M.LANDMARKS}),
+h as materialized (select i, j, sqrt((a.x - z.x) ** 2 + (a.y - z.y) ** 2) as w from e join t a on a.track_id = i join t z on z.track_id = j union all select i, i, 0 from d),
+g as (select 0 as round, landmark, landmark as node, 0.0::double as d from m union all select round + 1, landmark, h.j, min(g.d + h.w) from g join h on h.i = g.node where round < (select count(*) from d) group by round, landmark, h.j)"""
+
+
+@query("L08_geodesics", f"{GRAPH}, {PATHS} select landmark, node, {q6('min(d)')} as d from g group by landmark, node", "track_points")
+def geodesics(spark, sf_dir):
+    """The lengths of the shortest paths from landmarks over the neighbour graph of tracks."""
+    edges = stored(M.neighbours(_points(spark, sf_dir), NEAR), "edges")
+    return M.geodesics(edges, M.landmarks(M.largest(edges), seed=SEED)).select("landmark", "node", r6(F.col("d")).alias("d"))
+
+
+@query("L08_isomap_sweep")
+def isomap_sweep(spark, sf_dir):
+    """For each radius and number of dimensions: the reconstruction error, and what of the paths' variance is lost."""
+    out, points = [], _points(spark, sf_dir)
+    for radius in RADII:
+        paths, errors, places = M.isomap(points, radius, DIMENSIONS, seed=SEED)
+        per = spark.createDataFrame([(k + 1, float(e)) for k, e in enumerate(errors)], "k int, error double")
+        rows = M.lost(paths, places, list(range(1, DIMENSIONS + 1))).join(F.broadcast(per), "k")
+        out.append(rows.select(F.lit(radius).alias("radius"), "k", "n", r6(F.col("error")).alias("error"), r6(F.col("lost")).alias("lost")))
+    return reduce(DataFrame.unionByName, out)
+
+
+@query("L12_isomap_density")
+def isomap_density(spark, sf_dir):
+    """Where plates lie in the plane of an Isomap, bin by bin, against the control plate."""
+    points = _points(spark, sf_dir)
+    _, _, places = M.isomap(points, NEAR, 2, seed=SEED)
+    return M.density(places, points.select(F.col("label").alias("node"), "plate"), 0, BIN, SIGMA).withColumn("share", r6(F.col("share")))
