@@ -34,7 +34,7 @@ def _fitted(spark, sf_dir, kernels):
 def _sweep(spark, sf_dir, kernels):
     rows, model = _fitted(spark, sf_dir, kernels)
     got = [(r.kernel.name, r.k, c) for r, c in zip(model.runs, K.cohesions(rows, model), strict=True)] if model else []
-    return spark.createDataFrame(got, "kernel string, k int, c double").select("kernel", "k", r6(F.col("c")).alias("cohesion"))
+    return spark.createDataFrame(got, "kernel string, k int, c double").select("kernel", "k", F.round("c", 12).alias("cohesion"))  # far under one: millionths matter
 
 
 @query("L05_kernel_clusters", f"{UNITS}, " + ", ".join(rounds_sql(f"x{k}", k) for k in SWEEP) + " " + " union all ".join(f"select kernel, {k} as k, exp, label::int as label, {q6('d')} as d from x{k}" for k in SWEEP), "features")
@@ -50,7 +50,7 @@ def kernel_clusters(spark, sf_dir):
 TOTAL = "n as (select kernel, count(*) as n, sum(own) as own from own group by kernel), w as (select kernel, sum(s * s) as w from (select kernel, k, sum(v) as s from u group by kernel, k) group by kernel)"
 
 
-@query("L04_kernel_sweep", f"{UNITS}, {TOTAL}, " + ", ".join(rounds_sql(f"x{k}", k) for k in SWEEP) + ", i as (" + " union all ".join(f"select kernel, {k} as k, sum((d - own) ** 2) as square from x{k} join own using (kernel, exp) group by kernel" for k in SWEEP) + f") select kernel, k, {q6('square / (n * own - w)')} as cohesion from i join n using (kernel) join w using (kernel)", "features")
+@query("L04_kernel_sweep", f"{UNITS}, {TOTAL}, " + ", ".join(rounds_sql(f"x{k}", k) for k in SWEEP) + ", i as (" + " union all ".join(f"select kernel, {k} as k, sum((d - own) ** 2) as square from x{k} join own using (kernel, exp) group by kernel" for k in SWEEP) + f") select kernel, k, round(square / (n * own - w), 12) as cohesion from i join n using (kernel) join w using (kernel)", "features")
 def kernel_sweep(spark, sf_dir):
     """The cohesion for each number of clusters, linear and cosine kernels."""
     return _sweep(spark, sf_dir, PLAIN)

@@ -312,19 +312,36 @@ def stacked_conditions(spark, sf_dir):
     return part("batch").union(part("plate"))
 
 
+def _judged_by_controls(rows):
+    """exp, plate, condition, hit: whether an experiment lies further from the controls' mean than nine tenths of these."""
+    control = L.mean_vectors(rows.where("is_control"), ["is_control"]).select(F.col("f").alias("c"))
+    d = rows.crossJoin(F.broadcast(control)).select("exp", "plate", "condition", "is_control", X.euclidean(F.col("f"), F.col("c")).alias("d"))
+    t = S.quantiles(d.where("is_control"), [], "d", {"t": 0.9})
+    return d.crossJoin(F.broadcast(t)).select("exp", "plate", "condition", (F.col("d") > F.col("t")).alias("hit"))
+
+
 @query("M22_clusters_with_hits")
 def clusters_with_hits(spark, sf_dir):
     """Ward clusters of conditions, the share of their experiments that lie further from the controls than nine tenths of these, and whether it is over a half."""
     rows = features(spark, sf_dir)
-    control = L.mean_vectors(rows.where("is_control"), ["is_control"]).select(F.col("f").alias("c"))
-    d = rows.crossJoin(F.broadcast(control)).select("condition", "is_control", X.euclidean(F.col("f"), F.col("c")).alias("d"))
-    t = S.quantiles(d.where("is_control"), [], "d", {"t": 0.9})
-    hits = d.crossJoin(F.broadcast(t)).groupBy("condition").agg(F.count("*").alias("n"), F.count_if(F.col("d") > F.col("t")).alias("h"))
+    hits = _judged_by_controls(rows).groupBy("condition").agg(F.count("*").alias("n"), F.count_if("hit").alias("h"))
     clusters = L.ward_clusters(L.mean_vectors(rows, ["condition"]), "condition")
     share = F.sum("h") / F.sum("n")
     return clusters.join(hits, "condition").groupBy("cluster").agg(F.count("*").alias("conditions"), r6(share).alias("hit_ratio"), (share > 0.5).alias("kept"))
 
 
+@query("M23_hits_in_clusters", f"{UNNESTED}, {lloyd_sql('x', 4, 1)}, c as (select k, avg(v) as c from u where is_control group by k), d as (select exp, plate, condition, is_control, sqrt(sum((v - c) ** 2)) as away from u join c using (k) group by exp, plate, condition, is_control), t as (select quantile_cont(away, 0.9) as t from d where is_control), h as (select exp, plate, condition, away > t as hit from d, t), y as (select label, plate, condition from h join x_a using (exp) where hit and condition in (select condition from h group by condition having avg(hit::int) > 0.5)) select label::int as cluster, 'condition' as kind, condition::bigint as value, count(*) as hits from y group by label, condition union all select label::int, 'plate', plate::bigint, count(*) from y group by label, plate", "features")
+def hits_in_clusters(spark, sf_dir):
+    """Clusters of experiments (not of conditions), and how many hits of each condition and of each plate they hold. Hits count where over a half
+    of their condition's experiments are hits."""
+    rows = features(spark, sf_dir)
+    judged = _judged_by_controls(rows)
+    kept = judged.groupBy("condition").agg(F.avg(F.col("hit").cast("int")).alias("share")).where("share > 0.5").select("condition")
+    hits = judged.where("hit").join(kept, "condition").join(_lloyd(spark, sf_dir, 4, 1).select("exp", "label"), "exp")
+    count = lambda c: hits.groupBy(F.col("label").cast("int").alias("cluster"), F.lit(c).alias("kind"), F.col(c).cast("bigint").alias("value")).agg(F.count("*").alias("hits"))
+    return count("condition").union(count("plate"))
+
+
 @query("M26_ranked_genes", f"p as (select batch, gene, median(measure) as v from screen group by batch, gene), r as (select gene, row_number() over (partition by batch order by v, gene) as r from p), o as (select gene, round(exp(sum(ln(r)) / count(*)), 6) as rank_product from r group by gene) select gene, rank_product, row_number() over (order by rank_product, gene)::int as rank from o", "screen")
 def ranked_genes(spark, sf_dir):
     o = M.rank_product(screen(spark, sf_dir), "gene", "batch", "measure", missing=False).select("gene", F.round("rank_product", 6).alias("rank_product"))

@@ -321,6 +321,12 @@ def gaussian_mixture_bic(spark, sf_dir):
     return L.mixture_sweep(features(spark, sf_dir), range(2, 4))
 
 
+@query("L35_mixture_labels")
+def mixture_labels(spark, sf_dir):
+    """The component of each experiment in a mixture of three, and its probability."""
+    return L.mixture_labels(features(spark, sf_dir), 3).select("exp", "label", r6(F.col("p")).alias("probability"))
+
+
 @query("L26_control_pca")
 def control_pca(spark, sf_dir):
     return L.control_pca(features(spark, sf_dir), 3)

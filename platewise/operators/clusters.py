@@ -68,6 +68,19 @@ def mixture_sweep(rows: DataFrame, ks, dimensions: int | None = None, seed: int
     return rows.sparkSession.createDataFrame(out, "k int, log_likelihood double, bic double, partition_entropy double")
 
 
+def mixture_labels(rows: DataFrame, k: int, seed: int = 7) -> DataFrame:
+    """exp, label, p: the component of a Gaussian mixture that each row most likely comes from, numbered by falling weight, and its probability.
+    Rows whose vectors are null, or hold null or non-finite elements, are left out; vectors have one length."""
+    bad = F.exists("f", lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
+    data = rows.where(F.col("f").isNotNull() & ~bad).select("exp", array_to_vector("f").alias("features"))
+    if not data.head(1):
+        return data.select("exp", F.lit(0).alias("label"), F.lit(0.0).alias("p"))
+    model = GaussianMixture(k=k, seed=seed, maxIter=20).fit(data)
+    heaviest = sorted(range(k), key=lambda i: (-model.weights[i], i))
+    number = F.array(*[F.lit(heaviest.index(i)) for i in range(k)])
+    return model.transform(data).select("exp", number[F.col("prediction")].alias("label"), vector_to_array("probability")[F.col("prediction")].alias("p"))
+
+
 def control_pca(rows: DataFrame, components: int) -> DataFrame:
     """exp, and pc0, pc1, ...: the projection on the principal components of the controls. A component's largest loading is positive."""
     data = rows.select("exp", "is_control", array_to_vector("f").alias("features"))
