@@ -11,6 +11,7 @@ from __spark_entry__ import oracle_sql, queries
 QUERIES, ORACLES = queries(), oracle_sql()
 EVENTS = "/root/testdata/sf0.001/events.parquet"
 SHARED = [
+    "N33_against_other_tracker",
     "N11_frame_pairs",
     "E04_highest_density",
     "N09_incidence",
