@@ -9,7 +9,7 @@ from __spark_entry__ import oracle_sql, queries
 
 QUERIES, ORACLES = queries(), oracle_sql()
 SF = "/root/testdata/sf0.01"
-NAMES = ["J02_empirical_p_and_q", "J12_q_by_rank", "J14_fisher_combination", "J20_conservative_q", "M02_validated_genes", "M03_gene_scores", "M29_events_and_q"]
+NAMES = ["J02_empirical_p_and_q", "J12_q_by_rank", "J14_fisher_combination", "J20_conservative_q", "M02_validated_genes", "M03_gene_scores", "M29_events_and_q", "R08_hits_against_truth", "L30_high_confidence_genes"]
 
 
 @pytest.fixture(scope="module")
