@@ -500,10 +500,11 @@ def labels_by_arity(spark, sf_dir):
     return c.union(edges.select("child", F.lit(1).cast("bigint"))).distinct().where("label <> -1").groupBy("arity").agg(F.count("*").alias("n"))
 
 
-@query("H02_union_by_plate", "a as (select plate, label, 1 as lot from objects where frame < 12), b as (select plate, label, 2 as lot from objects where frame >= 12) select plate, lot, count(*) as n from (select * from b union all select * from a where plate not in (select plate from b)) group by all", "objects")
+@query("H02_union_by_plate", "a as (select plate, label, 1 as lot from objects), b as (select plate, label, 2 as lot from objects where frame >= 12 and plate % 2 = 1) select plate, lot, count(*) as n from (select * from b union all select * from a where plate not in (select plate from b)) group by all", "objects")
 def union_by_plate(spark, sf_dir):
+    """The lot of all plates, and a second lot of odd plates from frame 12 on, which takes the first one's place there."""
     rows = objects(spark, sf_dir).select("plate", "label", "frame")
-    old, new = rows.where("frame < 12").withColumn("lot", F.lit(1)), rows.where("frame >= 12").withColumn("lot", F.lit(2))
+    old, new = rows.withColumn("lot", F.lit(1)), rows.where("frame >= 12 and plate % 2 = 1").withColumn("lot", F.lit(2))
     return C.union_right_wins(old, new, ["plate"]).groupBy("plate", "lot").agg(F.count("*").alias("n"))
 
 
