@@ -22,8 +22,12 @@ GRAPH = f"{CENTRES}, e as (select a.track_id as i, b.track_id as j, exp(-{DELTA}
 
 
 def _points(spark, sf_dir):
+    """Mean positions of tracks. Values are summed in their order, so that tracks with the same values are in one place; a track is bounded by its movie."""
     rows = track_points(spark, sf_dir)
-    return stored(rows.groupBy(F.col("track_id").alias("label")).agg(F.avg("x").alias("x"), F.avg("y").alias("y"), F.min("plate").alias("plate")), "points")
+    values = lambda v: F.array_sort(F.collect_list(v))
+    mean = lambda v: F.when(F.size(v) > 0, F.aggregate(v, F.lit(0.0), lambda s, x: s + x) / F.size(v))
+    rows = rows.groupBy(F.col("track_id").alias("label")).agg(values("x").alias("x"), values("y").alias("y"), F.min("plate").alias("plate"))
+    return stored(rows.select("label", mean(F.col("x")).alias("x"), mean(F.col("y")).alias("y"), "plate"), "points")
 
 
 def clusters(edges: DataFrame, k: int | None = None, seed: int = 2) -> tuple[np.ndarray, DataFrame]:
@@ -52,21 +56,21 @@ def grouped(values: np.ndarray, vectors: DataFrame, k: int, seed: int = 2) -> Da
 @query("L09_neighbour_graph", f"{GRAPH} select e.i, e.j, {q6('w / degree')} as p from e join d using (i)", "track_points")
 def neighbour_graph(spark, sf_dir):
     """The random walk on the neighbour graph of tracks; isolates are not in it."""
-    both, _ = L.normalised(L.neighbour_graph(_points(spark, sf_dir), NEAR, DELTA))
-    return both.select("i", "j", r6(F.col("p")).alias("p"))
+    return L.random_walk(_points(spark, sf_dir), NEAR, DELTA).select("i", "j", r6(F.col("p")).alias("p"))
 
 
 @query("L09_spectral_clusters")
 def spectral_clusters(spark, sf_dir):
     """Tracks with a neighbour, in as many clusters as the eigengap of their graph says."""
-    _, got = clusters(L.neighbour_graph(_points(spark, sf_dir), NEAR, DELTA))
+    values, vectors = L.vectors_of_points(_points(spark, sf_dir), NEAR, DELTA)
+    got = grouped(values, vectors, L.eigengap(values))
     return got.select(F.col("exp").alias("track_id"), "label")
 
 
 @query("L09_eigenvalues")
 def eigenvalues(spark, sf_dir):
     """The smallest eigenvalues of the graph's Laplacian, and whether the number of clusters ends there."""
-    values, _ = L.eigenvectors(L.neighbour_graph(_points(spark, sf_dir), NEAR, DELTA))
+    values, _ = L.vectors_of_points(_points(spark, sf_dir), NEAR, DELTA)
     gap = L.eigengap(values)
     return spark.createDataFrame([(i, round(1 - float(v), 6) + 0.0, i + 1 == gap) for i, v in enumerate(values)], "place int, value double, last boolean")
 
@@ -80,7 +84,7 @@ def agreement_by_parameters(spark, sf_dir):
     points = _points(spark, sf_dir)
     out = []
     for delta in DELTAS:
-        values, vectors = L.eigenvectors(L.neighbour_graph(points, NEAR, delta))
+        values, vectors = L.vectors_of_points(points, NEAR, delta)
         vectors = stored(vectors, "vectors")
         for k in KS:
             n = grouped(values, vectors, k).join(points.select(F.col("label").alias("exp"), "plate"), "exp").groupBy("plate", "label").agg(F.count("*").alias("n"))
@@ -100,8 +104,7 @@ g as (select 0 as round, landmark, landmark as node, 0.0::double as d from m uni
 @query("L08_geodesics", f"{GRAPH}, {PATHS} select landmark, node, {q6('min(d)')} as d from g group by landmark, node", "track_points")
 def geodesics(spark, sf_dir):
     """The lengths of the shortest paths from landmarks over the neighbour graph of tracks."""
-    edges = stored(M.neighbours(_points(spark, sf_dir), NEAR), "edges")
-    return M.geodesics(edges, M.landmarks(M.largest(edges), seed=SEED)).select("landmark", "node", r6(F.col("d")).alias("d"))
+    return M.paths_of_points(_points(spark, sf_dir), NEAR, seed=SEED).select("landmark", "node", r6(F.col("d")).alias("d"))
 
 
 @query("L08_isomap_sweep")

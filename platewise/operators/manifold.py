@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from platewise.functions.expressions import norm
-from platewise.operators.assignment import within_radius
+from platewise.operators.assignment import finite_places, members, near_places, within_radius
 from platewise.operators.components import components
 from platewise.operators.samples import order
 from platewise.sources import stored
@@ -53,6 +53,23 @@ def geodesics(edges: DataFrame, marks: DataFrame) -> DataFrame:
     return state.select("landmark", "node", "d")
 
 
+def paths_of_points(points: DataFrame, radius: float, count: int = LANDMARKS, seed: int = 1) -> DataFrame:
+    """landmark, node, d of the largest connected set of points (label, x, y): geodesics() of their neighbours. Points of one place have the same paths,
+    so that edges and paths are those of places, and are handed to the points in the end."""
+    rows = stored(points.select("label", "x", "y").dropDuplicates(["label"]), "points")
+    near = near_places(stored(finite_places(rows), "places"), radius)
+    edges = stored(near.select(F.col("label").alias("i"), F.col("to_label").alias("j"), F.col("d").alias("w"), "x", "y", "n"), "edges")
+    alone = edges.groupBy(F.col("i").alias("node"), "x", "y", "n").agg(F.lit(1))  # the places with a neighbour, or several points
+    member = components(edges.select(F.col("i").alias("a"), F.col("j").alias("b"))).select("node", F.col("component").alias("of"))
+    member = stored(alone.join(member, "node", "left").select("node", "x", "y", "n", F.coalesce("of", "node").alias("component")), "members")
+    most = member.groupBy("component").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "component").limit(1)
+    inside = member.join(F.broadcast(most.select("component")), "component").select("x", "y", F.col("node").alias("place"))
+    nodes = stored(members(inside, rows, []).select(F.col("label").alias("node"), "place"), "nodes")
+    marks = stored(landmarks(nodes.select("node"), count, seed).select(F.col("landmark").alias("node")).join(nodes, "node"), "landmarks")
+    paths = geodesics(edges, marks.select(F.col("place").alias("landmark")).distinct()).withColumnRenamed("node", "at").join(F.broadcast(marks.select(F.col("node").alias("mark"), F.col("place").alias("landmark"))), "landmark")
+    return stored(paths.select(F.col("mark").alias("landmark"), F.col("at").alias("place"), "d").join(nodes, "place").select("landmark", "node", "d"), "paths")
+
+
 def scaled(paths: DataFrame, most: int) -> tuple[list[float], DataFrame]:
     """The reconstruction error of 1, 2, ... dimensions (the root of the squares that the kernel keeps beyond them, over the landmarks' number), and
     node, x: its place in `most` dimensions, or as many as have a positive eigenvalue. A dimension's sign is such that the landmarks' cubes sum
@@ -90,9 +107,7 @@ def lost(paths: DataFrame, places: DataFrame, ks: list[int]) -> DataFrame:
 
 def isomap(points: DataFrame, radius: float, most: int = 2, count: int = LANDMARKS, seed: int = 1) -> tuple[DataFrame, list[float], DataFrame]:
     """The paths (landmark, node, d), the reconstruction errors, and the places (node, x) of points (label, x, y)."""
-    edges = stored(neighbours(points, radius), "edges")
-    nodes = stored(largest(edges), "nodes")
-    paths = geodesics(edges, landmarks(nodes, count, seed))
+    paths = paths_of_points(points, radius, count, seed)
     errors, places = scaled(paths, most)
     return paths, errors, stored(places, "places")
 

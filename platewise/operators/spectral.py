@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from platewise.operators.assignment import within_radius
+from platewise.operators.assignment import bundled, finite_places, members, near_places, within_radius
 from platewise.operators.samples import order
 from platewise.sources import stored
 
@@ -33,6 +33,19 @@ def normalised(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     return both.select("i", "j", "w", (F.col("w") / F.col("degree")).alias("p"), (F.col("w") / F.sqrt(F.col("degree") * F.col("other"))).alias("n")), degrees
 
 
+def random_walk(points: DataFrame, radius: float, delta: float) -> DataFrame:
+    """i, j, p: the random walk on the points' neighbour graph. Degrees are those of places, and the points' pairs are written out in the end, in no shuffle."""
+    rows = points.select("label", "x", "y")
+    near = stored(near_places(stored(finite_places(rows), "places"), radius), "near")
+    w = F.exp(-delta * F.col("d") * F.col("d"))
+    degrees = near.groupBy("label").agg(F.sum(w * F.col("others")).alias("degree"))
+    walk = near.join(degrees, "label").select("x", "y", "to_x", "to_y", (w / F.col("degree")).alias("p"))
+    ours = bundled(rows, [], ["label"], "ours").drop("bundle")
+    theirs = bundled(rows, [], ["label"], "theirs").select(F.col("x").alias("to_x"), F.col("y").alias("to_y"), "theirs")
+    both = walk.join(ours, ["x", "y"]).join(theirs, ["to_x", "to_y"]).select("p", "theirs", F.explode("ours.label").alias("i"))
+    return both.select("i", F.explode("theirs.label").alias("j"), "p").where("i <> j")
+
+
 def _start(c: int, seed: int) -> Column:
     """In [-0.5, 0.5), by the MD5 of seed, vector and node."""
     return F.conv(F.substring(order(F.concat_ws(":", F.lit(c), "i"), seed), 1, 12), 16, 10).cast("double") / 16.0**12 - 0.5
@@ -64,13 +77,39 @@ def eigenvectors(edges: DataFrame, wanted: int = WANTED, seed: int = 1) -> tuple
     weights. The block of vectors is multiplied, made orthogonal to all vectors before it, and added to them, until the wanted ones' residuals are
     under TOLERANCE; after STEPS multiplications it starts again from the best vectors, RESTARTS times at most."""
     both, degrees = normalised(edges)
-    both, degrees = stored(both.select("i", "j", "n"), "edges"), stored(degrees, "degrees")
-    nodes = degrees.count()
+    degrees = stored(degrees, "degrees")
+    values, best = _largest(both.select("i", "j", "n"), degrees.select("i", F.sqrt("degree").alias("root")), wanted, seed)
+    return values, best.join(degrees, "i").select("i", *[F.expr(f"b{c} / sqrt(degree) as v{c}") for c in range(len(values))])
+
+
+def vectors_of_points(points: DataFrame, radius: float, delta: float, wanted: int = WANTED, seed: int = 1) -> tuple[np.ndarray, DataFrame]:
+    """eigenvectors() of the points' neighbour graph, whose edges are those of places: points of one place have the same neighbours, so that a vector
+    of theirs is one value or sums to zero there. The latter have the eigenvalue -1 / degree; where one of these is wanted, the whole graph is taken."""
+    rows = points.select("label", "x", "y")
+    near = stored(near_places(stored(finite_places(rows), "places"), radius), "near")
+    w = F.exp(-delta * F.col("d") * F.col("d"))
+    places = stored(near.groupBy(F.col("label").alias("i"), "x", "y", "n").agg(F.sum(w * F.col("others")).alias("degree")), "degrees")
+    other = places.select(F.col("i").alias("j"), F.col("degree").alias("other"))
+    both = near.select(F.col("label").alias("i"), F.col("to_label").alias("j"), "n", "to_n", "others", w.alias("w")).join(places.select("i", "degree"), "i").join(other, "j")
+    weight = F.when(F.col("i") == F.col("j"), F.col("others")).otherwise(F.sqrt(F.col("n") * F.col("to_n")))
+    both = both.select("i", "j", (F.col("w") * weight / F.sqrt(F.col("degree") * F.col("other"))).alias("n"))
+    values, best = _largest(both, places.select("i", F.sqrt(F.col("n") * F.col("degree")).alias("root")), wanted, seed)
+    zero = places.where("n > 1").agg(F.max(-1 / F.col("degree"))).first()[0]  # of vectors that sum to zero in a place
+    if zero is not None and (len(values) < wanted or values[-1] <= zero + TOLERANCE):
+        return eigenvectors(neighbour_graph(rows, radius, delta), wanted, seed)
+    best = best.join(places, "i").select("x", "y", *[F.expr(f"b{c} / sqrt(n * degree) as v{c}") for c in range(len(values))])
+    return values, members(best, rows, []).select(F.col("label").alias("i"), *[f"v{c}" for c in range(len(values))])
+
+
+def _largest(both: DataFrame, roots: DataFrame, wanted: int, seed: int) -> tuple[np.ndarray, DataFrame]:
+    """The largest eigenvalues of the symmetric matrix (i, j, n), and i, b0, b1, ...: its vectors; root is the vector of the eigenvalue 1."""
+    both, roots = stored(both, "edges"), stored(roots, "roots")
+    nodes = roots.count()
     if not nodes:
-        return np.empty(0), degrees.select("i")
+        return np.empty(0), roots.select("i")
     size = min(BLOCK, nodes)
     # the first vector is known: the roots of the degrees
-    start = degrees.select("i", F.sqrt("degree").alias("b0"), *[_start(c, seed).alias(f"b{c}") for c in range(1, size)])
+    start = roots.select("i", F.col("root").alias("b0"), *[_start(c, seed).alias(f"b{c}") for c in range(1, size)])
     for _ in range(1 + RESTARTS):
         state, cols = stored(start, "vectors"), [f"b{c}" for c in range(size)]
         length, axes = np.linalg.eigh(_gram(state, cols, cols))
@@ -104,9 +143,8 @@ def eigenvectors(edges: DataFrame, wanted: int = WANTED, seed: int = 1) -> tuple
         if settled:
             break
         start, size = best, k
-    best = stored(best, "vectors").join(degrees, "i")
     k = min(wanted, k)
-    return values[:k], best.select("i", *[F.expr(f"b{c} / sqrt(degree) as v{c}") for c in range(k)])
+    return values[:k], stored(best.select("i", *[f"b{c}" for c in range(k)]), "vectors")
 
 
 def eigengap(values: np.ndarray, least: int = 2) -> int:
