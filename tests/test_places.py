@@ -87,3 +87,11 @@ def test_pairs_are_in_no_shuffle(spark, folders, name):
 def test_best_hypotheses_by_rounds_of_reach(spark, folders, monkeypatch, reach):
     monkeypatch.setattr(inference, "REACH", reach)
     agrees(spark, "N12_scored_hypotheses", folders[0])
+
+
+@pytest.mark.parametrize("name", ["N08_hypothesis_features"])
+def test_pairs_of_objects_share_what_places_have(spark, folders, name):
+    """Differences are rounded for two places, under the generators of pairs, and not for each pair of their objects."""
+    plan = QUERIES[name](spark, folders[0])._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" in plan and "round(" not in plan[: plan.index("Generate")]
+    agrees(spark, name, folders[0])
