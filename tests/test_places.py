@@ -89,7 +89,7 @@ def test_best_hypotheses_by_rounds_of_reach(spark, folders, monkeypatch, reach):
     agrees(spark, "N12_scored_hypotheses", folders[0])
 
 
-@pytest.mark.parametrize("name", ["N08_hypothesis_features"])
+@pytest.mark.parametrize("name", ["N08_hypothesis_features", "N01_doublets"])
 def test_pairs_of_objects_share_what_places_have(spark, folders, name):
     """Differences are rounded for two places, under the generators of pairs, and not for each pair of their objects."""
     plan = QUERIES[name](spark, folders[0])._jdf.queryExecution().optimizedPlan().toString()
