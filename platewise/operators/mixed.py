@@ -263,9 +263,12 @@ class Space:
 
 def _with_centres(rows: DataFrame, centres: DataFrame, space: Space) -> DataFrame:
     """movie, key, e, labels: for each run of the movie that the row is in, {run, label, d}. centres: movie, runs (of {run, s, cs}), a row for each movie."""
-    nearest = lambda c: F.array_min(F.transform(c["cs"], lambda x: F.struct(F.round(space.distance(F.col("e"), x["e"]), 9).alias("r"), x["label"].alias("label"), space.distance(F.col("e"), x["e"]).alias("d"))))
+    # a distance is taken once, and its label and d are read from what was found
+    apart = lambda c: F.transform(c["cs"], lambda x: F.struct(x["label"].alias("label"), space.distance(F.col("e"), x["e"]).alias("d")))
+    nearest = lambda c: F.array_min(F.transform(apart(c), lambda x: F.struct(F.round(x["d"], 9).alias("r"), x["label"].alias("label"), x["d"].alias("d"))))
     member = lambda c: F.exists("subsamples", lambda s: s == c["s"])
-    labels = F.transform(F.filter("runs", member), lambda c: F.struct(c["run"].alias("run"), nearest(c)["label"].alias("label"), nearest(c)["d"].alias("d")))
+    found = F.transform(F.filter("runs", member), lambda c: F.struct(c["run"].alias("run"), nearest(c).alias("best")))
+    labels = F.transform(found, lambda x: F.struct(x["run"].alias("run"), x["best"]["label"].alias("label"), x["best"]["d"].alias("d")))
     return rows.join(centres, "movie").select("movie", "key", "e", "subsamples", labels.alias("labels"))
 
 
@@ -288,9 +291,8 @@ def keyed_clusters(rows: DataFrame, movie: str, key: str, space: Space, runs: li
     sample_of = F.array(*[F.lit(s) for *_, s in runs])
     for _ in range(rounds):
         now = _with_centres(rows, _gathered(stored(centres, "centres")), space)
-        long = now.select("movie", "e", F.explode("labels").alias("l")).select("movie", "l.run", "l.label", F.posexplode("e").alias("i", "v"))
-        mean = long.groupBy("movie", "run", "label", "i").agg(F.avg("v").alias("v"))
-        mean = mean.groupBy("movie", "run", "label").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "v"))), lambda x: x["v"]).alias("m"))
+        each = now.select("movie", "e", F.explode("labels").alias("l"))
+        mean = each.groupBy("movie", "l.run", "l.label").agg(F.array(*[F.avg(F.get("e", F.lit(i))) for i in range(sum(space.sizes))]).alias("m"))
         centres = mean.select("movie", "run", F.get(sample_of, F.col("run")).alias("s"), "label", space.settled(F.col("m")).alias("e"))
     return _with_centres(rows, _gathered(stored(centres, "centres")), space)
 

@@ -97,3 +97,13 @@ def test_few_alike_and_no_rows(spark):
     space = mixed.Space(["euclidean", "hellinger", "hellinger"], WEIGHTS, [1, 2, 2])
     assert mixed.keyed_clusters(same.limit(0).withColumn("m", F.lit(1)), "m", "key", space, mixed.runs_of((2,), 1), 1, 1).collect() == []
     assert samples.order_sql("key", 1)
+
+
+def test_keyed_distances_are_taken_once(spark):
+    """The plan has one distance (two square roots of sums) for each kind of weight, whatever is read from it, and elements are no rows."""
+    space = mixed.Space(["euclidean", "hellinger", "hellinger"], WEIGHTS, [2, 3, 2])
+    rows = frame(spark, planted(30)).select(F.lit(1).alias("movie"), "key", space.flat(F.col("parts")).alias("e"), F.array(F.lit(0)).alias("subsamples"))
+    centres = rows.select("movie", F.array(F.struct(F.lit(0).alias("run"), F.lit(0).alias("s"), F.array(F.struct(F.lit(0).alias("label"), "e")).alias("cs"))).alias("runs")).limit(1)
+    plan = mixed._with_centres(rows, centres, space)._jdf.queryExecution().analyzed().toString().lower()
+    labels = next(line for line in plan.splitlines() if " as labels#" in line)
+    assert labels.count("sqrt(") == sum(w != 0 for w in WEIGHTS)
