@@ -72,3 +72,16 @@ def test_rank_products_of_a_batch_without_a_name(spark, values):
     rows = spark.createDataFrame([(b, c, float(v)) for b in ("x", None) for c, v in (("p", 1), ("q", 2), ("r", 3)) if (b, c) != (None, "p")], "b string, c string, v double")
     got = {r["c"]: round(r["rank_product"], 9) for r in hits.rank_product(rows, "c", "b", "v").collect()}
     assert got == {"p": round((1 * 2) ** 0.5, 9), "q": round((2 * 1) ** 0.5, 9), "r": round((3 * 2) ** 0.5, 9)}
+
+
+def test_pairs_of_sides(spark, values):
+    """Every two sides of each group, as the test of one against the other has them; one side alone and a null side make no pair."""
+    sided = [(k, None if i % 11 == 10 else i % 3, float(v)) for k, x in values.items() for i, v in enumerate(x)]
+    rows = spark.createDataFrame(sided, "k string, side int, v double")
+    got = {(r["k"], r["i"], r["j"]): (r["n1"], r["n2"], r["d"]) for r in statistics.kolmogorov_smirnov_pairs(rows, ["k"], "side", "v").collect()}
+    assert set(got) == {(k, i, j) for k in ("a", None) for i in range(3) for j in range(i + 1, 3)}
+    for (k, i, j), (n1, n2, d) in got.items():
+        a, b = (np.array([v for g, s, v in sided if g == k and s == side]) for side in (i, j))
+        at = np.union1d(a, b)[:, None]
+        assert (n1, n2) == (len(a), len(b)) and abs(d - np.abs((a <= at).mean(axis=1) - (b <= at).mean(axis=1)).max()) < 1e-12
+    assert statistics.kolmogorov_smirnov_pairs(rows.where("side = 1"), ["k"], "side", "v").collect() == []
