@@ -250,20 +250,19 @@ VECTOR = ("total_length", "effective_length", "largest_move", "mean_squared_disp
 def _clean_points(spark, sf_dir):
     """Points without drift and without the moves next to divisions, of tracks of at least 12 that are left."""
     points = T.without_division_moves(T.corrected(track_points(spark, sf_dir)), _codes(spark, sf_dir))
-    kept = points.groupBy("plate", "track_id").agg(F.count("*").alias("n")).where("n >= 12").drop("n")
-    return points.join(kept, ["plate", "track_id"], "left_semi")
+    return points.withColumn("n", F.count("*").over(W.partitionBy("plate", "track_id"))).where("n >= 12").drop("n")
 
 
 @query("F03_trajectory_vectors", f"""{SPAN}, {DRIFTED.strip()}, w as (select *, effective_length / sqrt(n - 1) as effective_speed, sqrt(n) * effective_length / nullif(total_length, 0) as corrected_straightness from vec) select track_id, n, {", ".join(f"{q6(c)} as {c}" for c in VECTOR)} from w""", "track_points lineage")
 def trajectory_vectors(spark, sf_dir):
     """Of the feature vector what SQL has too; F03_shape_vectors has the rest."""
-    return T.trajectory_vectors(_clean_points(spark, sf_dir)).select("track_id", "n", *[r6(F.col(c)).alias(c) for c in VECTOR])
+    return T.step_vectors(_clean_points(spark, sf_dir)).select("track_id", "n", *[r6(F.col(c)).alias(c) for c in VECTOR])
 
 
 @query("F03_shape_vectors")
 def shape_vectors(spark, sf_dir):
     rest = ("hull_area", "hull_area_of_step", "balls1", "entropy1", "balls2", "entropy2", "movement_type", "diffusion")
-    return T.trajectory_vectors(_clean_points(spark, sf_dir)).select("track_id", "n", "adequation", *[r6(F.col(c)).alias(c) for c in rest])
+    return T.shape_vectors(_clean_points(spark, sf_dir)).select("track_id", "n", "adequation", *[r6(F.col(c)).alias(c) for c in rest])
 
 
 DISTRIBUTIONS = ("displacement", "acceleration", "persistence", "turning", "straight")
