@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from platewise.functions.expressions import euclidean
 from platewise.operators import samples
+from platewise.sources import stored
 
 #: Centres that are broadcast in one array; past it rows meet the centres in blocks of so many, one array each.
 MOST_CENTRES = 10_000
@@ -32,7 +33,8 @@ def nearest(rows: DataFrame, centres: DataFrame, keep: list[str] | None = None)
     block, best = F.pmod(F.xxhash64("label"), F.lit(blocks)), None
     for i in range(blocks):
         array = centres.where(block == i).agg(F.array_sort(F.collect_list(F.struct("label", "f"))).alias("centres "))
-        of_block = F.array_min(F.transform("centres ", lambda c: F.struct(F.round(euclidean(F.col("f"), c["f"]), 9).alias("k"), c["label"].alias("label"), euclidean(F.col("f"), c["f"]).alias("d"))))
+        apart = F.transform("centres ", lambda c: F.struct(c["label"].alias("label"), euclidean(F.col("f"), c["f"]).alias("d")))  # a distance is taken once
+        of_block = F.array_min(F.transform(apart, lambda c: F.struct(F.round(c["d"], 9).alias("k"), c["label"].alias("label"), c["d"].alias("d"))))
         rows = rows.crossJoin(F.broadcast(array)).withColumn("b ", of_block if best is None else F.least("b ", of_block)).drop("centres ")
         best = F.col("b ")
     return rows.select("exp", *(keep or []), F.col("b ")["label"].alias("label"), F.col("b ")["d"].alias("d"))
@@ -98,10 +100,11 @@ def first_centres(rows: DataFrame, k: int, seed: int) -> DataFrame:
 
 
 def lloyd(rows: DataFrame, centres: DataFrame, steps: int) -> DataFrame:
-    """exp, label, d after steps rounds of assignment to the nearest centre and of new means; clusters that are empty go."""
+    """exp (a key), label, d after steps rounds of assignment to the nearest centre and of new means; clusters that are empty go. Centres are
+    written each round, so that no round is made anew by the next, and rows keep their vector, so that none is shuffled."""
+    centres = stored(centres, "centres")
     for _ in range(steps):
-        assigned = nearest(rows, centres)
-        centres = mean_vectors(rows.join(assigned.select("exp", "label"), "exp"), ["label"])
+        centres = stored(mean_vectors(nearest(rows.where("exp is not null"), centres, keep=["f"]), ["label"]), "centres")
     return nearest(rows, centres)
 
 
