@@ -18,7 +18,7 @@ from platewise.operators import hits as M
 from platewise.operators import samples
 from platewise.operators import smoothing
 from platewise.operators import statistics as S
-from platewise.sources import scratch
+from platewise.sources import scratch, stored
 
 SEEDED = samples.order_sql
 
@@ -362,8 +362,8 @@ def attached_markers(spark, sf_dir):
     rows = objects(spark, sf_dir).select("plate", "frame", "label", "x", "y")
     markers = rows.where("label % 13 = 0").withColumns({"x": F.col("x") + 1, "y": F.col("y") - 1})
     keys = ["plate", "frame"]
-    near = A.of_places(A.places(markers, keys), A.places(rows, keys), keys, RADIUS).groupBy(*keys, "x", "y").agg(F.min(F.struct(F.round("d", 9).alias("k"), "to_label", "d")).alias("n"))
-    return A.members(near, markers, keys).select(F.col("label").alias("marker"), F.col("n.to_label").alias("label"), r6(F.col("n.d")).alias("d"))
+    near = A.nearest(stored(A.places(markers, keys), "markers"), stored(A.places(rows, keys), "places"), keys, RADIUS, by=F.round("d", 9))
+    return A.members(near, markers, keys).select(F.col("label").alias("marker"), F.col("to_label").alias("label"), r6(F.col("d")).alias("d"))
 
 
 @query("N32_accuracy_by_fold", f"{ACCURACY} select (frame % 5)::int as fold, sum(y)::bigint as truth, {q6('sum(y * z) / nullif(sum(y), 0)')} as accuracy from t group by 1", "objects")
