@@ -244,8 +244,8 @@ def nearest_in_other_segmentation(spark, sf_dir):
     rows = objects(spark, sf_dir).select("plate", "frame", "label", "x", "y", "cls")
     a, b = rows.where("cls = 'purchase'"), rows.where("cls = 'view'")
     at = ["plate", "frame", "x", "y"]
-    near = A.of_places(A.places(a, at[:2]), A.places(b, at[:2]), at[:2], 40.0).groupBy(*at).agg(F.min(F.struct("d", "to_label")).alias("n"))
-    return a.join(near, at, "left").select("label", F.col("n.to_label").alias("other"), r6(F.col("n.d")).alias("d"))
+    near = A.nearest(stored(A.places(a, at[:2]), "places"), stored(A.places(b, at[:2]), "others"), at[:2], 40.0).select(*at, "to_label", "d")
+    return a.join(near, at, "left").select("label", F.col("to_label").alias("other"), r6(F.col("d")).alias("d"))
 
 
 @query("D19_same_prefix", "select substr(gene, 1, 7) as prefix, count(distinct gene) as genes, count(*) as n from wells group by 1", "wells")
