@@ -5,6 +5,7 @@ from __future__ import annotations
 import duckdb
 import pytest
 
+from platewise.jobs import inference
 from platewise.operators import assignment as A
 from __spark_entry__ import queries
 from tests.test_places import agrees
@@ -55,6 +56,18 @@ def test_nearest_of_many(spark, folders, monkeypatch, name):
     agrees(spark, name, folders[2])
 
 
+@pytest.mark.parametrize("reach", [(4_000,), (40, 200, 900)])
+def test_best_hypotheses_of_many(spark, folders, monkeypatch, reach):
+    monkeypatch.setattr(inference, "REACH", reach)
+    agrees(spark, "N12_scored_hypotheses", folders[2])
+
+
+def test_sources_far_from_the_labels_of_the_next_frame(spark, folders, monkeypatch):
+    monkeypatch.setattr(inference, "REACH", (800, 8_000))
+    every, searched = (met(monkeypatch, spark, name, folders[1]) for name in ("N11_frame_pairs", "N12_scored_hypotheses"))
+    assert 2 * searched < every
+
+
 @pytest.mark.parametrize("name", SEARCHES)
 def test_pairs_grow_as_objects_do(spark, folders, monkeypatch, name):
     few, many = (met(monkeypatch, spark, name, f) for f in folders[:2])
