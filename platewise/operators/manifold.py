@@ -8,14 +8,18 @@ with the smallest label) is laid out, as distances between sets are not defined;
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from platewise.functions.expressions import norm
-from platewise.operators.assignment import finite_places, members, near_places, within_radius
+from platewise.operators.assignment import finite_places, members, within_radius
 from platewise.operators.components import components
 from platewise.operators.samples import order
+from platewise.operators.tiles import Tiles
 from platewise.sources import stored
 
 LANDMARKS = 16
@@ -53,20 +57,39 @@ def geodesics(edges: DataFrame, marks: DataFrame) -> DataFrame:
     return state.select("landmark", "node", "d")
 
 
+def shortest(tiles: Tiles, marks: DataFrame) -> DataFrame:
+    """geodesics() of near places: a round meets the places whose paths the last one has shortened with all that are near them, in tiles. A place is a
+    row with a path's length for each landmark, of which there are few (LANDMARKS)."""
+    ids = sorted(r["landmark"] for r in marks.collect())
+    cols, far = [f"p{c}" for c in range(len(ids))], F.lit(float("inf"))
+    begin = [F.when(F.col("label") == i, F.lit(0.0)).otherwise(far).alias(c) for i, c in zip(ids, cols, strict=True)]
+    state = stored(tiles.rows.select("label", "tile", "x", "y", *begin, F.col("label").isin(ids).alias("new")), "paths")
+    while ids and not state.where("new").isEmpty():
+        reached = tiles.least(state.where("new"), cols).withColumnsRenamed({c: f"to_{c}" for c in cols})
+        both = state.join(reached, "label", "left")
+        shorter = [F.coalesce(F.col(f"to_{c}") < F.col(c), F.lit(False)) for c in cols]
+        state = stored(both.select("label", "tile", "x", "y", *[F.least(c, f"to_{c}").alias(c) for c in cols], reduce(or_, shorter).alias("new")), "paths")
+    each = F.explode(F.array(*[F.struct(F.lit(i).alias("landmark"), F.col(c).alias("d")) for i, c in zip(ids, cols, strict=True)])) if ids else None
+    if each is None:
+        return marks.select("landmark", F.col("landmark").alias("node"), F.lit(0.0).alias("d"))
+    return state.select(F.col("label").alias("node"), each.alias("p")).select("p.landmark", "node", "p.d").where(F.col("d") < far)
+
+
 def paths_of_points(points: DataFrame, radius: float, count: int = LANDMARKS, seed: int = 1) -> DataFrame:
     """landmark, node, d of the largest connected set of points (label, x, y): geodesics() of their neighbours. Points of one place have the same paths,
     so that edges and paths are those of places, and are handed to the points in the end."""
     rows = stored(points.select("label", "x", "y").dropDuplicates(["label"]), "points")
-    near = near_places(stored(finite_places(rows), "places"), radius)
-    edges = stored(near.select(F.col("label").alias("i"), F.col("to_label").alias("j"), F.col("d").alias("w"), "x", "y", "n"), "edges")
-    alone = edges.groupBy(F.col("i").alias("node"), "x", "y", "n").agg(F.lit(1))  # the places with a neighbour, or several points
-    member = components(edges.select(F.col("i").alias("a"), F.col("j").alias("b"))).select("node", F.col("component").alias("of"))
-    member = stored(alone.join(member, "node", "left").select("node", "x", "y", "n", F.coalesce("of", "node").alias("component")), "members")
+    tiles = Tiles(finite_places(rows), radius)
+    touch = stored(tiles.touching(), "touching")
+    part = components(touch).select(F.col("node").alias("cell"), F.col("component").alias("of"))
+    member = tiles.cells.join(part, "cell", "left").withColumn("of", F.coalesce("of", "cell"))
+    size = member.groupBy("of").agg(F.min("label").alias("component"), F.sum("n").alias("points"))  # a single point has no neighbour
+    member = stored(member.join(size.where("points > 1"), "of").select(F.col("label").alias("node"), "x", "y", "n", "component"), "members")
     most = member.groupBy("component").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "component").limit(1)
     inside = member.join(F.broadcast(most.select("component")), "component").select("x", "y", F.col("node").alias("place"))
     nodes = stored(members(inside, rows, []).select(F.col("label").alias("node"), "place"), "nodes")
     marks = stored(landmarks(nodes.select("node"), count, seed).select(F.col("landmark").alias("node")).join(nodes, "node"), "landmarks")
-    paths = geodesics(edges, marks.select(F.col("place").alias("landmark")).distinct()).withColumnRenamed("node", "at").join(F.broadcast(marks.select(F.col("node").alias("mark"), F.col("place").alias("landmark"))), "landmark")
+    paths = shortest(tiles, marks.select(F.col("place").alias("landmark")).distinct()).withColumnRenamed("node", "at").join(F.broadcast(marks.select(F.col("node").alias("mark"), F.col("place").alias("landmark"))), "landmark")
     return stored(paths.select(F.col("mark").alias("landmark"), F.col("at").alias("place"), "d").join(nodes, "place").select("landmark", "node", "d"), "paths")
 
 

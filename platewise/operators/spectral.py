@@ -7,6 +7,8 @@ knows of them (at most BLOCK * STEPS squared). Null coordinates have no neighbou
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -14,6 +16,7 @@ from pyspark.sql import functions as F
 
 from platewise.operators.assignment import bundled, finite_places, members, near_places, within_radius
 from platewise.operators.samples import order
+from platewise.operators.tiles import Tiles
 from platewise.sources import stored
 
 #: Eigenvectors wanted, vectors of a block, multiplications before a new start, new starts at most, and the residual of a settled vector.
@@ -78,7 +81,12 @@ def eigenvectors(edges: DataFrame, wanted: int = WANTED, seed: int = 1) -> tuple
     under TOLERANCE; after STEPS multiplications it starts again from the best vectors, RESTARTS times at most."""
     both, degrees = normalised(edges)
     degrees = stored(degrees, "degrees")
-    values, best = _largest(both.select("i", "j", "n"), degrees.select("i", F.sqrt("degree").alias("root")), wanted, seed)
+    both = stored(both.select("i", "j", "n"), "edges")
+
+    def times(state, cols, out):
+        return both.join(state.select(F.col("i").alias("j"), *cols), "j").groupBy("i").agg(*[F.expr(f"sum(n * {c}) as {z}") for c, z in zip(cols, out, strict=True)])
+
+    values, best = _largest(times, degrees.select("i", F.sqrt("degree").alias("root")), wanted, seed)
     return values, best.join(degrees, "i").select("i", *[F.expr(f"b{c} / sqrt(degree) as v{c}") for c in range(len(values))])
 
 
@@ -86,14 +94,20 @@ def vectors_of_points(points: DataFrame, radius: float, delta: float, wanted: in
     """eigenvectors() of the points' neighbour graph, whose edges are those of places: points of one place have the same neighbours, so that a vector
     of theirs is one value or sums to zero there. The latter have the eigenvalue -1 / degree; where one of these is wanted, the whole graph is taken."""
     rows = points.select("label", "x", "y")
-    near = stored(near_places(stored(finite_places(rows), "places"), radius), "near")
-    w = F.exp(-delta * F.col("d") * F.col("d"))
-    places = stored(near.groupBy(F.col("label").alias("i"), "x", "y", "n").agg(F.sum(w * F.col("others")).alias("degree")), "degrees")
-    other = places.select(F.col("i").alias("j"), F.col("degree").alias("other"))
-    both = near.select(F.col("label").alias("i"), F.col("to_label").alias("j"), "n", "to_n", "others", w.alias("w")).join(places.select("i", "degree"), "i").join(other, "j")
-    weight = F.when(F.col("i") == F.col("j"), F.col("others")).otherwise(F.sqrt(F.col("n") * F.col("to_n")))
-    both = both.select("i", "j", (F.col("w") * weight / F.sqrt(F.col("degree") * F.col("other"))).alias("n"))
-    values, best = _largest(both, places.select("i", F.sqrt(F.col("n") * F.col("degree")).alias("root")), wanted, seed)
+    tiles = Tiles(finite_places(rows), radius)
+    # a place's own points are among its sum, the point itself too; what has no other near it has no degree
+    sums = tiles.sums(tiles.rows.withColumn("n", F.col("n").cast("double")), {"total": "n"}, delta)
+    degrees = tiles.rows.join(sums, "label").select(F.col("label").alias("i"), "tile", "x", "y", "n", (F.col("total") - 1).alias("degree"))
+    places = stored(degrees.where("degree > 0"), "degrees")
+    scale = F.sqrt(F.col("n") / F.col("degree"))
+
+    def times(state, cols, out):
+        theirs = state.join(places, "i").select("tile", "x", "y", *[(scale * F.col(c)).alias(c) for c in cols])
+        moved = tiles.sums(theirs, dict(zip(out, cols, strict=True)), delta).withColumnRenamed("label", "i")
+        own = state.select("i", *[F.col(c).alias(f"own_{c}") for c in cols])
+        return moved.join(places, "i").join(own, "i").select("i", *[(scale * F.col(z) - F.col(f"own_{c}") / F.col("degree")).alias(z) for c, z in zip(cols, out, strict=True)])
+
+    values, best = _largest(times, places.select("i", F.sqrt(F.col("n") * F.col("degree")).alias("root")), wanted, seed)
     zero = places.where("n > 1").agg(F.max(-1 / F.col("degree"))).first()[0]  # of vectors that sum to zero in a place
     if zero is not None and (len(values) < wanted or values[-1] <= zero + TOLERANCE):
         return eigenvectors(neighbour_graph(rows, radius, delta), wanted, seed)
@@ -101,9 +115,10 @@ def vectors_of_points(points: DataFrame, radius: float, delta: float, wanted: in
     return values, members(best, rows, []).select(F.col("label").alias("i"), *[f"v{c}" for c in range(len(values))])
 
 
-def _largest(both: DataFrame, roots: DataFrame, wanted: int, seed: int) -> tuple[np.ndarray, DataFrame]:
-    """The largest eigenvalues of the symmetric matrix (i, j, n), and i, b0, b1, ...: its vectors; root is the vector of the eigenvalue 1."""
-    both, roots = stored(both, "edges"), stored(roots, "roots")
+def _largest(times: Callable, roots: DataFrame, wanted: int, seed: int) -> tuple[np.ndarray, DataFrame]:
+    """The largest eigenvalues of a symmetric matrix, and i, b0, b1, ...: its vectors; root is the vector of the eigenvalue 1. times(vectors, columns, names)
+    multiplies the columns by the matrix: i and names."""
+    roots = stored(roots, "roots")
     nodes = roots.count()
     if not nodes:
         return np.empty(0), roots.select("i")
@@ -119,8 +134,7 @@ def _largest(both: DataFrame, roots: DataFrame, wanted: int, seed: int) -> tuple
         last, h = cols, np.zeros((0, 0))
         for step in range(STEPS):
             z = [f"z{c}" for c in range(len(last))]
-            moved = both.join(state.select(F.col("i").alias("j"), *last), "j").groupBy("i").agg(*[F.expr(f"sum(n * {c}) as {x}") for c, x in zip(last, z, strict=True)])
-            together = stored(state.join(moved, "i"), "vectors")
+            together = stored(state.join(times(state, last, z), "i"), "vectors")
             products = _gram(together, [*cols, *z], z)
             inside, rest = products[: len(cols)], products[len(cols) :]
             old = len(cols) - len(last)
