@@ -47,7 +47,7 @@ def met(monkeypatch, spark, name, folder):
     return sum(pairs)
 
 
-SEARCHES = ["N05_link_distances", "N13_mutual_links", "N03_in_and_out_codes", "N06_move_hypotheses", "D18_nearest_in_other_segmentation", "N04_attached_markers"]
+SEARCHES = ["N05_link_distances", "N13_mutual_links", "N03_in_and_out_codes", "N06_move_hypotheses", "D18_nearest_in_other_segmentation", "N04_attached_markers", "N13_event_hypotheses"]
 
 
 @pytest.mark.parametrize("name", [*SEARCHES, "N02_candidates_with_truth", "N10_truth_vector"])
