@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import time
+
 import duckdb
+import numpy as np
 import pytest
 
 from platewise.jobs import inference
@@ -50,7 +53,7 @@ def met(monkeypatch, spark, name, folder):
 SEARCHES = ["N05_link_distances", "N13_mutual_links", "N03_in_and_out_codes", "N06_move_hypotheses", "D18_nearest_in_other_segmentation", "N04_attached_markers", "N13_event_hypotheses"]
 
 
-@pytest.mark.parametrize("name", [*SEARCHES, "N02_candidates_with_truth", "N10_truth_vector"])
+@pytest.mark.parametrize("name", [*SEARCHES, "N02_candidates_with_truth", "N10_truth_vector", "N14_relaxation_bound", "N22_augmented_scores"])
 def test_nearest_of_many(spark, folders, monkeypatch, name):
     monkeypatch.setattr(A, "CROWD", 2)
     agrees(spark, name, folders[2])
@@ -72,3 +75,13 @@ def test_sources_far_from_the_labels_of_the_next_frame(spark, folders, monkeypat
 def test_pairs_grow_as_objects_do(spark, folders, monkeypatch, name):
     few, many = (met(monkeypatch, spark, name, f) for f in folders[:2])
     assert many < 20 * few  # eight times the objects, 64 times the pairs within the radius
+
+
+def test_assignment_of_a_crowded_frame_takes_seconds():
+    rng = np.random.default_rng(2)
+    x, y = rng.exponential(50, (2, 1500)), rng.integers(0, 100, (2, 1500))
+    d = np.hypot(x[0][:, None] - x[1], y[0][:, None] - y[1])
+    began = time.process_time()
+    pairs = A.best_assignment(np.where(d <= 8, 8 - d, 0))
+    assert len({i for i, _ in pairs}) == len(pairs) == len({j for _, j in pairs}) > 1000
+    assert time.process_time() - began < 20

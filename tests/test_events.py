@@ -99,3 +99,15 @@ def test_components(spark, edges):
             if a in want and b in want:
                 want[a] = want[b] = min(want[a], want[b])
     assert got == want
+
+
+@pytest.mark.parametrize("exact", [0, 24])
+def test_choice_within_frames_is_the_same(spark, exact):
+    rng = np.random.default_rng(7)
+    hyps = planted(spark, [(c, f, 1000 * c + 100 * f + i, *(rng.uniform(0, 25, 2)).tolist()) for c in range(4) for f in (0, 1) for i in range(20)]).cache()
+    (plain, about), (keyed, about_keyed) = E.infer(hyps, exact=exact), E.infer(hyps, exact=exact, keys=["plate", "frame"])
+    assert events_of(plain) == events_of(keyed)
+    rows = lambda df: sorted((r["component"], r["objects"], round(r["bound"], 9), round(r["score"], 9), r["proven"]) for r in df.collect())
+    assert rows(about) == rows(about_keyed)
+    u, v = ({r["node"]: r["u"] for r in df.collect()} for df in (E.prices(hyps, 3), E.prices_by(hyps, ["plate", "frame"], 3)))
+    assert u.keys() == v.keys() and all(abs(u[n] - v[n]) < 1e-9 for n in u)
